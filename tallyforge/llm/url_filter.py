@@ -1,0 +1,118 @@
+"""URL filter: path rules first, then logistic regression on hashed character n-grams.
+
+The classifier is trained on the driver from a small labelled URL table (by default LABELLED) and
+scores host and path; its weights are one array of `buckets` doubles, whatever the input.
+
+Defined results: a null url or one without '://' has an empty host and path, no rule, and the
+classifier's verdict on the empty string; repeated rows are answered alike; an empty table gives an
+empty result. Only page_id and url are read, so extra columns cannot clash.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.llm.common import arrow_schema, in_batches
+
+#: The contract's rules (host and path prefix, verdict).
+RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+#: Words of hosts that the labelled table blocks and allows.
+_BAD = "casino-win ads-track cheap-pills free-casino poker-bonus lucky-slots bet-online adserver track-click click-ads banner-ads pills-shop viagra-cheap discount-pills xxx-cams hot-dating payday-loans win-prize malware-drop phish-login torrent-crack warez-keys spam-mail seo-links casino-bonus pixel-track popup-ads adult-video online-pharmacy replica-watch"
+_GOOD = "news library museum weather garden travel history science kitchen school city council recipes music archive journal university hospital research letters nature physics gazette theatre thother thing tion ering nation library-books open-data local-news book-club health-info bike-shop"
+_TOP = ("com", "net", "org")
+_LANGS = ("en", "de", "fr", "es")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The default small labelled table: (url, 1 to block), host words crossed with subdomains and paths."""
+    rows = []
+    for label, words in ((1, _BAD), (0, _GOOD)):
+        for i, word in enumerate(words.split()):
+            for j, sub in enumerate(("", "www.", "m.", "blog.")):
+                k = i + j
+                rows.append((f"http{'s' * (k % 2)}://{sub}{word}.example.{_TOP[k % 3]}/{_LANGS[k % 4]}/{(i * 37 + j * 911) % 9973}", label))
+    return rows
+
+
+_URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+
+
+def split_url(url: str | None) -> tuple[str, str]:
+    found = _URL.search(url) if url else None
+    return (found[1].translate(_LOWER), found[2]) if found else ("", "")
+
+
+def rule_for(host: str, path: str, rules: Sequence[tuple[str, str]]) -> tuple[str | None, str | None]:
+    """The longest rule that fits, and its verdict."""
+    best: tuple[str | None, str | None] = (None, None)
+    for rule, verdict in rules:
+        of, slash, rest = rule.partition("/")
+        if (host == of or host.endswith("." + of)) and path.startswith(slash + rest) and len(rule) > len(best[0] or ""):
+            best = (rule, verdict)
+    return best
+
+
+class UrlModel:
+    """Logistic regression on hashed n-grams (3 to 5 characters) of host and path, kept apart."""
+
+    def __init__(self, labelled: Sequence[tuple[str, int]], buckets: int = 1 << 14, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4):
+        self.buckets = buckets
+        self.weights, self.bias = np.zeros(buckets), 0.0
+        rows = [(self.features(*split_url(url)), label) for url, label in labelled]
+        labels = np.array([y for _, y in rows], float)
+        which = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+        flat = np.concatenate([x for x, _ in rows]) if rows else np.zeros(0, int)
+        scale = np.array([1 / np.sqrt(max(1, len(x))) for x, _ in rows])
+        for _ in range(epochs * 5 if rows else 0):
+            z = np.bincount(which, self.weights[flat], len(rows)) * scale + self.bias
+            gap = 1 / (1 + np.exp(-z)) - labels
+            self.weights -= rate * (np.bincount(flat, (gap * scale)[which], buckets) / len(rows) * 20 + decay * self.weights)
+            self.bias -= rate * gap.mean()
+
+    def features(self, host: str, path: str) -> np.ndarray:
+        grams = {
+            f"{kind}{text[i : i + n]}"
+            for kind, text in (("h", f"^{host}$"), ("p", f"^{path}$"))
+            for n in (3, 4, 5)
+            for i in range(len(text) - n + 1)
+        }
+        return np.array(sorted(xxhash.xxh64_intdigest(g.encode()) % self.buckets for g in grams), dtype=np.int64)
+
+    def score(self, host: str, path: str) -> float:
+        found = self.features(host, path)
+        z = self.weights[found].sum() / np.sqrt(max(1, len(found))) + self.bias
+        return float(1 / (1 + np.exp(-z)))
+
+
+def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's block_score of every url."""
+    held = spark.sparkContext.broadcast(UrlModel(labelled_urls() if labelled is None else labelled))
+    ddl = "page_id bigint, host string, path string, rule string, verdict string, block_score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, schema = held.value, arrow_schema(ddl)
+
+        def judge(page, url):
+            host, path = split_url(url)
+            rule, verdict = rule_for(host, path, rules)
+            score = model.score(host, path)
+            return page, host, path, rule, verdict or ("block" if score >= 0.5 else "allow"), score
+
+        for batch in batches:
+            rows = zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)
+            yield from in_batches((judge(*row) for row in rows), schema)
+
+    return pages.select("page_id", "url").mapInArrow(run, ddl)
