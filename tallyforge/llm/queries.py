@@ -12,6 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(spark, docs, fit(spark, docs, table(spark, sf_dir, "labels")))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.chat_tree import format_chats, read_back
+
+    text = "</s>[INST] ok [/INST]"
+    columns = ("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    return read_back(*format_chats(spark, table(spark, sf_dir, "conversations").select(*columns).unionByName(added)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +36,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.near_dedup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.warc import derivatives, responses_of_pages
+
+    return derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.line_dedup import dedupe_lines
 
@@ -33,6 +61,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark, docs, bench, size=10).drop("items")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.html_extract import extract_pages
+
+    return extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.fingerprint import fingerprints
+
+    return fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.url_filter import filter_urls
 
@@ -40,8 +80,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_chat_format": op2_chat_format,
     "op3_packing": op3_packing,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extract": op8_html_extract,
+    "op9_fingerprint": op9_fingerprint,
     "op10_url_filter": op10_url_filter,
 }

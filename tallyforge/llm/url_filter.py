@@ -30,7 +30,7 @@ RULES = (
 )
 #: Words of hosts that the labelled table blocks and allows.
 _BAD = "casino-win ads-track cheap-pills free-casino poker-bonus lucky-slots bet-online adserver track-click click-ads banner-ads pills-shop viagra-cheap discount-pills xxx-cams hot-dating payday-loans win-prize malware-drop phish-login torrent-crack warez-keys spam-mail seo-links casino-bonus pixel-track popup-ads adult-video online-pharmacy replica-watch"
-_GOOD = "news library museum weather garden travel history science kitchen school city council recipes music archive journal university hospital research letters nature physics gazette theatre thother thing tion ering nation library-books open-data local-news book-club health-info bike-shop"
+_GOOD = "news library museum weather garden travel history science kitchen school city council recipes music archive journal university hospital research letters nature physics gazette theatre thunder nation station fashion another reading library-books open-data local-news book-club health-info bike-shop"
 _TOP = ("com", "net", "org")
 _LANGS = ("en", "de", "fr", "es")
 
