@@ -113,7 +113,7 @@ class Weights:
         inside, outside = Counter(), Counter()
         for page, spans in pages:
             starts = [a for a, _ in spans]
-            for at, feature, text, _ in tokens(page):
+            for at, feature, text, _ in (x for x in tokens(page) if x[1]):
                 k = bisect_right(starts, at) - 1
                 n = len(text.split()) or 1
                 (inside if k >= 0 and at < spans[k][1] else outside)[feature] += n

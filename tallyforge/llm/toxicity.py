@@ -4,8 +4,9 @@ Each class has its own interpolated Kneser-Ney model at full history (up to orde
 the word's start); below it both share one Kneser-Ney backoff whose continuation counts come from all
 training texts. An expression that neither class has seen costs both the same, so rare words weigh
 nothing, while rare forms of a toxic stem are recognised by their first characters. A text's value is
-the difference of the two log-likelihoods divided by its words; logistic calibration on training
-documents that the counts leave out turns it into a score.
+the excess of the toxic log-likelihood over the ordinary one, summed over the words where it is more
+than `margin` nats (smaller differences are the noise of small counts) and divided by all its words;
+logistic calibration on training documents that the counts leave out turns it into a score.
 
 Labels are learnt from at most `max_per_class` documents of each class (those with the smallest id
 hash); counting runs on the executors and the tables hold at most `max_grams` character sequences.
@@ -118,14 +119,14 @@ class KneserNeyPair:
 
 
 class _Values(dict):
-    """Remembered values of words."""
+    """Remembered excess of words."""
 
-    def __init__(self, model: KneserNeyPair):
+    def __init__(self, model: KneserNeyPair, margin: float = 4.0):
         super().__init__()
-        self.model = model
+        self.model, self.margin = model, margin
 
     def __missing__(self, word: str) -> float:
-        self[word] = value = self.model.word(word)
+        self[word] = value = max(0.0, self.model.word(word) - self.margin)
         return value
 
     def text(self, text: str | None) -> tuple[float, int]:
@@ -135,9 +136,9 @@ class _Values(dict):
         return (sum(map(self.__getitem__, words)) / len(words) if words else 0.0), len(words)
 
 
-def _features(value: float, n: int) -> tuple[float, float, float]:
-    """Intercept, the length-normalised value, and the same shrunk for short texts."""
-    return 1.0, value, value * n / (n + 20.0)
+def _features(value: float) -> tuple[float, float]:
+    """Intercept, and the length-normalised value on a scale of orders of magnitude."""
+    return 1.0, math.log1p(100 * value)
 
 
 def _count_grams(order: int):
@@ -187,7 +188,7 @@ class ToxicityModel:
         self.pair, self.beta = pair, beta
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 6, max_per_class: int = 8000, max_grams: int = 1_500_000) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 2500, max_grams: int = 1_000_000) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; remainder 1 calibrates."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).filter("fold <> 0 and toxic in (0, 1)")
@@ -215,8 +216,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 6,
     measured = texts.filter("fold = 1").select("toxic", "text").mapInArrow(_measure(held), "label int, value double, n int").toArrow().to_pydict()
     y = np.array(measured["label"], float)
     if len(set(measured["label"])) < 2:
-        return ToxicityModel(pair, np.array([math.log(share / (1 - share)), 1.0, 1.0]))
-    x = np.array([_features(v, n) for v, n in zip(measured["value"], measured["n"], strict=True)])
+        return ToxicityModel(pair, np.array([math.log(share / (1 - share)), 1.0]))
+    x = np.array([_features(v) for v in measured["value"]])
     drawn = np.array([(y == 0).sum(), (y == 1).sum()])
     weight = np.where(y == 1, share / drawn[1], (1 - share) / drawn[0]) * len(y)
     return ToxicityModel(pair, _logistic(x, y, weight))
@@ -235,8 +236,8 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, carry: tup
         values = _Values(pair) if pair else None
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            found = [values.text(t) if values else (0.0, 0) for t in batch.column("text").to_pylist()]
-            x = np.array([_features(v, n) for v, n in found]).reshape(-1, 3)[:, : len(beta)]
+            found = [values.text(t) if values is not None else (0.0, 0) for t in batch.column("text").to_pylist()]
+            x = np.array([_features(v) for v, _ in found]).reshape(-1, 2)[:, : len(beta)]
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -60, 60)))
             made = {
                 "held_out": pa.array([i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids], pa.bool_()),
