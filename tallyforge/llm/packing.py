@@ -29,35 +29,108 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import arrow_schema, in_batches, saved
 
 PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, ids binary"
-#: Cached words of a worker; the cache starts anew beyond it.
-_WORDS = 600_000
+#: Words that each of a worker's two generations of remembered words holds.
+_WORDS = 500_000
 
 
 class WordTokenizer:
     """Token ids of whole texts, word by word.
 
     The vocabulary's splitter never joins across a space or line feed, so the ids of a text are those
-    of its parts; each distinct part is encoded once and remembered.
+    of its parts; each distinct part is encoded once and remembered. It ignores the case of ASCII
+    letters and cuts between letters and a comma or full stop at the end, so those forms share an
+    entry. New words are encoded many at a time, parted by a special token.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch_fast
-        self._known: dict[str, bytes] = {}
+        built = Tokenizer.from_file(path)
+        self._encode = built.encode_batch_fast
+        self._marks = {c: self._alone(c) for c in ",."}
+        special = [(i, t.content) for i, t in built.get_added_tokens_decoder().items() if t.special]
+        self._part = max(special) if special else None
+        # In vocabularies with word ends, a word of letters is cut exactly after its one closing token.
+        suffix = getattr(built.model, "end_of_word_suffix", None)
+        closing = [i for token, i in built.get_vocab().items() if suffix and token.endswith(suffix)]
+        self._closing = np.zeros(built.get_vocab_size() + 1, bool)
+        self._closing[closing] = True
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self._encode([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words into the young generation."""
+        if self._closing.any():
+            words = self._learn_letters(words)
+        if self._part is None:
+            self._young.update((w, self._alone(w)) for w in words)
+            return
+        end, token = self._part
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        joined = self._encode([f" {token} ".join(g) for g in groups], add_special_tokens=False)
+        for group, got in zip(groups, joined, strict=True):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(ids == end)
+            if len(cuts) != len(group) - 1:  # a word holds the special token itself
+                self._young.update((w, self._alone(w)) for w in group)
+                continue
+            data = ids.tobytes()
+            begin = 0
+            for word, cut in zip(group, [*cuts.tolist(), len(ids)], strict=True):
+                self._young[word] = data[4 * begin : 4 * cut]
+                begin = cut + 1
+
+    def _learn_letters(self, words: list[str]) -> list[str]:
+        """Encode the words of letters alone, side by side; the other words are given back."""
+        plain, rest = [], []
+        for word in words:
+            (plain if word.isalpha() and word.lower().isalpha() else rest).append(word)
+        groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
+        for group, got in zip(groups, self._encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self._closing[ids])
+            if len(cuts) != len(group):
+                rest += group
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, cut in zip(group, cuts.tolist(), strict=True):
+                self._young[word] = data[begin : 4 * cut + 4]
+                begin = 4 * cut + 4
+        return rest
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self._known) > _WORDS:
-            self._known.clear()
-        new = list(set().union(*split).difference(self._known)) if split else []
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, got in zip(part, self._encode(part, add_special_tokens=False), strict=True):
-                self._known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self._known.__getitem__, words)) for words in split]
+        if len(self._young) > _WORDS:
+            self._young, self._old = {}, self._young
+        young, old = self._young, self._old
+        new = set().union(*split).difference(young) if split else ()
+        forms, learn = [], set()
+        for word in new:
+            if (known := old.get(word)) is not None:
+                young[word] = known
+                continue
+            base = word.lower() if word.isascii() else word
+            mark = base[-1:]
+            if mark in self._marks and base[:-1].lower().isalpha():
+                base = base[:-1]
+            else:
+                mark = ""
+            if base != word:
+                forms.append((word, base, mark))
+            if base not in young:
+                if (known := old.get(base)) is not None:
+                    young[base] = known
+                else:
+                    learn.add(base)
+        self._learn(list(learn))
+        for word, base, mark in forms:
+            young[word] = young[base] + self._marks[mark] if mark else young[base]
+        return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
 @cache
