@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,81 +40,74 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _grams(word: str, order: int) -> Iterator[tuple[str, str]]:
-    """(history, character) of each character of the word and its end; histories begin at the word's start."""
+def _grams(word: str, order: int) -> Iterator[str]:
+    """Each character of the word and its end, after its history; histories begin at the word's start."""
     padded = f"^{word}$"
     for i in range(1, len(padded)):
-        yield padded[max(0, i - order + 1) : i], padded[i]
+        yield padded[max(0, i - order + 1) : i + 1]
 
 
 class KneserNeyPair:
-    """Log-likelihood ratio of two classes; counts[c] maps (history, character) to its count."""
+    """Log-likelihood ratio of two classes; counts[c] maps a history with its next character to a count."""
 
-    def __init__(self, counts: tuple[Counter, Counter], order: int):
+    def __init__(self, counts: tuple[dict[str, int], dict[str, int]], order: int):
         self.order = order
-        self._backoff(counts[0] + counts[1])
+        self._backoff(counts)
         classes = [self._class(c) for c in counts]
-        self.shift = {
-            h: classes[1][1].get(h, 0.0) - classes[0][1].get(h, 0.0)
-            for h in classes[0][1].keys() | classes[1][1].keys()
-        }
+        self.shift = {h: classes[1][2].get(h, 0.0) - classes[0][2].get(h, 0.0) for h in classes[0][2].keys() | classes[1][2].keys()}
         self.ratio: dict[str, float] = {}
-        for h, x in counts[0].keys() | counts[1].keys():
-            base, logs = self._shared(h[1:], x), []
-            for top, low in classes:
-                logs.append(math.log(top.get((h, x), 0.0) + math.exp(low.get(h, 0.0)) * base))
-            self.ratio[h + x] = logs[1] - logs[0]
+        for c in counts:
+            for gram in c:
+                if gram not in self.ratio:
+                    base, h = self._shared(gram[1:]), gram[:-1]
+                    logs = [math.log(max(n.get(gram, 0) - d, 0) / total[h] + math.exp(low[h]) * base if h in low else base) for n, (d, total, low) in zip(counts, classes, strict=True)]
+                    self.ratio[gram] = logs[1] - logs[0]
         del self._low, self._context, self._memo
 
     @staticmethod
-    def _discount(counts) -> float:
+    def _class(counts: dict[str, int]) -> tuple[float, Counter, dict[str, float]]:
+        """Discount, counts of histories, and the log weight of their backoff."""
         ones, twos = (sum(1 for n in counts.values() if n == k) for k in (1, 2))
-        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-
-    def _class(self, counts: Counter) -> tuple[dict, dict]:
-        """Discounted probabilities of seen pairs, and the log weight of the backoff by history."""
-        d, total, kinds = self._discount(counts), Counter(), Counter()
-        for (h, _), n in counts.items():
-            total[h] += n
-            kinds[h] += 1
-        return (
-            {(h, x): (n - d) / total[h] for (h, x), n in counts.items() if n > d},
-            {h: math.log(d * kinds[h] / total[h]) for h in total},
-        )
-
-    def _backoff(self, both: Counter) -> None:
-        """Continuation counts: how many different characters precede (history, character)."""
-        level, self._low = set(both), {}
-        while level:
-            shorter: dict[tuple[str, str], int] = defaultdict(int)
-            for h, x in level:
-                if h:
-                    shorter[(h[1:], x)] += 1
-            self._low.update({k: self._low.get(k, 0) + n for k, n in shorter.items()})
-            level = {k for k in shorter if k[0]}
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        total, kinds = Counter(), Counter()
+        for gram, n in counts.items():
+            total[gram[:-1]] += n
+            kinds[gram[:-1]] += 1
+        return d, total, {h: math.log(d * kinds[h] / n) for h, n in total.items()}
+
+    def _backoff(self, counts: tuple[dict[str, int], dict[str, int]]) -> None:
+        """Continuation counts: how many different characters stand before a history and its next one."""
+        self._low: Counter[str] = Counter()
+        level: set[str] | None = None
+        while level is None or level:
+            shorter: Counter[str] = Counter()
+            first = (g for k, c in enumerate(counts) for g in c if not k or g not in counts[0])
+            for gram in first if level is None else level:
+                if len(gram) > 1:
+                    shorter[gram[1:]] += 1
+            self._low.update(shorter)
+            level = {g for g in shorter if len(g) > 1}
         self._context: dict[str, list[int]] = {}
-        for (h, _), n in self._low.items():
-            entry = self._context.setdefault(h, [0, 0])
+        for gram, n in self._low.items():
+            entry = self._context.setdefault(gram[:-1], [0, 0])
             entry[0] += n
             entry[1] += 1
-        self._memo: dict[tuple[str, str], float] = {}
-
-    def _shared(self, h: str, x: str, d: float = 0.75) -> float:
-        if (found := self._memo.get((h, x))) is None:
-            below = self._shared(h[1:], x) if h else 1e-4
-            total, kinds = self._context.get(h, (0, 0))
-            found = below if not total else (max(self._low.get((h, x), 0) - d, 0) + d * kinds * below) / total
-            self._memo[(h, x)] = found
+        self._memo: dict[str, float] = {}
+
+    def _shared(self, gram: str, d: float = 0.75) -> float:
+        if (found := self._memo.get(gram)) is None:
+            below = self._shared(gram[1:]) if len(gram) > 1 else 1e-4
+            total, kinds = self._context.get(gram[:-1], (0, 0))
+            found = below if not total else (max(self._low.get(gram, 0) - d, 0) + d * kinds * below) / total
+            self._memo[gram] = found
         return found
 
     def word(self, word: str) -> float:
         get, shift = self.ratio.get, self.shift.get
-        padded, back = f"^{word}$", self.order - 1
         value = 0.0
-        for i in range(1, len(padded)):
-            h = padded[max(0, i - back) : i]
-            got = get(h + padded[i])
-            value += shift(h, 0.0) if got is None else got
+        for gram in _grams(word, self.order):
+            got = get(gram)
+            value += shift(gram[:-1], 0.0) if got is None else got
         return value
 
 
@@ -147,13 +140,13 @@ def _count_grams(order: int):
         for batch in batches:
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words[label].update(words_of(text))
-        schema = arrow_schema("label int, history string, next string, n bigint")
+        schema = arrow_schema("label int, gram string, n bigint")
         for label, found in words.items():
             grams: Counter = Counter()
             for word, n in found.items():
                 for gram in _grams(word, order):
                     grams[gram] += n
-            yield from in_batches(((label, h, x, n) for (h, x), n in grams.items()), schema, 20_000)
+            yield from in_batches(((label, g, n) for g, n in grams.items()), schema, 20_000)
 
     return run
 
@@ -188,7 +181,7 @@ class ToxicityModel:
         self.pair, self.beta = pair, beta
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 2500, max_grams: int = 1_000_000) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 2200, max_grams: int = 800_000) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; remainder 1 calibrates."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).filter("fold <> 0 and toxic in (0, 1)")
@@ -203,14 +196,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8,
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", "fold")
     counted = (
         texts.filter("fold <> 1").select("toxic", "text")
-        .mapInArrow(_count_grams(order), "label int, history string, next string, n bigint")
-        .groupBy("label", "history", "next").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "label", "history", "next").limit(max_grams)
+        .mapInArrow(_count_grams(order), "label int, gram string, n bigint")
+        .groupBy("label", "gram").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "label", "gram").limit(max_grams)
     )
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for batch in counted.toArrow().to_batches():
-        for label, h, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts[label][(h, x)] = n
+        for label, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[label][gram] = n
     pair = KneserNeyPair(counts, order)
     held = spark.sparkContext.broadcast(pair)
     measured = texts.filter("fold = 1").select("toxic", "text").mapInArrow(_measure(held), "label int, value double, n int").toArrow().to_pydict()
