@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,8 +70,21 @@ def in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> It
         yield batch_of(pending, schema)
 
 
-def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    """batch with columns replaced or added."""
-    names = [n for n in batch.schema.names if n not in columns] + list(columns)
-    arrays = [columns[n] if n in columns else batch.column(n) for n in names]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Say that this worker now remembers things for `owner`; what it remembered for others is forgotten.
+
+    Python workers outlive stages, so that without this the memories of all operators would add up.
+    """
+    for other in [k for k in _memories if k != owner]:
+        _memories.pop(other)()
+    _memories[owner] = forget
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short pieces of the batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved
+from tallyforge.llm.common import remembers, saved, sliced
 
 #: Fixed by the contract: word characters are 0-9, a-z (after lower-casing A-Z) and all above 0x7F.
 _TABLE = bytes(
@@ -76,8 +76,9 @@ def _scan(held, size: int):
     """Add each document's hit words (a bitmap) and items to those of earlier passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("decontaminate", lambda: None)
         tables = matchers(held.value, size)
-        for batch in batches:
+        for batch in sliced(batches):
             maps, found = [], []
             old_maps, old_items = batch.column("_map").to_pylist(), batch.column("_items").to_pylist()
             for text, before, items in zip(batch.column("text").to_pylist(), old_maps, old_items, strict=True):

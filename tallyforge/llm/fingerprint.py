@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches
+from tallyforge.llm.common import arrow_schema, in_batches, sliced
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -108,7 +108,7 @@ def _ordered(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             before = None  # group, doc_id, text, anchors
-            for batch in batches:
+            for batch in sliced(batches):
                 columns = (batch.column(c).to_pylist() for c in ("group", "ahead", "doc_id", "text"))
                 for group, ahead, doc, text in zip(*columns, strict=True):
                     same = before is not None and before[0] == group

@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm.common import arrow_schema, in_batches
+from tallyforge.llm.common import arrow_schema, in_batches, sliced
 
 _RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|audio|video|textarea|select"
 _TOKEN = re.compile(
@@ -214,7 +214,7 @@ def extract_pages(spark: SparkSession, pages: DataFrame, labelled: Sequence[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, schema = held.value, arrow_schema(ddl)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
             yield from in_batches(((i, url, text := extract(page, weights), len(text)) for i, url, page in rows), schema, 500)
 

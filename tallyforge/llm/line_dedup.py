@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, drop_saved, in_batches, saved
+from tallyforge.llm.common import arrow_schema, drop_saved, in_batches, remembers, saved, sliced
 
 _BLANK = " \t\n\v\f\r"
 _RUN_DDL = "batch int, h1 bigint, h2 bigint, n bigint"
@@ -47,6 +47,7 @@ def _count(n_batches: int, spread: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_RUN_DDL)
+        remembers("line_dedup", lambda: None)
         counts: Counter[tuple[int, bytes]] = Counter()
 
         def flush():
@@ -54,7 +55,7 @@ def _count(n_batches: int, spread: int):
             yield from in_batches(rows, schema, 20_000)
             counts.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             parts, keys = _lines(batch.column("text"))
             ends = parts.offsets.to_pylist()
             ids = batch.column("doc_id").to_pylist()
@@ -146,7 +147,7 @@ def drop_saved_parts(df: DataFrame) -> None:
 def _occurrences(salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("doc_id bigint, h1 bigint, h2 bigint, salt int")
-        for batch in batches:
+        for batch in sliced(batches):
             parts, keys = _lines(batch.column("text"))
             ends = parts.offsets.to_pylist()
             rows = (
@@ -165,8 +166,9 @@ def _drop(held, ddl: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.strip().split(" ", 1)[0] for f in ddl.split(",")]
+        remembers("line_dedup", lambda: None)
         keys = held(None) if held else None
-        for batch in batches:
+        for batch in sliced(batches):
             parts, line_keys = _lines(batch.column("text"))
             lines, ends = parts.flatten().to_pylist(), parts.offsets.to_pylist()
             own = None if held else batch.column("_hits").to_pylist()

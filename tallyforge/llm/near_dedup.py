@@ -15,9 +15,9 @@ confirmed as well, so no candidate between different components stays unchecked.
 component can change nothing and are skipped.
 
 Defined results: texts without words (null and empty ones too) have no shingles and stand alone; a
-one-word text is one shingle; rows that repeat a doc_id are one document with the links of any of
-its texts; a null doc_id stands alone; an empty table gives an empty result. Only doc_id and text are
-read.
+one-word text is one shingle; each row takes the component of its own text, also where rows repeat a
+doc_id; a null doc_id represents nothing: such a row is kept if no other document has its set; an
+empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches, saved
+from tallyforge.llm.common import arrow_schema, in_batches, remembers, saved, sliced
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hash a worker remembers.
-_WORDS = 1_000_000
+_WORDS = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,8 +84,8 @@ def sketch(elements: np.ndarray, t: int = 512) -> np.ndarray:
         if not (out == full).any():
             return out
     for b in np.flatnonzero(out == full):  # the rounds that visit each bin in turn
-        h = _mix(elements + _mix(np.uint64(t + int(b)) * _A + _A))
-        out[b] = (h & low).min() | (np.uint64(t + int(b)) << np.uint64(48))
+        h = _mix(elements + _mix(np.array([t + int(b)], np.uint64) * _A + _A))
+        out[b] = (h & low).min() | (np.uint64((t + int(b)) << 48))
     return out
 
 
@@ -105,6 +105,7 @@ _SIGN_DDL = "doc_id bigint, fp string, n_shingles bigint, bands array<bigint>, s
 def _sign(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_SIGN_DDL)
+        remembers("near_dedup", _hashes.clear)
         tags = _mix(np.arange(bands, dtype=np.uint64) * _A + _B)
 
         def sign(doc, text):
@@ -117,8 +118,8 @@ def _sign(width: int, bands: int, rows: int):
                 keys = _mix(keys * _A + column)
             return doc, hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), len(found), keys.view(np.int64), (s & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
-        for batch in batches:
-            yield from in_batches((sign(*x) for x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)), schema, 500)
+        for part in sliced(batches):
+            yield from in_batches((sign(*x) for x in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)), schema, 500)
 
     return run
 
@@ -128,9 +129,10 @@ def _confirm(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            remembers("near_dedup", _hashes.clear)
             at, bases = None, []
-            for batch in batches:
-                for hub, salt, member, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "text")), strict=True):
+            for part in sliced(batches):
+                for hub, salt, member, text in zip(*(part.column(c).to_pylist() for c in ("a", "salt", "b", "text")), strict=True):
                     found = shingles(text, width)
                     if (hub, salt) != at:
                         at, bases = (hub, salt), []
@@ -249,4 +251,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     named = saved(named, "named")
     joined = signed.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

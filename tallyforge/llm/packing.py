@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches, saved
+from tallyforge.llm.common import arrow_schema, in_batches, remembers, saved
 
 PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, ids binary"
 #: Words that each of a worker's two generations of remembered words holds.
-_WORDS = 500_000
+_WORDS = 350_000
 
 
 class WordTokenizer:
@@ -188,6 +188,7 @@ class Packer:
 
 def _pack_documents(path: str, end: int, size: int, open_windows: int, tolerance: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("packing", tokenizer.cache_clear)
         packer = Packer(size, open_windows, tolerance, TaskContext.get().partitionId() << 36, keep_ids)
         close = np.array([end], "<u4").tobytes()
 
@@ -229,6 +230,8 @@ def _pack_left_over(merge: int, level: int, last: bool, size: int, open_windows:
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = 4096, end: int = 2, open_windows: int = 16, tolerance: int = 16, merge: int = 64, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if kept."""
+    if size < 1 or open_windows < 1 or merge < 2:
+        raise ValueError("size and open_windows are at least 1, merge at least 2")
     parts = docs.select("doc_id", "text")
     tasks = parts.rdd.getNumPartitions()
     state = saved(parts.mapInArrow(_pack_documents(path, end, size, open_windows, tolerance, keep_ids), PIECE_DDL), "pieces")

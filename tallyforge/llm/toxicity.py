@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches
+from tallyforge.llm.common import arrow_schema, in_batches, remembers, sliced
 
 _WORD = re.compile(r"\w+")
 #: Words whose value a worker remembers; the memory starts anew beyond it.
-_WORDS = 400_000
+_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -136,8 +136,9 @@ def _features(value: float) -> tuple[float, float]:
 
 def _count_grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("toxicity", lambda: None)
         words: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in sliced(batches):
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words[label].update(words_of(text))
         schema = arrow_schema("label int, gram string, n bigint")
@@ -225,9 +226,10 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, carry: tup
     ddl = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", held_out boolean, score double, predicted int, value double, n_words bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("toxicity", lambda: None)
         pair, beta = held.value.pair, held.value.beta
         values = _Values(pair) if pair else None
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("doc_id").to_pylist()
             found = [values.text(t) if values is not None else (0.0, 0) for t in batch.column("text").to_pylist()]
             x = np.array([_features(v) for v, _ in found]).reshape(-1, 2)[:, : len(beta)]

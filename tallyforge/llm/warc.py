@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches
+from tallyforge.llm.common import arrow_schema, in_batches, sliced
 from tallyforge.llm.html_extract import tokens
 
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -91,7 +91,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows per response, with the records as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "http", "payload")), strict=True)
             yield from in_batches((x for row in rows for x in derive(*row)), arrow_schema(RECORD_DDL), 500)
 
