@@ -8,11 +8,11 @@ concentration of independent samples, at a cost of |set| + t log t. Sketches are
 `rows`; documents that agree on a band are candidates, and candidates are confirmed on full sets.
 
 How groups are handled without pairing all their members: equal sets are one class with one
-representative. In a bucket each member is first compared with the bucket's smallest member; links
-make components. A bucket whose members then lie in several components is searched further: its
-members of other components meet each other in blocks, pruned by sketch estimate, and those pairs are
-confirmed as well, so no candidate between different components stays unchecked. Pairs inside one
-component can change nothing and are skipped.
+representative. In a bucket each member is compared with the bucket's smallest member; links make
+components. Documents that buckets hold together, linked or not, are a candidate group; in a group of
+several components, the members outside the largest one meet all others in blocks. There, pairs of
+different components whose sketches are alike are confirmed on full sets at once and only links come
+out. Pairs inside one component can change nothing and are skipped; no other candidate is.
 
 Defined results: texts without words (null and empty ones too) have no shingles and stand alone; a
 one-word text is one shingle; each row takes the component of its own text, also where rows repeat a
@@ -146,11 +146,31 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int, salts: int) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """docs whose doc_id is among ids, roughly: up to `most` ids (8 bytes each) are sent to the tasks so
+    that other texts don't move; beyond it all pass and the join that follows does the work."""
+    if ids.count() > most:
+        return docs
+    wanted = np.sort(ids.toArrow().column(0).to_numpy())
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = held.value
+        for batch in batches:
+            column = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+            at = np.minimum(np.searchsorted(wanted, column), max(0, len(wanted) - 1))
+            mask = (wanted[at] == column) if len(wanted) else np.zeros(len(column), bool)
+            if mask.any():
+                yield batch.filter(pa.array(mask))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int, salts: int, most_ids: int) -> DataFrame:
     """The pairs (a, b) that full sets confirm. A hub's members are dealt over salts, its text with them."""
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
     needed = salted.unionByName(salted.select("a", F.col("a").alias("b"), "salt").distinct())
-    texts = docs.select(F.col("doc_id").alias("b"), "text")
+    texts = _texts(docs, needed.select("b").distinct(), most_ids).select(F.col("doc_id").alias("b"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = needed.join(texts, "b").repartition(parts, "a", "salt")
     dealt = dealt.sortWithinPartitions("a", "salt", F.col("a") != F.col("b"), "b")
@@ -179,73 +199,94 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _cross(block_rows: int, least: float):
-    """Blocks of mixed buckets, two by two: pairs of different components whose sketches are alike."""
+def _cross(width: int, percent: int, least: float):
+    """Rows of (group, i, j): members of block i outside the main component against those of block j.
+
+    Links of different components; components that a link has joined count as one from then on.
+    """
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        joined: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+
+        def found(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(rows[k][3], width)
+            return sets[k]
+
+        ours = [k for k, r in enumerate(rows) if r[0]]
+        theirs = np.array([k for k, r in enumerate(rows) if not r[0]])
+        if not ours or not len(theirs):
+            return
+        signs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        for k in ours:
+            like = (signs[theirs] == signs[k]).mean(axis=1)
+            for other in theirs[np.argsort(-like)[: np.count_nonzero(like >= least)]].tolist():
+                a, b = top(rows[k][2]), top(rows[other][2])
+                if a != b and _similar(found(k), found(other), percent):
+                    joined[max(a, b)] = min(a, b)
+                    yield min(rows[k][1], rows[other][1]), max(rows[k][1], rows[other][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows):
-            docs = np.array([r[0] for r in rows])
-            comps = np.array([r[1] for r in rows])
-            side = np.array([r[2] for r in rows])
-            signs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-            for i in range(len(rows)):
-                wanted = comps != comps[i]
-                wanted &= (side > side[i]) if side.max() > side.min() else (np.arange(len(rows)) > i)
-                rest = np.flatnonzero(wanted)
-                for k in rest[(signs[rest] == signs[i]).mean(axis=1) >= least] if len(rest) else ():
-                    yield int(min(docs[i], docs[k])), int(max(docs[i], docs[k]))
+        remembers("near_dedup", _hashes.clear)
 
         def rows():
-            at, held, seen = None, [], set()
-            for batch in batches:
-                names = ("key", "i", "j", "doc_id", "comp", "block", "small")
-                for key, i, j, doc, comp, block, small in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                    if (key, i, j) != at:
-                        yield from (p for p in pairs(held) if p not in seen and (len(seen) > 1_000_000 or seen.add(p) is None)) if held else ()
-                        at, held = (key, i, j), []
-                    held.append((doc, comp, block, small))
-            if held:
-                yield from (p for p in pairs(held) if p not in seen)
+            at, held = None, []
+            for part in sliced(batches):
+                names = ("group", "i", "j", "ours", "doc_id", "comp", "text", "small")
+                for group, i, j, *row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                    if (group, i, j) != at:
+                        yield from links(held)
+                        at, held = (group, i, j), []
+                    held.append(tuple(row))
+            yield from links(held)
 
         yield from in_batches(rows(), arrow_schema("a bigint, b bigint"), 10_000)
 
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, block_rows: int = 512, salts: int = 256) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, block_rows: int = 256, salts: int = 256, most_ids: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = saved(docs.mapInArrow(_sign(width, bands, rows), _SIGN_DDL), "signed")
     classes = saved(signed.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    ids = classes.select(F.col("rep").alias("doc_id"))
     reps = signed.join(classes, "fp").filter("doc_id = rep").dropDuplicates(["doc_id", "fp"])
     entries = reps.select("doc_id", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).filter("hub < most").select("key", "hub")
-    members = saved(entries.join(hubs, "key"), "members")
-    stars = saved(members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = saved(_links(docs, stars, width, percent, salts), "links")
+    members = entries.join(hubs, "key").filter("doc_id <> hub")
+    stars = saved(members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    links = saved(_links(docs, stars, width, percent, salts, most_ids), "links")
     found = components(links)
 
-    # Buckets whose members lie in different components.
-    placed = members.join(found, members["doc_id"] == found["node"], "left").select("key", "doc_id", "hub", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high and n > 2").select("key", "n")
-    open_rows = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    open_rows = saved(open_rows.select("key", "doc_id", "comp", "blocks", "block"), "open")
+    # Candidate groups in which the members lie in different components.
+    groups = components(stars)
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    linked = found.select("node", F.col("component").alias("linked"))
+    placed = groups.join(linked, "node", "left").select(F.col("component").alias("group"), F.col("node").alias("doc_id"), F.coalesce("linked", "node").alias("comp"))
+    sizes = placed.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
+    sizes = sizes.filter("comps > 1 and n > 2").select("group", "main", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    open_rows = placed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    open_rows = saved(open_rows.select("group", "doc_id", "comp", "blocks", "block", (F.col("comp") != F.col("main")).alias("minor")), "open")
     if not open_rows.isEmpty():
-        small = signed.join(ids, "doc_id", "left_semi").select("doc_id", "small")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = (
-            open_rows.select("*", other)
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "comp", "block")
-            .join(small, "doc_id").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "doc_id")
-        )
-        more = dealt.mapInArrow(_cross(block_rows, 0.7), "a bigint, b bigint").distinct()
-        fresh = saved(more.join(stars, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            links = links.unionByName(_links(docs, fresh, width, percent, salts))
-            found = components(links)
+        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        sought = open_rows.filter("minor").select("group", "block").distinct().withColumnRenamed("block", "i")
+        ours = open_rows.filter("minor").select("group", F.col("block").alias("i"), each.alias("j"), F.lit(True).alias("ours"), "doc_id", "comp")
+        theirs = open_rows.join(sought, "group").select("group", "i", F.col("block").alias("j"), F.lit(False).alias("ours"), "doc_id", "comp")
+        ids = open_rows.select("doc_id").distinct()
+        texts = _texts(docs, ids, most_ids).join(_texts(signed.select("doc_id", "n_shingles", "small"), ids, most_ids).filter("n_shingles > 0"), "doc_id").select("doc_id", "text", "small")
+        dealt = ours.unionByName(theirs).join(texts, "doc_id").repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+        names = ("group", "i", "j", "ours", "doc_id", "comp", "text", "small")
+        more = saved(dealt.select(*names).mapInArrow(_cross(width, percent, 0.7), "a bigint, b bigint"), "more")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     named = saved(named, "named")
