@@ -1,0 +1,139 @@
+"""Text normalization as columns; only Unicode NFKC needs an Arrow UDF."""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Callable, Mapping
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Spellings of known brands, and Cyrillic letters that look like Latin ones.
+BRAND_ALIASES = {"stalex": "stalex", "сталекс": "stalex", "jet tools": "jet", "jet": "jet", "proma": "proma", "proma cz": "proma"}
+LOOK_ALIKES = ("авсенкмортху", "abcehkmoptxy")
+#: The dashes that count as a hyphen.
+DASHES = "‐‑‒–—―−"
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility composition; null stays null."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value named once, so that expressions that use it often stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def squeeze(text: Column) -> Column:
+    """White space runs to one space, trimmed."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def fold(text: Column) -> Column:
+    """Lower case, one kind of hyphen, yo as ye, single spaces; null is empty. For text in NFKC already."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё" + DASHES, "е" + "-" * len(DASHES))
+    return squeeze(plain)
+
+
+def normalize_text(text: Column, unicode: bool = True) -> Column:
+    """fold() after NFKC; unicode=False for columns known to be ASCII keeps the plan inside the JVM."""
+    return fold(nfkc(text) if unicode else text)
+
+
+def normalize_brand(text: Column, aliases: Mapping[str, str] | None = None, unicode: bool = True) -> Column:
+    """The normalized text, or what it is an alias of."""
+    merged = {**BRAND_ALIASES, **(aliases or {})}
+    known = F.create_map(*[F.lit(x) for pair in sorted(merged.items()) for x in pair])
+    plain = normalize_text(text, unicode)
+    return F.coalesce(F.try_element_at(known, plain), plain)
+
+
+def compact(text: Column) -> Column:
+    """Look-alike letters as Latin, and only letters and digits of what is folded."""
+    latin = F.translate(text, "×" + LOOK_ALIKES[0], "x" + LOOK_ALIKES[1])
+    return F.regexp_replace(latin, "[^a-zа-я0-9]", "")
+
+
+def normalize_model(model: Column, brand: Column | None = None, unicode: bool = True) -> Column:
+    """A struct: the compact model without a leading brand, and flags on its quality."""
+    folded = normalize_text(model, unicode)
+    start = compact(normalize_text(brand, unicode)) if brand is not None else F.lit("")
+
+    def made(x: Column) -> Column:
+        rest = F.substring(x["whole"], F.length(x["start"]) + 1, F.length(x["whole"]))
+        led = (x["start"] != "") & x["whole"].startswith(x["start"]) & rest.rlike("[0-9]")
+        mixed = x["folded"].rlike("[a-z]") & x["folded"].rlike(f"[{LOOK_ALIKES[0]}]")
+        flags = F.array_compact(F.array(F.when(mixed, F.lit("CYRILLIC_LATIN_MODEL_VARIATION")), F.when(led, F.lit("MODEL_CONTAINS_BRAND_PREFIX"))))
+        return F.struct(F.when(led, rest).otherwise(x["whole"]).alias("model"), flags.alias("flags"))
+
+    return let(F.struct(folded.alias("folded"), compact(folded).alias("whole"), start.alias("start")), made)
+
+
+def decimal_of(text: Column, kind: str = "decimal(38,9)") -> Column:
+    """A number with either decimal sign and any spaces; null if it isn't one."""
+    return F.regexp_replace(F.translate(text, ",  ", "."), r"\s", "").try_cast(kind)
+
+
+def name_tokens(name: Column, unicode: bool = True) -> Column:
+    """Letter and digit runs of a name, with the multiplication sign and its Cyrillic look-alike as x."""
+    return F.regexp_extract_all(F.translate(normalize_text(name, unicode), "×х", "xx"), F.lit("([a-zа-я0-9]+)"), F.lit(1))
+
+
+def normalized_name(name: Column, unicode: bool = True) -> Column:
+    return F.array_join(name_tokens(name, unicode), " ")
+
+
+def same_parts(left: Column, right: Column) -> Column:
+    """Whether two models consist of the same letter and digit runs, in whatever order."""
+    parts = [F.array_sort(F.regexp_extract_all(x, F.lit("([a-zа-я]+|[0-9]+)"), F.lit(1))) for x in (left, right)]
+    return parts[0] == parts[1]
+
+
+def short_suffix(left: Column, right: Column) -> Column:
+    """Whether one model is the other with one or two Latin letters more."""
+    shorter, longer = (F.when(F.length(left) <= F.length(right), a).otherwise(b) for a, b in ((left, right), (right, left)))
+    extra = F.substring(longer, F.length(shorter) + 1, F.length(longer))
+    return (F.length(shorter) > 0) & longer.startswith(shorter) & extra.rlike("^[a-z]{1,2}$")
+
+
+def plain_decimal(value: Column) -> Column:
+    """Decimal text without trailing zeros."""
+    text = value.cast("string")
+    return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
+
+
+def first_match(rules: list[tuple[Column, object]], default: object = None) -> Column:
+    """The value of the first condition that holds."""
+    return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules), F.lit(default))
+
+
+def unit_of_name(name: Column) -> Column:
+    """The unit after the last comma of a property name."""
+    found = F.trim(F.regexp_extract(name, r",\s*([^,]+)$", 1))
+    return F.nullif(found, F.lit(""))
+
+
+def price_of(text: Column) -> Column:
+    """The first amount of a price text, with two decimals; null if there is none above zero."""
+    spaced = F.translate(text, " ", " ")
+    whole = F.regexp_replace(F.regexp_extract(spaced, r"(\d[\d\s]*)(?:[,.](\d{1,2}))?", 1), r"\s", "")
+    cents = F.rpad(F.regexp_extract(spaced, r"(\d[\d\s]*)(?:[,.](\d{1,2}))?", 2), 2, "0")
+    amount = F.concat(whole, F.lit("."), cents).try_cast("decimal(18,2)")
+    return F.when(amount > 0, amount)
+
+
+def availability_of(text: Column) -> Column:
+    """A struct of state and stock of a Russian availability text; null state for unknown wording."""
+    low = F.lower(squeeze(F.coalesce(text, F.lit(""))))
+    stock = F.regexp_extract(low, r"в наличии\s*(\d+)", 1).try_cast("int")
+    # The wordings and the states they mean.
+    state = first_match([
+        (low.contains("под заказ"), F.lit("on_request")), (low.contains("снят с производства"), F.lit("discontinued")),
+        (low.contains("нет в наличии"), F.lit("out_of_stock")), (low.contains("в наличии"), F.lit("in_stock")),
+    ])
+    return F.struct(state.alias("state"), F.when(state == "in_stock", stock).alias("stock"))
