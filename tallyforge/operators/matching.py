@@ -17,6 +17,7 @@ from tallyforge.functions.models import model_evidence, model_tokens, similarity
 from tallyforge.functions.taxonomy import canonical_properties, model_role, product_kind, profile_of
 from tallyforge.functions.text import compact, first_match, normalize_brand, normalize_model, normalized_name, normalize_text, same_parts, short_suffix
 from tallyforge.functions.units import POLICIES, PropertyPolicy, compare_property
+from tallyforge.session import checkpointed
 
 #: Thresholds of name similarity.
 RETRIEVE, CONFLICT, REVIEW, SEMANTIC = 0.60, 0.75, 0.72, 0.45
@@ -195,10 +196,20 @@ def decide(assessed: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("source_key", *[column(k).alias(n) for k, n in enumerate(names, 1)], warnings.alias("warnings"))
 
 
+def resolve(sources: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions, and the prepared sources and registry.
+
+    Prepared tables and candidates are checkpointed: many joins read them, and normalizing titles is
+    the dearest step, so that it should happen once.
+    """
+    left, right = checkpointed(prepare(sources)), checkpointed(prepare(registry))
+    found = checkpointed(candidates(left, right))
+    return decide(assess(pairs(left, right, found)), left), left, right
+
+
 def match(sources: DataFrame, registry: DataFrame) -> DataFrame:
     """The whole cascade: prepare, find candidates, assess the pairs, decide."""
-    left, right = prepare(sources), prepare(registry)
-    return decide(assess(pairs(left, right, candidates(left, right))), left)
+    return resolve(sources, registry)[0]
 
 
 def revalidate(links: DataFrame) -> DataFrame:

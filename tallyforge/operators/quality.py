@@ -94,12 +94,13 @@ def missing_evidence(error_status: Column, discovered: Column) -> Column:
     )
 
 
-def apply_rules(products: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_rules(products: DataFrame, rules: DataFrame, most_global: int = 10_000) -> DataFrame:
     """Products with what the active rules make of them.
 
     Rules: rule_id, supplier_id (null for all), scope (supplier, product, category, property),
     entity_key, rule_type, value. Every scope is an equi-join or a check of the supplier; of several
-    overrides the one with the greatest rule_id wins.
+    overrides the one with the greatest rule_id wins. Rules for all products are
+    broadcast if there are at most most_global of them.
     """
     columns = ("product_id", "supplier_id", "category")
     keyed = rules.select("rule_id", F.col("supplier_id").alias("_supplier"), "scope", "entity_key", "rule_type", "value")
@@ -110,14 +111,16 @@ def apply_rules(products: DataFrame, rules: DataFrame) -> DataFrame:
         p.join(keyed.filter("scope = 'product'"), F.col("product_id").cast("string") == F.col("entity_key")),
         p.join(keyed.filter("scope = 'category'"), F.col("category") == F.col("entity_key")),
         p.join(whole.filter("_supplier is not null"), F.col("supplier_id") == F.col("_supplier")),
-        p.join(F.broadcast(whole.filter("_supplier is null").groupBy().agg(F.collect_list(F.struct("rule_id", "rule_type", "entity_key", "value")).alias("_all"))), F.lit(True)),
     ]
     entry = F.struct("rule_id", "rule_type", "entity_key", "value")
+    general = whole.filter("_supplier is null").select(entry.alias("r"))
+    few = general.count() <= most_global
+    everywhere = p.crossJoin(F.broadcast(general) if few else general).select("product_id", "r")
     found = None
-    for part in parts[:3]:
+    for part in parts:
         part = part.filter(mine).select("product_id", entry.alias("r"))
         found = part if found is None else found.unionByName(part)
-    found = found.unionByName(parts[3].select("product_id", F.explode("_all").alias("r")))
+    found = found.unionByName(everywhere)
     kind, value = F.col("r.rule_type"), F.col("r.value")
 
     def last(rule: str) -> Column:

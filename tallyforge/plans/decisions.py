@@ -199,8 +199,7 @@ def match_status(s: SparkSession, d: str) -> DataFrame:
 
 
 def identity_decision(s: SparkSession, d: str) -> DataFrame:
-    sources, registry = M.prepare(_products(s, d, True)), M.prepare(_products(s, d, False))
-    matches = M.decide(M.assess(M.pairs(sources, registry, M.candidates(sources, registry))), sources)
+    matches, sources, registry = M.resolve(_products(s, d, True), _products(s, d, False))
     return I.classify(matches, sources, registry).select("source_key", "decision", "product_kind", "model_role", "own_model", "candidate_ids", "auto_accepted")
 
 

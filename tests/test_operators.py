@@ -60,9 +60,9 @@ def test_match_suffix_is_reviewed(spark):
 
 
 def test_identity_classes(spark):
-    sources = matching.prepare(spark.createDataFrame([product(1, "Токарный станок TU-2304", model="TU2304"), product(2, "Губки для тисков PP-800F"), product(3, "Нечто"), product(4, "Тиски QM-16")], PRODUCT))
-    registry = matching.prepare(spark.createDataFrame([product(9, "Токарный станок TU-2304 Stalex", model="TU2304")], PRODUCT))
-    matches = matching.decide(matching.assess(matching.pairs(sources, registry, matching.candidates(sources, registry))), sources)
+    sources = spark.createDataFrame([product(1, "Токарный станок TU-2304", model="TU2304"), product(2, "Губки для тисков PP-800F"), product(3, "Нечто"), product(4, "Тиски QM-16")], PRODUCT)
+    registry = spark.createDataFrame([product(9, "Токарный станок TU-2304 Stalex", model="TU2304")], PRODUCT)
+    matches, sources, registry = matching.resolve(sources, registry)
     got = {r.source_key: r.decision for r in identity.classify(matches, sources, registry).collect()}
     assert got == {1: "HIGH_CONFIDENCE_EXISTING", 2: "ACCESSORY_OR_COMPATIBILITY_ITEM", 3: "INSUFFICIENT_IDENTITY", 4: "SAFE_NEW_PRODUCT_CANDIDATE"}
 
