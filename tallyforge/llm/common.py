@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -77,10 +80,17 @@ def remembers(owner: str, forget: Callable[[], None]) -> None:
     """Say that this worker now remembers things for `owner`; what it remembered for others is forgotten.
 
     Python workers outlive stages, so that without this the memories of all operators would add up.
+    Freed memory is given back to the system where the platform can.
     """
-    for other in [k for k in _memories if k != owner]:
+    others = [k for k in _memories if k != owner]
+    for other in others:
         _memories.pop(other)()
     _memories[owner] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -72,8 +72,8 @@ def matchers(items: list[tuple[int, str | None]], size: int = 10) -> list[WuManb
     return [WuManber(windows) for _, windows in sorted(by_length.items())]
 
 
-def _scan(held, size: int):
-    """Add each document's hit words (a bitmap) and items to those of earlier passes."""
+def _scan(held, size: int, report: list[str] | None = None):
+    """Add each document's hit words (a bitmap) and items to those of earlier passes; at last, report them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembers("decontaminate", lambda: None)
@@ -90,28 +90,25 @@ def _scan(held, size: int):
                         items |= got
                 maps.append(bytes(hit))
                 found.append(sorted(items))
-            names = batch.schema.names
-            made = {"_map": pa.array(maps, pa.binary()), "_items": pa.array(found, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in names], names=names)
+            if report:
+                names, made = report, _reported(maps, found)
+            else:
+                names = batch.schema.names
+                made = {"_map": pa.array(maps, pa.binary()), "_items": pa.array(found, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
 
     return run
 
 
-def _report(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps, items = batch.column("_map").to_pylist(), batch.column("_items").to_pylist()
-            made = {
-                "n_words": pa.array([len(x) for x in maps], pa.int64()),
-                "n_hit": pa.array([x.count(1) for x in maps], pa.int64()),
-                "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]),
-                "contaminated": pa.array([1 in x for x in maps], pa.bool_()),
-                "items": pa.array(items, pa.list_(pa.int64())),
-            }
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
-
-    return run
+def _reported(maps: list[bytes], items: list[list[int]]) -> dict[str, pa.Array]:
+    return {
+        "n_words": pa.array([len(x) for x in maps], pa.int64()),
+        "n_hit": pa.array([x.count(1) for x in maps], pa.int64()),
+        "n_items": pa.array([len(x) for x in items], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()),
+        "contaminated": pa.array([1 in x for x in maps], pa.bool_()),
+        "items": pa.array(items, pa.list_(pa.int64())),
+    }
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, carry: tuple[str, ...] = (), block_chars: int = 20_000_000) -> DataFrame:
@@ -127,14 +124,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
         "doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")],
         F.lit(None).cast("binary").alias("_map"), F.array().cast("array<bigint>").alias("_items"),
     )
-    for k in range(blocks):
-        part = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
-        state = state.mapInArrow(_scan(held, size), state.schema)
-        if k + 1 < blocks:
-            state = saved(state, "decontaminate")
     ddl = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<bigint>"
     keep = ["doc_id", *[c for c in carry if c != "doc_id"]]
     kinds = dict(state.dtypes)
     out = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", " + ddl
-    return state.mapInArrow(_report(keep + [f.strip().split(" ")[0] for f in ddl.split(",")]), out)
+    names = keep + [f.strip().split(" ")[0] for f in ddl.split(",")]
+    for k in range(blocks):
+        part = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
+        if k + 1 == blocks:
+            return state.mapInArrow(_scan(held, size, names), out)
+        state = saved(state.mapInArrow(_scan(held, size), state.schema), "decontaminate")
+    raise AssertionError("there is always a block")

@@ -51,6 +51,7 @@ _MARK_WORDS = {
     "form": "form search login signup share sharing social",
     "comments": "comment comments respond reply replies disqus discussion reader-comments",
 }
+_NEGATIONS = ("has", "no", "with", "without")
 _MARK_OF = {word: mark for mark, words in _MARK_WORDS.items() for word in words.split()}
 
 
@@ -62,12 +63,31 @@ def _mark(tag: str, attrs: str) -> str | None:
         return _MARKS[tag]
     for found in _ATTR.findall(attrs):
         for name in "".join(found).lower().split():
-            for word in (name, *re.split(r"[-_]+", name)):
+            words = re.split(r"[-_]+", name)
+            for word in (name, *(() if words[0] in _NEGATIONS else words)):
                 if word in _MARK_OF:
                     return _MARK_OF[word]
     return None
 
 
+def _boilerplate(stack: list[tuple[str, str | None]]) -> tuple[str | None, bool]:
+    """The nearest mark around a position, and whether it lies in an article.
+
+    What an article or main element stands in counts by its tag only: wrappers often have names like
+    page-sidebar. A header inside an article holds its heading.
+    """
+    inside = False
+    for tag, mark in reversed(stack):
+        if mark and not (mark == "header" and _later_article(stack)) and (not inside or tag in _MARKS):
+            return mark, inside
+        inside = inside or tag in ("article", "main")
+    return None, inside
+
+
+def _later_article(stack: list[tuple[str, str | None]]) -> bool:
+    return any(tag in ("article", "main") for tag, _ in stack)
+
+
 def tokens(page: str) -> Iterator[tuple[int, str, str, bool]]:
     """(offset, feature, text, is_block) of each word run and tag; text is empty for tags."""
     stack: list[tuple[str, str | None]] = []
@@ -77,8 +97,7 @@ def tokens(page: str) -> Iterator[tuple[int, str, str, bool]]:
             if not text.strip():
                 yield m.start(), "", text, False
                 continue
-            inside = any(tag in ("article", "main") for tag, _ in stack)
-            mark = next((k for _, k in reversed(stack) if k and not (k == "header" and inside)), None)
+            mark, inside = _boilerplate(stack)
             block = next((tag for tag, _ in reversed(stack) if tag in _BLOCK), "body")
             if mark is None:
                 linked = any(tag == "a" for tag, _ in stack) and block not in _TEXT

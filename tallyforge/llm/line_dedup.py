@@ -28,7 +28,7 @@ from tallyforge.llm.common import arrow_schema, drop_saved, in_batches, remember
 _BLANK = " \t\n\v\f\r"
 _RUN_DDL = "batch int, h1 bigint, h2 bigint, n bigint"
 #: Distinct keys that one task counts before it passes its partial counts on.
-_FLUSH = 400_000
+_FLUSH = 150_000
 
 
 def _lines(text: pa.Array) -> tuple[pa.ListArray, list[str]]:

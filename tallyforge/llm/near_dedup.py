@@ -35,7 +35,7 @@ from tallyforge.llm.common import arrow_schema, in_batches, remembers, saved, sl
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hash a worker remembers.
-_WORDS = 250_000
+_WORDS = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from tallyforge.llm.common import arrow_schema, in_batches, remembers, saved
 
 PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, ids binary"
 #: Words that each of a worker's two generations of remembered words holds.
-_WORDS = 350_000
+_WORDS = 300_000
 
 
 class WordTokenizer:
@@ -127,7 +127,9 @@ class WordTokenizer:
                     young[base] = known
                 else:
                     learn.add(base)
-        self._learn(list(learn))
+        fresh = list(learn)
+        for k in range(0, len(fresh), 4000):
+            self._learn(fresh[k : k + 4000])
         for word, base, mark in forms:
             young[word] = young[base] + self._marks[mark] if mark else young[base]
         return [b"".join(map(young.__getitem__, words)) for words in split]

@@ -62,7 +62,7 @@ class KneserNeyPair:
                     base, h = self._shared(gram[1:]), gram[:-1]
                     logs = [math.log(max(n.get(gram, 0) - d, 0) / total[h] + math.exp(low[h]) * base if h in low else base) for n, (d, total, low) in zip(counts, classes, strict=True)]
                     self.ratio[gram] = logs[1] - logs[0]
-        del self._low, self._context, self._memo
+        del self._low, self._total, self._kinds, self._memo
 
     @staticmethod
     def _class(counts: dict[str, int]) -> tuple[float, Counter, dict[str, float]]:
@@ -87,19 +87,20 @@ class KneserNeyPair:
                     shorter[gram[1:]] += 1
             self._low.update(shorter)
             level = {g for g in shorter if len(g) > 1}
-        self._context: dict[str, list[int]] = {}
+        self._total: Counter[str] = Counter()
+        self._kinds: Counter[str] = Counter()
         for gram, n in self._low.items():
-            entry = self._context.setdefault(gram[:-1], [0, 0])
-            entry[0] += n
-            entry[1] += 1
+            self._total[gram[:-1]] += n
+            self._kinds[gram[:-1]] += 1
         self._memo: dict[str, float] = {}
 
     def _shared(self, gram: str, d: float = 0.75) -> float:
         if (found := self._memo.get(gram)) is None:
             below = self._shared(gram[1:]) if len(gram) > 1 else 1e-4
-            total, kinds = self._context.get(gram[:-1], (0, 0))
-            found = below if not total else (max(self._low.get(gram, 0) - d, 0) + d * kinds * below) / total
-            self._memo[gram] = found
+            total = self._total.get(gram[:-1], 0)
+            found = below if not total else (max(self._low.get(gram, 0) - d, 0) + d * self._kinds[gram[:-1]] * below) / total
+            if len(gram) < self.order - 1:  # longer ones are asked for once or twice
+                self._memo[gram] = found
         return found
 
     def word(self, word: str) -> float:
@@ -111,22 +112,80 @@ class KneserNeyPair:
         return value
 
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+
+
+def _tails(points: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
+    """At each position the hash of up to `longest` characters that end there, not reaching before start."""
+    at = np.arange(len(points))
+    out = np.zeros(len(points), np.uint64)
+    for j in range(longest):
+        ok = np.flatnonzero(at - start >= j)
+        out[ok] += points[ok - j] * np.uint64(pow(_B, j, 1 << 64))
+    out = (out + np.minimum(at - start + 1, longest).astype(np.uint64)) * _A
+    return (out ^ (out >> np.uint64(32))) * _A
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+class Ratios:
+    """A pair's tables as sorted 64-bit hashes and values: a few bytes an entry, looked up many at a time."""
+
+    def __init__(self, pair: KneserNeyPair):
+        self.order = pair.order
+        self.grams, self.ratio = self._sorted(pair.ratio)
+        self.histories, self.shift = self._sorted(pair.shift)
+
+    def _sorted(self, values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, keys = np.zeros(len(values), np.uint64), list(values)
+        for k in range(0, len(keys), 50_000):
+            part = keys[k : k + 50_000]
+            ends = np.cumsum([len(x) for x in part])
+            sizes = np.diff(ends, prepend=0)
+            hashes[k : k + len(part)] = _tails(_points("".join(part)), np.repeat(ends - sizes, sizes), self.order)[ends - 1]
+        order = np.argsort(hashes)
+        return hashes[order], np.fromiter(values.values(), np.float32, len(values))[order]
+
+    @staticmethod
+    def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.float32)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return keys[at] == wanted, values[at]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log-likelihood ratio of each word; the same as KneserNeyPair.word()."""
+        if not words:
+            return np.zeros(0)
+        points = _points("".join(f"^{w}$" for w in words))
+        begins = np.flatnonzero(points == ord("^"))
+        start = np.repeat(begins, np.diff(begins, append=len(points)))
+        known, ratio = self._found(self.grams, self.ratio, _tails(points, start, self.order))
+        seen, shift = self._found(self.histories, self.shift, np.roll(_tails(points, start, self.order - 1), 1))
+        value = np.where(known, ratio, np.where(seen, shift, 0)).astype(float)
+        value[begins] = 0
+        return np.add.reduceat(value, begins)
+
+
 class _Values(dict):
     """Remembered excess of words."""
 
-    def __init__(self, model: KneserNeyPair, margin: float = 4.0):
+    def __init__(self, ratios: Ratios, margin: float = 4.0):
         super().__init__()
-        self.model, self.margin = model, margin
+        self.ratios, self.margin = ratios, margin
 
-    def __missing__(self, word: str) -> float:
-        self[word] = value = max(0.0, self.model.word(word) - self.margin)
-        return value
-
-    def text(self, text: str | None) -> tuple[float, int]:
+    def texts(self, texts: list[str | None]) -> list[tuple[float, int]]:
+        """Length-normalised excess and words of each text."""
         if len(self) > _WORDS:
             self.clear()
-        words = words_of(text)
-        return (sum(map(self.__getitem__, words)) / len(words) if words else 0.0), len(words)
+        split = [words_of(t) for t in texts]
+        new = list(set().union(*split).difference(self)) if split else []
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            self.update(zip(part, np.maximum(0, self.ratios.words(part) - self.margin).tolist(), strict=True))
+        return [(sum(map(self.__getitem__, words)) / len(words) if words else 0.0, len(words)) for words in split]
 
 
 def _features(value: float) -> tuple[float, float]:
@@ -155,9 +214,9 @@ def _count_grams(order: int):
 def _measure(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, schema = _Values(held.value), arrow_schema("label int, value double, n int")
-        for batch in batches:
-            pairs = zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            yield from in_batches(((y, *values.text(t)) for y, t in pairs), schema)
+        for batch in sliced(batches):
+            found = values.texts(batch.column("text").to_pylist())
+            yield from in_batches(((y, *x) for y, x in zip(batch.column("toxic").to_pylist(), found, strict=True)), schema)
 
     return run
 
@@ -176,13 +235,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
 
 
 class ToxicityModel:
-    """What fit() learns: the pair of language models and the calibration."""
+    """What fit() learns: the ratios of the language models and the calibration."""
 
-    def __init__(self, pair: KneserNeyPair | None, beta: np.ndarray):
-        self.pair, self.beta = pair, beta
+    def __init__(self, ratios: Ratios | None, beta: np.ndarray):
+        self.ratios, self.beta = ratios, beta
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 2200, max_grams: int = 800_000) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 2000, max_grams: int = 700_000) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; remainder 1 calibrates."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).filter("fold <> 0 and toxic in (0, 1)")
@@ -205,7 +264,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8,
     for batch in counted.toArrow().to_batches():
         for label, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[label][gram] = n
-    pair = KneserNeyPair(counts, order)
+    pair = Ratios(KneserNeyPair(counts, order))
+    del counts
     held = spark.sparkContext.broadcast(pair)
     measured = texts.filter("fold = 1").select("toxic", "text").mapInArrow(_measure(held), "label int, value double, n int").toArrow().to_pydict()
     y = np.array(measured["label"], float)
@@ -227,11 +287,12 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, carry: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembers("toxicity", lambda: None)
-        pair, beta = held.value.pair, held.value.beta
-        values = _Values(pair) if pair else None
+        ratios, beta = held.value.ratios, held.value.beta
+        values = _Values(ratios) if ratios else None
         for batch in sliced(batches):
             ids = batch.column("doc_id").to_pylist()
-            found = [values.text(t) if values is not None else (0.0, 0) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            found = values.texts(texts) if values is not None else [(0.0, 0)] * len(texts)
             x = np.array([_features(v) for v, _ in found]).reshape(-1, 2)[:, : len(beta)]
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -60, 60)))
             made = {

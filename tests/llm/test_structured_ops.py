@@ -89,6 +89,8 @@ ARTICLE = "<article><h1>Big &amp; small</h1><p>One  two<br>three.</p><div class=
 PAGES = {
     "semantic": f"<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>{ARTICLE}<aside><p>Related stories to read next week</p></aside><section id='comments'><p>I like this very much indeed</p></section><footer>&copy; us</footer></body></html>",
     "unclosed": f"<body><div class=menu><a href=/>Home</a></div>{ARTICLE.replace('</li></ul>', '')}<footer>foot",
+    "wrapped": f"<body><div class='page with-sidebar'><div id='sidebar-layout'><main>{ARTICLE}</main></div><div class='sidebar'><p>Other news of the day for you</p></div></div></body>",
+    "plain": "<body><div class='top-menu'><a href=/>a</a> <a href=/>b</a></div><div class='post'><h2>Big &amp; small</h2><p>One  two<br>three.</p><p>Four <b>five</b>&nbsp;six &#233;</p><div>seven words stand here now</div></div><div class='footer'>end</div></body>",
     "cookie": f"<body><div id='cookie-banner'><p>We use cookies to improve the site for you</p><button>OK</button></div>{ARTICLE}<form><label>Search</label><textarea>z</textarea></form></body>",
 }
 
