@@ -241,7 +241,7 @@ class ToxicityModel:
         self.ratios, self.beta = ratios, beta
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 2000, max_grams: int = 700_000) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 1600, max_grams: int = 500_000) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; remainder 1 calibrates."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).filter("fold <> 0 and toxic in (0, 1)")
