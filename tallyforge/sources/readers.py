@@ -71,7 +71,7 @@ def article_coverage(registry: DataFrame, prefix: str = "ARTIKUL_") -> DataFrame
 def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
     """Distinct locations of sitemap or index documents, in order of first appearance within a document."""
     found = F.expr(f"xpath({xml}, \"//*[local-name()='loc']/text()\")")
-    return maps.select(F.explode(F.array_distinct(F.transform(found, F.trim))).alias("url")).distinct()
+    return maps.select(F.explode(F.array_distinct(F.transform(found, lambda x: F.trim(x)))).alias("url")).distinct()
 
 
 def merge_discoveries(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def matched(spark, source, *registry):
 
 
 def test_match_by_article_despite_stale_model(spark):
-    source = product(297, "Тиски Partner PP-800F", "Partner", "PP-800F", supplier_article="508002", supplier_code="partner_st")
-    target = product(88585, "Тиски Partner PP-800F поворотные", "Partner", "PP-600F", identifiers={"partner_st": ["508002"]})
+    source = product(297, "Тиски Jet PP-800F", "Jet", "PP-800F", supplier_article="508002", supplier_code="sup_a")
+    target = product(88585, "Тиски Jet PP-800F поворотные", "Jet", "PP-600F", identifiers={"sup_a": ["508002"]})
     got = matched(spark, source, target)
     assert (got.status, got.method, got.candidate_key, got.auto_accepted) == ("CONFLICT", "SUPPLIER_ARTICLE_IDENTITY_CONFLICT", 88585, False) or (got.status, got.method) == ("EXACT_MATCH", "SUPPLIER_ARTICLE_EXACT")
     assert got.status == "EXACT_MATCH"

@@ -33,7 +33,7 @@ def test_brand_and_model(spark):
 @pytest.mark.parametrize(
     "title, model, models",
     [
-        ("Станок DH 35V", "dh35v", ["35v"]), ("Станок TU 2304 V", "tu2304v", ["tu2304v"]), ("Тиски PP-800F NEW", "pp800fnew", ["pp800fnew"]),
+        ("Станок DH 35V", "dh35v", ["35v"]), ("Станок TU 2304 V", "tu2304v", ["tu2304"]), ("Тиски PP-800F NEW", "pp800fnew", ["pp800fnew"]),
         ("Опора", "", []), (None, "", []), ("BF 20L и D240", "bf20l", ["20l", "d240"]),
     ],
 )
