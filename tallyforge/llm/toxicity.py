@@ -9,7 +9,7 @@ than `margin` nats (smaller differences are the noise of small counts) and divid
 logistic calibration on training documents that the counts leave out turns it into a score.
 
 Labels are learnt from at most `max_per_class` documents of each class (those with the smallest id
-hash); counting runs on the executors and the tables hold at most `max_grams` character sequences.
+hash); counting runs on the executors, and the tables hold every character sequence of those documents.
 
 Defined results: null, empty and wordless texts have value 0 and get the calibrated score of 0;
 repeated rows get equal scores; without training rows of both classes every score is the share of
@@ -241,7 +241,7 @@ class ToxicityModel:
         self.ratios, self.beta = ratios, beta
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 1600, max_grams: int = 500_000) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 1600) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; remainder 1 calibrates."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).filter("fold <> 0 and toxic in (0, 1)")
@@ -257,13 +257,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8,
     counted = (
         texts.filter("fold <> 1").select("toxic", "text")
         .mapInArrow(_count_grams(order), "label int, gram string, n bigint")
-        .groupBy("label", "gram").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "label", "gram").limit(max_grams)
+        .groupBy("gram").agg(*(F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"n{k}") for k in (0, 1)))
     )
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for batch in counted.toArrow().to_batches():
-        for label, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts[label][gram] = n
+    for batch in counted.toArrow().to_batches(max_chunksize=20_000):
+        for gram, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for found, n in zip(counts, both, strict=True):  # the classes share the strings
+                if n is not None:
+                    found[gram] = n
     pair = Ratios(KneserNeyPair(counts, order))
     del counts
     held = spark.sparkContext.broadcast(pair)

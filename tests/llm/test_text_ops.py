@@ -323,6 +323,17 @@ def test_toxicity_without_labels(spark):
     assert tx.score(spark, docs.filter("false"), tx.fit(spark, docs, labels)).count() == 0
 
 
+def test_toxicity_keeps_every_gram(spark):
+    rng = random.Random(9)
+    rare = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéя") for _ in range(9)) for _ in range(200_000)]
+    texts = {i: " ".join(rare[i * 25_000 : (i + 1) * 25_000]) for i in range(8)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    model = tx.fit(spark, docs, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int"))
+    learnt = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 > 1]
+    grams = {g for t in learnt for w in tx.words_of(t) for g in tx._grams(w, 8)}
+    assert len(model.ratios.grams) == len(grams)
+
+
 def test_kneser_ney_prefers_the_class_of_a_word():
     words = ["banana", "bandana", "cabana", "zvuq"]
     counts = tuple({g: n for g, n in Counter(g for w in part for g in tx._grams(w, 4)).items()} for part in (words[:3], words[3:]))
