@@ -3,8 +3,8 @@
 A page is a sequence of words and tags. Words score by where they stand (their block and the nearest
 menu, advert, form and the like around them), tags score negative; the weights are smoothed log-odds
 from labelled pages. One linear scan finds the contiguous run with the greatest sum: the content
-region. Words inside it that stand in boilerplate (their weight is not positive) are left out, the
-others are put together by blocks.
+region. Words inside it that stand in boilerplate (under a menu, advert and the like, unless labelled
+pages hold such words mostly in their content) are left out, the others are put together by blocks.
 
 Defined results: null, empty and wordless pages give an empty text; of equal sums the first and
 shortest run wins; unclosed and stray tags are tolerated; nothing is capped. Only page_id, url and
@@ -52,6 +52,7 @@ _MARK_WORDS = {
     "comments": "comment comments respond reply replies disqus discussion reader-comments",
 }
 _NEGATIONS = ("has", "no", "with", "without")
+_BOILERPLATE = frozenset(f"w:{mark}" for mark in (*_MARKS.values(), *_MARK_WORDS))
 _MARK_OF = {word: mark for mark, words in _MARK_WORDS.items() for word in words.split()}
 
 
@@ -166,7 +167,7 @@ def extract(page: str | None, weights: Weights) -> str:
         if is_block:
             blocks.append("".join(now))
             now = []
-        elif not feature or feature[0] == "t" or weights.word(feature) > 0:
+        elif not feature or feature[0] == "t" or feature not in _BOILERPLATE or weights.word(feature) > 0:
             now.append(text)
     blocks.append("".join(now))
     return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
@@ -209,9 +210,9 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[in
             elif kind < 0.8:
                 parts.append((f"<h2>{say(2, 6)}</h2>", True))
             elif kind < 0.86:
-                parts.append(("<ul>" + "".join(f"<li>{say(4, 14)}</li>" for _ in range(3)) + "</ul>", True))
+                parts.append(("<ul>" + "".join(f"<li>{say(4, 14)} <a href='/y'>{say(1, 4)}</a></li>" for _ in range(3)) + "</ul>", True))
             elif kind < 0.9:
-                parts.append((f"<blockquote>{say(6, 30)}</blockquote><table><tr><td>{say(2, 6)}</td></tr></table><div>{say(8, 30)}</div>", True))
+                parts.append((f"<blockquote>{say(6, 30)}</blockquote><table><tr><td>{say(2, 6)} <a href='/z'>{say(1, 3)}</a></td></tr></table><div>{say(8, 30)} <a href='/w'>{say(1, 4)}</a></div>", True))
             else:
                 parts.append((f"<div {attr(rng.choice(('ad', 'notice', 'form', 'side')))}>{say(3, 14)}</div>", False))
         parts.append((close, True))

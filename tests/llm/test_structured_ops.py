@@ -101,6 +101,15 @@ def test_html(name):
     assert hx.extract(PAGES[name], weights) == "Big & small\n\nOne two three.\n\nFour five six é\n\nseven words stand here now"
 
 
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div class='post'>", "</div>")])
+def test_html_keeps_linked_words(open_, close):
+    said = "many words of the story stand here so that it is long enough to be found"
+    body = f"<p>{said}</p><div>See <a href=/r>the report</a> for more</div><ul><li><a href=/s>A source</a> of it</li></ul><table><tr><td><a href=/t>Table</a> cell</td></tr></table><section><a href=/u>Appendix</a></section><p>{said}</p>"
+    page = f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav>{open_}{body}<div class=ad><a href=/b>Buy</a></div><p>{said}</p>{close}<footer><a href=/>us</a></footer></body>"
+    expected = [said, "See the report for more", "A source of it", "Table cell", "Appendix", said, said]
+    assert hx.extract(page, hx.Weights(hx.labelled_pages())) == "\n\n".join(expected)
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p></p>", "x"), (4, "u", "<article>" + "<p>word here and there</p>" * 20_000, "x"), (5, "u", "a < b and c > d", "x")], "page_id bigint, url string, html string, text string")
     got = {r.page_id: r for r in hx.extract_pages(spark, pages).collect()}
