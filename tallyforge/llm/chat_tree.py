@@ -4,9 +4,11 @@ Conversations that begin with the same turns share them: turns become nodes of a
 hash of all turns up to them, each node's text is emitted once, depth-first, and carries position ids
 (its depth in characters) and the intervals of its ancestors, which are what it may attend to.
 
-Trees have bounded size. Equal conversations are one leaf; the leaves below one first turn are dealt
-by their hash over shards of about `shard` conversations, so a first turn that many share is split
-(its shared turns are then emitted once per shard). Template: <|im_start|>role\\ntext<|im_end|>\\n.
+Trees have bounded size. Equal conversations are one leaf; a first turn with at most `shard` leaves is
+one tree. Beyond that a leaf belongs to the deepest of its prefixes that more than `shard` leaves share,
+and the leaves of one such prefix are dealt by the hash of the next turn's prefix over shards of about
+`shard` conversations: what lies below a shared turn stays together, and only the turns down to the
+large prefix are emitted once per shard. Template: <|im_start|>role\\ntext<|im_end|>\\n.
 Control strings inside roles and texts are escaped by a backslash after their first character (one
 more if there are some already), which unescape() takes back.
 
@@ -58,7 +60,7 @@ def _chain(parent: bytes, role: str, text: str) -> bytes:
     return hashlib.blake2b(b"%b%d:%b%b" % (parent, len(r), r, t), digest_size=16).digest()
 
 
-_CONV_DDL = "conv_id bigint, root string, leaf string, roles array<string>, texts array<string>"
+_CONV_DDL = "conv_id bigint, root string, leaf string, prefixes array<bigint>, roles array<string>, texts array<string>"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,20 +68,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         nothing = object()
-        at, roles, texts, root, node = nothing, [], [], "", b""
+        at, prefixes, roles, texts, root, node = nothing, [], [], [], "", b""
         for batch in batches:
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != at or at is nothing:
                     if at is not nothing:
-                        yield at, root, node.hex(), roles, texts
-                    at, roles, texts, root, node = conv, [], [], "", b""
+                        yield at, root, node.hex(), prefixes, roles, texts
+                    at, prefixes, roles, texts, root, node = conv, [], [], [], "", b""
                 role, text = role or "", text or ""
                 node = _chain(node, role, text)
                 root = root or node.hex()
+                prefixes.append(int.from_bytes(node[:8], "little", signed=True))
                 roles.append(role)
                 texts.append(text)
         if at is not nothing:
-            yield at, root, node.hex(), roles, texts
+            yield at, root, node.hex(), prefixes, roles, texts
 
     yield from in_batches(rows(), arrow_schema(_CONV_DDL), 500)
 
@@ -145,14 +148,14 @@ class _Tree:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct conversations sorted by (root, part) to one tree row per (root, part)."""
+    """Distinct conversations sorted by (stem, part) to one tree row per (stem, part)."""
 
     def rows():
         tree = None
         for batch in batches:
-            names = ("root", "part", "leaf", "roles", "texts")
-            for root, part, leaf, roles, texts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                name = f"{root}-{part}"
+            names = ("stem", "part", "leaf", "roles", "texts")
+            for stem, part, leaf, roles, texts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                name = f"{stem}-{part}"
                 if tree is None or tree.name != name:
                     if tree:
                         yield tree.emit()
@@ -204,16 +207,30 @@ def gather(conversations: DataFrame) -> DataFrame:
     return turns.repartition(parts, "conv_id").sortWithinPartitions(*keys).select("conv_id", "role", "text").mapInArrow(_gather, _CONV_DDL)
 
 
+def deal(leaves: DataFrame, shard: int) -> DataFrame:
+    """leaves (leaf, conv_id, root, prefixes) with the tree of each: stem, its large prefix below the root if any, and part."""
+    large_roots = leaves.groupBy("root").count().filter(F.col("count") > shard).select("root")
+    turns = leaves.join(large_roots, "root", "left_semi").select("leaf", F.explode("prefixes").alias("prefix"))
+    large = turns.groupBy("prefix").count().filter(F.col("count") > shard).select("prefix")
+    depths = turns.join(large, "prefix", "left_semi").groupBy("leaf").agg(F.count("*").cast("int").alias("depth"))
+    known = leaves.join(depths, "leaf", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    stem = F.when(F.col("depth") < 1, F.col("root")).otherwise(F.concat_ws("-", "root", F.hex(F.element_at("prefixes", F.greatest("depth", F.lit(1))))))
+    below = F.element_at("prefixes", F.least(F.col("depth") + 1, F.size("prefixes")))
+    known = known.select("leaf", "conv_id", stem.alias("stem"), F.when(F.col("depth") > 0, below).alias("below"))
+    per_stem = known.groupBy("stem").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
+    return known.join(per_stem, "stem").withColumn("part", F.when(F.col("below").isNull(), 0).otherwise(F.pmod(F.xxhash64("below"), F.col("parts")).cast("int")))
+
+
 def format_chats(spark: SparkSession, conversations: DataFrame, shard: int = 256) -> tuple[DataFrame, DataFrame]:
     """(trees, membership): the formatted trees, and conv_id to leaf."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     convs = saved(gather(conversations), "convs")
-    leaves = convs.groupBy("leaf").agg(F.min(F.struct("conv_id", "root")).alias("x")).select("leaf", "x.conv_id", "x.root")
-    per_root = leaves.groupBy("root").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
-    chosen = leaves.join(per_root, "root").select("leaf", F.col("conv_id").alias("first_id"), F.pmod(F.xxhash64("leaf"), F.col("parts")).cast("int").alias("part"))
-    distinct = convs.join(chosen.drop("leaf"), F.col("conv_id").eqNullSafe(F.col("first_id")))
-    dealt = distinct.select("root", "part", "leaf", "roles", "texts").repartition(parts, "root", "part").sortWithinPartitions("root", "part", "leaf")
-    return saved(dealt.mapInArrow(_build, TREE_DDL), "trees"), convs.select("conv_id", "leaf")
+    first = convs.groupBy("leaf").agg(F.min(F.struct("conv_id", "root", "prefixes")).alias("x"))
+    dealt = deal(saved(first.select("leaf", "x.*"), "leaves"), shard)
+    chosen = dealt.select("stem", "part", F.col("conv_id").alias("first_id"))
+    distinct = convs.join(chosen, F.col("conv_id").eqNullSafe(F.col("first_id")))
+    sorted_ = distinct.select("stem", "part", "leaf", "roles", "texts").repartition(parts, "stem", "part").sortWithinPartitions("stem", "part", "leaf")
+    return saved(sorted_.mapInArrow(_build, TREE_DDL), "trees"), convs.select("conv_id", "leaf")
 
 
 def read_back(trees: DataFrame, membership: DataFrame) -> DataFrame:

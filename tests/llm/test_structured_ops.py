@@ -78,6 +78,22 @@ def test_chat_trees_share_and_attend(spark):
             assert r.text[r.body_end[n] : r.node_end[n]] == ct.END
 
 
+def test_chat_trees_keep_deeper_shared_turns_together(spark):
+    rows = []
+    for conv in range(240):
+        said = ["system prompt", *(["hot"] if conv < 120 else []), f"second {conv // 6}", f"third {conv // 3}", f"own {conv}"]
+        rows += [(conv, k, "user", t) for k, t in enumerate(said)]
+    rows += [(500, 0, "user", "system prompt"), (501, 0, "user", "system prompt"), (501, 1, "user", "hot")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    trees, members = ct.format_chats(spark, df, shard=40)
+    found = [r.text for r in trees.collect()]
+    assert len(found) > 2 and ct.read_back(trees, members).count() == 242
+    for turn in ("second", "third", "own"):
+        times = [sum(t.count(f"user\n{turn} {k}<|im_end|>") for t in found) for k in range(240 // {"second": 6, "third": 3, "own": 1}[turn])]
+        assert set(times) == {1}
+    assert sum("user\nhot<" in t for t in found) < len(found)
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert ct.read_back(*ct.format_chats(spark, df)).count() == 0
