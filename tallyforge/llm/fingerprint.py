@@ -2,9 +2,8 @@
 
 A k-mer of a text's UTF-8 bytes is a closed syncmer if the least hash among its inner s-mers is that
 of its first or last one; whether a k-mer is chosen depends on nothing outside it, so equal passages
-give equal anchors wherever they stand. The fingerprint keeps the `size` distinct anchors with the
-smallest hashes, with the position of their first occurrence: a uniform sample of all anchors of the
-whole text. Likeness matches anchors that lie at like positions.
+give equal anchors wherever they stand. The fingerprint keeps every distinct anchor with the position of its
+first occurrence, so it grows with the text. Likeness matches anchors that lie at like positions.
 
 Defined results: a null or empty text has the empty fingerprint (likeness 1 to another empty one, 0
 to any other); a text too short for an anchor is one anchor, its whole; equal texts have equal
@@ -59,38 +58,33 @@ def syncmers(data: bytes, k: int = 16, s: int = 8) -> tuple[np.ndarray, np.ndarr
     return at, hashes
 
 
-def anchors(text: str | None, size: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """The kept anchors of a text: hashes in rising order, and positions. Short texts get shorter k-mers."""
+def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors of a text: hashes in rising order, and positions. Short texts get shorter k-mers."""
     if not text:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = text.encode()
     at, hashes = syncmers(data, 8, 4) if len(data) < _SHORT else syncmers(data)
     if not len(at):
         return np.array([xxhash.xxh3_64_intdigest(data)], np.uint64), np.zeros(1, np.int64)
-    if len(hashes) > 8 * size:
-        few = np.flatnonzero(hashes <= np.partition(hashes, 4 * size)[4 * size])
-        distinct = np.unique(hashes[few])
-        if len(distinct) >= size:
-            at, hashes = at[few], hashes[few]
     distinct, first = np.unique(hashes, return_index=True)
-    return distinct[:size], at[first[:size]]
+    return distinct, at[first]
 
 
 def encode(found: tuple[np.ndarray, np.ndarray]) -> str:
     """The fingerprint as text: 16 hex digits of hash and 8 of position for each anchor."""
-    return "".join(f"{h:016x}{p & 0xFFFFFFFF:08x}" for h, p in zip(found[0].tolist(), found[1].tolist(), strict=True))
+    rows = np.empty(len(found[0]), [("hash", ">u8"), ("position", ">u4")])
+    rows["hash"], rows["position"] = found
+    return rows.tobytes().hex()
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = 48) -> float:
-    """Estimated share of anchors that two texts hold in common at like positions (Dice), 0 to 1."""
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of anchors that two texts hold in common at like positions (Dice), 0 to 1."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    union = np.union1d(a[0], b[0])[:size]
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     slack = 64 + max(a[1].max(), b[1].max()) // 4
-    common = common[np.abs(a[1][i] - b[1][j]) <= slack]
-    jaccard = np.count_nonzero(common <= union[-1]) / len(union)
-    return float(2 * jaccard / (1 + jaccard))
+    alike = np.count_nonzero(np.abs(a[1][i] - b[1][j]) <= slack)
+    return float(2 * alike / (len(a[0]) + len(b[0])))
 
 
 def edited(text: str, following: str) -> str:
@@ -102,35 +96,32 @@ def edited(text: str, following: str) -> str:
 FINGERPRINT_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _ordered(size: int):
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of documents in descending order, each closed by the first document of the next range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            before = None  # group, doc_id, text, anchors
-            for batch in sliced(batches):
-                columns = (batch.column(c).to_pylist() for c in ("group", "ahead", "doc_id", "text"))
-                for group, ahead, doc, text in zip(*columns, strict=True):
-                    same = before is not None and before[0] == group
-                    if ahead and not same:
-                        continue
-                    text = text or ""
-                    found = anchors(text, size)
-                    if same:
-                        changed = edited(before[2], text)
-                        other = anchors(changed, size)
-                        yield (
-                            before[1], len(before[2]), hashlib.sha256(changed.encode()).hexdigest(), encode(before[3]), encode(other),
-                            likeness(before[3], other, size), likeness(before[3], found, size),
-                        )
-                    before = None if ahead else (group, doc, text, found)
-
-        yield from in_batches(rows(), arrow_schema(FINGERPRINT_DDL), 1000)
-
-    return run
-
-
-def fingerprints(spark: SparkSession, docs: DataFrame, size: int = 48, per_range: int = 1000, max_ranges: int = 20_000) -> DataFrame:
+    def rows():
+        before = None  # group, doc_id, text, anchors
+        for batch in sliced(batches):
+            columns = (batch.column(c).to_pylist() for c in ("group", "ahead", "doc_id", "text"))
+            for group, ahead, doc, text in zip(*columns, strict=True):
+                same = before is not None and before[0] == group
+                if ahead and not same:
+                    continue
+                text = text or ""
+                found = anchors(text)
+                if same:
+                    changed = edited(before[2], text)
+                    other = anchors(changed)
+                    yield (
+                        before[1], len(before[2]), hashlib.sha256(changed.encode()).hexdigest(), encode(before[3]), encode(other),
+                        likeness(before[3], other), likeness(before[3], found),
+                    )
+                before = None if ahead else (group, doc, text, found)
+
+    yield from in_batches(rows(), arrow_schema(FINGERPRINT_DDL), 64)
+
+
+def fingerprints(spark: SparkSession, docs: DataFrame, per_range: int = 1000, max_ranges: int = 20_000) -> DataFrame:
     """Fingerprints of every document and of its edited text, with likenesses.
 
     The order by doc_id is cut into ranges; each range also gets the first document of the next one,
@@ -172,4 +163,4 @@ def fingerprints(spark: SparkSession, docs: DataFrame, size: int = 48, per_range
     moved = docs.mapInArrow(dealt, "doc_id bigint, text string, group int, ahead boolean")
     parts = max(1, min(len(order), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keys = [F.col("group"), F.col("ahead"), F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    return moved.repartition(parts, "group").sortWithinPartitions(*keys).mapInArrow(_ordered(size), FINGERPRINT_DDL)
+    return moved.repartition(parts, "group").sortWithinPartitions(*keys).mapInArrow(_ordered, FINGERPRINT_DDL)

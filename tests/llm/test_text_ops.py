@@ -220,6 +220,16 @@ def test_fingerprints(spark):
         assert min(r.near_edited for r in long) > max(r.near_next for r in long)
 
 
+def test_fingerprints_keep_a_passage_of_long_texts():
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = say(300)
+    long, other = (fp.anchors(f"{say(30_000)}{passage}{say(90_000)}") for _ in range(2))
+    own = set(fp.syncmers(passage.encode())[1].tolist())
+    assert len(own) > 40 and own <= set(long[0].tolist()) & set(other[0].tolist())
+    assert fp.likeness(long, other) > 0 and len(fp.encode(long)) == 24 * len(long[0])
+
+
 def test_fingerprint_edges(spark):
     assert fp.fingerprints(spark, frame(spark, [])).count() == 0
     assert fp.fingerprints(spark, frame(spark, ["only one text here, long enough for anchors"])).first().near_next == 1.0
