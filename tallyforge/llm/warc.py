@@ -2,11 +2,16 @@
 
 Every response gives two records that name it in WARC-Refers-To and repeat its target URI, date and
 payload digest: a metadata record (application/warc-fields: title, language, outlinks, and the source's
-HTTP status, headers and digest) and a conversion record (text/plain: all visible text). Record ids
+HTTP status, HTTP and WARC headers and digest) and a conversion record (text/plain: all visible text). Record ids
 are name-based, so that a task that runs again writes the same bytes.
 
+A payload digest that the source gives is repeated as it stands, else the payload's bytes are hashed.
+Transfer and content encodings and charset are decoded for the text only; an encoding that is unknown
+or doesn't fit the bytes leaves them as they are.
+
 Defined results: a null payload is empty; a null URI gives an empty WARC-Target-URI; repeated
-responses give repeated records; an empty table gives none. Only the named columns are read.
+responses give repeated records; an empty table gives none. Only the named columns are read; warc and
+body may be absent, then the payload's UTF-8 bytes are the source.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -28,9 +34,11 @@ from tallyforge.llm.html_extract import tokens
 
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_CHUNK = re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r?\n")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
 
-RESPONSE_DDL = "record_id string, target_uri string, date string, http string, payload string"
+RESPONSE_DDL = "record_id string, target_uri string, date string, http string, payload string, warc string, body binary"
 RECORD_DDL = "source_id string, warc_type string, record_id string, refers_to string, target_uri string, content_type string, content_length bigint, block_digest string, source_digest string, n_links int, record string"
 
 
@@ -51,6 +59,58 @@ def visible_text(page: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
 
 
+def _unchunked(data: bytes) -> bytes:
+    """The body of a chunked message; data that isn't one stays as it is, and a cut one gives what is there."""
+    parts, at = [], 0
+    while m := _CHUNK.match(data, at):
+        if not (size := int(m[1], 16)):
+            return b"".join(parts)
+        parts.append(data[m.end() : m.end() + size])
+        at = m.end() + size
+        at += 2 if data[at : at + 2] == b"\r\n" else 1 if data[at : at + 1] == b"\n" else 0
+    return b"".join(parts) if parts and at >= len(data) else data
+
+
+def _inflated(data: bytes, coding: str) -> bytes:
+    """The body without gzip or deflate; data that isn't so packed stays as it is, and a cut one gives what is there."""
+    for bits in (31,) if "gzip" in coding else (15, -15):
+        parts, left = [], data
+        try:
+            while left:
+                member = zlib.decompressobj(bits)
+                parts.append(member.decompress(left))
+                left = member.unused_data
+        except zlib.error:
+            pass
+        if parts:
+            return b"".join(parts)
+    return data
+
+
+def _header(http: str, name: str) -> str:
+    found = (value.strip() for key, _, value in (line.partition(":") for line in http.split("\r\n")[1:]) if key.strip().lower() == name)
+    return ", ".join(found).lower()
+
+
+def payload_text(http: str, body: bytes) -> str:
+    """A payload as text: transfer and content encodings taken off, and the charset of header, byte order mark or meta tag."""
+    if "chunked" in _header(http, "transfer-encoding"):
+        body = _unchunked(body)
+    for coding in reversed(_header(http, "content-encoding").split(",")):
+        if coding.strip() in ("gzip", "x-gzip", "deflate"):
+            body = _inflated(body, coding)
+    mark = next((name for bom, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")) if body.startswith(bom)), None)
+    named = _CHARSET.search(_header(http, "content-type")) or _CHARSET.search(body[:2048].decode("latin-1"))
+    charset = mark or (named[1] if named else "utf-8")
+    if charset.lower() in ("latin-1", "latin1", "iso-8859-1", "ascii", "us-ascii"):
+        charset = "cp1252"  # as browsers do
+    try:
+        text = body.decode(charset, "replace")
+    except (LookupError, ValueError):
+        text = body.decode("utf-8", "replace")
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
@@ -61,10 +121,12 @@ def record_text(fields: list[tuple[str, str]], block: str) -> str:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block.encode())}\r\n\r\n{block}"
 
 
-def derive(record_id: str, uri: str | None, date: str | None, http: str | None, payload: str | None) -> Iterator[tuple]:
+def derive(record_id: str, uri: str | None, date: str | None, http: str | None, payload: str | None, warc: str | None = None, body: bytes | None = None) -> Iterator[tuple]:
     """The rows of the metadata and the conversion record of one response."""
     page, uri, date = payload or "", one_line(uri or ""), date or ""
-    source = digest(page.encode())
+    own_headers = [(name.strip().lower(), value.strip()) for name, _, value in (h.partition(":") for h in (warc or "").split("\r\n")) if name.strip()]
+    given = next((value for name, value in own_headers if name == "warc-payload-digest" and value), None)
+    source = given or digest(page.encode() if body is None else body)
     status, _, headers = (http or "").strip().partition("\r\n")
     links = []
     for found in _LINK.findall(page):
@@ -76,6 +138,7 @@ def derive(record_id: str, uri: str | None, date: str | None, http: str | None,
     title, lang = _TITLE.search(page), _LANG.search(page)
     facts = [("title", one_line(html.unescape(title[1])) if title else ""), ("language", lang[1] if lang else ""), ("source-status", status)]
     facts += [(f"source-{name.strip().lower()}", value.strip()) for name, _, value in (h.partition(":") for h in headers.split("\r\n")) if name]
+    facts += [(f"source-{name if name.startswith('warc-') else f'record-{name}'}", value) for name, value in own_headers]
     facts += [("source-payload-digest", source), *(("outlink", f"{x} L a/@href") for x in links)]
     blocks = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts)), ("conversion", "text/plain; charset=utf-8", visible_text(page)))
     for kind, content_type, block in blocks:
@@ -90,12 +153,14 @@ def derive(record_id: str, uri: str | None, date: str | None, http: str | None,
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows per response, with the records as text."""
 
+    columns = ["record_id", "target_uri", "date", "http", "payload", *(("warc", "body") if {"warc", "body"} <= set(responses.columns) else ())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "http", "payload")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
             yield from in_batches((x for row in rows for x in derive(*row)), arrow_schema(RECORD_DDL), 500)
 
-    return responses.select("record_id", "target_uri", "date", "http", "payload").mapInArrow(run, RECORD_DDL)
+    return responses.select(*columns).mapInArrow(run, RECORD_DDL)
 
 
 def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -114,6 +179,12 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of every record of a WARC file, gzipped or not."""
+    for lines, block in warc_records(data):
+        yield {name.lower(): value for name, value in lines}, block
+
+
+def warc_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(all headers in order, block) of every record of a WARC file, gzipped or not."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -121,12 +192,15 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        headers = {}
+        lines = []
         for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            if line[:1] in (" ", "\t") and lines:  # goes on with the header before
+                lines[-1] = (lines[-1][0], f"{lines[-1][1]} {line.strip()}")
+                continue
             name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
-        size = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
+            lines.append((name.strip(), value.strip()))
+        size = int(next((value for name, value in reversed(lines) if name.lower() == "content-length"), 0))
+        yield lines, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
 
@@ -137,10 +211,12 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
         def rows():
             for batch in batches:
                 for data in batch.column("content").to_pylist():
-                    for headers, block in parse_warc(data):
+                    for lines, block in warc_records(data):
+                        headers = {name.lower(): value for name, value in lines}
                         if headers.get("warc-type") == "response":
-                            http, _, payload = block.partition(b"\r\n\r\n")
-                            yield headers.get("warc-record-id", "").strip("<>"), headers.get("warc-target-uri"), headers.get("warc-date"), http.decode("latin-1") + "\r\n\r\n", payload.decode("utf-8", "replace")
+                            head, _, body = block.partition(b"\r\n\r\n")
+                            http, warc = head.decode("latin-1"), "".join(f"{name}: {value}\r\n" for name, value in lines)
+                            yield headers.get("warc-record-id", "").strip("<>"), headers.get("warc-target-uri"), headers.get("warc-date"), f"{http}\r\n\r\n", payload_text(http, body), warc, body
 
         yield from in_batches(rows(), arrow_schema(RESPONSE_DDL), 200)
 

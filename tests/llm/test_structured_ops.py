@@ -199,6 +199,29 @@ def test_warc_reader(spark, tmp_path):
     assert warc.derivatives(warc.read_responses(spark, str(tmp_path))).filter("warc_type = 'conversion'").first().content_length == 5
 
 
+def test_warc_keeps_source_headers_and_bytes(spark, tmp_path):
+    page = "<p>Café</p>".encode("latin-1")
+    packed = gzip.compress(page)
+    chunked = b"%x\r\n%s\r\n%x;x=y\r\n%s\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+    sources = {
+        "1": ("WARC-Payload-Digest: sha1:ABC\r\nWARC-Block-Digest: sha1:DEF\r\nWARC-IP-Address: 10.0.0.1\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\n", b"Content-Type: text/html; charset=ISO-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked),
+        "2": ("", b"Content-Type: text/html; charset=ISO-8859-1", page),
+        "3": ("", b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", "<p>Café</p>".encode()),
+    }
+    data = b""
+    for i, (own, head, body) in sources.items():
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+        data += f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\n{own}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(data)
+    got = {(r.source_id[9:], r.warc_type): r for r in warc.derivatives(warc.read_responses(spark, str(tmp_path))).collect()}
+    assert all(got[i, "conversion"].record.endswith("\r\n\r\nCafé") for i in sources)
+    for i, digest in (("1", "sha1:ABC"), ("2", warc.digest(page)), ("3", warc.digest("<p>Café</p>".encode()))):
+        assert {got[i, kind].source_digest for kind in ("metadata", "conversion")} == {digest}
+    lines = got["1", "metadata"].record.split("\r\n")
+    for line in ("source-warc-block-digest: sha1:DEF", "source-warc-ip-address: 10.0.0.1", "source-warc-concurrent-to: <a>", "source-warc-concurrent-to: <b>"):
+        assert line in lines
+
+
 # Pipeline
 
 
