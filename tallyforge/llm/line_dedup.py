@@ -2,8 +2,9 @@
 
 Every batch of documents adds one run: its line keys (128-bit hashes) with the number of documents
 that hold them, sorted by hash. When a level holds `fanout` runs they are merged into one run of the
-next level, so a store that saw N batches has about fanout * log(N) runs. A batch is cleaned by a
-merge-anti-join of its lines against the runs.
+next level, so a store that saw N batches has about fanout * log(N) runs. Documents are
+cleaned once all batches are counted, by a broadcast or salted lookup of the frequent keys, which takes
+the place of a merge-anti-join.
 
 Defined results: a null or empty text is one empty line; the empty key is never dropped; a line that
 repeats inside one document counts as one document; rows that repeat a doc_id are separate documents;
