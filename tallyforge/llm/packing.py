@@ -15,31 +15,54 @@ their own; an empty table gives no piece. Only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches, remembers, saved
+from tallyforge.llm.common import arrow_schema, by_bytes, in_batches, remembers, saved
 
 PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, ids binary"
 #: Words that each of a worker's two generations of remembered words holds.
-_WORDS = 300_000
+_WORDS = 500_000
+#: Bytes of text whose words are looked up together.
+_CHUNK = 8 << 20
+
+
+#: The settings under which the ids of a text are those of its parts between spaces and line feeds: the
+#: splitter's pattern takes no white space, and only letters next to each other influence each other.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+#: Words that need no normalizing, are letters in every version of Unicode, and so are one part.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: The splitter cuts between these letters and digits and the marks that follow; a space there changes no id.
+_MARKS = r"([a-z0-9ß-öø-ÿ])([,.!?;:%&#*])"
 
 
 class WordTokenizer:
     """Token ids of whole texts, word by word.
 
-    The vocabulary's splitter never joins across a space or line feed, so the ids of a text are those
-    of its parts; each distinct part is encoded once and remembered. It ignores the case of ASCII
-    letters and cuts between letters and a comma or full stop at the end, so those forms share an
-    entry. New words are encoded many at a time, parted by a special token.
+    A vocabulary with the settings of _BY_WORDS never joins across a space or line feed, so the ids of a
+    text are those of its parts; the distinct parts of many texts are looked up once and the ids gathered
+    by position, and each part is encoded once and remembered. The vocabulary ignores case and cuts
+    between letters and marks, so texts without a special token are lower-cased and cut there first. New
+    words are encoded many at a time. With any other settings whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -47,92 +70,88 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         built = Tokenizer.from_file(path)
+        made = json.loads(built.to_str())
+        suffix = made["model"].get("end_of_word_suffix")
+        self.by_words = bool(suffix) and all(made[key] == value for key, value in _BY_WORDS.items()) and not made["post_processor"]
         self._encode = built.encode_batch_fast
-        self._marks = {c: self._alone(c) for c in ",."}
-        special = [(i, t.content) for i, t in built.get_added_tokens_decoder().items() if t.special]
-        self._part = max(special) if special else None
-        # In vocabularies with word ends, a word of letters is cut exactly after its one closing token.
-        suffix = getattr(built.model, "end_of_word_suffix", None)
-        closing = [i for token, i in built.get_vocab().items() if suffix and token.endswith(suffix)]
-        self._closing = np.zeros(built.get_vocab_size() + 1, bool)
-        self._closing[closing] = True
+        self._special = {t.content: i for i, t in built.get_added_tokens_decoder().items()}
+        if self.by_words:
+            # Plain words meet the model at once; each is cut after its one closing token.
+            byte_level = _BY_WORDS["pre_tokenizer"]["pretokenizers"][1]
+            made.update(normalizer=None, added_tokens=[], pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]})
+            self._encode_plain = Tokenizer.from_str(json.dumps(made)).encode_batch_fast
+            self._closing = np.zeros(built.get_vocab_size() + 1, bool)
+            self._closing[[i for token, i in built.get_vocab().items() if token.endswith(suffix)]] = True
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def _alone(self, word: str) -> bytes:
-        return np.array(self._encode([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def _alone(self, text: str) -> bytes:
+        return np.array(self._encode([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Encode words into the young generation."""
-        if self._closing.any():
-            words = self._learn_letters(words)
-        if self._part is None:
-            self._young.update((w, self._alone(w)) for w in words)
-            return
-        end, token = self._part
-        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
-        joined = self._encode([f" {token} ".join(g) for g in groups], add_special_tokens=False)
-        for group, got in zip(groups, joined, strict=True):
-            ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(ids == end)
-            if len(cuts) != len(group) - 1:  # a word holds the special token itself
-                self._young.update((w, self._alone(w)) for w in group)
-                continue
-            data = ids.tobytes()
-            begin = 0
-            for word, cut in zip(group, [*cuts.tolist(), len(ids)], strict=True):
-                self._young[word] = data[4 * begin : 4 * cut]
-                begin = cut + 1
-
-    def _learn_letters(self, words: list[str]) -> list[str]:
-        """Encode the words of letters alone, side by side; the other words are given back."""
         plain, rest = [], []
         for word in words:
-            (plain if word.isalpha() and word.lower().isalpha() else rest).append(word)
-        groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
-        for group, got in zip(groups, self._encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            (plain if _PLAIN.fullmatch(word) else rest).append(word)
+        self._learn_joined(plain, self._encode_plain, " ", lambda ids: np.flatnonzero(self._closing[ids]) + 1, 0)
+        if self._special:
+            content, number = max(self._special.items(), key=lambda x: x[1])
+            self._learn_joined(rest, self._encode, f" {content} ", lambda ids: np.append(np.flatnonzero(ids == number), len(ids)), 1)
+        else:
+            self._young.update((w, self._alone(w)) for w in rest)
+
+    def _learn_joined(self, words: list[str], encode, between: str, ends, gap: int) -> None:
+        """Encode words side by side; ends() finds where each one's ids end, and `gap` ids part them."""
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        for group, got in zip(groups, encode([between.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(self._closing[ids])
-            if len(cuts) != len(group):
-                rest += group
+            cuts = ends(ids)
+            if len(cuts) != len(group):  # a word holds the special token itself
+                self._young.update((w, self._alone(w)) for w in group)
                 continue
             data, begin = ids.tobytes(), 0
             for word, cut in zip(group, cuts.tolist(), strict=True):
-                self._young[word] = data[begin : 4 * cut + 4]
-                begin = 4 * cut + 4
-        return rest
+                self._young[word] = data[4 * begin : 4 * cut]
+                begin = cut + gap
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _entries(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self._young) > _WORDS:
             self._young, self._old = {}, self._young
         young, old = self._young, self._old
-        new = set().union(*split).difference(young) if split else ()
-        forms, learn = [], set()
-        for word in new:
-            if (known := old.get(word)) is not None:
-                young[word] = known
-                continue
-            base = word.lower() if word.isascii() else word
-            mark = base[-1:]
-            if mark in self._marks and base[:-1].lower().isalpha():
-                base = base[:-1]
-            else:
-                mark = ""
-            if base != word:
-                forms.append((word, base, mark))
-            if base not in young:
-                if (known := old.get(base)) is not None:
-                    young[base] = known
+        learn = []
+        for word in words:
+            if word not in young:
+                if (known := old.get(word)) is None:
+                    learn.append(word)
                 else:
-                    learn.add(base)
-        fresh = list(learn)
-        for k in range(0, len(fresh), 4000):
-            self._learn(fresh[k : k + 4000])
-        for word, base, mark in forms:
-            young[word] = young[base] + self._marks[mark] if mark else young[base]
-        return [b"".join(map(young.__getitem__, words)) for words in split]
+                    young[word] = known
+        for k in range(0, len(learn), 4000):
+            self._learn(learn[k : k + 4000])
+        return list(map(young.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            return [self._alone(t) for t in texts.to_pylist()]
+        if not len(texts):
+            return []
+        easy = pc.replace_substring_regex(pc.ascii_lower(texts), _MARKS, r"\1 \2")
+        for content in self._special:
+            easy = pc.if_else(pc.match_substring(texts, content, ignore_case=True), texts, easy)
+        parts = pc.split_pattern(pc.replace_substring(easy, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        entries = self._entries(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
+        data, starts = np.frombuffer(b"".join(entries), "<u4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        ids = data[np.arange(ends[-1]) + np.repeat(starts[which] - ends + counts, counts)].tobytes()
+        cuts = parts.offsets.to_numpy().astype(np.int64)
+        cuts = 4 * np.concatenate(([0], ends))[cuts - cuts[0]]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 @cache
@@ -196,9 +215,8 @@ def _pack_documents(path: str, end: int, size: int, open_windows: int, tolerance
 
         def rows():
             for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    encoded = tokenizer(path).encode(part.column("text").to_pylist())
+                for part in by_bytes(batch, "text", _CHUNK):
+                    encoded = tokenizer(path).encode(part.column("text"))
                     for doc, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                         yield from packer.place(doc, 0, ids + close, len(ids) // 4 + 1)
             yield from packer.rest(left_over=True)
