@@ -4,12 +4,14 @@ The classifier is trained on the driver from a small labelled URL table (by defa
 scores host and path; its weights are one array of `buckets` doubles, whatever the input.
 
 Defined results: a null url or one without '://' has an empty host and path, no rule, and the
-classifier's verdict on the empty string; repeated rows are answered alike; an empty table gives an
+classifier's verdict on the empty string, which is its verdict without evidence: allow, by the default
+table; repeated rows are answered alike; an empty table gives an
 empty result. Only page_id and url are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator, Sequence
 
@@ -28,21 +30,43 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: Words of hosts that the labelled table blocks and allows.
-_BAD = "casino-win ads-track cheap-pills free-casino poker-bonus lucky-slots bet-online adserver track-click click-ads banner-ads pills-shop viagra-cheap discount-pills xxx-cams hot-dating payday-loans win-prize malware-drop phish-login torrent-crack warez-keys spam-mail seo-links casino-bonus pixel-track popup-ads adult-video online-pharmacy replica-watch"
-_GOOD = "news library museum weather garden travel history science kitchen school city council recipes music archive journal university hospital research letters nature physics gazette theatre thunder nation station fashion another reading library-books open-data local-news book-club health-info bike-shop"
-_TOP = ("com", "net", "org")
-_LANGS = ("en", "de", "fr", "es")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The default small labelled table: (url, 1 to block), host words crossed with subdomains and paths."""
-    rows = []
-    for label, words in ((1, _BAD), (0, _GOOD)):
-        for i, word in enumerate(words.split()):
-            for j, sub in enumerate(("", "www.", "m.", "blog.")):
-                k = i + j
-                rows.append((f"http{'s' * (k % 2)}://{sub}{word}.example.{_TOP[k % 3]}/{_LANGS[k % 4]}/{(i * 37 + j * 911) % 9973}", label))
+#: What the labelled table is made of: words of sites that filter lists block (gambling, adult, drugs, advertising and
+#: tracking, malware and fraud, spam, piracy), words of ordinary sites, and words that stand in both.
+_BLOCKED = "casino poker roulette slots jackpot blackjack bet bets betting gambling lottery adult porn xxx sex cams escort nude erotic viagra cialis pills pharma steroids weightloss ads adserver adclick banners popup tracker tracking affiliate clickbait malware trojan spyware phishing hacked keylogger scam fraud spam spammer mailbomb linkfarm doorway payday quickcash warez torrent torrents crack keygen serials pirated replica counterfeit"
+_ORDINARY = "news times herald gazette post review library museum university college school academy council county parliament hospital clinic dental medicine health weather climate garden farm farming orchard travel hotel railway airport recipes bakery kitchen restaurant music radio orchestra film theatre books poetry science physics chemistry biology journal research history archive heritage wiki docs manual forum blog bank insurance lawyer notary sports football chess cycling running maps photo gallery design software python linux developer opendata energy water housing furniture toys pets veterinary church charity volunteers union engineering robotics bridge castle village mountain lake island harbour coffee tea wine chocolate fashion jewellery watches address adventure trackandfield essex analysis expert better alphabet tibet crackers stock letters cranberry cocktail saddles"
+_BOTH = "best top free online my the new world club hub zone store shop center home now live land point cheap win pro mega city euro"
+_TOP = ("com", "net", "info", "biz", "de", "co.uk", "fr", "io")
+_PATHS = ("/", "/index.html", "/en/%d", "/de/%d", "/fr/%d", "/es/%d", "/about", "/login", "/2024/05/%d", "/shop/item-%d.html", "/category/page/%d", "/p?id=%d")
+_BLOCKED_PATHS = ("/casino/bonus/%d", "/click/track?to=%d", "/adclick/%d", "/free-porn/%d", "/buy-viagra-pills/%d", "/download/keygen-crack-%d.exe")
+
+
+def labelled_urls(seed: int = 11) -> list[tuple[str, int]]:
+    """The default small labelled table: (url, 1 to block).
+
+    Hosts are a word of their class, alone or beside one that stands in both or an invented one; ordinary
+    ones are also invented names alone, twice as many, since a name that means nothing is no ground to block. Both classes
+    have the same endings, subdomains and paths, but for a few paths that tell.
+    """
+    rng = random.Random(seed)
+    both = _BOTH.split()
+
+    def invented() -> str:
+        said = "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice(("a", "e", "i", "o", "u", "ea", "ou", "an", "er", "in")) for _ in range(rng.randint(2, 4)))
+        return said + rng.choice(("", "", "s", "n", f"-{rng.choice(both)}"))
+
+    def name(word: str) -> str:
+        partner, between = rng.choice((*both, invented(), invented())), rng.choice(("-", "", ""))
+        return rng.choice((word, f"{partner}{between}{word}", f"{word}{between}{partner}", f"{word}{rng.randint(1, 99)}"))
+
+    def url(host: str, path: str) -> str:
+        sub = rng.choice(("", "", "www.", "m.", "blog.", "cdn."))
+        return f"http{rng.choice(('', 's'))}://{sub}{host}.{rng.choice(_TOP)}{path.replace('%d', str(rng.randint(1, 9999)))}"
+
+    blocked, ordinary = _BLOCKED.split(), _ORDINARY.split()
+    rows = [(url(name(word), rng.choice(_PATHS)), 1) for word in blocked for _ in range(12)]
+    rows += [(url(name(word), rng.choice(_PATHS)), 0) for word in ordinary for _ in range(8)]
+    rows += [(url(invented(), rng.choice(_PATHS)), 0) for _ in range(8 * len(blocked))]
+    rows += [(url(invented(), path), 1) for path in _BLOCKED_PATHS for _ in range(3)]
     return rows
 
 
@@ -68,7 +92,7 @@ def rule_for(host: str, path: str, rules: Sequence[tuple[str, str]]) -> tuple[st
 class UrlModel:
     """Logistic regression on hashed n-grams (3 to 5 characters) of host and path, kept apart."""
 
-    def __init__(self, labelled: Sequence[tuple[str, int]], buckets: int = 1 << 14, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4):
+    def __init__(self, labelled: Sequence[tuple[str, int]], buckets: int = 1 << 14, steps: int = 1500, rate: float = 20.0, decay: float = 1e-5):
         self.buckets = buckets
         self.weights, self.bias = np.zeros(buckets), 0.0
         rows = [(self.features(*split_url(url)), label) for url, label in labelled]
@@ -76,11 +100,11 @@ class UrlModel:
         which = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
         flat = np.concatenate([x for x, _ in rows]) if rows else np.zeros(0, int)
         scale = np.array([1 / np.sqrt(max(1, len(x))) for x, _ in rows])
-        for _ in range(epochs * 5 if rows else 0):
+        for _ in range(steps if rows else 0):
             z = np.bincount(which, self.weights[flat], len(rows)) * scale + self.bias
             gap = 1 / (1 + np.exp(-z)) - labels
-            self.weights -= rate * (np.bincount(flat, (gap * scale)[which], buckets) / len(rows) * 20 + decay * self.weights)
-            self.bias -= rate * gap.mean()
+            self.weights -= rate * (np.bincount(flat, (gap * scale)[which], buckets) / len(rows) + decay * self.weights)
+            self.bias -= rate / 20 * gap.mean()
 
     def features(self, host: str, path: str) -> np.ndarray:
         grams = {
