@@ -6,8 +6,8 @@ give equal anchors wherever they stand. The fingerprint keeps every distinct anc
 first occurrence, so it grows with the text. Likeness matches anchors that lie at like positions.
 
 Defined results: a null or empty text has the empty fingerprint (likeness 1 to another empty one, 0
-to any other); a text too short for an anchor is one anchor, its whole; equal texts have equal
-fingerprints; rows that repeat a doc_id follow each other in order of their texts, nulls last; the
+to any other); one length of k-mers serves all texts, and a text in which none is chosen has its whole
+as anchor; equal texts have equal fingerprints; rows that repeat a doc_id follow each other in order of their texts, nulls last; the
 only document is its own next. Only doc_id and text are read.
 """
 
@@ -28,23 +28,19 @@ from tallyforge.llm.common import arrow_schema, in_batches, sliced
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-#: Below so many bytes k-mers of 8 bytes take the place of those of 16.
-_SHORT = 96
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _A
     return (x ^ (x >> np.uint64(29))) * _B
 
 
-def syncmers(data: bytes, k: int = 16, s: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions and 64-bit hashes of the closed syncmers; s is at most 8, k a multiple of 8."""
+def syncmers(data: bytes, k: int = 12, s: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions and 64-bit hashes of the closed syncmers; s is at most 8, k from 8 to 16."""
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     raw = np.frombuffer(data + b"\0" * 8, np.uint8)
-    grams = np.ndarray(len(data) - s + 1, "<u8", raw.data, strides=(1,))
-    inner = _mix(grams if s == 8 else grams & np.uint64((1 << 8 * s) - 1))
+    grams = np.ndarray(len(data) + 1, "<u8", raw.data, strides=(1,))
+    inner = _mix(grams if s == 8 else grams & np.uint64((1 << 8 * s) - 1))[: len(data) - s + 1]
     width, least, span = k - s + 1, inner, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -52,20 +48,18 @@ def syncmers(data: bytes, k: int = 16, s: int = 8) -> tuple[np.ndarray, np.ndarr
     if span < width:
         least = np.minimum(least[: n], least[width - span : width - span + n])
     at = np.flatnonzero((inner[:n] == least[:n]) | (inner[width - 1 : width - 1 + n] == least[:n]))
-    hashes = _mix(grams[at])
-    for step in range(8, k, 8):
-        hashes = _mix(hashes ^ np.ndarray(len(data) - 7, "<u8", raw.data, strides=(1,))[at + step])
-    return at, hashes
+    return at, _mix(_mix(grams[at]) ^ grams[at + k - 8])
 
 
-def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors of a text: hashes in rising order, and positions. Short texts get shorter k-mers."""
+def anchors(text: str | None, k: int = 12, s: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors of a text: hashes in rising order, and positions. Its ends are padded by k - s zero bytes,
+    so that short texts have anchors of the same kind as long ones."""
     if not text:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    data = text.encode()
-    at, hashes = syncmers(data, 8, 4) if len(data) < _SHORT else syncmers(data)
+    pad = b"\0" * (k - s)
+    at, hashes = syncmers(pad + text.encode() + pad, k, s)
     if not len(at):
-        return np.array([xxhash.xxh3_64_intdigest(data)], np.uint64), np.zeros(1, np.int64)
+        return np.array([xxhash.xxh3_64_intdigest(text.encode())], np.uint64), np.zeros(1, np.int64)
     distinct, first = np.unique(hashes, return_index=True)
     return distinct, at[first]
 

@@ -198,7 +198,7 @@ def slow_syncmers(data, k, s):
 @settings(max_examples=60, deadline=None)
 @given(st.text(min_size=0, max_size=120))
 def test_syncmers_by_definition(text):
-    for k, s in ((16, 8), (8, 4)):
+    for k, s in ((12, 4), (16, 8), (8, 4)):
         assert fp.syncmers(text.encode(), k, s)[0].tolist() == list(slow_syncmers(text.encode(), k, s))
 
 
@@ -231,6 +231,18 @@ def test_fingerprints_keep_a_passage_of_long_texts():
     assert fp.likeness(long, other) > 0 and len(fp.encode(long)) == 24 * len(long[0])
 
 
+def test_likeness_has_no_jump_between_lengths():
+    rng = random.Random(6)
+    words = "the quick brown fox jumps over a lazy dog while many small birds sing near old river banks".split()
+    for n in range(12, 220, 4):
+        found = []
+        for _ in range(20):
+            text, other = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(2))
+            found.append(fp.likeness(fp.anchors(text[:n]), fp.anchors(text[: n - n // 3])))  # as if the next text were empty
+            found.append(fp.likeness(fp.anchors(text[:n]), fp.anchors(fp.edited(text[:n], other))))
+        assert 0.3 < sum(found) / len(found) < 0.95, n
+
+
 def test_fingerprint_edges(spark):
     assert fp.fingerprints(spark, frame(spark, [])).count() == 0
     assert fp.fingerprints(spark, frame(spark, ["only one text here, long enough for anchors"])).first().near_next == 1.0
