@@ -1,10 +1,13 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-Every batch of documents adds one run: its line keys (128-bit hashes) with the number of documents
-that hold them, sorted by hash. When a level holds `fanout` runs they are merged into one run of the
-next level, so a store that saw N batches has about fanout * log(N) runs. Documents are
-cleaned once all batches are counted, by a broadcast or salted lookup of the frequent keys, which takes
-the place of a merge-anti-join.
+Every batch of documents brings its line keys (128-bit hashes) with the number of documents that hold
+them, sorted by hash. Keys that the runs already know as frequent are taken out by a merge-anti-join,
+and the rest is added as the batch's own run. When a level holds `fanout` runs they are merged into one
+run of the next level, so a store that saw N batches has about fanout * log(N) runs; keys that reach
+`min_docs` in such a merge join the sorted runs of frequent keys, which later batches are joined with.
+At last every run is merged once more, and the lines of all documents are anti-joined with the frequent
+keys: each task merges its sorted line hashes with them, or, where they are too many to be sent to the
+tasks, a salted join does.
 
 Defined results: a null or empty text is one empty line; the empty key is never dropped; a line that
 repeats inside one document counts as one document; rows that repeat a doc_id are separate documents;
@@ -16,6 +19,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -73,35 +78,43 @@ def _count(n_batches: int, spread: int):
 class LineRuns:
     """A store of line keys in levels of sorted runs.
 
-    min_code_points: shorter keys are never dropped. fanout: runs of a level before compaction.
+    min_docs: documents that make a key frequent. fanout: runs of a level before compaction.
     broadcast_keys: up to so many frequent keys (16 bytes each) go to every task as a broadcast;
-    beyond it, lines meet the runs in a salted shuffle join.
+    beyond it, lines meet them in a salted shuffle join.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, broadcast_keys: int = 500_000, salts: int = 32):
-        self.spark, self.fanout, self.broadcast_keys, self.salts = spark, fanout, broadcast_keys, salts
+    def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 4, broadcast_keys: int = 500_000, salts: int = 32):
+        self.spark, self.min_docs, self.fanout, self.broadcast_keys, self.salts = spark, min_docs, fanout, broadcast_keys, salts
         self.levels: list[list[DataFrame]] = [[]]
+        self.settled: list[DataFrame] = []
 
-    def _merged(self, runs: Sequence[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for more in runs[1:]:
-            rows = rows.unionByName(more)
-        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).sortWithinPartitions("h1", "h2")
+    @staticmethod
+    def _merged(runs: Sequence[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")).sortWithinPartitions("h1", "h2")
+
+    def unsettled(self, counts: DataFrame) -> DataFrame:
+        """One batch's counts, sorted, without the keys that the runs know as frequent."""
+        rows = self._merged([counts.select("h1", "h2", "n")])
+        if not self.settled:
+            return rows
+        return rows.join(reduce(DataFrame.unionByName, self.settled).hint("merge"), ["h1", "h2"], "left_anti").sortWithinPartitions("h1", "h2")
 
     def add(self, counts: DataFrame) -> None:
         """One batch's counts (h1, h2, n) become a run of level 0; full levels are compacted."""
-        self.levels[0].append(saved(self._merged([counts.select("h1", "h2", "n")]), "run"))
+        self.levels[0].append(saved(self.unsettled(counts), "run"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             runs, self.levels[level] = self.levels[level], []
-            self.levels[level + 1].append(saved(self._merged(runs), "run"))
+            merged = saved(self._merged(runs), "run")
+            self.settled.append(saved(merged.filter(F.col("n") >= self.min_docs).select("h1", "h2"), "settled"))
+            self.levels[level + 1].append(merged.filter(F.col("n") < self.min_docs))
             for run in runs:
                 drop_saved(run)
             level += 1
 
-    def add_documents(self, docs: DataFrame, n_batches: int = 4) -> None:
+    def add_documents(self, docs: DataFrame, n_batches: int = 8) -> None:
         """Deal the documents into batches and add each batch's run, in one pass over the texts."""
         staged = saved(
             docs.select("doc_id", "text").mapInArrow(_count(n_batches, 0x9E3779B1), _RUN_DDL), "lines", ["batch"]
@@ -110,21 +123,21 @@ class LineRuns:
             self.add(staged.filter(F.col("batch") == b))
         drop_saved_parts(staged)
 
-    def frequent(self, min_docs: int) -> DataFrame:
+    def frequent(self) -> DataFrame:
         """Keys that at least min_docs of all documents added so far hold."""
         runs = [run for level in self.levels for run in level]
         if not runs:
             return self.spark.createDataFrame([], "h1 bigint, h2 bigint")
-        return self._merged(runs).filter(F.col("n") >= min_docs).select("h1", "h2")
+        found = self._merged(runs).filter(F.col("n") >= self.min_docs).select("h1", "h2")
+        return reduce(DataFrame.unionByName, [found, *self.settled]).distinct()
 
-    def clean(self, docs: DataFrame, min_docs: int, carry: Sequence[str] = ()) -> DataFrame:
-        """docs without the lines whose keys min_docs documents hold: doc_id, carry, kept, n_lines, n_dropped, kept_sha256."""
-        frequent = saved(self.frequent(min_docs), "frequent")
+    def clean(self, docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """docs without the lines whose keys are frequent: doc_id, carry, kept, n_lines, n_dropped, kept_sha256."""
+        frequent = saved(self.frequent(), "frequent")
         docs = docs.select("doc_id", "text", *carry)
         ddl = ", ".join(f"{n} {k}" for n, k in docs.drop("text").dtypes) + ", kept string, n_lines bigint, n_dropped bigint, kept_sha256 string"
         if frequent.count() <= self.broadcast_keys:
-            keys = frozenset(np.array([r.h1, r.h2], "<i8").tobytes() for r in frequent.toLocalIterator())
-            held = self.spark.sparkContext.broadcast(keys)
+            held = self.spark.sparkContext.broadcast(SortedRun(frequent.toArrow()))
             return docs.mapInArrow(_drop(lambda _: held.value, ddl), ddl)
         salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         seen = docs.mapInArrow(_occurrences(self.salts), "doc_id bigint, h1 bigint, h2 bigint, salt int")
@@ -137,6 +150,30 @@ class LineRuns:
         return marked.mapInArrow(_drop(None, ddl), ddl)
 
 
+class SortedRun:
+    """Frequent keys in rising order, to be merged with other sorted keys."""
+
+    def __init__(self, rows: pa.Table):
+        h1, h2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        order = np.lexsort((h2, h1))
+        self.h1, self.h2 = h1[order], h2[order]
+        _, sizes = np.unique(self.h1, return_counts=True)
+        self.widest = int(sizes.max(initial=0))
+
+    def holds(self, digests: list[bytes]) -> np.ndarray:
+        """Which of the keys the run holds: they are sorted and merged with it."""
+        wanted = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        order = np.argsort(wanted[:, 0], kind="stable")
+        first, second = wanted[order, 0], wanted[order, 1]
+        found, at = np.zeros(len(order), bool), np.searchsorted(self.h1, first)
+        for step in range(self.widest):  # keys that share their first half lie side by side
+            here = np.minimum(at + step, len(self.h1) - 1)
+            found |= (self.h1[here] == first) & (self.h2[here] == second)
+        out = np.empty(len(order), bool)
+        out[order] = found
+        return out
+
+
 def drop_saved_parts(df: DataFrame) -> None:
     """Delete a partitioned table that saved() wrote."""
     spark = df.sparkSession
@@ -168,26 +205,21 @@ def _drop(held, ddl: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.strip().split(" ", 1)[0] for f in ddl.split(",")]
         remembers("line_dedup", lambda: None)
-        keys = held(None) if held else None
+        frequent = held(None) if held else None
         for batch in sliced(batches):
             parts, line_keys = _lines(batch.column("text"))
             lines, ends = parts.flatten().to_pylist(), parts.offsets.to_pylist()
-            own = None if held else batch.column("_hits").to_pylist()
+            gone: set[str] = set()
+            if frequent is not None and (keys := [k for k in set(line_keys) if k]):
+                gone = set(compress(keys, frequent.holds(list(map(_digest, keys))).tolist()))
+            own = batch.column("_hits").to_pylist() if frequent is None else None
             kept, n_lines, n_dropped, shas = [], [], [], []
-            known: dict[str, bool] = {}
             for i in range(batch.num_rows):
                 a, b = ends[i] - ends[0], ends[i + 1] - ends[0]
                 if own is not None:
-                    keys = {
-                        np.array([int(x, 16) for x in h.split(":")], "<u8").tobytes() for h in own[i] or ()
-                    }
-                    known = {}
-                stay = []
-                for line, key in zip(lines[a:b], line_keys[a:b], strict=True):
-                    if (drop := known.get(key)) is None:
-                        drop = known[key] = bool(key) and _digest(key) in keys
-                    if not drop:
-                        stay.append(line)
+                    hits = {np.array([int(x, 16) for x in h.split(":")], "<u8").tobytes() for h in own[i] or ()}
+                    gone = {k for k in set(line_keys[a:b]) if k and _digest(k) in hits}
+                stay = [line for line, key in zip(lines[a:b], line_keys[a:b], strict=True) if key not in gone]
                 text = "\n".join(stay)
                 kept.append(text)
                 n_lines.append(b - a)
@@ -199,8 +231,8 @@ def _drop(held, ddl: str):
     return run
 
 
-def dedupe_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, carry: Sequence[str] = (), n_batches: int = 4, **options) -> DataFrame:
+def dedupe_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, carry: Sequence[str] = (), n_batches: int = 8, **options) -> DataFrame:
     """Add all documents to a new store of runs, then clean them against it."""
-    runs = LineRuns(spark, **options)
+    runs = LineRuns(spark, min_docs, **options)
     runs.add_documents(docs, n_batches)
-    return runs.clean(docs, min_docs, carry)
+    return runs.clean(docs, carry)

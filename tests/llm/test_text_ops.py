@@ -58,12 +58,25 @@ def test_lines_edges(spark):
         assert sorted((str(r.doc_id), r.kept, r.n_dropped) for r in got) == [("1", "", 1), ("1", "b", 1), ("None", "", 1)]
 
 
-def test_runs_compact(spark):
-    runs = ld.LineRuns(spark, fanout=2)
-    for _ in range(5):
-        runs.add(spark.createDataFrame([(1, 2, 3)], "h1 bigint, h2 bigint, n bigint"))
+def test_runs_compact_and_settle(spark):
+    runs = ld.LineRuns(spark, min_docs=8, fanout=2)
+    batch = lambda n: spark.createDataFrame([(1, 2, n), (1, 5, 1), *((k, k, 1) for k in range(10, 400, 7))], "h1 bigint, h2 bigint, n bigint")
+    for n in (3, 4, 1, 0, 5):
+        runs.add(batch(n))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert runs.frequent(15).count() == 1 and runs.frequent(16).count() == 0
+    assert {(r.h1, r.h2) for r in runs.frequent().collect()} == {(1, 2)}
+    for run in (r for level in runs.levels for r in level):
+        for part in run.rdd.map(lambda r: (r.h1, r.h2)).glom().collect():
+            assert part == sorted(part)
+    # What the runs know as frequent is taken out of a later batch by a merge join, before it adds its own run.
+    later = runs.unsettled(batch(1))
+    assert "SortMergeJoin" in (plan := later._jdf.queryExecution().executedPlan().toString()) and "LeftAnti" in plan
+    assert (1, 2) not in {(r.h1, r.h2) for r in later.collect()} and later.count() == 57
+    runs.add(batch(2))
+    assert (1, 5) not in {(r.h1, r.h2) for r in runs.frequent().collect()}
+    runs.add(batch(2))
+    runs.add(batch(2))
+    assert {(r.h1, r.h2) for r in runs.frequent().collect()} == {(1, 2), (1, 5), *((k, k) for k in range(10, 400, 7))}
 
 
 # Near dedup
