@@ -1,10 +1,12 @@
 """Main-text extraction by the maximum-scoring subsequence of a page's words and tags.
 
-A page is a sequence of words and tags. Words score by where they stand (their block and the nearest
-menu, advert, form and the like around them), tags score negative; the weights are smoothed log-odds
-from labelled pages. One linear scan finds the contiguous run with the greatest sum: the content
-region. Words inside it that stand in boilerplate (under a menu, advert and the like, unless labelled
-pages hold such words mostly in their content) are left out, the others are put together by blocks.
+A page is a sequence of words and tags. Words score by where they stand, tags score negative; the
+weights are smoothed log-odds from labelled pages, and one linear scan finds the contiguous run with the
+greatest sum: the content region. The labelled pages also teach which elements hold boilerplate: an
+element whose tag, class, id or role tokens stand almost only around words outside the content marks
+its words, which score negative and are left out of the region; a token of several parts that the
+labelled pages don't hold counts only if all its parts are known (so sidebar-box marks, share-price
+doesn't). The other words of the region are put together by blocks.
 
 Defined results: null, empty and wordless pages give an empty text; of equal sums the first and
 shortest run wins; unclosed and stray tags are tolerated; nothing is capped. Only page_id, url and
@@ -19,130 +21,157 @@ import random
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.common import arrow_schema, in_batches, sliced
 
-_RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|audio|video|textarea|select"
+#: Elements whose content is no text of the page; /> closes only the drawing.
+_RAW = "script|style|noscript|template|iframe|textarea"
+_ATTRS = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<svg(?=[\s/>])(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>/]|/(?!>))*+(?:/>|>.*?(?:</svg\s*>|\Z))|<[!?][^>]*>"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _TEXT = frozenset("p blockquote pre dd dt figcaption h1 h2 h3 h4 h5 h6".split())
-#: Elements that are boilerplate by their name, and words of class, id and role that mark others.
-_MARKS = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "button": "form", "fieldset": "form", "dialog": "notice", "head": "head", "title": "head"}
-_MARK_WORDS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar skip",
-    "header": "header masthead topbar contentinfo-top",
-    "footer": "footer foot copyright contentinfo colophon",
-    "side": "sidebar side aside widget widgets related recommended recommendations trending popular complementary",
-    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense dfp",
-    "notice": "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription paywall",
-    "form": "form search login signup share sharing social",
-    "comments": "comment comments respond reply replies disqus discussion reader-comments",
-}
-_NEGATIONS = ("has", "no", "with", "without")
-_BOILERPLATE = frozenset(f"w:{mark}" for mark in (*_MARKS.values(), *_MARK_WORDS))
-_MARK_OF = {word: mark for mark, words in _MARK_WORDS.items() for word in words.split()}
-
-
-def _mark(tag: str, attrs: str) -> str | None:
-    """What kind of boilerplate an element is, if any."""
-    if tag in ("body", "html", "article", "main"):
-        return None
-    if tag in _MARKS:
-        return _MARKS[tag]
-    for found in _ATTR.findall(attrs):
-        for name in "".join(found).lower().split():
-            words = re.split(r"[-_]+", name)
-            for word in (name, *(() if words[0] in _NEGATIONS else words)):
-                if word in _MARK_OF:
-                    return _MARK_OF[word]
-    return None
-
-
-def _boilerplate(stack: list[tuple[str, str | None]]) -> tuple[str | None, bool]:
-    """The nearest mark around a position, and whether it lies in an article.
-
-    What an article or main element stands in counts by its tag only: wrappers often have names like
-    page-sidebar. A header inside an article holds its heading.
-    """
-    inside = False
-    for tag, mark in reversed(stack):
-        if mark and not (mark == "header" and _later_article(stack)) and (not inside or tag in _MARKS):
-            return mark, inside
-        inside = inside or tag in ("article", "main")
-    return None, inside
+_INLINE = frozenset("b i em strong span a".split())
+#: Elements that hold the page or its article, whatever they are called.
+_OPEN = frozenset("html body main article".split())
+
+
+class Place(NamedTuple):
+    """An open element: whether its words are boilerplate, by any element or by one's tag alone, and what they stand in."""
+
+    tag: str
+    marked: bool
+    tag_marked: bool
+    in_article: bool
+    linked: bool
+    block: str
+    features: tuple[str, ...]
+
+
+_TOP = Place("", False, False, False, False, "body", ())
 
 
-def _later_article(stack: list[tuple[str, str | None]]) -> bool:
-    return any(tag in ("article", "main") for tag, _ in stack)
+def features(tag: str, attrs: str, in_article: bool) -> tuple[str, ...]:
+    """What labelled pages know of an element: its tag, and the tokens of its class, id and role."""
+    names = {name for found in _ATTR.findall(attrs) for name in "".join(found).lower().split()} if "=" in attrs else ()
+    return (f"tag:{tag}{'+' if in_article else ''}", *(f"name:{n}" for n in sorted(names)))
 
 
-def tokens(page: str) -> Iterator[tuple[int, str, str, bool]]:
-    """(offset, feature, text, is_block) of each word run and tag; text is empty for tags."""
-    stack: list[tuple[str, str | None]] = []
+def tokens(page: str, marks: Callable[[str], bool], seen: Callable[[list[Place], int, str], None] | None = None) -> Iterator[tuple[int, str, str, bool]]:
+    """(offset, feature, text, is_block) of each word run and tag; text is empty for tags.
+
+    marks() says whether a feature of an element makes it boilerplate. What an article stands in counts by
+    its tag only, as wrappers often have names like page-sidebar, and a header in it holds its heading.
+    """
+    stack: list[Place] = [_TOP]
+    count: Counter[str] = Counter()
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             text = html.unescape(text)
             if not text.strip():
                 yield m.start(), "", text, False
                 continue
-            mark, inside = _boilerplate(stack)
-            block = next((tag for tag, _ in reversed(stack) if tag in _BLOCK), "body")
-            if mark is None:
-                linked = any(tag == "a" for tag, _ in stack) and block not in _TEXT
-                mark = ("link" if linked else "text" if block in _TEXT else "cell" if block in ("li", "td", "th") else "div") + ("+" if inside else "")
-            yield m.start(), f"w:{mark}", text, False
+            top = stack[-1]
+            if seen:
+                seen(stack, m.start(), text)
+            if top.marked:
+                kind = "marked"
+            else:
+                kind = "link" if top.linked and top.block not in _TEXT else "text" if top.block in _TEXT else "cell" if top.block in ("li", "td", "th") else "div"
+                kind += "+" if top.in_article else ""
+            yield m.start(), f"w:{kind}", text, False
         elif m["raw"]:
             yield m.start(), f"t:{m['raw'].lower()}", "", False
         elif tag := (m["tag"] or "").lower():
             block = tag in _BLOCK
             if m["close"]:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                mark = None if depth is None else stack[depth][1]
-                if depth is not None:
-                    del stack[depth:]
+                marked = False
+                if count[tag]:
+                    while True:
+                        gone = stack.pop()
+                        count[gone.tag] -= 1
+                        if gone.tag == tag:
+                            marked = gone.marked
+                            break
             else:
-                mark = _mark(tag, m["attrs"] or "")
+                attrs = m["attrs"] or ""
                 if tag in ("article", "main", "body", "footer"):  # these end what was left open before
-                    while stack and stack[-1][0] not in ("html", "body", "main", "article", "div", "section"):
-                        stack.pop()
+                    while len(stack) > 1 and stack[-1].tag not in ("html", "body", "main", "article", "div", "section"):
+                        count[stack.pop().tag] -= 1
                 elif block:
-                    while stack and (stack[-1][0] == "p" or stack[-1][0] in ("b", "i", "em", "strong", "span", "a") and any(t == "p" for t, _ in stack)):
-                        stack.pop()
-                if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
-                    stack.append((tag, mark))
-            yield m.start(), f"t:{mark or tag}", " " if tag == "br" else "", block
+                    while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in _INLINE and count["p"]):
+                        count[stack.pop().tag] -= 1
+                top = stack[-1]
+                inside = top.in_article or tag in ("article", "main")
+                own = features(tag, attrs, inside)
+                if tag in _OPEN:
+                    marked = by_tag = top.tag_marked
+                else:
+                    by_tag = top.tag_marked or marks(own[0])
+                    marked = top.marked or by_tag or any(map(marks, own[1:])) and not (tag == "header" and inside)
+                if tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK):
+                    stack.append(Place(tag, marked, by_tag, inside, top.linked or tag == "a", tag if block else top.block, own if seen else ()))
+                    count[tag] += 1
+            yield m.start(), "t:marked" if marked else f"t:{tag}", " " if tag == "br" else "", block
 
 
 class Weights:
-    """Weights of features, as smoothed log-odds of lying in the content of labelled pages."""
+    """Weights of features, as smoothed log-odds of lying in the content of labelled pages.
+
+    rare: the share of an element's words in the content below which it holds boilerplate.
+    """
+
+    def __init__(self, pages: Sequence[tuple[str, Sequence[tuple[int, int]]]], rare: float = 0.012):
+        self.rare = rare
+        self.marks_of: dict[str, bool] = {}
+        # First which elements hold boilerplate, then, with these known, the weights of words and tags.
+        around, of_words = (Counter(), Counter()), (Counter(), Counter())
+
+        def count(counts: tuple[Counter, Counter], spans: Sequence[tuple[int, int]], at: int, names, text: str) -> None:
+            k = bisect_right(spans, (at, math.inf)) - 1
+            side = counts[0] if k >= 0 and at < spans[k][1] else counts[1]
+            for name in names:
+                side[name] += len(text.split()) or 1
 
-    def __init__(self, pages: Sequence[tuple[str, Sequence[tuple[int, int]]]]):
-        inside, outside = Counter(), Counter()
         for page, spans in pages:
-            starts = [a for a, _ in spans]
-            for at, feature, text, _ in (x for x in tokens(page) if x[1]):
-                k = bisect_right(starts, at) - 1
-                n = len(text.split()) or 1
-                (inside if k >= 0 and at < spans[k][1] else outside)[feature] += n
-        total_in, total_out = sum(inside.values()) + 1, sum(outside.values()) + 1
-        self.of: dict[str, float] = {}
-        for feature in inside.keys() | outside.keys():
-            odds = math.log((inside[feature] + 0.5) / total_in) - math.log((outside[feature] + 0.5) / total_out)
-            # Words of boilerplate weigh little, so that a long insertion doesn't cut an article in two.
-            self.of[feature] = max(-0.02, odds / 4) if feature[0] == "w" else min(-0.05, odds / 4)
+            for _ in tokens(page, lambda _: False, lambda stack, at, text, spans=spans: count(around, spans, at, {f for p in stack for n in p.features for f in _parts(n)}, text)):
+                pass
+        self.around = {f: (around[0][f] + 0.1) / (around[0][f] + around[1][f] + 0.1) for f in around[0].keys() | around[1].keys()}
+        for page, spans in pages:
+            for at, feature, text, _ in tokens(page, self.marks):
+                if feature:
+                    count(of_words, spans, at, [feature], text)
+        # Boilerplate weighs little, so that a long insertion doesn't cut an article in two.
+        self.of = {f: max(-0.02, odds / 4) if f[0] == "w" else max(-0.5, min(-0.05, odds / 4)) for f, odds in self._odds(of_words).items()}
+
+    @staticmethod
+    def _odds(counts: tuple[Counter, Counter]) -> dict[str, float]:
+        totals = [sum(c.values()) + 1 for c in counts]
+        return {f: math.log((counts[0][f] + 0.5) / totals[0]) - math.log((counts[1][f] + 0.5) / totals[1]) for f in counts[0].keys() | counts[1].keys()}
+
+    def marks(self, feature: str) -> bool:
+        """Whether the tag or a part of the name stands almost only around boilerplate, and all its parts are known."""
+        if (known := self.marks_of.get(feature)) is None:
+            found = [self.around.get(part) for part in _parts(feature)]
+            known = None not in found and min(found) < self.rare
+            if len(self.marks_of) > 100_000:
+                self.marks_of.clear()
+            self.marks_of[feature] = known
+        return known
 
     def word(self, feature: str) -> float:
         return self.of.get(feature, -0.02)
@@ -151,76 +180,127 @@ class Weights:
         return self.of.get(feature, -0.1)
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    """The blocks of the content region, joined by an empty line."""
-    found = list(tokens(page or ""))
+def _parts(feature: str) -> list[str]:
+    """The parts of a name, as names of their own; a tag is one."""
+    if feature[:5] != "name:":
+        return [feature]
+    return [f"name:{x}" for x in re.split(r"[-_]+", feature[5:]) if x] or [feature]
+
+
+def best_run(values: Sequence[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous run with the greatest sum: the first and shortest, (0, 0) if none is positive."""
     best, total, begin, span = 0.0, 0.0, 0, (0, 0)
-    for k, (_, feature, text, _) in enumerate(found):
-        if feature:
-            total += weights.word(feature) * len(text.split()) if feature[0] == "w" else weights.tag(feature)
+    for k, value in enumerate(values):
+        total += value
         if total <= 0:
             total, begin = 0.0, k + 1
         elif total > best:
             best, span = total, (begin, k + 1)
+    return span
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """The blocks of the content region, joined by an empty line."""
+    found = list(tokens(page or "", weights.marks))
+    span = best_run([0.0 if not feature else weights.word(feature) * len(text.split()) if feature[0] == "w" else weights.tag(feature) for _, feature, text, _ in found])
     blocks, now = [], []
     for _, feature, text, is_block in found[slice(*span)]:
         if is_block:
             blocks.append("".join(now))
             now = []
-        elif not feature or feature[0] == "t" or feature not in _BOILERPLATE or weights.word(feature) > 0:
+        elif feature != "w:marked":
             now.append(text)
     blocks.append("".join(now))
     return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+#: What the labelled pages call their elements: names of boilerplate by kind, names of content, and parts that both have.
+_NAMES = {
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar skip navegacion menü",
+    "header": "header masthead topbar banner brand kopfzeile",
+    "footer": "footer foot copyright contentinfo colophon fusszeile imprint",
+    "side": "sidebar side aside widget widgets related recommended recommendations trending popular complementary seitenleiste",
+    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion adsense dfp werbung anzeige publicite publicidad anuncio",
+    "notice": "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription paywall hinweis",
+    "form": "form search login signup share sharing social suche",
+    "comments": "comment comments respond reply replies disqus discussion reader kommentar kommentare commentaire commentaires comentario comentarios",
+}
+_CONTENT_NAMES = "content post entry article story body text lead intro summary chapter paragraph quote figure caption table note section main page hentry prose inhalt contenu contenido"
+_STRUCTURE = "box block wrapper wrap container list bar area panel inner outer top bottom left right site unit slot item items link links button group row col column grid primary secondary global 1 2 3"
+
+
+def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     """Small labelled pages of many layouts: (html, spans of the content)."""
     rng = random.Random(seed)
     words = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work government number night point home water room mother area money story fact month lot right study book eye job word business issue side kind head house service friend father power hour game line end member law car city community name".split()
+    content_names, structure = _CONTENT_NAMES.split(), _STRUCTURE.split()
 
     def say(a: int, b: int) -> str:
         return " ".join(rng.choice(words) for _ in range(rng.randint(a, b))).capitalize() + "."
 
     def links(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{say(1, 3)}</a></li>' for i in range(k)) + "</ul>"
-
-    def attr(mark: str) -> str:
-        return f'{rng.choice(("class", "id"))}="{rng.choice(_MARK_WORDS[mark].split())}"'
+        return f"<ul{named(structure)}>" + "".join(f'<li><a href="/{i}">{say(1, 3)}</a></li>' for i in range(k)) + "</ul>"
+
+    def named(names: list[str], always: bool = False) -> str:
+        """A class, id or role from the names, alone or with a part of structure."""
+        if not always and rng.random() < 0.5:
+            return ""
+        name = rng.choice(names)
+        if rng.random() < 0.5:
+            name = rng.choice((f"{name}-{rng.choice(structure)}", f"{rng.choice(structure)}-{name}", f"{name}_{rng.choice(structure)}"))
+        return f' {rng.choice(("class", "id", "class"))}="{name}{rng.choice(("", " " + rng.choice(structure)))}"'
+
+    def attr(kind: str) -> str:
+        return named(_NAMES[kind].split(), always=True)
+
+    def inline() -> str:
+        tag = rng.choice("b i em strong span u s small sub sup mark time abbr cite q kbd var del ins code label a".split())
+        return f"<{tag}{' href=/x' if tag == 'a' else ''}>{say(1, 4)}</{tag}>"
+
+    def content() -> str:
+        at = named([*content_names, *structure])
+        return rng.choice((
+            lambda: f"<h{(k := rng.randint(2, 6))}{at}>{say(2, 6)}</h{k}><p>{say(3, 9)} <a href=/y>{say(2, 9)}</a></p>",
+            lambda: f"<{(k := rng.choice(('ul', 'ol')))}>" + "".join(f"<li>{say(4, 14)} {inline()}</li>" for _ in range(3)) + f"</{k}>",
+            lambda: f"<blockquote{at}><p>{say(6, 30)}</p></blockquote><pre>{say(5, 20)}</pre>",
+            lambda: f"<table{at}><caption>{say(2, 4)}</caption><thead><tr><th>{say(1, 2)}</th></tr></thead><tbody><tr><td>{say(2, 6)} {inline()}</td></tr></tbody></table>",
+            lambda: f"<div{at}>{say(8, 30)} {inline()}</div><section{at}>{say(3, 9)} <a href=/u>{say(1, 3)}</a></section>",
+            lambda: f"<dl><dt>{say(1, 3)}</dt><dd>{say(4, 12)}</dd></dl><figure{at}><img src=x><object>{say(1, 3)}</object><audio>{say(1, 3)}</audio><video>{say(1, 3)}</video><canvas>{say(1, 2)}</canvas><figcaption>{say(4, 10)}</figcaption></figure>",
+            lambda: f"<details><summary>{say(2, 5)}</summary><p>{say(8, 20)} <math><mi>{say(1, 1)}</mi></math></p></details><address>{say(3, 6)}</address><center>{say(3, 9)}</center>",
+        ))()
 
     out = []
     for _ in range(n):
-        parts: list[tuple[str, bool]] = [(f"<html><head><title>{say(3, 8)}</title><style>p{{}}</style></head><body>", False)]
+        parts: list[tuple[str, bool]] = [(f"<html><head><title>{say(3, 8)}</title><style>p{{}}</style></head><body{named([*structure, *content_names])}>", False)]
         before = [
-            f"<header><h1>{say(1, 3)}</h1>{links(3)}</header>", f"<nav>{links(rng.randint(3, 8))}</nav>", f"<div {attr('menu')}>{links(5)}</div>",
-            f"<div {attr('ad')}>{say(4, 15)}</div>", f"<div {attr('notice')}><p>{say(6, 25)}</p><button>{say(1, 2)}</button></div>",
-            f"<form><label>{say(1, 3)}</label><input name=q></form>", f"<div>{links(6)}</div>", f"<div {attr('header')}>{say(2, 6)}</div>",
+            f"<header{named(structure)}><h1>{say(1, 3)}</h1>{links(3)}</header>", f"<nav>{links(rng.randint(3, 8))}</nav>", f"<div{attr('menu')}>{links(5)}</div>", f"<ul{attr('menu')}><li><a href=/>{say(1, 2)}</a></li></ul>",
+            f"<div{attr('ad')}>{say(4, 15)}</div>", f"<div{attr('notice')}><p>{say(6, 25)}</p><button>{say(1, 2)}</button></div>", f"<dialog open><p>{say(5, 15)}</p></dialog><menu><li>{say(1, 2)}</li></menu>",
+            f"<form><label>{say(1, 3)}</label><input name=q><select><option>{say(1, 2)}</option><option>{say(1, 2)}</option></select><fieldset><legend>{say(1, 2)}</legend></fieldset><button>{say(1, 1)}</button></form>", f"<div>{links(6)}</div>", f"<div{attr('header')}>{say(2, 6)}</div>",
         ]
         after = [
-            f"<aside><h3>{say(1, 3)}</h3>{links(5)}<p>{say(5, 20)}</p></aside>", f"<div {attr('side')}><p>{say(5, 30)}</p>{links(4)}</div>",
-            f"<section {attr('comments')}><h3>{say(1, 2)}</h3>" + "".join(f"<p>{say(5, 25)}</p>" for _ in range(rng.randint(1, 6))) + "</section>",
-            f"<footer>&copy; {say(3, 12)}</footer>", f"<div {attr('footer')}><p>{say(3, 12)}</p></div>", f"<form><p>{say(3, 9)}</p><button>{say(1, 1)}</button></form>",
+            f"<aside><h3>{say(1, 3)}</h3>{links(5)}<p>{say(5, 20)}</p></aside>", f"<div{attr('side')}><h4>{say(1, 2)}</h4><p>{say(5, 30)}</p>{links(4)}</div>",
+            *[f"<{tag}{attr('comments')}><h3>{say(1, 2)}</h3>" + "".join(f"<p>{say(5, 25)}</p>" for _ in range(rng.randint(1, 6))) + f"</{tag}>" for tag in ("section", "div", "ol")],
+            f"<footer>&copy; {say(3, 12)}</footer>", f"<div{attr('footer')}><p>{say(3, 12)}</p></div>", f"<form><p>{say(3, 9)}</p><button>{say(1, 1)}</button></form>", f"<div{attr('form')}>{say(1, 8)}</div>",
         ]
-        parts += [(x, False) for x in rng.sample(before, rng.randint(1, 4))]
-        open_, close = rng.choice((("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div><div>", "</div></div>"), ("<article>", "</article>")))
-        parts.append((f"{open_}<h1>{say(3, 9)}</h1>", True))
+        parts += [(x, False) for x in rng.sample(before, rng.randint(1, 5))]
+        open_, close = rng.choice((("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), (f"<div{named(content_names, True)}>", "</div>"), (f"<section{named(content_names, True)}>", "</section>"), ("<div><div>", "</div></div>"), (f"<article{named(content_names)}>", "</article>")))
+        title = f"<h1>{say(3, 9)}</h1>"
+        parts.append((f"{open_}{f'<header>{title}</header>' if 'article' in open_ and rng.random() < 0.4 else title}", True))
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
-            if kind < 0.7:
-                parts.append((f"<p>{say(8, 70)} <b>{say(1, 4)}</b> <a href='/x'>{say(1, 4)}</a></p>", True))
-            elif kind < 0.8:
-                parts.append((f"<h2>{say(2, 6)}</h2>", True))
-            elif kind < 0.86:
-                parts.append(("<ul>" + "".join(f"<li>{say(4, 14)} <a href='/y'>{say(1, 4)}</a></li>" for _ in range(3)) + "</ul>", True))
-            elif kind < 0.9:
-                parts.append((f"<blockquote>{say(6, 30)}</blockquote><table><tr><td>{say(2, 6)} <a href='/z'>{say(1, 3)}</a></td></tr></table><div>{say(8, 30)} <a href='/w'>{say(1, 4)}</a></div>", True))
+            if kind < 0.6:
+                parts.append((f"<p{named([*content_names, *structure])}>{say(8, 70)} {inline()}</p>", True))
+            elif kind < 0.85:
+                parts.append((content(), True))
             else:
-                parts.append((f"<div {attr(rng.choice(('ad', 'notice', 'form', 'side')))}>{say(3, 14)}</div>", False))
+                inserted = rng.choice(("ad", "notice", "form", "side", "menu", "comments"))
+                parts.append((rng.choice((f"<div{attr(inserted)}>{say(3, 14)}</div>", f"<p{attr(inserted)}>{say(3, 14)}</p>", f"<aside><p>{say(3, 14)}</p></aside>", f"<nav>{links(2)}</nav>", f"<form><p>{say(2, 5)}</p><select><option>{say(1, 2)}</option></select><button>{say(1, 1)}</button></form>", f"<footer>{say(2, 8)}</footer>")), False))
         parts.append((close, True))
-        parts += [(x, False) for x in rng.sample(after, rng.randint(1, 4))]
+        parts += [(x, False) for x in rng.sample(after, rng.randint(1, 5))]
         parts.append(("</body></html>", False))
         page, spans = "", []
-        for text, content in parts:
-            if content:
+        for text, is_content in parts:
+            if is_content:
                 spans.append((len(page), len(page) + len(text)))
             page += text
         out.append((page, spans))

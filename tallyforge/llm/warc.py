@@ -46,14 +46,18 @@ def digest(data: bytes) -> str:
     return f"sha256:{hashlib.sha256(data).hexdigest()}"
 
 
+#: The elements whose words a page doesn't show.
+_HEAD = frozenset(("tag:head", "tag:title")).__contains__
+
+
 def visible_text(page: str) -> str:
     """All text of a page but scripts, styles and head, one line per block."""
     lines, now = [], []
-    for _, feature, text, is_block in tokens(page):
+    for _, feature, text, is_block in tokens(page, _HEAD):
         if is_block:
             lines.append("".join(now))
             now = []
-        elif feature != "w:head":
+        elif feature != "w:marked":
             now.append(text)
     lines.append("".join(now))
     return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)

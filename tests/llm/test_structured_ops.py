@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import time
 import uuid
 
 import pytest
@@ -135,7 +136,53 @@ def test_html_edges(spark):
 
 def test_html_weights_are_signed():
     weights = hx.Weights(hx.labelled_pages())
-    assert all(v < 0 for f, v in weights.of.items() if f[0] == "t") and weights.word("w:text+") > 0 and weights.word("w:menu") < 0
+    assert all(v < 0 for f, v in weights.of.items() if f[0] == "t") and weights.word("w:text+") > 0 and weights.word("w:marked") < 0
+
+
+SAID = "many words of the story stand here so that it is long enough to be found"
+
+
+@pytest.mark.parametrize("name", "share-price side-effects related-work banner-year comment-on-ruling form-factor social-policy".split())
+def test_html_names_of_content_that_hold_a_word_of_boilerplate(name):
+    page = f"<body><nav><a href=/>Home</a></nav><article><p>{SAID}</p><p class='{name}'>It stays</p><p>{SAID}</p></article><div id='kommentare'><p>Sehr schön</p></div></body>"
+    assert hx.extract(page, hx.Weights(hx.labelled_pages())) == f"{SAID}\n\nIt stays\n\n{SAID}"
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<p title=don't>hello", "hello"), ("<script src=x/>var a='secret code';</script><p>hello", "hello"), ("<p data-x='a>b' title=\"c>d\">hello</p>", "hello"), ("<svg/><p>hello</p><svg><title>x</title></svg>", "hello"),
+        ("<article><p>hello you</p><math><mi>x</mi></math> <audio>sound</audio><form><select><option>no</option></select><textarea><p>no</textarea></form></article>", "hello you\n\nx sound"),
+        ("<!--><p>hello</p>", "hello"), ("<p>hello <!-- a --!> you</p>", "hello you"),
+    ],
+)
+def test_html_rules(page, expected):
+    assert hx.extract(page, hx.Weights(hx.labelled_pages())) == expected
+
+
+def test_html_is_linear_in_depth():
+    weights = hx.Weights(hx.labelled_pages())
+    deep = "<div>" * 100_000
+    start = time.process_time()
+    assert hx.extract(f"{deep}word here", weights) == "word here"
+    assert hx.extract(f"{deep}{'<p>word</p></b>' * 2000}", weights).count("word") == 2000
+    assert time.process_time() - start < 8
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-5, 5), max_size=25))
+def test_best_run_by_brute_force(values):
+    sums = {(a, b): sum(values[a:b]) for a in range(len(values)) for b in range(a + 1, len(values) + 1)}
+    a, b = hx.best_run(values)
+    top = max(sums.values(), default=0)
+    assert sums.get((a, b), 0) == max(0, top) and ((a, b) == (0, 0)) == (top <= 0)
+
+
+def test_html_empty_repeated_and_clashing(spark):
+    rows = [(1, "u", f"<article><p>{SAID}</p></article>", "a", 5)] * 3
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    assert hx.extract_pages(spark, pages.filter("false")).count() == 0
+    assert [tuple(r) for r in hx.extract_pages(spark, pages).collect()] == [(1, "u", SAID, len(SAID))] * 3
 
 
 # URLs
