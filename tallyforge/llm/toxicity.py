@@ -3,16 +3,18 @@
 Each class has its own interpolated Kneser-Ney model at full history (up to order-1 characters, from
 the word's start); below it both share one Kneser-Ney backoff whose continuation counts come from all
 training texts. An expression that neither class has seen costs both the same, so rare words weigh
-nothing, while rare forms of a toxic stem are recognised by their first characters. A text's value is
-the excess of the toxic log-likelihood over the ordinary one, summed over the words where it is more
-than `margin` nats (smaller differences are the noise of small counts) and divided by all its words;
-logistic calibration on training documents that the counts leave out turns it into a score.
+nothing, while rare forms of a toxic stem are recognised by their first characters. A toxic document is
+ordinary text with some toxic expressions: its words come from the toxic class's model with probability
+`share` and from the ordinary one's else. A text's value is the difference of its two length-normalised
+log-likelihoods, toxic less ordinary; logistic calibration on training documents that the counts leave
+out turns it into a score.
 
 Labels are learnt from at most `max_per_class` documents of each class (those with the smallest id
 hash); counting runs on the executors, and the tables hold every character sequence of those documents.
 
 Defined results: null, empty and wordless texts have value 0 and get the calibrated score of 0;
-repeated rows get equal scores; without training rows of both classes every score is the share of
+repeated rows get equal scores; a document counts once for each of its label rows, and one with labels of
+both kinds counts in both classes; without training rows of both classes every score is the share of
 toxic labels (0 if none); a null doc_id is not held out. Only the named columns are read.
 """
 
@@ -22,7 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,72 +49,12 @@ def _grams(word: str, order: int) -> Iterator[str]:
         yield padded[max(0, i - order + 1) : i + 1]
 
 
-class KneserNeyPair:
-    """Log-likelihood ratio of two classes; counts[c] maps a history with its next character to a count."""
-
-    def __init__(self, counts: tuple[dict[str, int], dict[str, int]], order: int):
-        self.order = order
-        self._backoff(counts)
-        classes = [self._class(c) for c in counts]
-        self.shift = {h: classes[1][2].get(h, 0.0) - classes[0][2].get(h, 0.0) for h in classes[0][2].keys() | classes[1][2].keys()}
-        self.ratio: dict[str, float] = {}
-        for c in counts:
-            for gram in c:
-                if gram not in self.ratio:
-                    base, h = self._shared(gram[1:]), gram[:-1]
-                    logs = [math.log(max(n.get(gram, 0) - d, 0) / total[h] + math.exp(low[h]) * base if h in low else base) for n, (d, total, low) in zip(counts, classes, strict=True)]
-                    self.ratio[gram] = logs[1] - logs[0]
-        del self._low, self._total, self._kinds, self._memo
-
-    @staticmethod
-    def _class(counts: dict[str, int]) -> tuple[float, Counter, dict[str, float]]:
-        """Discount, counts of histories, and the log weight of their backoff."""
-        ones, twos = (sum(1 for n in counts.values() if n == k) for k in (1, 2))
-        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-        total, kinds = Counter(), Counter()
-        for gram, n in counts.items():
-            total[gram[:-1]] += n
-            kinds[gram[:-1]] += 1
-        return d, total, {h: math.log(d * kinds[h] / n) for h, n in total.items()}
-
-    def _backoff(self, counts: tuple[dict[str, int], dict[str, int]]) -> None:
-        """Continuation counts: how many different characters stand before a history and its next one."""
-        self._low: Counter[str] = Counter()
-        level: set[str] | None = None
-        while level is None or level:
-            shorter: Counter[str] = Counter()
-            first = (g for k, c in enumerate(counts) for g in c if not k or g not in counts[0])
-            for gram in first if level is None else level:
-                if len(gram) > 1:
-                    shorter[gram[1:]] += 1
-            self._low.update(shorter)
-            level = {g for g in shorter if len(g) > 1}
-        self._total: Counter[str] = Counter()
-        self._kinds: Counter[str] = Counter()
-        for gram, n in self._low.items():
-            self._total[gram[:-1]] += n
-            self._kinds[gram[:-1]] += 1
-        self._memo: dict[str, float] = {}
-
-    def _shared(self, gram: str, d: float = 0.75) -> float:
-        if (found := self._memo.get(gram)) is None:
-            below = self._shared(gram[1:]) if len(gram) > 1 else 1e-4
-            total = self._total.get(gram[:-1], 0)
-            found = below if not total else (max(self._low.get(gram, 0) - d, 0) + d * self._kinds[gram[:-1]] * below) / total
-            if len(gram) < self.order - 1:  # longer ones are asked for once or twice
-                self._memo[gram] = found
-        return found
-
-    def word(self, word: str) -> float:
-        get, shift = self.ratio.get, self.shift.get
-        value = 0.0
-        for gram in _grams(word, self.order):
-            got = get(gram)
-            value += shift(gram[:-1], 0.0) if got is None else got
-        return value
+_A, _B = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+def _hashed(sums: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    out = (sums + np.asarray(sizes).astype(np.uint64)) * _A
+    return (out ^ (out >> np.uint64(32))) * _A
 
 
 def _tails(points: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
@@ -122,31 +64,67 @@ def _tails(points: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
     for j in range(longest):
         ok = np.flatnonzero(at - start >= j)
         out[ok] += points[ok - j] * np.uint64(pow(_B, j, 1 << 64))
-    out = (out + np.minimum(at - start + 1, longest).astype(np.uint64)) * _A
-    return (out ^ (out >> np.uint64(32))) * _A
+    return _hashed(out, np.minimum(at - start + 1, longest))
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
 
 
-class Ratios:
-    """A pair's tables as sorted 64-bit hashes and values: a few bytes an entry, looked up many at a time."""
+class KneserNeyPair:
+    """Log-likelihood ratio of two classes; counts[c] says how often each gram stands in class c.
+
+    A gram is a history with its next character; grams are distinct. The tables are sorted 64-bit hashes
+    of grams and of histories with their values: a few bytes an entry, looked up many at a time.
+    """
 
-    def __init__(self, pair: KneserNeyPair):
-        self.order = pair.order
-        self.grams, self.ratio = self._sorted(pair.ratio)
-        self.histories, self.shift = self._sorted(pair.shift)
+    def __init__(self, grams: Sequence[str], counts: np.ndarray, order: int):
+        self.order = order
+        if not len(grams):
+            self.grams = self.histories = np.zeros(0, np.uint64)
+            self.ratio = self.shift = np.zeros(0, np.float32)
+            return
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        points, ends = _points("".join(grams)), np.cumsum(sizes)
+        gram, history, shared = self._shared(points, ends, sizes)
+        histories, of = np.unique(history, return_inverse=True)
+        logs, shift = [], np.zeros(len(histories))
+        for n, sign in zip(np.asarray(counts, float), (-1, 1), strict=True):
+            ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
+            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            total, kinds = np.bincount(of, n), np.bincount(of, n > 0)
+            seen = total > 0
+            total = np.maximum(total, 1)
+            weight = np.where(seen, d * kinds / total, 1.0)  # of the backoff: all of it after unseen histories
+            logs.append(np.log(np.maximum(n - d, 0) / total[of] + weight[of] * shared))
+            shift += sign * np.log(weight)
+        at = np.argsort(gram)
+        self.grams, self.ratio = gram[at], (logs[1] - logs[0])[at].astype(np.float32)
+        self.histories, self.shift = histories, shift.astype(np.float32)
 
-    def _sorted(self, values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, keys = np.zeros(len(values), np.uint64), list(values)
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            ends = np.cumsum([len(x) for x in part])
-            sizes = np.diff(ends, prepend=0)
-            hashes[k : k + len(part)] = _tails(_points("".join(part)), np.repeat(ends - sizes, sizes), self.order)[ends - 1]
-        order = np.argsort(hashes)
-        return hashes[order], np.fromiter(values.values(), np.float32, len(values))[order]
+    @staticmethod
+    def _shared(points: np.ndarray, ends: np.ndarray, sizes: np.ndarray, d: float = 0.75) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of grams and their histories, and the probability that the backoff gives to each gram
+        without its first character.
+
+        Continuation counts say how many different characters stand before a history and its next one,
+        in all grams and their endings; lower orders are interpolated from single characters upwards.
+        """
+        sums, before = points[ends - 1].copy(), np.zeros(len(ends), np.uint64)
+        shared = np.full(len(ends), 1e-4)
+        for size in range(1, int(sizes.max())):  # the grams' proper endings of this size
+            some = np.flatnonzero(sizes > size)
+            ending, history = _hashed(sums[some], size), _hashed(before[some], size - 1)
+            further = points[ends[some] - 1 - size]
+            sums[some] += further * np.uint64(pow(_B, size, 1 << 64))
+            before[some] += further * np.uint64(pow(_B, size - 1, 1 << 64))
+            _, one = np.unique(_hashed(sums[some], size + 1), return_index=True)
+            _, first, which = np.unique(ending, return_index=True, return_inverse=True)
+            low = np.bincount(which[one], minlength=len(first))
+            _, of = np.unique(history[first], return_inverse=True)
+            total, kinds = np.bincount(of, low), np.bincount(of)
+            shared[some] = (np.maximum(low[which] - d, 0) + d * kinds[of[which]] * shared[some]) / total[of[which]]
+        return _hashed(sums, sizes), _hashed(before, sizes - 1), shared
 
     @staticmethod
     def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +134,7 @@ class Ratios:
         return keys[at] == wanted, values[at]
 
     def words(self, words: list[str]) -> np.ndarray:
-        """The log-likelihood ratio of each word; the same as KneserNeyPair.word()."""
+        """The log-likelihood ratio of each word."""
         if not words:
             return np.zeros(0)
         points = _points("".join(f"^{w}$" for w in words))
@@ -170,27 +148,27 @@ class Ratios:
 
 
 class _Values(dict):
-    """Remembered excess of words."""
+    """Remembered differences of words' log-likelihoods in toxic and in ordinary documents."""
 
-    def __init__(self, ratios: Ratios, margin: float = 4.0):
+    def __init__(self, pair: KneserNeyPair, share: float):
         super().__init__()
-        self.ratios, self.margin = ratios, margin
+        self.pair, self.logs = pair, (math.log1p(-share), math.log(share))
 
     def texts(self, texts: list[str | None]) -> list[tuple[float, int]]:
-        """Length-normalised excess and words of each text."""
+        """Difference of the length-normalised log-likelihoods, and words, of each text."""
         if len(self) > _WORDS:
             self.clear()
         split = [words_of(t) for t in texts]
         new = list(set().union(*split).difference(self)) if split else []
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            self.update(zip(part, np.maximum(0, self.ratios.words(part) - self.margin).tolist(), strict=True))
+            self.update(zip(part, np.logaddexp(self.logs[0], self.logs[1] + self.pair.words(part)).tolist(), strict=True))
         return [(sum(map(self.__getitem__, words)) / len(words) if words else 0.0, len(words)) for words in split]
 
 
 def _features(value: float) -> tuple[float, float]:
-    """Intercept, and the length-normalised value on a scale of orders of magnitude."""
-    return 1.0, math.log1p(100 * value)
+    """Intercept, and the value on a scale of orders of magnitude."""
+    return 1.0, math.copysign(math.log1p(100 * abs(value)), value)
 
 
 def _count_grams(order: int):
@@ -211,9 +189,9 @@ def _count_grams(order: int):
     return run
 
 
-def _measure(held):
+def _measure(held, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, schema = _Values(held.value), arrow_schema("label int, value double, n int")
+        values, schema = _Values(held.value, share), arrow_schema("label int, value double, n int")
         for batch in sliced(batches):
             found = values.texts(batch.column("text").to_pylist())
             yield from in_batches(((y, *x) for y, x in zip(batch.column("toxic").to_pylist(), found, strict=True)), schema)
@@ -235,20 +213,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
 
 
 class ToxicityModel:
-    """What fit() learns: the ratios of the language models and the calibration."""
+    """What fit() learns: the pair of language models, the share of toxic words and the calibration."""
 
-    def __init__(self, ratios: Ratios | None, beta: np.ndarray):
-        self.ratios, self.beta = ratios, beta
+    def __init__(self, pair: KneserNeyPair | None, share: float, beta: np.ndarray):
+        self.pair, self.share, self.beta = pair, share, beta
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 1600) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8, max_per_class: int = 1600, share: float = 0.002) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id as text) mod 5 is not 0; remainder 1 calibrates."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).filter("fold <> 0 and toxic in (0, 1)")
     totals = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = totals.get(1, 0) / max(1, sum(totals.values()))
+    prior = totals.get(1, 0) / max(1, sum(totals.values()))
     if len(totals) < 2:
-        return ToxicityModel(None, np.array([math.log(max(share, 1e-12) / max(1 - share, 1e-12))]))
+        return ToxicityModel(None, share, np.array([math.log(max(prior, 1e-12) / max(1 - prior, 1e-12))]))
     chosen = None
     for label in (0, 1):
         part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
@@ -259,23 +237,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8,
         .mapInArrow(_count_grams(order), "label int, gram string, n bigint")
         .groupBy("gram").agg(*(F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"n{k}") for k in (0, 1)))
     )
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for batch in counted.toArrow().to_batches(max_chunksize=20_000):
-        for gram, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for found, n in zip(counts, both, strict=True):  # the classes share the strings
-                if n is not None:
-                    found[gram] = n
-    pair = Ratios(KneserNeyPair(counts, order))
-    del counts
+    grams = counted.toArrow()
+    pair = KneserNeyPair(grams.column("gram").to_pylist(), np.array([grams.column(c).fill_null(0).to_numpy() for c in ("n0", "n1")]), order)
     held = spark.sparkContext.broadcast(pair)
-    measured = texts.filter("fold = 1").select("toxic", "text").mapInArrow(_measure(held), "label int, value double, n int").toArrow().to_pydict()
+    measured = texts.filter("fold = 1").select("toxic", "text").mapInArrow(_measure(held, share), "label int, value double, n int").toArrow().to_pydict()
     y = np.array(measured["label"], float)
     if len(set(measured["label"])) < 2:
-        return ToxicityModel(pair, np.array([math.log(share / (1 - share)), 1.0]))
+        return ToxicityModel(pair, share, np.array([math.log(prior / (1 - prior)), 1.0]))
     x = np.array([_features(v) for v in measured["value"]])
     drawn = np.array([(y == 0).sum(), (y == 1).sum()])
-    weight = np.where(y == 1, share / drawn[1], (1 - share) / drawn[0]) * len(y)
-    return ToxicityModel(pair, _logistic(x, y, weight))
+    weight = np.where(y == 1, prior / drawn[1], (1 - prior) / drawn[0]) * len(y)
+    return ToxicityModel(pair, share, _logistic(x, y, weight))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -288,8 +260,8 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, carry: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembers("toxicity", lambda: None)
-        ratios, beta = held.value.ratios, held.value.beta
-        values = _Values(ratios) if ratios else None
+        pair, beta = held.value.pair, held.value.beta
+        values = _Values(pair, held.value.share) if pair else None
         for batch in sliced(batches):
             ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()

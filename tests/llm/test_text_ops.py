@@ -368,13 +368,57 @@ def test_toxicity_keeps_every_gram(spark):
     model = tx.fit(spark, docs, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int"))
     learnt = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 > 1]
     grams = {g for t in learnt for w in tx.words_of(t) for g in tx._grams(w, 8)}
-    assert len(model.ratios.grams) == len(grams)
+    assert len(model.pair.grams) == len(grams)
+
+
+def slow_kneser_ney(counts, order):
+    """Log-likelihood ratio of a word from two interpolated Kneser-Ney models, by definition."""
+    endings = {g[k:] for c in counts for g in c for k in range(len(g))}
+
+    def shared(gram):  # over continuation counts: different characters before a string
+        before = lambda x: len({e for e in endings if len(e) == len(x) + 1 and e[1:] == x})
+        below = shared(gram[1:]) if len(gram) > 1 else 1e-4
+        next_ = {e[-1] for e in endings if len(e) == len(gram) and e[:-1] == gram[:-1] and before(e)}
+        total = sum(before(gram[:-1] + c) for c in next_)
+        return (max(before(gram) - 0.75, 0) + 0.75 * len(next_) * below) / total if total else below
+
+    def chance(c, gram):
+        ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        after = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        base = shared(gram[1:])
+        return (max(c.get(gram, 0) - d, 0) + d * len(after) * base) / sum(after.values()) if after else base
+
+    return lambda word: sum(np.log(chance(counts[1], g) / chance(counts[0], g)) for g in tx._grams(word, order))
+
+
+def pair_of(counts, order):
+    grams = sorted(counts[0].keys() | counts[1].keys())
+    return tx.KneserNeyPair(grams, np.array([[c.get(g, 0) for g in grams] for c in counts]), order)
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_kneser_ney_by_definition(order):
+    rng = random.Random(order)
+    say = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 6)))
+    for _ in range(6):
+        counts = tuple(dict(Counter(g for _ in range(rng.choice((0, 3, 25))) for g in tx._grams(say(), order))) for _ in range(2))
+        words = [say() for _ in range(12)]
+        slow = slow_kneser_ney(counts, order)
+        assert pair_of(counts, order).words(words) == pytest.approx([slow(w) for w in words], abs=1e-4)
 
 
 def test_kneser_ney_prefers_the_class_of_a_word():
     words = ["banana", "bandana", "cabana", "zvuq"]
-    counts = tuple({g: n for g, n in Counter(g for w in part for g in tx._grams(w, 4)).items()} for part in (words[:3], words[3:]))
-    pair = tx.KneserNeyPair(counts, 4)
-    assert pair.word("zvuq") > 2 > 0 > pair.word("banana")
-    words = ["zvuq", "banana", "€", "zvuqana", "ban", "a"]
-    assert tx.Ratios(pair).words(words) == pytest.approx([pair.word(w) for w in words], abs=1e-4)
+    counts = tuple(dict(Counter(g for w in part for g in tx._grams(w, 4))) for part in (words[:3], words[3:]))
+    toxic, plain = pair_of(counts, 4).words(["zvuq", "banana"])
+    assert toxic > 2 > 0 > plain
+
+
+def test_toxicity_long_repeated_and_twice_labelled(spark):
+    docs, labels, _ = toxic_tables(spark, 200)
+    long = spark.createDataFrame([(900, "bana " * 300_000, "x"), (901, "bana " * 300_000 + "zvuqte zvuqno " * 60_000, "x"), (900, "bana " * 300_000, "x")], "doc_id bigint, text string, toxic string")
+    twice = labels.unionByName(labels.filter("doc_id = 7")).unionByName(spark.createDataFrame([(8, 1)], "doc_id bigint, toxic int"))
+    rows = tx.score(spark, docs.unionByName(long), tx.fit(spark, docs, twice)).collect()
+    got = [(r.doc_id, r.predicted) for r in rows if r.doc_id in (900, 901)]
+    assert sorted(got) == [(900, 0), (900, 0), (901, 1)]
