@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import merge as U
 from tallyforge.operators import quality as Q
 from tallyforge.operators import relational as R
+from tallyforge.session import shared_folder
 from tallyforge.session import table as t
 from tallyforge.sources.readers import normalize_url, parse_page
 
@@ -165,8 +166,7 @@ def missing_state_stream(s: SparkSession, d: str) -> DataFrame:
 
     from tallyforge.streaming.missing import stream_missing_states
 
-    root = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tallyforge"
-    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     schema = t(s, d, "events").schema
     path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
     whole = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
