@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from itertools import zip_longest
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -19,11 +21,14 @@ UNITS = ("cm", "db", "g", "hz", "kg", "kw", "m", "min", "mm", "nm", "rpm", "w")
 ACCESSORY_NOUNS = "адаптер блок вставка губка губки держатель контроллер кронштейн насадка опора патрон переходник подставка приспособление пульт ручка стол цанга цанги".split()
 FITS = ("для", "к", "под")
 
+#: The patterns of a title's words, and of a model written as letters, a gap and digits.
+WORD = r"[a-zа-яё0-9]+(?:[-./×xх][a-zа-яё0-9]+)*"
+SPACED = r"\b([a-zа-я]{1,12})[ -]+(\d{2,})(?:[ -]+([a-zа-я]{1,12}))?\b"
+
 _LATIN = str.maketrans(LOOK_ALIKES[0] + "×", LOOK_ALIKES[1] + "x")
 _HYPHEN = str.maketrans({c: "-" for c in DASHES})
-_TOKEN = re.compile(r"[a-zа-яё0-9]+(?:[-./×xх][a-zа-яё0-9]+)*", re.I)
-_SPACED = re.compile(r"\b([a-zа-я]{1,12})[ -]+(\d{2,})(?:[ -]+([a-zа-я]{1,12}))?\b", re.I)
-_LETTER, _DIGIT = re.compile("[a-zа-я]"), re.compile(r"\d")
+_WORD, _SPACED = re.compile(WORD, re.I), re.compile(SPACED, re.I)
+_CODED = re.compile(r"(?=.*[a-zа-я])(?=.*\d)")
 
 
 def folded(text: str | None) -> str:
@@ -36,64 +41,81 @@ def packed(text: str) -> str:
     return re.sub("[^a-zа-я0-9]", "", folded(text).translate(_LATIN))
 
 
+class Word(NamedTuple):
+    """A word of a title, where it begins, and its compact form; one with a letter and a digit is a code."""
+
+    start: int
+    text: str
+    form: str
+
+    @property
+    def is_code(self) -> bool:
+        return _CODED.match(self.form) is not None
+
+    @property
+    def is_family(self) -> bool:
+        """Capitals that stand before a code and belong to it."""
+        return re.fullmatch("[A-Z]{1,6}", self.text) is not None and self.form not in UNITS
+
+    @property
+    def as_suffix(self) -> str:
+        """What it adds to a code before it, as the name of an execution or as one or two capitals."""
+        low = folded(self.text)
+        named = low in QUALIFIERS or (low not in UNITS and re.fullmatch("[A-Z]{1,2}", self.text))
+        return packed(self.text) if named else ""
+
+
 class Title:
-    """A title's words with their compact forms; a word is a model if it has a letter and a digit."""
+    """A title's words, and the models that they spell."""
 
     def __init__(self, text: str | None):
-        self.text = text or ""
-        self.words = _TOKEN.findall(unicodedata.normalize("NFKC", self.text).translate(_HYPHEN))
-        self.forms = [packed(w) for w in self.words]
+        self.plain = unicodedata.normalize("NFKC", text or "")
+        self.words = [Word(m.start(), m[0], packed(m[0])) for m in _WORD.finditer(self.plain.translate(_HYPHEN))]
 
-    def is_model(self, k: int) -> bool:
-        return bool(_LETTER.search(self.forms[k]) and _DIGIT.search(self.forms[k]))
+    def codes(self) -> list[tuple[int, str]]:
+        """Index of each code and its form with a suffix."""
+        followed = zip_longest(self.words, self.words[1:])
+        return [(k, word.form + (after.as_suffix if after else "")) for k, (word, after) in enumerate(followed) if word and word.is_code]
 
     @staticmethod
-    def suffix_of(word: str) -> str:
-        """What a following word adds to a model: an execution word, or one or two capital letters."""
-        low = folded(word)
-        return packed(word) if low in QUALIFIERS or (low not in UNITS and re.fullmatch("[A-Z]{1,2}", word)) else ""
-
-    def with_suffix(self, k: int) -> str:
-        return self.forms[k] + (self.suffix_of(self.words[k + 1]) if k + 1 < len(self.words) else "")
-
-    def spaced(self, raw: bool) -> list[str]:
-        """Models written as letters, a space and digits; used only where no word is a model."""
-        text = unicodedata.normalize("NFKC", self.text) if raw else folded(self.text)
-        return [packed(m[1] + m[2]) + self.suffix_of(m[3] or "") for m in _SPACED.finditer(text)]
+    def spaced(text: str) -> list[tuple[int, str]]:
+        """Offset and form of models with a gap."""
+        return [(m.start(), packed(m[1] + m[2]) + Word(0, m[3] or "", "").as_suffix) for m in _SPACED.finditer(text)]
 
     def models(self) -> list[str]:
-        found = [self.with_suffix(k) for k in range(len(self.words)) if self.is_model(k)]
-        return list(dict.fromkeys(found or self.spaced(raw=False)))
+        """All codes; models with a gap only where the title has no code."""
+        return list(dict.fromkeys(form for _, form in self.codes() or self.spaced(folded(self.plain))))
+
+    def placed(self) -> tuple[int, str]:
+        """The title's own model and the index of its first word: of the codes, with their families, the one
+        that begins first, else the first with a gap; (0, "") if there is none."""
+        found = []
+        for k, form in self.codes():
+            if len(self.words[k].form) > 32:
+                continue
+            family = k > 0 and self.words[k - 1].is_family
+            found.append((k - 1, self.words[k - 1].form + form) if family else (k, form))
+        if found:
+            return min(found, key=lambda x: x[0])
+        return next(((sum(w.start < at for w in self.words), form) for at, form in self.spaced(self.plain)), (0, ""))
 
     def model(self) -> str:
-        """The first model, with a family prefix of capitals before it; empty if there is none."""
-        best: tuple[int, str] | None = None
-        for k in range(len(self.words)):
-            if not self.is_model(k) or len(self.forms[k]) > 32:
-                continue
-            at, form = k, self.with_suffix(k)
-            if k and re.fullmatch("[A-Z]{1,6}", self.words[k - 1]) and self.forms[k - 1] not in UNITS:
-                at, form = k - 1, self.forms[k - 1] + form
-            if best is None or at < best[0]:
-                best = (at, form)
-        return best[1] if best else next(iter(self.spaced(raw=True)), "")
+        return self.placed()[1]
 
     def evidence(self) -> dict[str, str]:
-        """The model's base and execution (longest word first), and whether the title only fits to it."""
-        identity = self.model()
-        ends = [q for q in sorted(QUALIFIERS, key=lambda q: (-len(q), q)) if identity.endswith(q) and len(identity) > len(q)]
-        qualifier = ends[0] if ends else ""
-        at = next((k for k, f in enumerate(self.forms) if self.is_model(k) and identity.startswith(f)), None)
-        if at is None and identity:
-            at = next((k for k in range(len(self.forms) - 1) if identity.startswith(self.forms[k] + self.forms[k + 1])), None)
-        before = [folded(w) for w in self.words[: at or 0]]
-        nouns = [k for k, w in enumerate(before) if w in ACCESSORY_NOUNS]
-        fits = [k for k, w in enumerate(before) if w in FITS]
-        return {
-            "identity": identity, "base": identity[: len(identity) - len(qualifier)], "qualifier": qualifier,
-            "ownership": "REFERENCE_COMPATIBILITY" if nouns and fits and min(nouns) < max(fits) else "OWN_PRODUCT",
-            "accessory_head": before[min(nouns)] if nouns else "", "marker": before[max(fits)] if fits else "",
-        }
+        """The model's base and execution (longest word first), and whether the title only fits to it: then
+        a noun of accessories and a later word of fitting stand before the model."""
+        at, identity = self.placed()
+        qualifier = max((q for q in sorted(QUALIFIERS, reverse=True) if identity.endswith(q) and identity != q), key=len, default="")
+        head, marker, fits_later = "", "", False
+        for word in self.words[:at] if at and identity.startswith(self.words[at].form) else ():
+            low = folded(word.text)
+            if low in ACCESSORY_NOUNS:
+                head = head or low
+            elif low in FITS:
+                marker, fits_later = low, bool(head)
+        ownership = "REFERENCE_COMPATIBILITY" if fits_later else "OWN_PRODUCT"
+        return {"identity": identity, "base": identity.removesuffix(qualifier), "qualifier": qualifier, "ownership": ownership, "accessory_head": head, "marker": marker}
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

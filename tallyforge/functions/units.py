@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -95,14 +95,49 @@ def _normalized(low: Column, kind: str) -> Column:
     return made(nothing, no_text, F.nullif(F.regexp_replace(low, "[^a-zа-я0-9]", ""), F.lit("")), no_text)
 
 
+def _terms(policy: PropertyPolicy, name: str = "") -> Column:
+    """A policy as a struct of literals."""
+    return F.struct(
+        F.lit(name).alias("name"), F.lit(policy.kind).alias("kind"), F.lit(policy.importance).alias("importance"),
+        F.lit(policy.absolute).cast(NUMBER).alias("absolute"), F.lit(policy.relative).cast(NUMBER).alias("relative"),
+    )
+
+
+def _compared(left: Column, right: Column, terms: Column, kinds: Sequence[str]) -> Column:
+    """The class of a comparison under a policy struct, whose kind is one of kinds."""
+
+    def side(value: Column) -> Column:
+        def made(low: Column) -> Column:
+            rules = [(terms["kind"] == kind, _normalized(low, kind)) for kind in kinds[1:]]
+            normalized = _normalized(low, kinds[0])
+            for test, other in rules:
+                normalized = F.when(test, other).otherwise(normalized)
+            return F.struct(normalized.alias("n"), low.alias("folded"), value.alias("raw"))
+
+        return let(fold(value), made)
+
+    both = F.transform(F.array(left.cast("string"), right.cast("string")), side)
+    return let(both, lambda x: _classified(F.get(x, F.lit(0)), F.get(x, F.lit(1)), terms))
+
+
 def compare_property(left: Column, right: Column, name: str, policies: Mapping[str, PropertyPolicy] | None = None) -> Column:
     """The class of a comparison: equal in one of four ways, warning, or conflict of identity."""
     policy = {**POLICIES, **(policies or {})}.get(name.strip().lower(), PropertyPolicy())
-    def side(value: Column) -> Column:
-        return F.struct(normalize_property(value, policy.kind).alias("n"), fold(value.cast("string")).alias("folded"), value.cast("string").alias("raw"))
+    return _compared(left, right, _terms(policy), [policy.kind])
 
-    both = F.struct(side(left).alias("a"), side(right).alias("b"))
-    return let(both, lambda x: _classified(x["a"], x["b"], policy))
+
+def compare_properties(left: Column, right: Column, policies: Mapping[str, PropertyPolicy], prefix: str = "") -> Column:
+    """Array of (name, class) of the named properties that both maps fill, by name.
+
+    One expression over an array of policies, so that the plan doesn't grow with them.
+    """
+    kinds = sorted({p.kind for p in policies.values()})
+    entries = F.transform(
+        F.array(*[_terms(policies[name], name) for name in sorted(policies)]),
+        lambda p: F.struct(p.alias("p"), F.coalesce(F.try_element_at(left, p["name"]), F.lit("")).alias("a"), F.coalesce(F.try_element_at(right, p["name"]), F.lit("")).alias("b")),
+    )
+    filled = F.filter(entries, lambda e: (e["a"] != "") & (e["b"] != ""))
+    return F.transform(filled, lambda e: F.struct(F.concat(F.lit(prefix), e["p"]["name"]).alias("name"), _compared(e["a"], e["b"], e["p"], kinds).alias("class")))
 
 
 def _voltages(side: Column) -> Column:
@@ -111,27 +146,21 @@ def _voltages(side: Column) -> Column:
     return F.filter(F.when(side["number"].isNotNull(), F.array(number)).otherwise(F.split(F.coalesce(side["text"], F.lit("")), r"\|")), lambda v: v != "")
 
 
-def _classified(left: Column, right: Column, policy: PropertyPolicy) -> Column:
+def _classified(left: Column, right: Column, terms: Column) -> Column:
     a, b = left["n"], right["n"]
     gap = F.abs(a["number"] - b["number"])
-    allowed = F.greatest(F.lit(policy.absolute).cast(NUMBER), (F.greatest(F.abs(a["number"]), F.abs(b["number"])) * F.lit(policy.relative).cast(NUMBER)).cast(NUMBER))
-    clash = F.lit("PROPERTY_IDENTITY_CONFLICT" if policy.importance == "IDENTITY_CRITICAL" else "PROPERTY_DATA_QUALITY_WARNING")
-    rules: list[tuple[Column, object]] = []
-    if policy.kind == "voltage":
-        either = a["text"].isNotNull() | b["text"].isNotNull()
-        same_set = F.when(F.array_sort(_voltages(a)) == F.array_sort(_voltages(b)), "PROPERTY_EQUAL").otherwise("PROPERTY_WITHIN_TOLERANCE")
-        rules.append((either & (F.size(F.array_intersect(_voltages(a), _voltages(b))) > 0), same_set))
+    allowed = F.greatest(terms["absolute"], (F.greatest(F.abs(a["number"]), F.abs(b["number"])) * terms["relative"]).cast(NUMBER))
+    clash = F.when(terms["importance"] == "IDENTITY_CRITICAL", "PROPERTY_IDENTITY_CONFLICT").otherwise("PROPERTY_DATA_QUALITY_WARNING")
+    either = (terms["kind"] == "voltage") & (a["text"].isNotNull() | b["text"].isNotNull())
+    same_set = F.when(F.array_sort(_voltages(a)) == F.array_sort(_voltages(b)), "PROPERTY_EQUAL").otherwise("PROPERTY_WITHIN_TOLERANCE")
     numbers = a["number"].isNotNull() & b["number"].isNotNull() & a["unit"].eqNullSafe(b["unit"])
     same = F.when(~a["written"].eqNullSafe(b["written"]), "PROPERTY_UNIT_VARIATION").when(left["folded"] != right["folded"], "PROPERTY_FORMAT_VARIATION").otherwise("PROPERTY_EQUAL")
     texts = a["text"].isNotNull() & b["text"].isNotNull()
-    rules += [
-        (numbers & (gap == 0), same),
-        (numbers & (gap <= allowed), F.lit("PROPERTY_WITHIN_TOLERANCE")),
-        (numbers, clash),
-        (texts & (a["text"] == b["text"]), F.when(~left["raw"].eqNullSafe(right["raw"]), "PROPERTY_FORMAT_VARIATION").otherwise("PROPERTY_EQUAL")),
-        (texts, clash),
-    ]
-    return first_match(rules, "PROPERTY_DATA_QUALITY_WARNING")
+    return first_match([
+        (either & (F.size(F.array_intersect(_voltages(a), _voltages(b))) > 0), same_set),
+        (numbers & (gap == 0), same), (numbers & (gap <= allowed), F.lit("PROPERTY_WITHIN_TOLERANCE")), (numbers, clash),
+        (texts & (a["text"] == b["text"]), F.when(~left["raw"].eqNullSafe(right["raw"]), "PROPERTY_FORMAT_VARIATION").otherwise("PROPERTY_EQUAL")), (texts, clash),
+    ], "PROPERTY_DATA_QUALITY_WARNING")
 
 
 def compatible(comparison: Column) -> Column:
@@ -162,4 +191,4 @@ def mapping_score(source: Column, candidate: Column, unit_ok: Column, category_o
     return 0.65 * shared + 0.25 * unit_ok.cast("int") + 0.10 * category_ok.cast("int")
 
 
-__all__ = ["DIMENSIONS", "FACTORS", "KINDS", "POLICIES", "PropertyPolicy", "compare_property", "compatible", "mapping_score", "normalize_property", "to_unit", "tokens"]
+__all__ = ["DIMENSIONS", "FACTORS", "KINDS", "POLICIES", "PropertyPolicy", "compare_properties", "compare_property", "compatible", "mapping_score", "normalize_property", "to_unit", "tokens"]

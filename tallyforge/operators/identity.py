@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.taxonomy import ACCESSORY_FAMILIES, family_of, profile_of
 from tallyforge.functions.text import first_match
-from tallyforge.operators.relational import ordered_distinct
+from tallyforge.operators.relational import ordered_distinct, top_k
 
 
 def safe_new(confirmed: Column, article_match: Column, n_candidates: Column, role: Column, kind: Column) -> Column:
@@ -22,13 +22,16 @@ def safe_new(confirmed: Column, article_match: Column, n_candidates: Column, rol
     )
 
 
-def model_candidates(sources: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per source the registry keys with its model, of its brand first (25 at most, in key order)."""
+def model_candidates(sources: DataFrame, registry: DataFrame, most: int = 25) -> DataFrame:
+    """Per source the registry keys with its model, of its brand first (the first `most`, in key order).
+
+    Ranks are cut before the shuffle and before the keys are gathered, so a list holds `most` keys.
+    """
     wanted = sources.select(F.col("key").alias("source_key"), F.col("n_brand").alias("_b"), F.coalesce(F.nullif(F.col("n_role.own"), F.lit("")), F.col("n_role.reference")).alias("n_model")).filter("n_model <> ''")
     found = wanted.join(registry.select("n_model", "n_brand", F.col("key").cast("string").alias("candidate")), "n_model")
-    ranked = F.array_sort(F.collect_set(F.struct((F.col("n_brand") != F.col("_b")).alias("other"), "candidate")))
-    lists = found.groupBy("source_key").agg(ranked.alias("r"))
-    return lists.select("source_key", F.slice(F.transform("r", lambda x: x["candidate"]), 1, 25).alias("model_candidates"))
+    found = found.select("source_key", (F.col("n_brand") != F.col("_b")).alias("other"), "candidate").distinct()
+    first = top_k(found, ["source_key"], [F.col("other"), F.col("candidate")], most)
+    return first.groupBy("source_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]).alias("model_candidates"))
 
 
 def classify(matches: DataFrame, sources: DataFrame, registry: DataFrame, revalidated: DataFrame | None = None) -> DataFrame:

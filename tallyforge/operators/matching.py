@@ -16,7 +16,7 @@ from pyspark.sql import window as W
 from tallyforge.functions.models import model_evidence, model_tokens, similarity
 from tallyforge.functions.taxonomy import canonical_properties, model_role, product_kind, profile_of
 from tallyforge.functions.text import compact, first_match, normalize_brand, normalize_model, normalized_name, normalize_text, same_parts, short_suffix
-from tallyforge.functions.units import POLICIES, PropertyPolicy, compare_property
+from tallyforge.functions.units import POLICIES, PropertyPolicy, compare_properties
 from tallyforge.session import checkpointed
 
 #: Thresholds of name similarity.
@@ -53,7 +53,9 @@ def candidates(sources: DataFrame, registry: DataFrame, top: int = 10) -> DataFr
     Tiers: 1 the supplier's article among the product's identifiers, 2 that article in the registry
     title, 3 the model, 4 the model's base, 5 names of one brand with similarity of at least 0.60, the
     best `top` by similarity and key. Tiers 1 to 4 are equi-joins; tier 5 only takes sources without
-    any of those and is blocked by brand.
+    any of those and is blocked by brand; names whose lengths or letters rule the similarity out never
+    reach Python. A brand's pairs are all looked at, as the rule has it, so a brand's cost grows with the
+    square of its products; adaptive execution splits its join.
     """
     s = sources.select(F.col("key").alias("source_key"), "supplier_code", "n_article", "n_model", "n_brand", "n_name", F.col("n_evidence.base").alias("base"))
     ids = registry.select("key", F.explode("identifiers").alias("supplier_code", "articles")).select(F.col("key").alias("candidate_key"), "supplier_code", F.explode("articles").alias("article"))
@@ -72,12 +74,23 @@ def candidates(sources: DataFrame, registry: DataFrame, top: int = 10) -> DataFr
     first = found.groupBy("source_key").agg(F.min("tier").alias("tier"))
     exact = found.join(first, ["source_key", "tier"]).select("source_key", "candidate_key", "tier")
     alone = s.filter("n_brand <> ''").join(first, "source_key", "left_anti")
-    named = alone.join(r.select("candidate_key", "n_brand", F.col("n_name").alias("c_name")), "n_brand").withColumn("ratio", similarity(F.col("n_name"), F.col("c_name"))).filter(F.col("ratio") >= RETRIEVE)
+    named = alone.join(r.select("candidate_key", "n_brand", F.col("n_name").alias("c_name")), "n_brand").filter(likely(F.col("n_name"), F.col("c_name"), RETRIEVE))
+    named = named.withColumn("ratio", similarity(F.col("n_name"), F.col("c_name"))).filter(F.col("ratio") >= RETRIEVE)
     best = W.Window.partitionBy("source_key").orderBy(F.desc("ratio"), F.col("candidate_key").cast("string").desc())
     named = named.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= top)
     return exact.unionByName(named.select("source_key", "candidate_key", F.lit(5).alias("tier")))
 
 
+def likely(left: Column, right: Column, ratio: float) -> Column:
+    """Whether two names can be as similar as ratio, by the letters and digits that they share: an upper bound."""
+    letters = [F.lit(x) for x in "абвгдежзийклмнопрстуфхцчшщъыьэюяabcdefghijklmnopqrstuvwxyz0123456789 "]
+    size = F.length(left) + F.length(right)
+    least = ratio * size - 1e-6
+    short = 2 * F.least(F.length(left), F.length(right)) >= least
+    counts = F.transform(F.array(*letters), lambda x: F.least(F.length(left) - F.length(F.replace(left, x)), F.length(right) - F.length(F.replace(right, x))))
+    return short & (2 * F.aggregate(counts, F.lit(0), lambda a, x: a + x) >= least)
+
+
 def pairs(sources: DataFrame, registry: DataFrame, found: DataFrame) -> DataFrame:
     """Candidate pairs with both products as structs s and c."""
     left = sources.select(F.col("key").alias("source_key"), F.struct("*").alias("s"))
@@ -89,23 +102,13 @@ def _differ(name: str) -> Column:
     return (F.col(f"s.{name}") != "") & (F.col(f"c.{name}") != "") & (F.col(f"s.{name}") != F.col(f"c.{name}"))
 
 
-def property_classes(policies: dict[str, PropertyPolicy], left: str, right: str, prefix: str) -> Column:
-    """Array of (name, class) of the properties that both maps fill."""
-    found = []
-    for name in sorted(policies):
-        a, b = F.try_element_at(F.col(left), F.lit(name)), F.try_element_at(F.col(right), F.lit(name))
-        filled = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
-        found.append(F.when(filled, F.struct(F.lit(f"{prefix}{name}").alias("name"), compare_property(a, b, name, policies).alias("class"))))
-    return F.array_compact(F.array(*found))
-
-
 def assess(joined: DataFrame) -> DataFrame:
     """Pairs with conflicts, property classes, equalities, article quality and name similarity."""
     own = (F.col("s.n_role.role") == "REFERENCE_MODEL") & (F.col("c.n_role.role") == "OWN_MODEL") & (F.col("s.n_role.reference") != "") & (F.col("s.n_role.reference") == F.col("c.n_role.own"))
     kinds = (F.col("s.n_kind") != "unknown") & (F.col("c.n_kind") != "unknown") & (F.col("s.n_kind") != F.col("c.n_kind"))
     rows = joined.withColumns({
-        "properties": property_classes(POLICIES, "s.properties", "c.properties", "property:"),
-        "profile": F.filter(property_classes(PROFILE_POLICIES, "s.n_props", "c.n_props", ""), lambda x: F.array_contains(profile_of(F.col("s.n_kind")), x["name"])),
+        "properties": compare_properties(F.col("s.properties"), F.col("c.properties"), POLICIES, "property:"),
+        "profile": F.filter(compare_properties(F.col("s.n_props"), F.col("c.n_props"), PROFILE_POLICIES), lambda x: F.array_contains(profile_of(F.col("s.n_kind")), x["name"])),
         "name_similarity": similarity(F.col("s.n_name"), F.col("c.n_name")),
     })
     clash = F.transform(F.filter("properties", lambda x: x["class"] == "PROPERTY_IDENTITY_CONFLICT"), lambda x: x["name"])
@@ -146,40 +149,43 @@ def assess(joined: DataFrame) -> DataFrame:
 def decide(assessed: DataFrame, sources: DataFrame) -> DataFrame:
     """One decision per source: status, method, confidence, candidate, conflicts, warnings, auto_accepted.
 
-    Sources without candidates are NEW_CANDIDATE. The candidates of a source are few (a tier's), so
-    they are gathered as an array and the ordered rules read it.
+    Sources without candidates are NEW_CANDIDATE. Of a source's candidates the rules need counts and four
+    single ones, which aggregates find that combine on the map side: the first confirmed and the first
+    strong one by key, and the likest of the clashing ones and of all, the first by key of equals.
     """
     suffix = short_suffix(F.col("s.n_model"), F.col("c.n_model"))
-    entry = F.struct(
-        "tier", "candidate_key", "name_similarity", "conflicts", "warnings", "article_confirmed", "maker_equal", "brand_equal", "model_equal", "conflict_class", "vetoes",
+    rows = assessed.withColumn("e", F.struct(
+        "candidate_key", "name_similarity", "conflicts", "warnings", "maker_equal", "brand_equal", "model_equal", "conflict_class", "vetoes",
         suffix.alias("suffix"), (F.col("s.n_article") != "").alias("has_article"),
-    )
-    rows = assessed.groupBy("source_key").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    rows = sources.select(F.col("key").alias("source_key")).join(rows, "source_key", "left")
-    strong = F.filter("all", lambda x: (F.size(x["conflicts"]) == 0) & x["brand_equal"] & (x["maker_equal"] | x["model_equal"]))
-    clash = F.filter("all", lambda x: (F.size(x["conflicts"]) > 0) & ((x["name_similarity"] >= CONFLICT) | x["maker_equal"] | (x["brand_equal"] & x["model_equal"])))
+    ))
+    confirmed = F.col("article_confirmed")
+    strong = (F.size("conflicts") == 0) & F.col("brand_equal") & (F.col("maker_equal") | F.col("model_equal"))
+    clash = (F.size("conflicts") > 0) & ((F.col("name_similarity") >= CONFLICT) | F.col("maker_equal") | (F.col("brand_equal") & F.col("model_equal")))
+    likest = F.struct(-F.col("name_similarity"), "candidate_key")
 
-    def best(array: Column) -> Column:
-        top = F.array_max(F.transform(array, lambda x: x["name_similarity"]))
-        return F.get(F.filter(array, lambda x: x["name_similarity"] == top), F.lit(0))
+    def first(test: Column, order: Column) -> Column:
+        return F.min_by(F.when(test, F.col("e")), F.when(test, order))
 
-    rows = rows.withColumns({"confirmed": F.filter("all", lambda x: x["article_confirmed"]), "strong": strong, "clash": clash})
-    rows = rows.withColumns({"a": F.get("confirmed", F.lit(0)), "g": F.get("strong", F.lit(0)), "k": best(F.col("clash")), "top": best(F.col("all"))})
+    found = rows.groupBy("source_key").agg(
+        F.count("*").alias("n"), F.count_if(confirmed).alias("n_confirmed"), F.count_if(strong).alias("n_strong"), F.count_if(clash).alias("n_clash"),
+        first(confirmed, F.col("candidate_key")).alias("a"), first(strong, F.col("candidate_key")).alias("g"), first(clash, likest).alias("k"), first(F.lit(True), likest).alias("top"),
+    )
+    rows = sources.select(F.col("key").alias("source_key")).join(found, "source_key", "left").na.fill(0, ["n", "n_confirmed", "n_strong", "n_clash"])
     model_only = F.col("k.conflicts") == F.array(F.lit("model"))
     soft = F.col("k.brand_equal") & F.col("k.model_equal") & (F.size(F.array_except("k.conflicts", F.array(F.lit("product_kind"), F.lit("model_role")))) == 0)
     none, one, exact = F.lit(None).cast("string"), F.lit(1.0), F.col("g.maker_equal")
     similar, nothing = F.round("top.name_similarity", 4), F.array().cast(_EMPTY)
     rules = [  # condition, status, method, confidence, candidate, conflicts, accepted
-        (F.coalesce(F.size("all"), F.lit(0)) < 1, "NEW_CANDIDATE", "NO_CANDIDATES", F.lit(0.0), none, nothing, False),
-        (F.size("confirmed") > 1, "REVIEW", "DUPLICATE_SUPPLIER_ARTICLE", one, none, nothing, False),
-        ((F.size("confirmed") == 1) & (F.col("a.conflict_class") == "IDENTITY_CONFLICT"), "CONFLICT", "SUPPLIER_ARTICLE_IDENTITY_CONFLICT", one, F.col("a.candidate_key"), F.col("a.conflicts"), False),
-        (F.size("confirmed") == 1, "EXACT_MATCH", "SUPPLIER_ARTICLE_EXACT", one, F.col("a.candidate_key"), nothing, True),
-        ((F.size("strong") == 1) & exact, "EXACT_MATCH", "MANUFACTURER_IDENTIFIER", one, F.col("g.candidate_key"), nothing, True),
-        ((F.size("strong") == 1) & (F.size("g.vetoes") > 0), "REVIEW", "BRAND_MODEL_IDENTITY_REVIEW", F.round("g.name_similarity", 4), F.col("g.candidate_key"), F.array(F.lit("semantic_identity")), False),
-        (F.size("strong") == 1, "HIGH_CONFIDENCE_MATCH", "BRAND_MODEL", F.lit(0.94), F.col("g.candidate_key"), nothing, True),
-        (F.size("strong") > 1, "REVIEW", "NON_UNIQUE_STRONG_CANDIDATES", F.lit(0.8), none, nothing, False),
-        ((F.size("clash") > 0) & (soft | (model_only & ((F.col("k.has_article") & ~F.col("k.maker_equal")) | F.col("k.suffix")))), "REVIEW", "BRAND_MODEL_IDENTITY_REVIEW", F.round("k.name_similarity", 4), F.col("k.candidate_key"), F.col("k.conflicts"), False),
-        (F.size("clash") > 0, "CONFLICT", "IDENTITY_CONFLICT", F.round("k.name_similarity", 4), F.col("k.candidate_key"), F.col("k.conflicts"), False),
+        (F.col("n") < 1, "NEW_CANDIDATE", "NO_CANDIDATES", F.lit(0.0), none, nothing, False),
+        (F.col("n_confirmed") > 1, "REVIEW", "DUPLICATE_SUPPLIER_ARTICLE", one, none, nothing, False),
+        ((F.col("n_confirmed") == 1) & (F.col("a.conflict_class") == "IDENTITY_CONFLICT"), "CONFLICT", "SUPPLIER_ARTICLE_IDENTITY_CONFLICT", one, F.col("a.candidate_key"), F.col("a.conflicts"), False),
+        (F.col("n_confirmed") == 1, "EXACT_MATCH", "SUPPLIER_ARTICLE_EXACT", one, F.col("a.candidate_key"), nothing, True),
+        ((F.col("n_strong") == 1) & exact, "EXACT_MATCH", "MANUFACTURER_IDENTIFIER", one, F.col("g.candidate_key"), nothing, True),
+        ((F.col("n_strong") == 1) & (F.size("g.vetoes") > 0), "REVIEW", "BRAND_MODEL_IDENTITY_REVIEW", F.round("g.name_similarity", 4), F.col("g.candidate_key"), F.array(F.lit("semantic_identity")), False),
+        (F.col("n_strong") == 1, "HIGH_CONFIDENCE_MATCH", "BRAND_MODEL", F.lit(0.94), F.col("g.candidate_key"), nothing, True),
+        (F.col("n_strong") > 1, "REVIEW", "NON_UNIQUE_STRONG_CANDIDATES", F.lit(0.8), none, nothing, False),
+        ((F.col("n_clash") > 0) & (soft | (model_only & ((F.col("k.has_article") & ~F.col("k.maker_equal")) | F.col("k.suffix")))), "REVIEW", "BRAND_MODEL_IDENTITY_REVIEW", F.round("k.name_similarity", 4), F.col("k.candidate_key"), F.col("k.conflicts"), False),
+        (F.col("n_clash") > 0, "CONFLICT", "IDENTITY_CONFLICT", F.round("k.name_similarity", 4), F.col("k.candidate_key"), F.col("k.conflicts"), False),
         (F.col("top.name_similarity") >= REVIEW, "REVIEW", "NAME_CANDIDATE_ONLY", similar, F.col("top.candidate_key"), F.col("top.conflicts"), False),
     ]
     last = ("NEW_CANDIDATE", "NO_IDENTITY_EVIDENCE", similar, F.col("top.candidate_key"), F.col("top.conflicts"), False)
@@ -192,7 +198,7 @@ def decide(assessed: DataFrame, sources: DataFrame) -> DataFrame:
         return out
 
     names = ("status", "method", "confidence", "candidate_key", "conflicts", "auto_accepted")
-    warnings = F.when(F.size("confirmed") == 1, F.col("a.warnings")).otherwise(nothing)
+    warnings = F.when(F.col("n_confirmed") == 1, F.col("a.warnings")).otherwise(nothing)
     return rows.select("source_key", *[column(k).alias(n) for k, n in enumerate(names, 1)], warnings.alias("warnings"))
 
 

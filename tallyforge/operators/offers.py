@@ -9,7 +9,7 @@ column supplier_priority that goes before the policy's.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -95,45 +95,55 @@ def integrity_violations(evaluated: DataFrame) -> DataFrame:
     return evaluated.filter(F.size("integrity_errors") > 0).select("product_id", "offer_id", "integrity_errors")
 
 
-def select(evaluated: DataFrame, policy: OfferPolicy) -> DataFrame:
-    """One decision per product: status, reason, the winner and counts, in the order of the rules.
+def _per_product(evaluated: DataFrame) -> DataFrame:
+    """Counts of a product's offers, whether a source repeats an offer kind, and whether eligible offers of a supplier have several sources."""
+    pairs = evaluated.groupBy("product_id", "source_id", "offer_kind").agg(F.count("*").alias("n"), F.count_if("eligible").alias("ok"), F.min("supplier_code").alias("supplier_code"))
+    source = F.when(F.col("ok") > 0, F.col("source_id"))
+    suppliers = pairs.groupBy("product_id", "supplier_code").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), (F.max("n") > 1).alias("repeated"), (F.min(source) < F.max(source)).alias("several"))
+    return suppliers.groupBy("product_id").agg(F.sum("n").alias("evaluated"), F.sum("ok").alias("eligible"), F.bool_or("repeated").alias("repeated"), F.coalesce(F.bool_or("several"), F.lit(False)).alias("several"))
 
-    Candidates are gathered per product in one aggregate (a product has few offers) and the finalists
-    are narrowed by array expressions, so the whole decision needs a single shuffle.
+
+def _finalists(evaluated: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """What the rules read of a product's eligible offers of the best availability rank and, in it, priority.
+
+    Each rank and priority is reduced on its own, then the best of them stays: nothing is gathered.
     """
-    entry = F.struct("supplier_code", "offer_id", "source_id", "offer_kind", "eligible", "rank", "priority", "price_valid", "price", "currency", "contradiction", "supplier_id")
-    grouped = evaluated.groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-
-    def where(array: str, test) -> Column:
-        return F.filter(array, test)
-
-    def best(array: str, column: str, pick) -> Column:
-        return pick(F.transform(array, lambda x: x[column]))
-
-    review = F.lit(policy.review_contradictions)
-    staged = (
-        grouped.withColumn("ok", where("rows", lambda x: x["eligible"]))
-        .withColumn("a", where("ok", lambda x: x["rank"] == best("ok", "rank", F.array_min)))
-        .withColumn("b", where("a", lambda x: x["priority"] == best("a", "priority", F.array_max)))
-        .withColumn("priced", where("b", lambda x: x["price_valid"]))
-        .withColumn("cheap", where("priced", lambda x: x["price"] == best("priced", "price", F.array_min)))
-    )
-    pairs = F.transform("rows", lambda x: F.struct(x["source_id"], x["offer_kind"]))
-    sources = F.array_distinct(F.transform("ok", lambda x: F.struct(x["supplier_code"], x["source_id"])))
-    suppliers = F.array_distinct(F.transform("ok", lambda x: x["supplier_code"]))
+    c, price = F.col, F.col("price")
+    offer = F.struct("supplier_code", "offer_id", "source_id", "offer_kind", "supplier_id", "price", *carry)
+    name = F.struct("supplier_code", "offer_id", "source_id", "offer_kind")
+    priced = c("price_valid")
+    tiers = evaluated.filter("eligible").groupBy("product_id", "rank", "priority").agg(
+        F.count("*").alias("n"), F.bool_or("contradiction").alias("contradiction"), F.count_if(priced).alias("n_priced"),
+        F.min(F.when(priced, c("currency"))).alias("currency"), F.max(F.when(priced, c("currency"))).alias("other_currency"), F.min_by(offer, name).alias("one"),
+        F.min_by(F.when(priced, offer), F.when(priced, F.struct("price", name))).alias("cheap"), F.max_by(F.when(priced, name), F.when(priced, F.struct(-price, name))).alias("last_cheap"),
+    )
+    rest = [x for x in tiers.columns if x != "product_id"]
+    return tiers.groupBy("product_id").agg(F.min_by(F.struct(*rest), F.struct("rank", -c("priority"))).alias("t"))
+
+
+def select(evaluated: DataFrame, policy: OfferPolicy, carry: Sequence[str] = ()) -> DataFrame:
+    """One decision per product: status, reason, the winner with its `carry` columns, and counts, in the order of the rules.
+
+    Everything the rules read is an aggregate that combines on the map side, so that a product with most
+    of the offers stays a few rows.
+    """
+    c = F.col
+    rows = _per_product(evaluated).join(_finalists(evaluated, carry), "product_id", "left")
+    contradiction = F.lit(policy.review_contradictions) & F.coalesce("t.contradiction", F.lit(False))
+    alone = F.struct(*[c(f"t.cheap.{x}") for x in ("supplier_code", "offer_id", "source_id", "offer_kind")]) == c("t.last_cheap")
     rules: list[tuple[Column, str, str, Column | None]] = [
-        (F.size(pairs) > F.size(F.array_distinct(pairs)), "review", "duplicate_offer_kind_for_source_product", None),
-        (F.size("ok") == 0, "no_eligible_offer", "no_eligible_offer", None),
-        (F.size(sources) > F.size(suppliers), "review", "same_supplier_multiple_source_products_identity_ambiguity", None),
-        ((F.size("ok") == 1) & review & F.exists("ok", lambda x: x["contradiction"]), "review", "in_stock_quantity_zero_contradiction", None),
-        (F.size("ok") == 1, "selected", "single_eligible_current_offer", F.get("ok", F.lit(0))),
-        (review & F.exists("b", lambda x: x["contradiction"]), "review", "top_candidate_in_stock_quantity_zero_contradiction", None),
-        (F.size("b") == 1, "selected", "availability_and_supplier_priority_winner", F.get("b", F.lit(0))),
-        (F.size("priced") == 0, "review", "multiple_top_offers_without_comparable_valid_price", None),
-        (F.size(F.array_distinct(F.transform("priced", lambda x: x["currency"]))) > 1, "review", "top_candidate_currency_comparison_required", None),
-        (F.size("cheap") == 1, "selected", "lowest_valid_price_within_top_business_rank", F.get("cheap", F.lit(0))),
+        (c("repeated"), "review", "duplicate_offer_kind_for_source_product", None),
+        (c("eligible") == 0, "no_eligible_offer", "no_eligible_offer", None),
+        (c("several"), "review", "same_supplier_multiple_source_products_identity_ambiguity", None),
+        ((c("eligible") == 1) & contradiction, "review", "in_stock_quantity_zero_contradiction", None),
+        (c("eligible") == 1, "selected", "single_eligible_current_offer", c("t.one")),
+        (contradiction, "review", "top_candidate_in_stock_quantity_zero_contradiction", None),
+        (c("t.n") == 1, "selected", "availability_and_supplier_priority_winner", c("t.one")),
+        (c("t.n_priced") == 0, "review", "multiple_top_offers_without_comparable_valid_price", None),
+        (c("t.currency") < c("t.other_currency"), "review", "top_candidate_currency_comparison_required", None),
+        (alone, "selected", "lowest_valid_price_within_top_business_rank", c("t.cheap")),
     ]
-    last = (F.lit("selected"), F.lit("deterministic_tie_break_after_equal_business_inputs"), F.get("cheap", F.lit(0)))
+    last = (F.lit("selected"), F.lit("deterministic_tie_break_after_equal_business_inputs"), c("t.cheap"))
     nothing = F.lit(None)
 
     def chain(values: list[tuple[Column, Column]], default: Column) -> Column:
@@ -142,8 +152,6 @@ def select(evaluated: DataFrame, policy: OfferPolicy) -> DataFrame:
     status = chain([(test, F.lit(s)) for test, s, _, _ in rules], last[0])
     reason = chain([(test, F.lit(r)) for test, _, r, _ in rules], last[1])
     winner = chain([(test, nothing if w is None else w) for test, _, _, w in rules], last[2])
-    out = staged.withColumns({"status": status, "reason": reason, "w": winner})
-    return out.select(
-        "product_id", "status", "reason", F.col("w.offer_id").alias("offer_id"), F.col("w.supplier_id").alias("supplier_id"), F.col("w.supplier_code").alias("supplier_code"),
-        F.col("w.price").alias("price"), F.size("rows").cast("bigint").alias("evaluated"), F.size("ok").cast("bigint").alias("eligible"), F.lit(policy.version).alias("rule_version"),
-    )
+    out = rows.withColumns({"status": status, "reason": reason, "w": winner})
+    names = ("offer_id", "supplier_id", "supplier_code", "price", *carry)
+    return out.select("product_id", "status", "reason", *[c(f"w.{x}").alias(x) for x in names], "evaluated", "eligible", F.lit(policy.version).alias("rule_version"))

@@ -94,46 +94,54 @@ def missing_evidence(error_status: Column, discovered: Column) -> Column:
     )
 
 
-def apply_rules(products: DataFrame, rules: DataFrame, most_global: int = 10_000) -> DataFrame:
-    """Products with what the active rules make of them.
-
-    Rules: rule_id, supplier_id (null for all), scope (supplier, product, category, property),
-    entity_key, rule_type, value. Every scope is an equi-join or a check of the supplier; of several
-    overrides the one with the greatest rule_id wins. Rules for all products are
-    broadcast if there are at most most_global of them.
-    """
-    columns = ("product_id", "supplier_id", "category")
-    keyed = rules.select("rule_id", F.col("supplier_id").alias("_supplier"), "scope", "entity_key", "rule_type", "value")
-    p = products.select(*columns)
-    mine = F.col("_supplier").isNull() | (F.col("_supplier") == F.col("supplier_id"))
-    whole = keyed.filter("scope = 'supplier' or (scope = 'property' and entity_key <> '')")
-    parts = [
-        p.join(keyed.filter("scope = 'product'"), F.col("product_id").cast("string") == F.col("entity_key")),
-        p.join(keyed.filter("scope = 'category'"), F.col("category") == F.col("entity_key")),
-        p.join(whole.filter("_supplier is not null"), F.col("supplier_id") == F.col("_supplier")),
-    ]
-    entry = F.struct("rule_id", "rule_type", "entity_key", "value")
-    general = whole.filter("_supplier is null").select(entry.alias("r"))
-    few = general.count() <= most_global
-    everywhere = p.crossJoin(F.broadcast(general) if few else general).select("product_id", "r")
-    found = None
-    for part in parts:
-        part = part.filter(mine).select("product_id", entry.alias("r"))
-        found = part if found is None else found.unionByName(part)
-    found = found.unionByName(everywhere)
+def _resolved() -> list[Column]:
+    """Aggregates over rules r: what they say together; overrides with the rule they come from."""
     kind, value = F.col("r.rule_type"), F.col("r.value")
 
     def last(rule: str) -> Column:
-        return F.nullif(F.max_by(F.when(kind == rule, value), F.when(kind == rule, F.col("r.rule_id"))), F.lit(""))
+        return F.max(F.when(kind == rule, F.struct("r.rule_id", "r.value")))
 
-    resolved = found.groupBy("product_id").agg(
+    return [
         F.coalesce(F.bool_or(kind.isin("IGNORE_PRODUCT", "DO_NOT_IMPORT")), F.lit(False)).alias("excluded"), F.coalesce(F.bool_or(kind == "FORCE_REVIEW"), F.lit(False)).alias("force_review"),
         last("BRAND_OVERRIDE").alias("brand_override"), last("CATEGORY_OVERRIDE").alias("category_override"),
-        F.array_sort(F.collect_set(F.when(kind == "DO_NOT_USE_SUPPLIER_FIELD", F.coalesce(F.nullif(value, F.lit("")), F.col("r.entity_key"))))).alias("forbidden_fields"),
-        F.array_sort(F.collect_set("r.rule_id")).alias("rule_ids"),
-    )
-    rows = products.join(resolved, "product_id", "left")
-    return rows.withColumns({"excluded": F.coalesce("excluded", F.lit(False)), "force_review": F.coalesce("force_review", F.lit(False))})
+        F.collect_set(F.when(kind == "DO_NOT_USE_SUPPLIER_FIELD", F.coalesce(F.nullif(value, F.lit("")), F.col("r.entity_key")))).alias("forbidden_fields"), F.collect_set("r.rule_id").alias("rule_ids"),
+    ]
+
+
+def apply_rules(products: DataFrame, rules: DataFrame) -> DataFrame:
+    """Products with what the active rules make of them.
+
+    Rules: rule_id, supplier_id (null for all), scope (supplier, product, category, property),
+    entity_key, rule_type, value. Every scope is an equi-join; of several overrides the one with the
+    greatest rule_id wins. Rules for all products of a supplier, or for all, are first reduced to one row
+    each, so that however many they are, a product meets one row.
+    """
+    c = F.col
+    keyed = rules.select("supplier_id", "scope", "entity_key", F.struct("rule_id", "rule_type", "entity_key", "value").alias("r"))
+    whole = keyed.filter("scope = 'supplier' or (scope = 'property' and entity_key <> '')")
+    p = products.select("product_id", "supplier_id", "category")
+    mine = c("_supplier").isNull() | (c("_supplier") == c("supplier_id"))
+    single = keyed.withColumnRenamed("supplier_id", "_supplier")
+    specific = p.join(single.filter("scope = 'product'"), c("product_id").cast("string") == c("entity_key")).filter(mine).select("product_id", "r")
+    by_category = p.join(single.filter("scope = 'category'"), c("category") == c("entity_key")).filter(mine).select("product_id", "r")
+    parts = {
+        "own": specific.unionByName(by_category).groupBy("product_id").agg(F.struct(*_resolved()).alias("own")),
+        "supplier": whole.filter("supplier_id is not null").groupBy("supplier_id").agg(F.struct(*_resolved()).alias("supplier")),
+        "general": whole.filter("supplier_id is null").agg(F.struct(*_resolved()).alias("general")),
+    }
+    rows = products.join(parts["own"], "product_id", "left").join(parts["supplier"], "supplier_id", "left").crossJoin(F.broadcast(parts["general"]))
+
+    def flag(name: str) -> Column:
+        return c(f"general.{name}") | F.coalesce(f"own.{name}", F.lit(False)) | F.coalesce(f"supplier.{name}", F.lit(False))
+
+    def override(name: str) -> Column:
+        return F.nullif(F.greatest(*[c(f"{part}.{name}") for part in parts])["value"], F.lit(""))
+
+    def union(name: str, kind: str) -> Column:
+        return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(f"{part}.{name}", F.array().cast(f"array<{kind}>")) for part in parts])))
+
+    made = {"excluded": flag("excluded"), "force_review": flag("force_review"), "brand_override": override("brand_override"), "category_override": override("category_override"), "forbidden_fields": union("forbidden_fields", "string"), "rule_ids": union("rule_ids", "bigint")}
+    return rows.select(*products.columns, *[column.alias(name) for name, column in made.items()])
 
 
 def change_preview(rows: DataFrame, key: str, fields: Sequence[str], policies: Mapping[str, str]) -> DataFrame:

@@ -70,24 +70,36 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("surplus", F.col("n") - 1)
 
 
-def ancestors(nodes: DataFrame, key: str, parent: str, label: str, limit: int = 100) -> DataFrame:
+def ancestors(nodes: DataFrame, key: str, parent: str, label: str) -> DataFrame:
     """(node, ancestor, label, depth) along parent pointers, 0 being the node; stops at repeats and gaps.
 
-    Each step joins the frontier with the nodes; a path array guards against cycles.
+    Each step joins the frontier, which is written out, with the nodes; a path array guards against
+    cycles, so the walk ends by itself after as many steps as the tree is deep.
     """
     step = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p"), F.col(label).alias("_l"))
     front = step.select(F.col("_k").alias("node"), F.col("_k").alias("ancestor"), F.col("_l").alias("label"), F.lit(0).alias("depth"), F.col("_p").alias("up"), F.array("_k").alias("path"))
     found = front
-    for _ in range(limit):
-        front = (
+    while True:
+        front = checkpointed(
             front.filter(F.col("up").isNotNull() & ~F.array_contains("path", F.col("up")))
             .join(step, F.col("up") == F.col("_k"))
             .select("node", F.col("_k").alias("ancestor"), F.col("_l").alias("label"), (F.col("depth") + 1).alias("depth"), F.col("_p").alias("up"), F.concat("path", F.array("_k")).alias("path"))
         )
         if front.isEmpty():
-            break
+            return found.select("node", "ancestor", "label", "depth")
         found = found.unionByName(front)
-    return found.select("node", "ancestor", "label", "depth")
+
+
+def tree_faults(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, fault): nodes whose parent is absent (DANGLING), and nodes from which parents never end (CYCLE)."""
+    known = nodes.select(F.col(key).alias("_k")).distinct()
+    dangling = nodes.filter(F.col(parent).isNotNull()).join(known, F.col(parent) == F.col("_k"), "left_anti").select(F.col(key).alias("key"), F.lit("DANGLING").alias("fault"))
+    left = nodes.select(F.col(key).alias("key"), F.col(parent).alias("up"))
+    while True:  # nodes whose chain ends go, round by round; what stays leads into a cycle
+        after = checkpointed(left.join(left.select(F.col("key").alias("_k")), F.col("up") == F.col("_k"), "left_semi"))
+        if after.count() == left.count():
+            return dangling.unionByName(after.select("key", F.lit("CYCLE").alias("fault")))
+        left = after
 
 
 def origins(nodes: DataFrame, key: str, parent: str, rounds: int = 40) -> DataFrame:

@@ -14,6 +14,7 @@ from tallyforge.operators import offers as O
 from tallyforge.operators import quality as Q
 from tallyforge.operators import relational as R
 from tallyforge.plans.offers_sql import OFFERS
+from tallyforge.session import checkpointed
 from tallyforge.session import table as t
 
 
@@ -41,7 +42,7 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
 
 def _selection(s: SparkSession, d: str) -> DataFrame:
     policy = O.OfferPolicy()
-    return O.select(O.evaluate(_candidates(s, d), policy), policy)
+    return O.select(O.evaluate(_candidates(s, d), policy), policy, ("availability", "quantity", "offer_success_at"))
 
 
 def offer_selection(s: SparkSession, d: str) -> DataFrame:
@@ -70,13 +71,12 @@ def offer_status_counts(s: SparkSession, d: str) -> DataFrame:
 STATUS_COUNTS = f"WITH {OFFERS} SELECT status, reason, count(*) AS products FROM selection GROUP BY ALL"
 
 
-def _feed(s: SparkSession, d: str) -> DataFrame:
+def _feed(s: SparkSession, d: str, selection: DataFrame | None = None) -> DataFrame:
     """Selected offers as feed rows, with some gaps that the rules must find."""
     c = F.col
-    offers = _candidates(s, d).select("product_id", "offer_id", "availability", "quantity", c("offer_success_at").alias("ship"), "supplier_id")
-    chosen = _selection(s, d).filter("status = 'selected'").select("product_id", "status", "offer_id", "supplier_id", "price", "rule_version")
+    chosen = (_selection(s, d) if selection is None else selection).filter("status = 'selected'").withColumnRenamed("offer_success_at", "ship")
     part = t(s, d, "part").select(c("p_partkey").alias("product_id"), "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    rows = chosen.join(offers, ["product_id", "offer_id", "supplier_id"]).join(part, "product_id")
+    rows = chosen.join(part, "product_id")
     return rows.select(
         c("product_id").alias("catalog_product_id"), c("status").alias("selection_status"), c("offer_id").alias("selected_offer_id"), "offer_id", c("supplier_id").alias("source_product_id"),
         c("product_id").alias("source_catalog_product_id"), c("supplier_id").alias("offer_supplier_id"), c("supplier_id").alias("source_supplier_id"),
@@ -95,7 +95,8 @@ _FEED_SQL = f"""{OFFERS}, feed AS (
 
 
 def feed_violations(s: SparkSession, d: str) -> DataFrame:
-    return X.exclusion_counts(_feed(s, d).withColumn("violations", X.row_violations(_feed(s, d))))
+    rows = _feed(s, d)
+    return X.exclusion_counts(rows.withColumn("violations", X.row_violations(rows)))
 
 
 FEED_VIOLATIONS = f"""
@@ -106,8 +107,8 @@ WITH {_FEED_SQL} SELECT code, products FROM (SELECT 'NO_CURRENT_ACCEPTED_MATCH'
 """
 
 
-def _clean_feed(s: SparkSession, d: str) -> DataFrame:
-    rows = _feed(s, d)
+def _clean_feed(s: SparkSession, d: str, selection: DataFrame | None = None) -> DataFrame:
+    rows = _feed(s, d, selection)
     return rows.filter(F.size(X.row_violations(rows)) == 0)
 
 
@@ -125,7 +126,8 @@ FROM feed WHERE {_CLEAN}
 
 
 def feed_manifest(s: SparkSession, d: str) -> DataFrame:
-    return X.manifest(_clean_feed(s, d), _selection(s, d), ["ship"]).withColumn("price_sum", F.col("price_sum").cast("decimal(28,4)"))
+    selection = checkpointed(_selection(s, d))  # both sides of the manifest read it
+    return X.manifest(_clean_feed(s, d, selection), selection, ["ship"]).withColumn("price_sum", F.col("price_sum").cast("decimal(28,4)"))
 
 
 FEED_MANIFEST = f"""
@@ -138,8 +140,7 @@ WITH {_FEED_SQL} SELECT count(*) AS offers, count(DISTINCT p_type) AS categories
 def dry_run_plan(s: SparkSession, d: str) -> DataFrame:
     c = F.col
     current = t(s, d, "part").select(c("p_partkey").alias("product_id"), F.when(c("p_partkey") % 7 != 0, c("p_retailprice").cast("decimal(18,2)").cast("decimal(18,4)")).alias("current_price"), F.when(c("p_size") % 5 != 0, F.when(c("p_size") % 2 == 0, "in_stock").otherwise("backorder")).alias("current_availability"), (c("p_partkey") % 19 != 0).cast("int").alias("targets"))
-    offers = _candidates(s, d).select("product_id", "offer_id", "availability", "supplier_id")
-    chosen = _selection(s, d).filter("status = 'selected'").select("product_id", "offer_id", "supplier_id", "price").join(offers, ["product_id", "offer_id", "supplier_id"])
+    chosen = _selection(s, d).filter("status = 'selected'").select("product_id", "price", "availability")
     states = chosen.join(current, "product_id").select(c("product_id").alias("id"), "price", "availability", "current_price", "current_availability", "targets", F.lit("").alias("error"))
     return X.plan_updates(states).select("id", "price_change", "availability_change", c("price_delta").cast("decimal(18,4)").alias("price_delta"), "action", "blocking_reason")
 
