@@ -13,13 +13,14 @@ clean. Only the named columns are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import remembers, saved, sliced
+from tallyforge.llm.common import arrow_schema, batch_of, remembers, saved, sliced
 
 #: Fixed by the contract: word characters are 0-9, a-z (after lower-casing A-Z) and all above 0x7F.
 _TABLE = bytes(
@@ -72,67 +73,100 @@ def matchers(items: list[tuple[int, str | None]], size: int = 10) -> list[WuManb
     return [WuManber(windows) for _, windows in sorted(by_length.items())]
 
 
-def _scan(held, size: int, report: list[str] | None = None):
-    """Add each document's hit words (a bitmap) and items to those of earlier passes; at last, report them."""
+_HITS_DDL = "row bigint, n_words bigint, positions array<bigint>, items array<bigint>"
+
+
+def _scan(held, size: int, whole: bool):
+    """The words of each row that lie in a window, and the windows' items; of rows without any only if whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembers("decontaminate", lambda: None)
-        tables = matchers(held.value, size)
+        tables = _tables(held, size)
         for batch in sliced(batches):
-            maps, found = [], []
-            old_maps, old_items = batch.column("_map").to_pylist(), batch.column("_items").to_pylist()
-            for text, before, items in zip(batch.column("text").to_pylist(), old_maps, old_items, strict=True):
-                words = words_of(text)
-                hit, items = bytearray(before or len(words)), set(items)
-                for table in tables:
-                    for start, got in table.scan(words):
-                        hit[start : start + table.m] = b"\1" * table.m
-                        items |= got
-                maps.append(bytes(hit))
-                found.append(sorted(items))
-            if report:
-                names, made = report, _reported(maps, found)
-            else:
-                names = batch.schema.names
-                made = {"_map": pa.array(maps, pa.binary()), "_items": pa.array(found, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
+            rows = []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                n, positions, items = _hits(tables, text)
+                if whole or items:
+                    rows.append((row, n, positions, items))
+            yield batch_of(rows, arrow_schema(_HITS_DDL))
 
     return run
 
 
-def _reported(maps: list[bytes], items: list[list[int]]) -> dict[str, pa.Array]:
+def _hits(tables: list[WuManber], text: str | None) -> tuple[int, list[int], list[int]]:
+    words = words_of(text)
+    positions: set[int] = set()
+    items: set[int] = set()
+    for table in tables:
+        for start, got in table.scan(words):
+            positions.update(range(start, start + table.m))
+            items |= got
+    return len(words), sorted(positions), sorted(items)
+
+
+_built: dict[str, list[WuManber]] = {}
+
+
+def _tables(held, size: int) -> list[WuManber]:
+    """The matchers of a broadcast (name, items), built once a worker; those of an earlier block are forgotten."""
+    remembers("decontaminate", _built.clear)
+    name, items = held.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = matchers(items, size)
+    return _built[name]
+
+
+def _reported(found: list[tuple[int, list[int], list[int]]]) -> dict[str, pa.Array]:
     return {
-        "n_words": pa.array([len(x) for x in maps], pa.int64()),
-        "n_hit": pa.array([x.count(1) for x in maps], pa.int64()),
-        "n_items": pa.array([len(x) for x in items], pa.int64()),
-        "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()),
-        "contaminated": pa.array([1 in x for x in maps], pa.bool_()),
-        "items": pa.array(items, pa.list_(pa.int64())),
+        "n_words": pa.array([n for n, _, _ in found], pa.int64()),
+        "n_hit": pa.array([len(x) for _, x, _ in found], pa.int64()),
+        "n_items": pa.array([len(x) for _, _, x in found], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for _, _, x in found], pa.string()),
+        "contaminated": pa.array([bool(x) for _, x, _ in found], pa.bool_()),
+        "items": pa.array([x for _, _, x in found], pa.list_(pa.int64())),
     }
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, carry: tuple[str, ...] = (), block_chars: int = 20_000_000) -> DataFrame:
+def _report(held, size: int, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(held, size)
+        for batch in sliced(batches):
+            made = _reported([_hits(tables, text) for text in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *made.values()], names=[*keep, *made])
+
+    return run
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, carry: tuple[str, ...] = (), block_chars: int = 2_000_000) -> DataFrame:
     """docs' doc_id and carry columns with n_words, n_hit, n_items, items_sha256, contaminated, items.
 
-    block_chars bounds the benchmark text that goes to the tasks at once: a larger benchmark is cut
-    into blocks of items and every block passes over all documents, written out in between.
+    block_chars bounds the benchmark text that a task holds (about 90 bytes of tables a character): a
+    larger benchmark is cut into blocks of items. Then rows are numbered and written once, every block
+    passes over their texts and gives only the hits of rows that have some, and these are put together.
     """
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null and item_id is not null")
     total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_chars))
-    state = docs.select(
-        "doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")],
-        F.lit(None).cast("binary").alias("_map"), F.array().cast("array<bigint>").alias("_items"),
-    )
-    ddl = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<bigint>"
     keep = ["doc_id", *[c for c in carry if c != "doc_id"]]
-    kinds = dict(state.dtypes)
-    out = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", " + ddl
-    names = keep + [f.strip().split(" ")[0] for f in ddl.split(",")]
-    for k in range(blocks):
+
+    def block(k: int):
         part = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
-        if k + 1 == blocks:
-            return state.mapInArrow(_scan(held, size, names), out)
-        state = saved(state.mapInArrow(_scan(held, size), state.schema), "decontaminate")
-    raise AssertionError("there is always a block")
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, r.text) for r in part.collect()]))
+
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    if blocks == 1:
+        kinds = dict(rows.dtypes)
+        ddl = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<bigint>"
+        return rows.mapInArrow(_report(block(0), size, keep), ddl)
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    hits = None
+    for k in range(blocks):
+        part = saved(rows.select("row", "text").mapInArrow(_scan(block(k), size, k == 0), _HITS_DDL), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    both = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("positions", "items")]
+    found = rows.select("row", *keep).join(hits.groupBy("row").agg(F.max("n_words").alias("n_words"), *both), "row")
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        *keep, "n_words", F.size("positions").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+        (F.size("positions") > 0).alias("contaminated"), "items",
+    )
