@@ -177,8 +177,12 @@ def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") ->
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write the records as gzipped WARC files; the line separator closes each record."""
-    records.select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Write the records as plain WARC files, one a task; the line separator closes each record.
+
+    Spark's text files compress a file as a whole, and readers expect one gzip member a record, so the
+    files stay uncompressed.
+    """
+    records.select("record").write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
