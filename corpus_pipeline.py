@@ -4,17 +4,16 @@ Every stage works on all rows its predecessor kept and all but the last return t
 documents: toxic documents go, lines that ten or more documents hold go, one document of each group of
 near duplicates stays (the one with the smallest doc_id), contaminated documents go, the rest is
 packed. Null and empty texts are kept as they are; a document whose every line is dropped stays with
-an empty text; documents without a doc_id are never taken for near duplicates; empty tables give
-empty results.
+an empty text; rows that repeat a doc_id are documents of their own, so only those whose texts are
+near duplicates go; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from tallyforge.llm.common import saved, table
+from tallyforge.llm.common import drop_saved, saved, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,14 +36,21 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    The operator's own shingles of two words, which find more than five do. Every row is a document of
+    its own here, whatever its doc_id, so the operator works on row numbers that are written down first.
+    """
     from tallyforge.llm.near_dedup import near_duplicates
 
-    docs = docs.select(*COLUMNS)
-    dropped = near_duplicates(spark, docs, width=5, percent=80).filter("kept = false").select("doc_id").distinct()
-    first = F.row_number().over(W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rest = docs.join(dropped, "doc_id", "left_anti").withColumn("_n", first)
-    return rest.filter("_n = 1 or doc_id is null").select(*COLUMNS)
+    rows = saved(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(spark, rows.select(F.col("_row").alias("doc_id"), "text"), width=2, percent=80)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id")
+    shared = found.filter("_row <> component_id").select("component_id").distinct()
+    members = rows.select("_row", "doc_id").join(found.join(shared, "component_id"), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    dropped = members.join(first, "component_id").filter("_row <> first._row").select("_row")
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,6 +85,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written out and read back for the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        if k:
+            drop_saved(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; always read through Spark, so any store works."""
@@ -20,12 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder that the session names in spark.checkpoint.dir.
-
-    Only where the setting is absent (tests on one machine) a folder of our own is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tallyforge"
-    return f"{root.rstrip('/')}/tallyforge-{tag}-{uuid.uuid4().hex}"
+    """A new path below the shared folder that the session names in spark.checkpoint.dir."""
+    return f"{shared_folder(spark)}/tallyforge-{tag}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -37,12 +35,13 @@ def saved(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a table that saved() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete the files of tables that saved() wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

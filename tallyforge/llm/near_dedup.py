@@ -7,12 +7,14 @@ coordinate fills for any non-empty set. Equal coordinates estimate Jaccard simil
 concentration of independent samples, at a cost of |set| + t log t. Sketches are cut into `bands` of
 `rows`; documents that agree on a band are candidates, and candidates are confirmed on full sets.
 
-How groups are handled without pairing all their members: equal sets are one class with one
+How buckets are handled without pairing all their members: equal sets are one class with one
 representative. In a bucket each member is compared with the bucket's smallest member; links make
-components. Documents that buckets hold together, linked or not, are a candidate group; in a group of
-several components, the members outside the largest one meet all others in blocks. There, pairs of
-different components whose sketches are alike are confirmed on full sets at once and only links come
-out. Pairs inside one component can change nothing and are skipped; no other candidate is.
+components. Only buckets that then hold several components are looked at again: in each, the members
+outside its largest component meet all others in blocks of sketches. Members with a partner of another
+component, of fitting size and with an estimated similarity of at least `least`, stay in their block;
+only their texts move, and the blocks' pairs are confirmed on full sets, giving links. Pairs inside one
+component can change nothing and are skipped. With 512 coordinates the estimate of a pair at 0.8 falls
+below 0.7 with a probability of about 1e-8, so that bound costs less than the bands themselves.
 
 Defined results: texts without words (null and empty ones too) have no shingles and stand alone; a
 one-word text is one shingle; each row takes the component of its own text, also where rows repeat a
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches, remembers, saved, sliced
+from tallyforge.llm.common import arrow_schema, drop_saved, in_batches, remembers, saved, sliced
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hash a worker remembers.
@@ -147,8 +149,8 @@ def _confirm(width: int, percent: int):
 
 
 def _texts(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """docs whose doc_id is among ids, roughly: up to `most` ids (8 bytes each) are sent to the tasks so
-    that other texts don't move; beyond it all pass and the join that follows does the work."""
+    """docs whose doc_id is among ids (a table), roughly: up to `most` ids (8 bytes each) are sent to the
+    tasks so that other texts don't move; beyond it all pass and the join that follows does the work."""
     if ids.count() > most:
         return docs
     wanted = np.sort(ids.toArrow().column(0).to_numpy())
@@ -170,7 +172,8 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int, salts: i
     """The pairs (a, b) that full sets confirm. A hub's members are dealt over salts, its text with them."""
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
     needed = salted.unionByName(salted.select("a", F.col("a").alias("b"), "salt").distinct())
-    texts = _texts(docs, needed.select("b").distinct(), most_ids).select(F.col("doc_id").alias("b"), "text")
+    ids = saved(needed.select("b").distinct(), "ids")
+    texts = _texts(docs, ids, most_ids).select(F.col("doc_id").alias("b"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = needed.join(texts, "b").repartition(parts, "a", "salt")
     dealt = dealt.sortWithinPartitions("a", "salt", F.col("a") != F.col("b"), "b")
@@ -181,7 +184,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every linked node, component being its smallest node.
 
     Rounds of large-star and small-star; hubs' neighbours are met in partial aggregates and, for the
-    joins, by adaptive skew handling. The state is written out each round.
+    joins, by adaptive skew handling. The state is written out each round. The rounds needed grow with
+    the logarithm of a component's size; a state that hasn't settled after `rounds` raises.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(rounds):
@@ -193,16 +197,72 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = saved(small, "edges")
         same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
+        drop_saved(edges)
         edges = after
         if same:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"the components have not settled after {rounds} rounds")
+
+
+def _fits(rows: list[tuple], k: int, theirs: np.ndarray, signs: np.ndarray, sizes: np.ndarray, percent: int, least: float) -> np.ndarray:
+    """Those of theirs whose size and sketch allow the similarity with row k, the likest first."""
+    near = theirs[100 * np.minimum(sizes[theirs], sizes[k]) >= percent * np.maximum(sizes[theirs], sizes[k])]
+    like = (signs[near] == signs[k]).mean(axis=1)
+    return near[np.argsort(-like, kind="stable")[: np.count_nonzero(like >= least)]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((bucket, i, j), rows) of sorted batches, rows without these three."""
+    at, held = None, []
+    for part in sliced(batches):
+        for bucket, i, j, *row in zip(*(part.column(c).to_pylist() for c in ("bucket", "i", "j", *names)), strict=True):
+            if (bucket, i, j) != at:
+                if held:
+                    yield at, held
+                at, held = (bucket, i, j), []
+            held.append(tuple(row))
+    if held:
+        yield at, held
+
+
+def _sides(rows: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of ours and theirs, sketches and sizes of the rows of a block."""
+    ours = [k for k, r in enumerate(rows) if r[0]]
+    theirs = np.array([k for k, r in enumerate(rows) if not r[0]], np.int64)
+    signs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    return ours, theirs, signs, np.array([r[3] for r in rows], np.int64)
+
+
+_BLOCK = ("ours", "doc_id", "comp", "n_shingles", "small")
+_BLOCK_DDL = "bucket bigint, i int, j int, ours boolean, doc_id bigint, comp bigint, n_shingles bigint, small binary"
+
+
+def _promising(percent: int, least: float):
+    """Blocks of sketches (bucket, i, j): the rows that have a possible partner of another component there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for at, held in _blocks(batches, _BLOCK):
+                ours, theirs, signs, sizes = _sides(held)
+                comps = np.array([r[2] for r in held], np.int64)
+                some: set[int] = set()
+                for k in ours:
+                    found = _fits(held, k, theirs[comps[theirs] != comps[k]], signs, sizes, percent, least)
+                    if len(found):
+                        some.add(k)
+                        some.update(found.tolist())
+                for k in sorted(some):
+                    yield *at, *held[k]
+
+        yield from in_batches(rows(), arrow_schema(_BLOCK_DDL), 5000)
+
+    return run
 
 
 def _cross(width: int, percent: int, least: float):
-    """Rows of (group, i, j): members of block i outside the main component against those of block j.
+    """Blocks of the rows that _promising() left, with texts: links of different components.
 
-    Links of different components; components that a link has joined count as one from then on.
+    Components that a link of the block has joined count as one from then on.
     """
 
     def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -217,17 +277,12 @@ def _cross(width: int, percent: int, least: float):
 
         def found(k: int) -> np.ndarray:
             if k not in sets:
-                sets[k] = shingles(rows[k][3], width)
+                sets[k] = shingles(rows[k][5], width)
             return sets[k]
 
-        ours = [k for k, r in enumerate(rows) if r[0]]
-        theirs = np.array([k for k, r in enumerate(rows) if not r[0]])
-        if not ours or not len(theirs):
-            return
-        signs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        ours, theirs, signs, sizes = _sides(rows)
         for k in ours:
-            like = (signs[theirs] == signs[k]).mean(axis=1)
-            for other in theirs[np.argsort(-like)[: np.count_nonzero(like >= least)]].tolist():
+            for other in _fits(rows, k, theirs, signs, sizes, percent, least).tolist():
                 a, b = top(rows[k][2]), top(rows[other][2])
                 if a != b and _similar(found(k), found(other), percent):
                     joined[max(a, b)] = min(a, b)
@@ -235,24 +290,34 @@ def _cross(width: int, percent: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembers("near_dedup", _hashes.clear)
-
-        def rows():
-            at, held = None, []
-            for part in sliced(batches):
-                names = ("group", "i", "j", "ours", "doc_id", "comp", "text", "small")
-                for group, i, j, *row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
-                    if (group, i, j) != at:
-                        yield from links(held)
-                        at, held = (group, i, j), []
-                    held.append(tuple(row))
-            yield from links(held)
-
-        yield from in_batches(rows(), arrow_schema("a bigint, b bigint"), 10_000)
+        pairs = (pair for _, held in _blocks(batches, (*_BLOCK, "text")) for pair in links(held))
+        yield from in_batches(pairs, arrow_schema("a bigint, b bigint"), 10_000)
 
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, block_rows: int = 256, salts: int = 256, most_ids: int = 4_000_000) -> DataFrame:
+def _open_blocks(buckets: DataFrame, found: DataFrame, block_rows: int) -> DataFrame:
+    """(bucket, i, j, ours, doc_id, comp) of the buckets (key, hub, doc_id) whose members lie in several components.
+
+    Buckets with the same members count once. Block i holds members outside the bucket's largest
+    component and meets every block j of its members.
+    """
+    placed = buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    per_comp = placed.groupBy("key", "hub", "comp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(doc_id))").alias("sign"))
+    sizes = per_comp.groupBy("key", "hub").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.expr("bit_xor(sign)").alias("sign"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")).filter("comps > 1")
+    sizes = sizes.groupBy("hub", "n", "sign").agg(F.min(F.struct("key", "main")).alias("x")).select(F.col("x.key").alias("key"), "x.main", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    rows = placed.drop("hub").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = saved(rows.select(F.col("key").alias("bucket"), "doc_id", "comp", "blocks", "block", (F.col("comp") != F.col("main")).alias("minor")), "open")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sought = rows.filter("minor").select("bucket", F.col("block").alias("i")).distinct()
+    ours = rows.filter("minor").select("bucket", F.col("block").alias("i"), each.alias("j"), F.lit(True).alias("ours"), "doc_id", "comp")
+    theirs = rows.join(sought, "bucket").select("bucket", "i", F.col("block").alias("j"), F.lit(False).alias("ours"), "doc_id", "comp")
+    return ours.unionByName(theirs)
+
+
+def near_duplicates(
+    spark: SparkSession, docs: DataFrame, width: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, block_rows: int = 1024, salts: int = 256, most_ids: int = 4_000_000, least: float = 0.7
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -261,35 +326,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     reps = signed.join(classes, "fp").filter("doc_id = rep").dropDuplicates(["doc_id", "fp"])
     entries = reps.select("doc_id", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).filter("hub < most").select("key", "hub")
-    members = entries.join(hubs, "key").filter("doc_id <> hub")
-    stars = saved(members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    buckets = saved(entries.join(hubs, "key").select("key", "hub", "doc_id").distinct(), "buckets")
+    stars = saved(buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     links = saved(_links(docs, stars, width, percent, salts, most_ids), "links")
     found = components(links)
 
-    # Candidate groups in which the members lie in different components.
-    groups = components(stars)
-    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-    linked = found.select("node", F.col("component").alias("linked"))
-    placed = groups.join(linked, "node", "left").select(F.col("component").alias("group"), F.col("node").alias("doc_id"), F.coalesce("linked", "node").alias("comp"))
-    sizes = placed.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    sizes = sizes.filter("comps > 1 and n > 2").select("group", "main", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    open_rows = placed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    open_rows = saved(open_rows.select("group", "doc_id", "comp", "blocks", "block", (F.col("comp") != F.col("main")).alias("minor")), "open")
-    if not open_rows.isEmpty():
-        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        sought = open_rows.filter("minor").select("group", "block").distinct().withColumnRenamed("block", "i")
-        ours = open_rows.filter("minor").select("group", F.col("block").alias("i"), each.alias("j"), F.lit(True).alias("ours"), "doc_id", "comp")
-        theirs = open_rows.join(sought, "group").select("group", "i", F.col("block").alias("j"), F.lit(False).alias("ours"), "doc_id", "comp")
-        ids = open_rows.select("doc_id").distinct()
-        texts = _texts(docs, ids, most_ids).join(_texts(signed.select("doc_id", "n_shingles", "small"), ids, most_ids).filter("n_shingles > 0"), "doc_id").select("doc_id", "text", "small")
-        dealt = ours.unionByName(theirs).join(texts, "doc_id").repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
-        names = ("group", "i", "j", "ours", "doc_id", "comp", "text", "small")
-        more = saved(dealt.select(*names).mapInArrow(_cross(width, percent, 0.7), "a bigint, b bigint"), "more")
+    blocks = _open_blocks(buckets, found, block_rows)
+    sketches = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "small").dropDuplicates(["doc_id", "small"])
+    dealt = blocks.join(sketches, "doc_id").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    promising = saved(dealt.select("bucket", "i", "j", *_BLOCK).mapInArrow(_promising(percent, least), _BLOCK_DDL), "promising")
+    if not promising.isEmpty():
+        ids = saved(promising.select("doc_id").distinct(), "ids")
+        dealt = promising.join(_texts(docs, ids, most_ids), "doc_id").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        more = saved(dealt.select("bucket", "i", "j", *_BLOCK, "text").mapInArrow(_cross(width, percent, least), "a bigint, b bigint"), "more")
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     named = saved(named, "named")
+    drop_saved(classes, buckets, stars, links, promising, found)
     joined = signed.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
