@@ -82,6 +82,20 @@ def decision_events(current: DataFrame, incoming: DataFrame, key: str, fingerpri
     return incoming.join(old, key, "left").withColumn("action", F.when(same, "TOUCH").otherwise("INSERT")).drop("_print")
 
 
+def merge_json(old: Column, new: Column) -> Column:
+    """Two JSON objects as one, keys in order; the newer value of a key wins, a null side adds nothing."""
+    a, b = (F.coalesce(F.from_json(side, "map<string,variant>"), F.create_map().cast("map<string,variant>")) for side in (old, new))
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    value = F.transform(keys, lambda k: F.when(F.map_contains_key(b, k), F.try_element_at(b, k)).otherwise(F.try_element_at(a, k)))
+    return F.to_json(F.map_from_arrays(keys, value), {"ignoreNullFields": "false"})
+
+
+def append_event(history: Column, event: Column) -> Column:
+    """A JSON array with one event more; a null or empty history begins a new array."""
+    inner = F.regexp_replace(F.trim(F.coalesce(history, F.lit("[]"))), r"^\[\s*|\s*\]$", "")
+    return F.concat(F.lit("["), F.when(inner != "", F.concat(inner, F.lit(","))).otherwise(""), event, F.lit("]"))
+
+
 def latest_role(urls: DataFrame, keys: Sequence[str], precedence: Mapping[str, int]) -> DataFrame:
     """One role per url: the one that comes first in precedence (unknown roles last, then by name)."""
     rank = F.coalesce(*[F.when(F.col("role") == name, F.lit(n)) for name, n in precedence.items()], F.lit(len(precedence)))

@@ -90,6 +90,23 @@ def ancestors(nodes: DataFrame, key: str, parent: str, label: str) -> DataFrame:
         found = found.unionByName(front)
 
 
+def lineage(heads: DataFrame, nodes: DataFrame, head: str, key: str, parent: str) -> DataFrame:
+    """(head, key, depth) of every node in each head's chain of parents, the head itself at depth 0.
+
+    The frontier is written out each step; heads are few beside the nodes, and chains end where the
+    parent is null or absent. A chain longer than there are nodes is a cycle and raises.
+    """
+    step = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
+    front = checkpointed(heads.select(F.col(head).alias("head"), F.col(head).alias(key)).join(step, F.col(key) == F.col("_k")).select("head", key, F.lit(0).alias("depth"), "_p"))
+    found, most = front, nodes.count()
+    for _ in range(most + 1):
+        front = checkpointed(front.select("head", "depth", F.col("_p").alias("_up")).join(step, F.col("_up") == F.col("_k")).select("head", F.col("_k").alias(key), (F.col("depth") + 1).alias("depth"), "_p"))
+        if front.isEmpty():
+            return found.select(F.col("head"), key, "depth")
+        found = found.unionByName(front)
+    raise ValueError("the parents form a cycle")
+
+
 def tree_faults(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, fault): nodes whose parent is absent (DANGLING), and nodes from which parents never end (CYCLE)."""
     known = nodes.select(F.col(key).alias("_k")).distinct()
