@@ -136,6 +136,16 @@ def model_evidence(titles: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([Title(t).evidence() for t in titles], columns=list(_EVIDENCE))
 
 
+_FACTS = T.StructType([T.StructField(n, T.StringType()) for n in _EVIDENCE] + [T.StructField("models", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_FACTS)
+def title_facts(titles: pd.Series) -> pd.DataFrame:
+    """model_evidence and model_tokens of a title at once; identity is what extract_model gives."""
+    read = [Title(t) for t in titles]
+    return pd.DataFrame([{**x.evidence(), "models": x.models()} for x in read], columns=[*_EVIDENCE, "models"])
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(sources: pd.Series, candidates: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of (source, candidate), in that order; null is empty."""

@@ -126,13 +126,17 @@ def _real(models: Column) -> Column:
     return F.filter(models, lambda m: ~m.rlike(r"^(m\d+m\d+|\d+(mm|cm|kw|w|v|rpm))$"))
 
 
-def model_role(name: Column, category: Column, model: Column) -> Column:
-    """A struct: OWN_MODEL, REFERENCE_MODEL or UNKNOWN_MODEL_ROLE, with own and reference model and parent kind."""
-    marked = let(normalize_text(name), lambda t: F.struct(t.alias("title"), marker_start(t).alias("start"), marker_text(t).alias("marker")))
+def model_role(name: Column, category: Column, model: Column, unicode: bool = True, inferred: Column | None = None, named: Column | None = None, kind: Column | None = None) -> Column:
+    """A struct: OWN_MODEL, REFERENCE_MODEL or UNKNOWN_MODEL_ROLE, with own and reference model and parent kind.
+
+    inferred, named and kind are the name's model, models and product kind, where they are known already.
+    """
+    marked = let(normalize_text(name, unicode), lambda t: F.struct(t.alias("title"), marker_start(t).alias("start"), marker_text(t).alias("marker")))
     tail = let(marked, lambda m: F.when(m["start"].isNotNull(), F.substring(m["title"], m["start"] + F.length(m["marker"]), F.length(m["title"]))).otherwise(""))
     facts = F.struct(
-        marked.alias("m"), product_kind(name, category)["kind"].alias("kind"), compact(normalize_text(model)).alias("explicit"), extract_model(name).alias("inferred"),
-        model_tokens(name).alias("named"), _real(model_tokens(tail)).alias("tail_models"), product_kind(tail, F.lit(""), unicode=False)["kind"].alias("parent"),
+        marked.alias("m"), (product_kind(name, category, unicode)["kind"] if kind is None else kind).alias("kind"), compact(normalize_text(model, unicode)).alias("explicit"),
+        (extract_model(name) if inferred is None else inferred).alias("inferred"), (model_tokens(name) if named is None else named).alias("named"),
+        _real(model_tokens(tail)).alias("tail_models"), product_kind(tail, F.lit(""), unicode=False)["kind"].alias("parent"),
     )
 
     def roles(x: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallyforge.functions.models import model_evidence, model_tokens, similarity
+from tallyforge.functions.models import similarity, title_facts
 from tallyforge.functions.taxonomy import canonical_properties, model_role, product_kind, profile_of
-from tallyforge.functions.text import compact, first_match, normalize_brand, normalize_model, normalized_name, normalize_text, same_parts, short_suffix
+from tallyforge.functions.text import compact, first_match, fold, nfkc, normalize_brand, normalize_model, normalize_text, normalized_name, same_parts, short_suffix
 from tallyforge.functions.units import POLICIES, PropertyPolicy, compare_properties
 from tallyforge.session import checkpointed
 
@@ -35,16 +35,24 @@ _EMPTY = "array<string>"
 
 
 def prepare(products: DataFrame) -> DataFrame:
-    """products with n: normalized brand, model, articles, name, kind, role, title models, canonical properties."""
-    made = normalize_model(F.col("model"), F.col("brand"))
-    kind = product_kind(F.col("name"), F.col("category"))["kind"]
-    return products.withColumns({
-        "n_brand": normalize_brand(F.col("brand")), "n_model": made["model"], "n_flags": made["flags"],
-        "n_article": compact(normalize_text(F.col("supplier_article"))), "n_maker_article": compact(normalize_text(F.col("manufacturer_article"))),
-        "n_name": normalized_name(F.col("name")), "n_kind": F.coalesce(F.nullif(F.col("kind"), F.lit("")), kind),
-        "n_role": model_role(F.col("name"), F.col("category"), F.col("model")), "n_models": model_tokens(F.col("name")),
-        "n_evidence": model_evidence(F.col("name")), "n_props": canonical_properties(F.coalesce("properties", F.create_map().cast("map<string,string>"))),
+    """products with n: normalized brand, model, articles, name, kind, role, title models, canonical properties.
+
+    Texts are put into NFKC, and titles read for models, by one Python step; the rest stays in the JVM.
+    """
+    texts = ("name", "brand", "model", "category", "supplier_article", "manufacturer_article")
+    rows = products.withColumns({**{f"_{c}": nfkc(F.col(c)) for c in texts}, "_title": title_facts(F.col("name"))})
+    plain = {c: F.col(f"_{c}") for c in texts}
+    made = normalize_model(plain["model"], plain["brand"], unicode=False)
+    kind = product_kind(plain["name"], plain["category"], unicode=False)["kind"]
+    rows = rows.withColumns({"_made": made, "_kind": kind})
+    rows = rows.withColumns({
+        "n_brand": normalize_brand(plain["brand"], unicode=False), "n_model": F.col("_made.model"), "n_flags": F.col("_made.flags"),
+        "n_article": compact(fold(plain["supplier_article"])), "n_maker_article": compact(fold(plain["manufacturer_article"])), "n_name": normalized_name(plain["name"], unicode=False),
+        "n_kind": F.coalesce(F.nullif(F.col("kind"), F.lit("")), F.col("_kind")), "n_models": F.col("_title.models"), "n_evidence": F.col("_title").dropFields("models"),
+        "n_role": model_role(plain["name"], plain["category"], plain["model"], False, F.col("_title.identity"), F.col("_title.models"), F.col("_kind")),
+        "n_props": canonical_properties(F.coalesce("properties", F.create_map().cast("map<string,string>"))),
     })
+    return rows.drop(*[f"_{c}" for c in texts], "_title", "_made", "_kind")
 
 
 def candidates(sources: DataFrame, registry: DataFrame, top: int = 10) -> DataFrame:

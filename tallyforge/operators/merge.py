@@ -10,6 +10,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from tallyforge.session import checkpointed
 
 
 def group_hash(columns: Sequence[str], prefix: str = "") -> Column:
@@ -57,6 +60,28 @@ def insert_absent(current: DataFrame, incoming: DataFrame, keys: Sequence[str])
     return current.unionByName(incoming.select(*current.columns).join(current, list(keys), "left_anti"))
 
 
+def bootstrap_catalog(catalog: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next catalog, next registry): every registry product gets a catalog product, and names it.
+
+    catalog: catalog_id, origin; registry: id, catalog_id (null where it has none yet). The new catalog ids
+    follow the greatest one in the order of the registry's ids, numbered by partition offsets.
+    """
+    lacking = registry.select(F.col("id").cast("string").alias("origin")).join(catalog, "origin", "left_anti").distinct()
+    top = catalog.agg(F.coalesce(F.max("catalog_id"), F.lit(0)).cast("bigint").alias("_top"))
+    numbered = numbered_rows(lacking, "origin", "_n").crossJoin(F.broadcast(top))
+    after = catalog.unionByName(numbered.select((F.col("_top") + F.col("_n")).alias("catalog_id"), "origin"))
+    linked = registry.join(after.select("origin", F.col("catalog_id").alias("_c")), F.col("id").cast("string") == F.col("origin"), "left")
+    return after, linked.select(*[F.coalesce("catalog_id", "_c").alias("catalog_id") if c == "catalog_id" else F.col(c) for c in registry.columns])
+
+
+def numbered_rows(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with numbers from 1 in the order of a unique text column: sorted ranges, each numbered from its own offset."""
+    ranged = checkpointed(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    return ranged.join(F.broadcast(offsets.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def history(compared: DataFrame, keys: Sequence[str], groups: Mapping[str, Sequence[str]], observed_at: Column) -> DataFrame:
     """One row per changed group with its old and new values as JSON; new keys leave no history."""
     def as_json(side: str) -> Column:

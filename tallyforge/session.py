@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Plans of many columns are built several times faster without a note of each call's place in the code.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

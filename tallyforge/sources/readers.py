@@ -68,10 +68,71 @@ def article_coverage(registry: DataFrame, prefix: str = "ARTIKUL_") -> DataFrame
     return per.groupBy("namespace").agg(F.sum("n").alias("values"), F.count_if(F.col("n") > 1).alias("repeated_articles")).orderBy("namespace")
 
 
-def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
-    """Distinct locations of sitemap or index documents, in order of first appearance within a document."""
-    found = F.expr(f"xpath({xml}, \"//*[local-name()='loc']/text()\")")
-    return maps.select(F.explode(F.array_distinct(F.transform(found, lambda x: F.trim(x)))).alias("url")).distinct()
+def sitemap_urls(maps: DataFrame, order: str, xml: str = "xml") -> DataFrame:
+    """(url, kind, first) of sitemap documents: each location once, with the place of its first appearance.
+
+    order numbers the documents. kind is sitemap for the entries of an index, which name further
+    documents to read, and url for pages; sort by first to have the order of appearance.
+    """
+    def found(tag: str) -> Column:
+        return F.transform(F.expr(f"xpath({xml}, \"//*[local-name()='{tag}']/*[local-name()='loc']/text()\")"), lambda x: F.trim(x))
+
+    parts = [maps.select(F.col(order).alias("_o"), F.posexplode(found(tag)).alias("_p", "url"), F.lit(tag).alias("kind")) for tag in ("sitemap", "url")]
+    rows = parts[0].unionByName(parts[1]).filter("url <> ''")
+    return rows.groupBy("url", "kind").agg(F.min(F.struct("_o", "_p")).alias("first"))
+
+
+def read_replay(spark: SparkSession, path: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """(items, problems) of the stored answers of a paginated source: JSON lines of page, total and items.
+
+    item: DDL of an item with an id. Problems are totals that pages disagree on, a number of items that
+    isn't the total, and ids that come twice: with any of them the capture is not whole.
+    """
+    pages = spark.read.schema(f"page bigint, total bigint, items array<struct<{item}>>").option("mode", "FAILFAST").json(path)
+    items = pages.select(F.explode("items").alias("x")).select("x.*")
+    counted = pages.agg(F.min("total").alias("least"), F.max("total").alias("most"), F.sum(F.size("items")).alias("n"))
+    problems = counted.select(F.explode(F.array_compact(F.array(
+        F.when(F.col("least") != F.col("most"), F.concat(F.lit("TOTALS_DIFFER:"), "least", F.lit("-"), "most")), F.when(F.coalesce("n", F.lit(0)) != F.coalesce("most", F.lit(0)), F.concat(F.lit("ITEMS_NOT_TOTAL:"), F.coalesce("n", F.lit(0)))),
+    ))).alias("problem"))
+    twice = items.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("REPEATED_ID:"), F.col("id").cast("string")).alias("problem"))
+    return items, problems.unionByName(twice)
+
+
+def rebuild_cards(products: DataFrame, children: dict[str, DataFrame], key: str = "product_id", order: str = "position") -> DataFrame:
+    """Cards from tables: each child table as an array of structs in order, one join per table; [] where a product has none."""
+    for name, child in children.items():
+        columns = [order, *[c for c in child.columns if c not in (key, order)]]
+        lists = child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        products = products.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return products
+
+
+def supplement(registry: DataFrame, extra: DataFrame, fields: tuple[str, ...], key: str = "id", stamp: str = "snapshot_hash") -> DataFrame:
+    """The registry with fields filled from extra where it has none, and a new hash of each row; rows without extra stay."""
+    more = extra.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
+    rows = registry.join(more, key, "left")
+    made = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")) for c in fields}
+    rows = rows.select(*[made.get(c, F.col(c)).alias(c) for c in registry.columns])
+    hashed = F.sha2(F.to_json(F.struct(*sorted(c for c in registry.columns if c != stamp)), {"ignoreNullFields": "false"}), 256)
+    return rows.withColumn(stamp, hashed)
+
+
+def packaged_views(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The CSV files of a package as read-only views of the same names."""
+    tables = {name: read_csv(spark, f"{folder}/{name}.csv") for name in names}
+    for name, table in tables.items():
+        table.createOrReplaceTempView(name)
+    return tables
+
+
+def allowed_url(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a URL is http or https, of one of the hosts or below it, and no address of a private network."""
+    host = F.lower(F.regexp_extract(url, r"^(?i)https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    known = F.lit(False)
+    for name in hosts:
+        known = known | (host == name) | host.endswith(f".{name}")
+    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2[0-9]|3[01])\.|\[)")
+    return F.coalesce(known & (host != "") & ~private, F.lit(False))
 
 
 def merge_discoveries(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 import tempfile
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,20 @@ def xml_rows(rows: DataFrame, tag: str = "product") -> DataFrame:
     return rows.select(F.to_xml(F.struct(*rows.columns), {"rowTag": tag}).alias("xml"))
 
 
+def import_payload(rows: DataFrame, elements: Mapping[str, str], blockers: Sequence[str], root: str = "updates", item: str = "update", key: str = "id") -> Iterable[str]:
+    """Updates as XML text, a row at a time in numeric order of the key, only when nothing blocks them.
+
+    elements: element name by column, in the order given; absent values have no element; row values are escaped.
+    """
+    if blockers:
+        raise ValueError("; ".join(blockers))
+    number = F.expr(f"try_cast({key} AS DECIMAL(38,0))")
+    yield f'<?xml version="1.0" encoding="UTF-8"?>\n<{root} create_new="false">\n'
+    for row in rows.select(key, *[F.col(c).cast("string").alias(c) for c in elements]).orderBy(number.asc_nulls_last(), key).toLocalIterator(prefetchPartitions=True):
+        yield f"<{item}><{key}>{escape(str(row[key]))}</{key}>" + "".join(f"<{tag}>{escape(row[c])}</{tag}>" for c, tag in elements.items() if row[c] is not None) + f"</{item}>\n"
+    yield f"</{root}>\n"
+
+
 def write_dataset(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """A table version on the shared store."""
     writer = rows.write.mode("errorifexists")

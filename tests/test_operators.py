@@ -228,8 +228,9 @@ def test_pages_and_urls(spark):
     assert [r.page_type for r in rows[1:]] == ["other", "category"]
     urls = spark.createDataFrame([("HTTP://www.Shop.su//a//b?utm_source=x&q=1#f",), ("mailto:x",)], "u string")
     assert [r.x for r in urls.select(readers.normalize_url(F.col("u")).alias("x")).collect()] == ["https://shop.su/a/b?q=1", "mailto:x"]
-    maps = spark.createDataFrame([("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc> https://a/1 </loc></url><url><loc>https://a/1</loc></url></urlset>",)], "xml string")
-    assert [r.url for r in readers.sitemap_urls(maps).collect()] == ["https://a/1"]
+    space = "xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'"
+    maps = spark.createDataFrame([(1, f"<urlset {space}><url><loc> https://a/2 </loc></url><url><loc>https://a/1</loc></url></urlset>"), (2, f"<urlset {space}><url><loc>https://a/0</loc></url><url><loc>https://a/2</loc></url></urlset>"), (3, f"<sitemapindex {space}><sitemap><loc>https://a/m.xml</loc></sitemap></sitemapindex>")], "n int, xml string")
+    assert [(r.url, r.kind) for r in readers.sitemap_urls(maps, "n").orderBy("first").collect()] == [("https://a/2", "url"), ("https://a/1", "url"), ("https://a/0", "url"), ("https://a/m.xml", "sitemap")]
     left, right = (spark.createDataFrame([(u, [c])], "url string, collections array<string>") for u, c in (("a", "x"), ("a", "w")))
     assert readers.merge_discoveries(left, right).first().collections == ["w", "x"]
 
