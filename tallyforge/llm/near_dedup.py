@@ -9,8 +9,8 @@ concentration of independent samples, at a cost of |set| + t log t. Sketches are
 
 How buckets are handled without pairing all their members: equal sets are one class with one
 representative. In a bucket each member is compared with the bucket's smallest member; links make
-components. Only buckets that then hold several components are looked at again: in each, the members
-outside its largest component meet all others in blocks of sketches. Members with a partner of another
+components. Only buckets that then hold several components are looked at again (those of a small group
+of candidates together): the members outside the largest component meet all others in blocks of sketches. Members with a partner of another
 component, of fitting size and with an estimated similarity of at least `least`, stay in their block;
 only their texts move, and the blocks' pairs are confirmed on full sets, giving links. Pairs inside one
 component can change nothing and are skipped. With 512 coordinates the estimate of a pair at 0.8 falls
@@ -234,7 +234,7 @@ def _sides(rows: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray, np.nda
 
 
 _BLOCK = ("ours", "doc_id", "comp", "n_shingles", "small")
-_BLOCK_DDL = "bucket bigint, i int, j int, ours boolean, doc_id bigint, comp bigint, n_shingles bigint, small binary"
+_BLOCK_DDL = "bucket string, i int, j int, ours boolean, doc_id bigint, comp bigint, n_shingles bigint, small binary"
 
 
 def _promising(percent: int, least: float):
@@ -296,18 +296,33 @@ def _cross(width: int, percent: int, least: float):
     return run
 
 
-def _open_blocks(buckets: DataFrame, found: DataFrame, block_rows: int) -> DataFrame:
-    """(bucket, i, j, ours, doc_id, comp) of the buckets (key, hub, doc_id) whose members lie in several components.
+def _main(placed: DataFrame, *keys: str) -> DataFrame:
+    """Per key of placed (keys, doc_id, comp) with several components: members n, a sign of them, and the largest component."""
+    per_comp = placed.groupBy(*keys, "comp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(doc_id))").alias("sign"))
+    sizes = per_comp.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.expr("bit_xor(sign)").alias("sign"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
+    return sizes.filter("comps > 1 and n > 2").drop("comps")
 
-    Buckets with the same members count once. Block i holds members outside the bucket's largest
-    component and meets every block j of its members.
+
+def _open_blocks(buckets: DataFrame, stars: DataFrame, found: DataFrame, block_rows: int, together: int) -> DataFrame:
+    """(bucket, i, j, ours, doc_id, comp) of the candidates (buckets: key, hub, doc_id) that lie in several components.
+
+    Documents that buckets hold together, directly or by others, are a group. A group of up to `together`
+    documents is looked at as a whole, so that a document stands in it once and not in each of its buckets; in a
+    larger one every bucket is, and buckets with the same members count once. Both ways every two members of a
+    bucket meet. Block i holds members outside the largest component and meets every block j.
     """
-    placed = buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    per_comp = placed.groupBy("key", "hub", "comp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(doc_id))").alias("sign"))
-    sizes = per_comp.groupBy("key", "hub").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.expr("bit_xor(sign)").alias("sign"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")).filter("comps > 1")
-    sizes = sizes.groupBy("hub", "n", "sign").agg(F.min(F.struct("key", "main")).alias("x")).select(F.col("x.key").alias("key"), "x.main", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    rows = placed.drop("hub").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = saved(rows.select(F.col("key").alias("bucket"), "doc_id", "comp", "blocks", "block", (F.col("comp") != F.col("main")).alias("minor")), "open")
+    groups = components(stars)
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    linked = found.select("node", F.col("component").alias("linked"))
+    placed = saved(groups.join(linked, "node", "left").select(F.col("component").alias("group"), F.col("node").alias("doc_id"), F.coalesce("linked", "node").alias("comp")), "placed")
+    sizes = saved(_main(placed, "group"), "sizes")
+    whole = placed.join(sizes.filter(F.col("n") <= together), "group").select(F.concat(F.lit("g"), "group").alias("bucket"), "doc_id", "comp", "main", "n")
+    large = placed.join(sizes.filter(F.col("n") > together).select("group"), "group").select("doc_id", "comp")
+    members = buckets.join(large, "doc_id")
+    per_bucket = _main(members, "key", "hub").groupBy("hub", "n", "sign").agg(F.min(F.struct("key", "main")).alias("x")).select(F.col("x.key").alias("key"), "x.main", "n")
+    parts = members.drop("hub").join(per_bucket, "key").select(F.concat(F.lit("b"), "key").alias("bucket"), "doc_id", "comp", "main", "n")
+    rows = whole.unionByName(parts).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    rows = saved(rows.select("bucket", "doc_id", "comp", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), (F.col("comp") != F.col("main")).alias("minor")), "open")
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sought = rows.filter("minor").select("bucket", F.col("block").alias("i")).distinct()
     ours = rows.filter("minor").select("bucket", F.col("block").alias("i"), each.alias("j"), F.lit(True).alias("ours"), "doc_id", "comp")
@@ -316,7 +331,7 @@ def _open_blocks(buckets: DataFrame, found: DataFrame, block_rows: int) -> DataF
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, width: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, block_rows: int = 1024, salts: int = 256, most_ids: int = 4_000_000, least: float = 0.7
+    spark: SparkSession, docs: DataFrame, width: int = 2, percent: int = 80, bands: int = 64, rows: int = 8, block_rows: int = 1024, salts: int = 256, most_ids: int = 4_000_000, least: float = 0.7, together: int = 4096
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -331,7 +346,7 @@ def near_duplicates(
     links = saved(_links(docs, stars, width, percent, salts, most_ids), "links")
     found = components(links)
 
-    blocks = _open_blocks(buckets, found, block_rows)
+    blocks = _open_blocks(buckets, stars, found, block_rows, together)
     sketches = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "small").dropDuplicates(["doc_id", "small"])
     dealt = blocks.join(sketches, "doc_id").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     promising = saved(dealt.select("bucket", "i", "j", *_BLOCK).mapInArrow(_promising(percent, least), _BLOCK_DDL), "promising")

@@ -204,13 +204,25 @@ def identity_decision(s: SparkSession, d: str) -> DataFrame:
     return I.classify(matches, sources, registry).select("source_key", "decision", "product_kind", "model_role", "own_model", "candidate_ids", "auto_accepted")
 
 
+#: Titles with a family before a code, an execution after one, a gap between letters and digits, and no model.
+_TITLE = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' DH ' || p_size || 'V ' || p_partkey WHEN 1 THEN ' PX-' || p_size || 'F NEW' WHEN 2 THEN ' TU ' || (p_size + 10) || ' V' ELSE '' END"
+
+
 def model_tokens_query(s: SparkSession, d: str) -> DataFrame:
-    title = F.concat_ws(" ", "p_name", F.concat(F.lit("DH "), "p_size", F.lit("V")), F.col("p_partkey").cast("string"))
+    title = F.expr(_TITLE)
     return t(s, d, "part").select("p_partkey", extract_model(title).alias("model"), F.array_join(model_tokens(title), ";").alias("models"))
 
 
-#: The titles of this query are ASCII with one model: capitals before, digits and V.
-MODEL_TOKENS = "SELECT p_partkey, 'dh' || p_size || 'v' AS model, p_size || 'v' AS models FROM part"
+MODEL_TOKENS = rf"""
+WITH t AS (SELECT p_partkey, {_TITLE} AS title FROM part), w AS (SELECT p_partkey, title, string_split(title, ' ') AS words FROM t),
+i AS (SELECT p_partkey, words, unnest(range(1, len(words) + 1)) AS at_ FROM w),
+f AS (SELECT p_partkey, at_, words[at_] AS word, lower(regexp_replace(words[at_], '[^A-Za-z0-9]', '', 'g')) AS form, CASE WHEN at_ > 1 THEN words[at_ - 1] END AS before, CASE WHEN at_ < len(words) THEN words[at_ + 1] END AS after_ FROM i),
+c AS (SELECT p_partkey, at_, form || CASE WHEN lower(after_) IN ('new', 'pro', 'plus', 'max', 'mini') OR (regexp_full_match(after_, '[A-Z]{{1,2}}') AND lower(after_) NOT IN ('w', 'g', 'm', 'kw')) THEN lower(after_) ELSE '' END AS own, CASE WHEN regexp_full_match(before, '[A-Z]{{1,6}}') THEN lower(before) ELSE '' END AS family
+  FROM f WHERE regexp_matches(form, '[a-z]') AND regexp_matches(form, '[0-9]')),
+g AS (SELECT p_partkey, array_to_string(list(own ORDER BY at_), ';') AS models, arg_min(family || own, at_) AS model FROM c GROUP BY p_partkey),
+s AS (SELECT p_partkey, regexp_extract(lower(title), '\b([a-z]{{1,12}})[ -]+([0-9]{{2,}})', 1) || regexp_extract(lower(title), '\b([a-z]{{1,12}})[ -]+([0-9]{{2,}})', 2) AS gap, regexp_extract(title, '[0-9]{{2,}} ([A-Z]{{1,2}})$', 1) AS tail FROM w)
+SELECT p_partkey, coalesce(model, gap || CASE WHEN gap <> '' THEN lower(tail) ELSE '' END) AS model, coalesce(models, gap) AS models FROM w LEFT JOIN g USING (p_partkey) LEFT JOIN s USING (p_partkey)
+"""
 
 
 def name_similarity_blocked(s: SparkSession, d: str) -> DataFrame:
@@ -230,9 +242,13 @@ def property_compare(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "part").select("p_partkey", compare_property(left, right, "length").alias("length_class"), compare_property(weight, heavier, "weight").alias("weight_class"))
 
 
-PROPERTY_COMPARE = """
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'PROPERTY_FORMAT_VARIATION' WHEN 1 THEN 'PROPERTY_UNIT_VARIATION' WHEN 2 THEN 'PROPERTY_IDENTITY_CONFLICT' ELSE 'PROPERTY_DATA_QUALITY_WARNING' END AS length_class,
-  CASE p_partkey % 3 WHEN 0 THEN 'PROPERTY_UNIT_VARIATION' WHEN 1 THEN 'PROPERTY_WITHIN_TOLERANCE' ELSE 'PROPERTY_DATA_QUALITY_WARNING' END AS weight_class FROM part
+PROPERTY_COMPARE = r"""
+WITH v AS (SELECT p_partkey, p_size || ' mm' AS a, CASE p_partkey % 4 WHEN 0 THEN p_size || 'mm' WHEN 1 THEN p_size // 10 || ',' || p_size % 10 || ' cm' WHEN 2 THEN (p_size + 1) || ' mm' ELSE p_size || ' kg' END AS b, p_size || ' kg' AS c, (p_size + p_partkey % 3) || ' кг' AS d FROM part),
+l(unit, factor) AS (VALUES ('mm', 1), ('cm', 10), ('m', 1000)), k(unit, factor) AS (VALUES ('g', 0.001), ('kg', 1), ('t', 1000), ('кг', 1)),
+n AS (SELECT *, [struct_pack(raw := x, number := TRY_CAST(replace(regexp_extract(x, '^([0-9]+(?:[.,][0-9]+)?)', 1), ',', '.') AS DECIMAL(18,6)), unit := regexp_extract(x, '([^0-9., ]+)$', 1)) FOR x IN [a, b, c, d]] AS p FROM v),
+m AS (SELECT p_partkey, p, p[1].number * l1.factor AS la, p[2].number * l2.factor AS lb, p[3].number * k1.factor AS wa, p[4].number * k2.factor AS wb FROM n LEFT JOIN l l1 ON l1.unit = p[1].unit LEFT JOIN l l2 ON l2.unit = p[2].unit LEFT JOIN k k1 ON k1.unit = p[3].unit LEFT JOIN k k2 ON k2.unit = p[4].unit)
+SELECT p_partkey, CASE WHEN la = lb THEN CASE WHEN p[1].unit <> p[2].unit THEN 'PROPERTY_UNIT_VARIATION' WHEN p[1].raw <> p[2].raw THEN 'PROPERTY_FORMAT_VARIATION' ELSE 'PROPERTY_EQUAL' END WHEN la <> lb THEN 'PROPERTY_IDENTITY_CONFLICT' ELSE 'PROPERTY_DATA_QUALITY_WARNING' END AS length_class,
+  CASE WHEN wa = wb THEN CASE WHEN p[3].unit <> p[4].unit THEN 'PROPERTY_UNIT_VARIATION' ELSE 'PROPERTY_EQUAL' END WHEN abs(wa - wb) <= 1 THEN 'PROPERTY_WITHIN_TOLERANCE' ELSE 'PROPERTY_DATA_QUALITY_WARNING' END AS weight_class FROM m
 """
 
 

@@ -175,7 +175,7 @@ def missing_state_stream(s: SparkSession, d: str) -> DataFrame:
     rows = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), _evidence().alias("evidence"), (F.col("value") > 120).alias("guarded"))
     query = stream_missing_states(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.read.parquet(f"{out}/rows")
+    return s.read.parquet(f"{out}/rows").select(F.col("seq").alias("event_id"), F.col("key").cast("bigint").alias("user_id"), "evidence", F.col("misses").cast("bigint").alias("misses"), "state")
 
 
 def _rules(s: SparkSession) -> DataFrame:
@@ -246,6 +246,6 @@ def page_extract(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "change_detection": (change_detection, CHANGES), "merge_upsert": (merge_upsert, MERGE), "history_events": (history_events, HISTORY), "decision_persistence": (decision_persistence, DECISIONS),
     "url_roles": (url_roles, URL_ROLES), "relation_rebuild": (relation_rebuild, RELATIONS), "anomaly_detection": (anomaly_detection, ANOMALIES), "missing_state": (missing_state, MISSING),
-    "missing_state_stream": (missing_state_stream, None), "business_rules": (business_rules, RULES), "change_preview": (change_preview, PREVIEW), "preview_summary": (preview_summary, SUMMARY),
+    "missing_state_stream": (missing_state_stream, MISSING), "business_rules": (business_rules, RULES), "change_preview": (change_preview, PREVIEW), "preview_summary": (preview_summary, SUMMARY),
     "page_extract": (page_extract, None),
 }
