@@ -141,7 +141,7 @@ def test_near_buckets_of_several_components(spark):
         texts.append(" ".join(copy))
     components, _ = components_of(texts)
     assert 1 < len(set(components)) < 40
-    for options in ({"bands": 64, "rows": 1}, {"bands": 64, "rows": 1, "block_rows": 4}):
+    for options in ({"bands": 64, "rows": 1}, {"bands": 64, "rows": 1, "block_rows": 4}, {"bands": 64, "rows": 1, "block_rows": 8, "together": 2}):
         got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark, frame(spark, texts), least=0.4, **options).collect()}
         assert [got[i] for i in range(40)] == components
 
