@@ -9,6 +9,8 @@ source, reduced by one aggregate per source.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -55,7 +57,7 @@ def prepare(products: DataFrame) -> DataFrame:
     return rows.drop(*[f"_{c}" for c in texts], "_title", "_made", "_kind")
 
 
-def candidates(sources: DataFrame, registry: DataFrame, top: int = 10) -> DataFrame:
+def candidates(sources: DataFrame, registry: DataFrame, top: int = 10, title_rules: Mapping[str, str] | None = None) -> DataFrame:
     """(source_key, candidate_key, tier): the candidates of each source's first tier that has any.
 
     Tiers: 1 the supplier's article among the product's identifiers, 2 that article in the registry
@@ -63,16 +65,21 @@ def candidates(sources: DataFrame, registry: DataFrame, top: int = 10) -> DataFr
     best `top` by similarity and key. Tiers 1 to 4 are equi-joins; tier 5 only takes sources without
     any of those and is blocked by brand; names whose lengths or letters rule the similarity out never
     reach Python. A brand's pairs are all looked at, as the rule has it, so a brand's cost grows with the
-    square of its products; adaptive execution splits its join.
+    square of its products; adaptive execution splits its join. title_rules: pattern by supplier code; tier
+    2 then takes only these suppliers' articles, from titles that match the pattern.
     """
     s = sources.select(F.col("key").alias("source_key"), "supplier_code", "n_article", "n_model", "n_brand", "n_name", F.col("n_evidence.base").alias("base"))
     ids = registry.select("key", F.explode("identifiers").alias("supplier_code", "articles")).select(F.col("key").alias("candidate_key"), "supplier_code", F.explode("articles").alias("article"))
     ids = ids.select("candidate_key", "supplier_code", compact(normalize_text(F.col("article"))).alias("n_article")).filter("n_article <> ''").distinct()
-    titles = registry.select(F.col("key").alias("candidate_key"), F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(r"(?<!\d)(\d{5,10})(?!\d)"), F.lit(1)))).alias("n_article"))
+    number = F.array_distinct(F.regexp_extract_all("name", F.lit(r"(?<!\d)(\d{5,10})(?!\d)"), F.lit(1)))
+    titles, title_keys = registry.select(F.col("key").alias("candidate_key"), "name", F.explode(number).alias("n_article")), ["n_article"]
+    if title_rules is not None:
+        fitting = F.array_compact(F.array(*[F.when(F.col("name").rlike(f"(?iU){pattern}"), F.lit(code)) for code, pattern in sorted(title_rules.items())]))
+        titles, title_keys = titles.withColumn("supplier_code", F.explode(fitting)), ["supplier_code", "n_article"]
     r = registry.select(F.col("key").alias("candidate_key"), "n_model", "n_brand", "n_name", F.col("n_evidence.base").alias("base"))
     article = s.filter("n_article <> ''")
     tiers = [
-        article.join(ids, ["supplier_code", "n_article"]), article.join(titles, "n_article"),
+        article.join(ids, ["supplier_code", "n_article"]), article.join(titles, title_keys),
         s.filter("n_model <> ''").join(r.select("candidate_key", "n_model"), "n_model"), s.filter("base <> ''").join(r.select("candidate_key", "base"), "base"),
     ]
     found = None

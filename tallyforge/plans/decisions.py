@@ -76,7 +76,7 @@ def _feed(s: SparkSession, d: str, selection: DataFrame | None = None) -> DataFr
     c = F.col
     chosen = (_selection(s, d) if selection is None else selection).filter("status = 'selected'").withColumnRenamed("offer_success_at", "ship")
     part = t(s, d, "part").select(c("p_partkey").alias("product_id"), "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    rows = chosen.join(part, "product_id")
+    rows = chosen.join(part, "product_id", "left")
     return rows.select(
         c("product_id").alias("catalog_product_id"), c("status").alias("selection_status"), c("offer_id").alias("selected_offer_id"), "offer_id", c("supplier_id").alias("source_product_id"),
         c("product_id").alias("source_catalog_product_id"), c("supplier_id").alias("offer_supplier_id"), c("supplier_id").alias("source_supplier_id"),

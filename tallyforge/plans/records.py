@@ -15,6 +15,7 @@ from tallyforge.operators import properties as R
 from tallyforge.operators import provenance as P
 from tallyforge.operators import review as V
 from tallyforge.operators import tree as G
+from tallyforge.session import checkpointed
 from tallyforge.session import table as t
 
 # Links
@@ -116,14 +117,14 @@ def _cascade(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def match_candidates(s: SparkSession, d: str) -> DataFrame:
-    sources, registry = (M.prepare(x) for x in _cascade(s, d))
-    return M.candidates(sources, registry)
+    sources, registry = (checkpointed(M.prepare(x)) for x in _cascade(s, d))  # every tier reads them
+    return M.candidates(sources, registry, title_rules={"sup": r"\bpx\d*[1-9]\b", "other": "."})
 
 
 MATCH_CANDIDATES = """
 WITH r AS (SELECT p_partkey AS key, p_partkey // 2 AS k FROM part WHERE p_partkey > 1 AND p_partkey % 2 = 0), s AS (SELECT p_partkey AS source_key, p_partkey // 2 AS k FROM part WHERE p_partkey > 1 AND p_partkey % 2 = 1),
 ids AS (SELECT key, 'a' || k AS article FROM r UNION ALL SELECT key, 'a' || (k + 4) FROM r),
-f AS (SELECT source_key, key, 1 AS tier FROM s JOIN ids ON s.k % 4 = 0 AND article = 'a' || s.k UNION ALL SELECT source_key, key, 2 FROM s JOIN r ON s.k % 4 = 1 AND CAST(r.k + 100000 AS VARCHAR) = CAST(s.k + 100000 AS VARCHAR)
+f AS (SELECT source_key, key, 1 AS tier FROM s JOIN ids ON s.k % 4 = 0 AND article = 'a' || s.k UNION ALL SELECT source_key, key, 2 FROM s JOIN r ON s.k % 4 = 1 AND r.k % 10 <> 0 AND CAST(r.k + 100000 AS VARCHAR) = CAST(s.k + 100000 AS VARCHAR)
   UNION ALL SELECT source_key, key, 3 FROM s JOIN r ON s.k % 4 = 2 AND 'px' || r.k = 'px' || s.k UNION ALL SELECT source_key, key, 4 FROM s JOIN r ON s.k % 4 = 3 AND 'px' || r.k = 'px' || s.k)
 SELECT source_key, key AS candidate_key, CAST(tier AS INT) AS tier FROM f
 """

@@ -218,3 +218,25 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     with pytest.raises(ValueError, match="share"):
         shared_folder(Session)
     assert shared_folder(spark).startswith("file://")
+
+
+def test_duplicate_candidates_by_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), F.concat_ws(" ", "p_name", F.col("p_partkey") % 3).alias("name"), "p_brand", "p_type", "p_size")
+    blocks = {"TYPE_SIZE": ["p_type", "p_size"], "NAME_BRAND": ["name", "p_brand"]}
+    got = {(r.left, r.right): r.methods for r in matching.duplicate_candidates(rows, blocks, "name", "p_brand", block_rows=4, name_rows=6).collect()}
+    data, want = rows.collect(), {}
+
+    def pairs(method, key, most, alike=lambda a, b: True):
+        groups = {}
+        for r in data:
+            groups.setdefault(key(r), []).append(r)
+        for members in groups.values():
+            for a in members if 2 <= len(members) <= most else []:
+                for b in members:
+                    if a.key < b.key and alike(a, b):
+                        want.setdefault((a.key, b.key), set()).add(method)
+
+    pairs("TYPE_SIZE", lambda r: (r.p_type, r.p_size), 4)
+    pairs("NAME_BRAND", lambda r: (r.name, r.p_brand), 4)
+    pairs("NAME_SIMILARITY", lambda r: (r.p_brand, r.name[:12]), 6, lambda a, b: SequenceMatcher(None, a.name, b.name).ratio() >= 0.95)
+    assert got == {k: ";".join(sorted(v)) for k, v in want.items()} and {m for v in want.values() for m in v} >= {"TYPE_SIZE", "NAME_SIMILARITY"}
