@@ -112,6 +112,30 @@ def first_match(rules: list[tuple[Column, object]], default: object = None) -> C
     return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules), F.lit(default))
 
 
+def flat_value(value: Column, enum_first: bool = True, depth: int = 4) -> Column:
+    """A value of the registry, as JSON, in one text: lists joined by |, of an object its enum or its value.
+
+    What is nested deeper than `depth` stays JSON text; null and empty values give an empty text.
+    """
+    if not depth:
+        return F.coalesce(value, F.lit(""))
+
+    def flat(v: Column) -> Column:
+        items = F.transform(F.from_json(v, "array<string>"), lambda x: flat_value(x, enum_first, depth - 1))
+        enum = F.nullif(F.get_json_object(v, "$.valueEnum"), F.lit("")) if enum_first else F.lit(None).cast("string")
+        inner = let(F.coalesce(enum, F.get_json_object(v, "$.value")), lambda x: flat_value(x, False, depth - 1))
+        return first_match([
+            (v.startswith("["), F.coalesce(F.array_join(F.filter(items, lambda x: x != ""), " | "), v)), (v.startswith("{"), F.when(F.json_object_keys(v).isNotNull(), inner).otherwise(v)),
+        ], None)
+
+    return let(F.coalesce(value, F.lit("")), lambda v: F.coalesce(flat(v), v))
+
+
+def flag_list(value: Column) -> Column:
+    """A JSON array of flags as a sorted array without repeats; anything else is empty."""
+    return F.array_sort(F.array_distinct(F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))))
+
+
 def unit_of_name(name: Column) -> Column:
     """The unit after the last comma of a property name."""
     found = F.trim(F.regexp_extract(name, r",\s*([^,]+)$", 1))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.relational import blank_to_null, conditional_counts, contains_text, latest_by
+from tallyforge.sources.writers import without_secrets
 
 #: Decisions on a product.
 DECISIONS = ("EXACT_EXISTING", "HIGH_CONFIDENCE_EXISTING", "REVIEW_EXISTING", "SAFE_NEW_PRODUCT_CANDIDATE", "ACCESSORY_OR_COMPATIBILITY_ITEM", "CONFLICT", "INSUFFICIENT_IDENTITY")
@@ -162,6 +163,19 @@ def changes_in(history: DataFrame, period: str, as_of: Column | None = None, run
     raise ValueError("invalid change export period")
 
 
+def product_history(history: DataFrame, products: DataFrame, supplier: str, external_id: str) -> DataFrame:
+    """The changes of one product, the latest first."""
+    one = products.filter((F.col("supplier") == supplier) & (F.col("external_id") == external_id)).select("product_id", "supplier")
+    return history.join(F.broadcast(one), "product_id").orderBy(F.desc("changed_at"), F.desc("event_id"))  # one product
+
+
+def section_rows(entity: str, sections: Mapping[str, DataFrame]) -> DataFrame:
+    """The rows of a section's export without columns that speak of secrets; unknown sections raise."""
+    if entity not in sections:
+        raise ValueError(f"unknown export section {entity}")
+    return without_secrets(sections[entity])
+
+
 def quality_dashboard(suppliers: DataFrame, rows: DataFrame, errors: DataFrame, runs: DataFrame, snapshots: DataFrame, as_of: Column) -> DataFrame:
     """Per supplier: products, active ones, all quality issues, decisions, recent errors, and the latest run and snapshot.
 

@@ -36,6 +36,12 @@ def price_provenance(card: Mapping[str, Column], raw: Column) -> Column:
     )
 
 
+def with_defaults(code: Column, settings: Column, defaults: Mapping[str, str]) -> Column:
+    """JSON settings with what a supplier's defaults add; settings that are there stay, suppliers without defaults too."""
+    chosen = F.coalesce(*[F.when(code == name, F.lit(text)) for name, text in defaults.items()], F.lit(None).cast("string"))
+    return F.when(chosen.isNotNull(), merge_json(chosen, settings)).otherwise(settings)
+
+
 def field_observations(cards: DataFrame, key: str, fields: Mapping[str, tuple[Column, Column | str, Column | str]], kind: Column, observed_at: Column) -> DataFrame:
     """One row per product and field: the value as JSON, where it was found and how it was made.
 

@@ -46,6 +46,19 @@ def ordered_text(column: Column, order: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), column.alias("v")))), lambda x: x["v"]), separator)
 
 
+def ordered_texts(columns: Mapping[str, tuple[Column, str]], order: Column) -> list[Column]:
+    """Aggregates: several columns as texts in one order, each with its separator; null counts as empty.
+
+    Rows are gathered and sorted once for all of them.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(order.alias("_o"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, (c, _) in columns.items()])))
+    return [F.array_join(_pick(rows, n), separator).alias(n) for n, (_, separator) in columns.items()]
+
+
+def _pick(rows: Column, name: str) -> Column:
+    return F.transform(rows, lambda x: x[name])
+
+
 def distinct_text(column: Column, separator: str = ",") -> Column:
     """Aggregate: the distinct values in rising order, as one text."""
     return F.array_join(F.array_sort(F.collect_set(column)), separator)

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.taxonomy import canonical_property
+from tallyforge.functions.text import flag_list, flat_value
 from tallyforge.operators import checks as C
 from tallyforge.operators import identity as I
 from tallyforge.operators import integrity, links
+from tallyforge.operators import listing as L
 from tallyforge.operators import matching as M
 from tallyforge.operators import merge as U
 from tallyforge.operators import properties as R
 from tallyforge.operators import provenance as P
+from tallyforge.operators import relational as X
 from tallyforge.operators import review as V
 from tallyforge.operators import tree as G
+from tallyforge.plans.listings import role, roles_sql
 from tallyforge.session import checkpointed
 from tallyforge.session import table as t
 
@@ -604,6 +608,52 @@ CONDITIONAL = """
 SELECT 'confirmed_mapping_has_id' AS check_name, count(*) AS violations FROM part WHERE p_size % 2 = 0 AND p_size % 3 <> 0 UNION ALL SELECT 'resolved_iff_class', count(*) FROM part WHERE (p_size % 2 = 0) <> (p_size % 5 < 2)
 UNION ALL SELECT 'decision_has_comment', count(*) FROM part WHERE p_size % 4 < 2 AND p_partkey % 2 = 0
 """
+_VALUES = (
+    "p_partkey", "CASE p_size % 6 WHEN 0 THEN p_type WHEN 1 THEN '' WHEN 2 THEN '[\"' || p_type || '\",\"\",{\"valueEnum\":\"' || p_brand || '\",\"value\":\"x\"}]' WHEN 3 THEN '{\"valueEnum\":\"\",\"value\":' || p_size || '}' WHEN 4 THEN '{\"valueEnum\":{\"value\":\"' || p_name || '\"},\"value\":1}' END AS value",
+    "CASE p_size % 4 WHEN 0 THEN '[\"b\",\"a\",\"b\",\"' || p_type || '\"]' WHEN 1 THEN 'broken' WHEN 2 THEN '[]' END AS flags",
+)
+
+
+def flat_values(s: SparkSession, d: str) -> DataFrame:
+    """Registry values and flags of decisions as texts."""
+    return t(s, d, "part").selectExpr(*_VALUES).select("p_partkey", flat_value(F.col("value")).alias("value"), F.array_join(flag_list(F.col("flags")), ";").alias("flags"))
+
+
+FLAT_VALUES = """
+SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_type WHEN 2 THEN p_type || ' | ' || p_brand WHEN 3 THEN CAST(p_size AS VARCHAR) WHEN 4 THEN p_name ELSE '' END AS value,
+  CASE WHEN p_size % 4 = 0 THEN array_to_string(list_sort(list_distinct(['b', 'a', p_type])), ';') ELSE '' END AS flags FROM part
+"""
+
+
+def product_history(s: SparkSession, d: str) -> DataFrame:
+    return L.product_history(role(s, d, "history"), role(s, d, "products"), "S7", "7").select("event_id", "run_id", "field", "changed_at", "supplier")
+
+
+PRODUCT_HISTORY = f"WITH {roles_sql('history', 'products')} SELECT event_id, run_id, field, changed_at, supplier FROM history JOIN products USING (product_id) WHERE supplier = 'S7' AND external_id = '7'"
+
+
+def ordered_lists(s: SparkSession, d: str) -> DataFrame:
+    """Per customer the orders of a status as several texts in the order of their keys."""
+    c = F.col
+    lists = X.ordered_texts({"orders": (c("o_orderkey"), "|"), "priorities": (F.when(c("o_orderkey") % 3 != 0, c("o_orderpriority")), " || ")}, c("o_orderkey"))
+    return t(s, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"), *lists).filter("n > 1")
+
+
+ORDERED_LISTS = """
+SELECT o_custkey, o_orderstatus, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS orders, string_agg(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority ELSE '' END, ' || ' ORDER BY o_orderkey) AS priorities
+FROM orders GROUP BY ALL HAVING count(*) > 1
+"""
+
+
+def rate_defaults(s: SparkSession, d: str) -> DataFrame:
+    rows = t(s, d, "supplier").selectExpr("s_suppkey", "'c' || (s_nationkey % 3) AS code", "CASE WHEN s_suppkey % 2 = 0 THEN '{\"timeout\":9}' ELSE '{}' END AS settings")
+    return rows.select("s_suppkey", P.with_defaults(F.col("code"), F.col("settings"), {"c0": '{"timeout":40,"slots":4}', "c1": '{"slots":3}'}).alias("settings"))
+
+
+RATE_DEFAULTS = """
+SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN '{"slots":4,"timeout":' || CASE WHEN s_suppkey % 2 = 0 THEN 9 ELSE 40 END || '}' WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN '{"slots":3,"timeout":9}' ELSE '{"slots":3}' END
+  ELSE CASE WHEN s_suppkey % 2 = 0 THEN '{"timeout":9}' ELSE '{}' END END AS settings FROM supplier
+"""
 _CARD_GROUPS = {"identity": ["p_partkey", "p_name"], "commercial": ["p_retail"], "description": ["p_type"], "taxonomy": ["p_brand"], "properties": ["p_size"], "media": ["p_container"], "options": ["p_name", "p_size"], "source": ["p_brand", "p_type"]}
 
 
@@ -628,5 +678,5 @@ QUERIES = {
     "missing_applied": (missing_applied, MISSING_APPLIED), "missing_offers": (missing_offers, MISSING_OFFERS), "category_paths": (category_paths, CATEGORY_PATHS), "run_finalization": (run_finalization, RUN_FINALIZATION),
     "case_listing": (case_listing, CASE_LISTING), "case_counts": (case_counts, CASE_COUNTS), "candidate_search": (candidate_search, CANDIDATE_SEARCH), "case_comparison": (case_comparison, CASE_COMPARISON), "case_decisions": (case_decisions, CASE_DECISIONS),
     "job_queue": (job_queue, JOB_QUEUE), "domain_keys": (domain_keys, DOMAIN_KEYS), "integrity_ingest": (integrity_ingest, INTEGRITY_INGEST), "integrity_selection": (integrity_selection, INTEGRITY_SELECTION), "conditional_rules": (conditional_rules, CONDITIONAL),
-    "card_hashes": (card_hashes, CARD_HASHES),
+    "card_hashes": (card_hashes, CARD_HASHES), "flat_values": (flat_values, FLAT_VALUES), "product_history": (product_history, PRODUCT_HISTORY), "ordered_lists": (ordered_lists, ORDERED_LISTS), "rate_defaults": (rate_defaults, RATE_DEFAULTS),
 }
