@@ -386,6 +386,21 @@ def test_pipeline_near_duplicates_judge_rows(spark, sf_dir):
     assert sorted(map(repr, kept)) == sorted(map(repr, [(1, same), (1, other), (None, None), (3, None), (4, ""), (4, "")]))
 
 
+def test_pipeline_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as p
+
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(None, None, None, None, None, 1), (1, "a b c d", "en", "s", 7, 1), (1, "a b c d", "en", "s", 7, 1), (2, "", None, "s", 0, 1), (3, long, "en", None, None, 1), (None, "x y z", "en", "s", 5, 1)]
+    rows += [(100 + i, f"only {i} here\nshared line of all", "en", "s", 1, 1) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "q"), (2, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pieces = p.run(spark, str(tmp_path)).collect()
+    ids = sorted({str(r.doc_id) for r in pieces})
+    assert ids == sorted(["1", "2", "3", "None", *(str(100 + i) for i in range(12))])
+    assert sum(r.length for r in pieces if r.doc_id == 1) == next(r.doc_tokens for r in pieces if r.doc_id == 1)  # one of the equal rows
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as p
 

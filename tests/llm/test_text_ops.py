@@ -340,6 +340,15 @@ def test_packing_empty(spark, vocabulary):
     assert pk.pack(spark, frame(spark, []), vocabulary).count() == 0
 
 
+def test_packing_repeated_and_null_ids(spark, vocabulary):
+    """Rows that share an id, or have none, are packed as rows of their own; columns that clash are not read."""
+    rows = [(1, "alpha beta", "x"), (1, "alpha beta", "y"), (1, "gamma", "z"), (None, "alpha", None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sequence_id string")
+    got = pk.pack(spark, docs, vocabulary, size=64).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "None", "None"] and len({(r.sequence_id, r.offset) for r in got}) == 5
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got)
+
+
 # Toxicity
 
 
