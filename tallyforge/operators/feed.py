@@ -125,6 +125,26 @@ def validate_document(document_rows: DataFrame, expected: DataFrame) -> DataFram
     return a.join(b, "id", "fullouter").withColumn("problem", state).filter("problem is not null").select("id", "problem")
 
 
+def document_problems(offers: DataFrame, categories: DataFrame, available: Iterable[str] = ("true", "false")) -> DataFrame:
+    """(id, problem) of a parsed document's offers: position, id, category_id, price, url, available, all but position as text.
+
+    Ids must be unique and rise by number, then text, from one offer to the next; categories must be
+    declared, prices be positive decimals of at most four places, URLs be valid and availability known. The
+    order is checked by a join of neighbours, so no task reads the whole document.
+    """
+    known = categories.select("category_id", F.lit(True).alias("_declared")).distinct()
+    repeated = offers.groupBy("id").agg(F.count("*").alias("_n"), F.min("position").alias("position"))
+    rows = offers.join(known, "category_id", "left").join(repeated.drop("position"), "id")
+    order = lambda c: F.struct(F.expr(f"try_cast({c} AS DECIMAL(38,0))").isNull(), F.expr(f"try_cast({c} AS DECIMAL(38,0))"), F.col(c))
+    before = offers.select((F.col("position") + 1).alias("position"), order("id").alias("_before"))
+    rows = rows.join(before, "position", "left").withColumn("_own", order("id"))
+    tests = {
+        "DUPLICATE_ID": F.col("_n") > 1, "OUT_OF_ORDER": F.coalesce(F.col("_before") > F.col("_own"), F.lit(False)), "UNDECLARED_CATEGORY": F.col("_declared").isNull(),
+        "INVALID_PRICE": ~F.coalesce(F.col("price").rlike(r"^\d+(\.\d{1,4})?$") & (F.col("price").try_cast("decimal(18,4)") > 0), F.lit(False)), "INVALID_URL": ~valid_url(F.col("url")), "UNKNOWN_AVAILABILITY": ~F.coalesce(F.col("available").isin(*available), F.lit(False)),
+    }
+    return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))).alias("problem"))
+
+
 def plan_updates(states: DataFrame, blockers: tuple[str, ...] = ()) -> DataFrame:
     """Dry-run plan per target: deltas and the action, from desired and current price and availability.
 

@@ -184,9 +184,9 @@ def quality_dashboard(suppliers: DataFrame, rows: DataFrame, errors: DataFrame,
     """
     d = F.col("decision")
     counts = {
-        "active": F.col("active"), **issues(), "review": d.isin("REVIEW_EXISTING", "INSUFFICIENT_IDENTITY"), "conflicts": d == "CONFLICT", "safe_new": d == "SAFE_NEW_PRODUCT_CANDIDATE",
+        "active_products": F.col("active"), **issues(), "review": d.isin("REVIEW_EXISTING", "INSUFFICIENT_IDENTITY"), "conflicts": d == "CONFLICT", "safe_new": d == "SAFE_NEW_PRODUCT_CANDIDATE",
     }
-    per = rows.groupBy("supplier").agg(F.count("*").alias("total"), *[F.count_if(test).alias(f"{name}" if name != "active" else "active_products") for name, test in counts.items()])
+    per = rows.groupBy("supplier").agg(F.count("*").alias("total"), *conditional_counts(counts))
     recent = errors.filter(F.col("created_at") > as_of - F.expr("INTERVAL 30 DAYS")).groupBy("supplier").agg(F.count("*").alias("parser_errors"))
     crawled = runs.filter("status = 'succeeded'").groupBy("supplier").agg(F.max("finished_at").alias("last_successful_crawl"))
     latest = latest_by(snapshots, ["supplier"], ["created_at", "snapshot_id"]).select("supplier", "critical", "codes")

@@ -13,9 +13,12 @@ from tallyforge.operators import integrity
 from tallyforge.operators import listing as L
 from tallyforge.operators import offers as O
 from tallyforge.operators import reports as P
+from tallyforge.operators.feed import document_problems
 from tallyforge.plans.decisions import _candidates, _selection
 from tallyforge.plans.offers_sql import OFFERS
 from tallyforge.session import table as t
+from tallyforge.sources.readers import rebuild_cards
+from tallyforge.sources.writers import xml_rows
 
 _DECISION = "CASE p_size % 7 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'REVIEW_EXISTING' WHEN 2 THEN 'SAFE_NEW_PRODUCT_CANDIDATE' WHEN 3 THEN 'INSUFFICIENT_IDENTITY' WHEN 4 THEN 'ACCESSORY_OR_COMPATIBILITY_ITEM' ELSE 'EXACT_EXISTING' END"
 #: Role tables: (test table, projection, condition).
@@ -366,6 +369,33 @@ def zero_write_check(s: SparkSession, d: str) -> DataFrame:
 ZERO_WRITE = "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'ONLY_AFTER' WHEN p_partkey % 8 = 0 THEN 'ONLY_BEFORE' ELSE 'CHANGED' END AS problem FROM part WHERE NOT (p_partkey % 7 = 0 AND p_partkey % 8 = 0) AND (p_partkey % 7 = 0 OR p_partkey % 8 = 0 OR p_partkey % 9 = 0)"
 
 
+def xml_export(s: SparkSession, d: str) -> DataFrame:
+    """Products with their images as XML, read back: what the export holds of each."""
+    images = role(s, d, "images").select("product_id", "position", F.concat(F.lit("u"), "line").alias("url"))
+    cards = rebuild_cards(role(s, d, "products").filter("active").select("product_id", "name", F.nullif("brand", F.lit("")).alias("brand")), {"images": images})
+    xml = xml_rows(cards, "product")
+    return xml.selectExpr("xpath_long(xml, '/product/product_id') AS product_id", "xpath_string(xml, '/product/name') AS name", "size(xpath(xml, '/product/brand')) AS brands", "size(xpath(xml, '/product/images')) AS images", "array_join(xpath(xml, '/product/images/url/text()'), ';') AS urls")
+
+
+XML_EXPORT = f"""WITH {roles_sql('products', 'images')}, i AS (SELECT product_id, count(*) AS n, string_agg('u' || line, ';' ORDER BY position, 'u' || line) AS urls FROM images GROUP BY product_id)
+SELECT product_id, name, CAST(brand <> '' AS INT) AS brands, CAST(coalesce(n, 0) AS INT) AS images, coalesce(urls, '') AS urls FROM products LEFT JOIN i USING (product_id) WHERE active"""
+_DOCUMENT = (
+    "p_partkey AS position", "CASE WHEN p_partkey % 20 = 0 THEN CAST(p_partkey - 1 AS STRING) WHEN p_partkey % 33 = 0 THEN CAST(p_partkey - 5 AS STRING) ELSE CAST(p_partkey AS STRING) END AS id", "CASE WHEN p_size = 9 THEN 'none' ELSE p_type END AS category_id",
+    "CASE p_size % 8 WHEN 0 THEN '0' WHEN 1 THEN '1,5' WHEN 2 THEN NULL ELSE '12.50' END AS price", "CASE WHEN p_size % 6 = 0 THEN 'ftp://x' ELSE 'https://h/p' END AS url", "CASE p_size % 9 WHEN 0 THEN 'yes' ELSE 'true' END AS available",
+)
+
+
+def feed_document_check(s: SparkSession, d: str) -> DataFrame:
+    part = t(s, d, "part")
+    rows = document_problems(part.selectExpr(*_DOCUMENT), part.select(F.col("p_type").alias("category_id")))
+    return rows.groupBy("id", "problem").agg(F.count("*").alias("n"))
+
+
+FEED_DOCUMENT = f"""WITH o AS (SELECT {', '.join(_DOCUMENT)} FROM part), j AS (SELECT o.*, count(*) OVER (PARTITION BY id) AS n, lag(CAST(id AS BIGINT)) OVER (ORDER BY position) AS before FROM o),
+p AS (SELECT id, unnest([CASE WHEN n > 1 THEN 'DUPLICATE_ID' END, CASE WHEN before > CAST(id AS BIGINT) THEN 'OUT_OF_ORDER' END, CASE WHEN category_id = 'none' THEN 'UNDECLARED_CATEGORY' END, CASE WHEN price IS NULL OR price <> '12.50' THEN 'INVALID_PRICE' END,
+  CASE WHEN url <> 'https://h/p' THEN 'INVALID_URL' END, CASE WHEN available <> 'true' THEN 'UNKNOWN_AVAILABILITY' END]) AS problem FROM j) SELECT id, problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY ALL"""
+
+
 # Selections as a whole
 
 
@@ -411,5 +441,5 @@ QUERIES = {
     "content_completeness": (content_completeness, COMPLETENESS), "media_audit": (media_audit, MEDIA_AUDIT), "relation_buckets": (relation_buckets, RELATION_BUCKETS), "new_product_reasons": (new_product_reasons, NEW_REASONS),
     "nested_totals": (nested_totals, NESTED_TOTALS), "table_counts": (table_counts, TABLE_COUNTS), "keep_best": (keep_best, KEEP_BEST), "quota_sample": (quota_sample, QUOTA_SAMPLE), "trace_rows": (trace_rows, TRACE_ROWS),
     "target_problems": (target_problems, TARGET_PROBLEMS), "rollback_plan": (rollback_plan, ROLLBACK), "zero_write_check": (zero_write_check, ZERO_WRITE), "selection_all_products": (selection_all_products, SELECTION_ALL),
-    "selection_evidence": (selection_evidence, SELECTION_EVIDENCE), "selection_changes": (selection_changes, SELECTION_CHANGES),
+    "xml_export": (xml_export, XML_EXPORT), "feed_document_check": (feed_document_check, FEED_DOCUMENT), "selection_evidence": (selection_evidence, SELECTION_EVIDENCE), "selection_changes": (selection_changes, SELECTION_CHANGES),
 }
