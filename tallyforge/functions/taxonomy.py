@@ -89,6 +89,10 @@ def _kind_in(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return first_match([(matches(text, p), F.lit(k)) for k, p, _ in KINDS if kinds is None or k in kinds])
 
 
+def _kind_in_any(text: Column) -> Column:
+    return _kind_in(text)
+
+
 def marker_start(text: Column) -> Column:
     """1-based start of the earliest compatibility wording in a folded text; null if there is none."""
     return F.array_min(F.array(*[F.nullif(F.regexp_instr(text, F.lit(f"(?iU){m}")), F.lit(0)) for m in MARKERS]))
@@ -106,12 +110,12 @@ def product_kind(name: Column, category: Column, unicode: bool = True) -> Column
 
     def levels(x: Column) -> Column:
         head = F.when(x["start"].isNull(), x["title"]).otherwise(F.substring(x["title"], F.lit(1), x["start"] - 1))
-        found = F.struct(
-            let(head, lambda h: F.when(matches(h, (_MACHINE_WORD,)), _kind_in(x["title"], _MACHINES))).alias("machine_name"), let(head, lambda h: _kind_in(h)).alias("name_head"),
-            _kind_in(x["title"]).alias("name"), _kind_in(x["rest"]).alias("category"),
-        )
+        machine = let(head, lambda h: F.when(matches(h, (_MACHINE_WORD,)), _kind_in(x["title"], _MACHINES)))
+        kinds = F.transform(F.array(head, x["title"], x["rest"]), _kind_in_any)
         names = ("machine_name", "name_head", "name", "category")
-        return let(found, lambda k: F.struct(F.coalesce(*[k[n] for n in names], F.lit("unknown")).alias("kind"), first_match([(k[n].isNotNull(), F.lit(n)) for n in names], "none").alias("source")))
+        return let(F.concat(F.array(machine), kinds), lambda k: F.struct(
+            F.coalesce(*[F.get(k, F.lit(n)) for n in range(4)], F.lit("unknown")).alias("kind"), first_match([(F.get(k, F.lit(n)).isNotNull(), F.lit(name)) for n, name in enumerate(names)], "none").alias("source"),
+        ))
 
     whole = F.struct(normalize_text(name, unicode).alias("title"), normalize_text(category, unicode).alias("rest"))
     return let(whole, lambda x: let(F.struct(x["title"].alias("title"), x["rest"].alias("rest"), marker_start(x["title"]).alias("start")), levels))

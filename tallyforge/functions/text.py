@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,8 +107,11 @@ def plain_decimal(value: Column) -> Column:
 
 
 def first_match(rules: list[tuple[Column, object]], default: object = None) -> Column:
-    """The value of the first condition that holds."""
-    return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules), F.lit(default))
+    """The value of the first condition that holds, as one flat case expression."""
+    out = F.when(*rules[0])
+    for condition, value in rules[1:]:
+        out = out.when(condition, value)
+    return out.otherwise(default)
 
 
 def flat_value(value: Column, enum_first: bool = True, depth: int = 4) -> Column:

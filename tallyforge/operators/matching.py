@@ -206,11 +206,7 @@ def decide(assessed: DataFrame, sources: DataFrame) -> DataFrame:
     last = ("NEW_CANDIDATE", "NO_IDENTITY_EVIDENCE", similar, F.col("top.candidate_key"), F.col("top.conflicts"), False)
 
     def column(k: int) -> Column:
-        as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-        out = as_column(last[k - 1])
-        for rule in reversed(rules):
-            out = F.when(F.coalesce(rule[0], F.lit(False)), as_column(rule[k])).otherwise(out)
-        return out
+        return first_match([(rule[0], rule[k]) for rule in rules], last[k - 1])
 
     names = ("status", "method", "confidence", "candidate_key", "conflicts", "auto_accepted")
     warnings = F.when(F.col("n_confirmed") == 1, F.col("a.warnings")).otherwise(nothing)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import first_match
+
 #: Default availability ranks.
 RANKS = {"in_stock": 0, "incoming": 1, "preorder": 2, "backorder": 2, "unknown": 3, "out_of_stock": 4, "discontinued": 5}
 
@@ -143,15 +144,10 @@ def select(evaluated: DataFrame, policy: OfferPolicy, carry: Sequence[str] = ())
         (c("t.currency") < c("t.other_currency"), "review", "top_candidate_currency_comparison_required", None),
         (alone, "selected", "lowest_valid_price_within_top_business_rank", c("t.cheap")),
     ]
-    last = (F.lit("selected"), F.lit("deterministic_tie_break_after_equal_business_inputs"), c("t.cheap"))
-    nothing = F.lit(None)
-
-    def chain(values: list[tuple[Column, Column]], default: Column) -> Column:
-        return reduce(lambda otherwise, x: F.when(x[0], x[1]).otherwise(otherwise), reversed(values), default)
-
-    status = chain([(test, F.lit(s)) for test, s, _, _ in rules], last[0])
-    reason = chain([(test, F.lit(r)) for test, _, r, _ in rules], last[1])
-    winner = chain([(test, nothing if w is None else w) for test, _, _, w in rules], last[2])
+    last = ("selected", "deterministic_tie_break_after_equal_business_inputs", c("t.cheap"))
+    status = first_match([(test, s) for test, s, _, _ in rules], last[0])
+    reason = first_match([(test, r) for test, _, r, _ in rules], last[1])
+    winner = first_match([(test, w) for test, _, _, w in rules], last[2])
     out = rows.withColumns({"status": status, "reason": reason, "w": winner})
     names = ("offer_id", "supplier_id", "supplier_code", "price", *carry)
     return out.select("product_id", "status", "reason", *[c(f"w.{x}").alias(x) for x in names], "evaluated", "eligible", F.lit(policy.version).alias("rule_version"))
