@@ -22,6 +22,12 @@ DECISIONS = ("EXACT_EXISTING", "HIGH_CONFIDENCE_EXISTING", "REVIEW_EXISTING", "S
 DETAILS = ("properties", "images", "documents", "relations", "options", "provenance", "matches", "decisions")
 
 
+#: The quality issues of a product.
+ISSUES = (
+    "without_price", "zero_price", "without_currency", "without_sku", "without_brand", "without_model", "without_description", "without_properties", "without_images", "without_category", "without_availability",
+)
+
+
 def content_complete() -> Column:
     """Description and brand are filled."""
     return (F.coalesce("description", F.lit("")) != "") & (F.coalesce("brand", F.lit("")) != "")
@@ -64,7 +70,7 @@ class ProductFilters:
             raise ValueError("invalid pagination")
         if self.decision and self.decision not in DECISIONS:
             raise ValueError("invalid decision")
-        if self.issue and self.issue not in issues():
+        if self.issue and self.issue not in ISSUES:
             raise ValueError("invalid quality issue")
 
     def condition(self) -> Column:
