@@ -126,7 +126,7 @@ def test_stream_equals_batch(spark, sf_dir):
     from tallyforge.plans.upkeep import missing_state, missing_state_stream
 
     batch = {(r.event_id, r.misses, r.state) for r in missing_state(spark, sf_dir).collect()}
-    assert batch == {(r.seq, r.misses, r.state) for r in missing_state_stream(spark, sf_dir).collect()}
+    assert batch == {(r.event_id, r.misses, r.state) for r in missing_state_stream(spark, sf_dir).collect()}
 
 
 def test_versioned_merge(spark):
