@@ -86,4 +86,48 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op4_near_dedup": _OP4, "op6_line_dedup": _OP6, "op7_decontamination": _OP7}
+#: Levels by recursion over runs of three, sources first and then their roots; crc32 bit by bit; folding up each proof.
+_OP13 = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, text, concat(
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+    xor(CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) // 2, 3988292384) ELSE xor(a, b) // 2 END) AS BIGINT), 4294967295) AS crc
+  FROM documents
+), leaf AS (
+  SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS offered
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
+), tree AS (
+  SELECT grp, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n FROM placed
+  UNION ALL
+  SELECT grp, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3 FROM tree WHERE n > 1 GROUP BY grp, level, pos // 3
+), subroots AS (
+  SELECT grp, level AS depth, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS m FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS level, place AS pos, subroot AS digest, m AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3
+), siblings AS (
+  SELECT p.grp, p.pos AS leaf_pos, t.level AS step, coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos < t.pos), '') AS l, coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos > t.pos), '') AS r
+  FROM placed p JOIN tree t ON t.grp = p.grp AND t.n > 1 AND t.pos = p.pos // CAST(3 ** t.level AS BIGINT) JOIN tree s ON s.grp = t.grp AND s.level = t.level AND s.pos // 3 = t.pos // 3 GROUP BY ALL
+  UNION ALL
+  SELECT p.grp, p.pos, u.depth + t.level, coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos < t.pos), ''), coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos > t.pos), '')
+  FROM placed p JOIN subroots u ON u.grp = p.grp JOIN top t ON t.n > 1 AND t.pos = u.place // CAST(3 ** t.level AS BIGINT) JOIN top s ON s.level = t.level AND s.pos // 3 = t.pos // 3 GROUP BY p.grp, p.pos, u.depth, t.level
+), folded AS (
+  SELECT grp, pos, 0 AS step, coalesce(offered, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT f.grp, f.pos, f.step + 1, sha256(s.l || f.digest || s.r) FROM folded f JOIN siblings s ON s.grp = f.grp AND s.leaf_pos = f.pos AND s.step = f.step
+), last AS (
+  SELECT grp, pos, max_by(digest, step) AS folded_root FROM folded GROUP BY grp, pos
+), proofs AS (
+  SELECT grp, leaf_pos, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM siblings GROUP BY grp, leaf_pos
+)
+SELECT p.doc_id, p.leaf, u.subroot, t.digest AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = t.digest AS verified
+FROM placed p JOIN subroots u ON u.grp = p.grp JOIN top t ON t.n = 1 JOIN last f ON f.grp = p.grp AND f.pos = p.pos LEFT JOIN proofs q ON q.grp = p.grp AND q.leaf_pos = p.pos
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op4_near_dedup": _OP4, "op6_line_dedup": _OP6, "op7_decontamination": _OP7, "op13_merkle_manifest": _OP13}
