@@ -79,6 +79,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm.common import scratch
+    from tallyforge.llm.token_files import read_tokens, write_tokens
+
+    folder = scratch(spark, "token-files")
+    write_tokens(spark, table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -99,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_fingerprint": op9_fingerprint,
     "op10_url_filter": op10_url_filter,
+    "op11_token_files": op11_token_files,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

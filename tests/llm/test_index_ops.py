@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyforge.llm import merkle as mk
+from tallyforge.llm import queries
+from tallyforge.llm import token_files as tf
 
 DDL = "doc_id bigint, source string, lang string, n_chars bigint, text string, grp string, pos string, n string"
 
@@ -92,3 +99,116 @@ def test_manifest_of_several_stages(spark, monkeypatch):
 def test_manifest_at_block_borders(spark):
     rows = [(i, f"s{n}", "en", i, f"t\n{i}") for n in (mk.BLOCK - 1, mk.BLOCK, mk.BLOCK + 1) for i in range(n)]
     assert sorted(merkle_of(spark, rows), key=str) == sorted(merkle_by_hand(rows), key=str)
+
+
+# Token files
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def huffman_total(counts):
+    """Bits of all symbols under an unlimited Huffman code."""
+    heap, total = list(counts), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        both = heapq.heappop(heap) + heapq.heappop(heap)
+        total += both
+        heapq.heappush(heap, both)
+    return total
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=2, max_size=60))
+def test_code_lengths(counts):
+    free = tf.code_lengths(np.array(counts), 60)
+    assert int((free * counts).sum()) == huffman_total(counts)
+    held = tf.code_lengths(np.array(counts), 6)
+    assert held.max() <= 6 and sum(2.0**-b for b in held) == 1.0
+    assert (held * counts).sum() >= (free * counts).sum()
+
+
+def test_limited_lengths_are_the_best():
+    """Against all lengths that the Kraft sum allows."""
+    from itertools import product
+
+    rng = random.Random(4)
+    for _ in range(20):
+        counts = [rng.choice([1, 2, 3, 50, 400]) for _ in range(6)]
+        best = min(sum(c * b for c, b in zip(counts, bits)) for bits in product(range(1, 5), repeat=6) if sum(2.0**-b for b in bits) <= 1)
+        assert int((tf.code_lengths(np.array(counts), 4) * counts).sum()) == best
+    with pytest.raises(ValueError):
+        tf.code_lengths(np.ones(17), 4)
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 512, 70_001])
+def test_codec_round_trip(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.geometric(0.01, n), 40_000).astype("<u4") * 7
+    seen, counts = np.unique(ids, return_counts=True)
+    codec = tf.Codec(seen.astype(np.int64), tf.code_lengths(counts))
+    data, marks = codec.encode(ids)
+    # Bit by bit, from the codes alone.
+    by_code = {(int(codec.bits[i]), int(codec.codes[i])): int(i) for i in seen}
+    bits, at, got = "".join(f"{b:08b}" for b in data), 0, []
+    for k in range(min(n, 600)):
+        assert k % tf.EVERY or marks[k // tf.EVERY] == at
+        size = next(s for s in range(1, 26) if (s, int(bits[at : at + s], 2)) in by_code)
+        got.append(by_code[size, int(bits[at : at + size], 2)])
+        at += size
+    assert got == ids[:600].tolist()
+    assert np.array_equal(codec.decode(data, marks, n), ids)
+    if n > 600:
+        assert np.array_equal(codec.decode(data, marks, n, slice(1, 3)), ids[tf.EVERY : 3 * tf.EVERY])
+        with pytest.raises(ValueError):
+            codec.decode(bytes(len(data)), marks, n)
+
+
+def ids_by_hand(texts):
+    from tokenizers import Tokenizer
+
+    return [[*e.ids, 2] for e in Tokenizer.from_file(VOCABULARY).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_token_files(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["the", "Cat", "#", "ünïcode", "naïve!", "123", "<|endoftext|>", "\n", "数", "x" * 40]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "same", "same", "lorem # ipsum " * 60_000]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    folder = f"file://{tmp_path}/tokens"
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id bigint, text string, ids string, row string, part int").repartition(5)
+    tf.write_tokens(spark, docs, folder, VOCABULARY)
+    expected = ids_by_hand(texts)
+    got = {r.doc_id: r for r in tf.read_tokens(spark, folder).collect()}
+    at = 0
+    for i, ids in enumerate(expected):
+        assert (got[i].start, got[i].n_tokens, bytes(got[i].ids)) == (at, len(ids), np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    everything = [i for ids in expected for i in ids]
+    for start, count in [(0, 1), (5, 700), (at - 3, 10), (1000, 150_000), (at, 5), (7, 0)]:
+        pieces = sorted((r.start, bytes(r.ids)) for r in tf.read_slice(spark, folder, start, count).collect())
+        assert b"".join(p for _, p in pieces) == np.array(everything[start : start + count], "<u4").tobytes()
+        assert not pieces or pieces[0][0] == start
+
+
+def test_token_files_edges(spark, tmp_path):
+    for k, (rows, expected) in enumerate([
+        ([], []),
+        ([(1, None), (2, "")], [(1, 0, [2]), (2, 1, [2])]),
+        ([(None, "a"), (3, "a"), (3, "a"), (3, "b")], None),
+    ]):
+        tf.write_tokens(spark, spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), f"file://{tmp_path}/{k}", VOCABULARY)
+        got = [(r.doc_id, r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in tf.read_tokens(spark, f"file://{tmp_path}/{k}").orderBy("start").collect()]
+        if expected is None:
+            ids = ids_by_hand([t for _, t in rows])
+            expected = [(rows[i][0], sum(map(len, ids[:i])), ids[i]) for i in range(len(rows))]
+        assert got == expected
+
+
+def test_op11_query(spark, sf_dir):
+    docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    at, expected = 0, []
+    for row, ids in zip(docs, ids_by_hand([r.text for r in docs]), strict=True):
+        expected.append((row.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, queries.op11_token_files(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == expected
