@@ -86,6 +86,27 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Scores of all documents that share a term with an item, by an inverted join.
+_OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_low("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT count(*) AS docs, sum(len(w)) AS terms FROM d WHERE len(w) > 0
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_low("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL
+), p AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term, docs
+), scores AS (
+  SELECT item_id, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // CAST(terms AS BIGINT))))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN weights USING (term), s GROUP BY item_id, row, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 #: Levels by recursion over runs of three, sources first and then their roots; crc32 bit by bit; folding up each proof.
 _OP13 = r"""
 WITH RECURSIVE fields AS (
@@ -130,4 +151,4 @@ SELECT p.doc_id, p.leaf, u.subroot, t.digest AS root, coalesce(q.proof_sha256, s
 FROM placed p JOIN subroots u ON u.grp = p.grp JOIN top t ON t.n = 1 JOIN last f ON f.grp = p.grp AND f.pos = p.pos LEFT JOIN proofs q ON q.grp = p.grp AND q.leaf_pos = p.pos
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op4_near_dedup": _OP4, "op6_line_dedup": _OP6, "op7_decontamination": _OP7, "op13_merkle_manifest": _OP13}
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op4_near_dedup": _OP4, "op6_line_dedup": _OP6, "op7_decontamination": _OP7, "op12_ranked_search": _OP12, "op13_merkle_manifest": _OP13}

@@ -91,6 +91,15 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.common import scratch
+    from tallyforge.llm.ranked_search import build_index, search
+
+    folder = scratch(spark, "search-index")
+    build_index(spark, table(spark, sf_dir, "documents"), folder)
+    return search(spark, folder, table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -112,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprint": op9_fingerprint,
     "op10_url_filter": op10_url_filter,
     "op11_token_files": op11_token_files,
+    "op12_ranked_search": op12_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import merkle as mk
 from tallyforge.llm import queries
+from tallyforge.llm import ranked_search as rs
 from tallyforge.llm import token_files as tf
 
 DDL = "doc_id bigint, source string, lang string, n_chars bigint, text string, grp string, pos string, n string"
@@ -212,3 +216,87 @@ def test_op11_query(spark, sf_dir):
         expected.append((row.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, queries.op11_token_files(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == expected
+
+
+# Ranked search
+
+TERM = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+
+
+def terms_of(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def ranked_by_hand(docs, items, k):
+    counted = [(i, Counter(terms_of(t))) for i, t in docs]
+    counted = [(i, c) for i, c in counted if c]
+    n_docs, n_terms = len(counted), sum(c.total() for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    weigh = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for t, d in df.items()}
+    for item, text in items:
+        scored = []
+        for i, c in counted:
+            m = 100 - 25 + 25 * c.total() * n_docs // n_terms
+            score = sum(weigh[t] * (1_000_000_000 * c[t] // (1000 * c[t] + 12 * m)) for t in terms_of(text) if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        for rank, (score, _, _, i) in enumerate(sorted(scored)[:k], 1):
+            yield item, rank, i, -score
+
+
+def ranked(spark, tmp_path, docs, items, k, name):
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id bigint, text string, terms string, row int").repartition(3)
+    rs.build_index(spark, frame, f"file://{tmp_path}/{name}")
+    asked = spark.createDataFrame([(i, t, 0, 0) for i, t in items], "item_id string, text string, row int, score int")
+    return rs.search(spark, f"file://{tmp_path}/{name}", asked, k)
+
+
+@pytest.mark.parametrize("shard, shard_docs", [(16 << 20, 1 << 16), (2000, 1 << 16), (16 << 20, 7)])
+def test_ranked_search(spark, tmp_path, monkeypatch, shard, shard_docs):
+    rng = random.Random(shard)
+    words = [f"w{k}" for k in range(120)] + ["É", "é", "Ab", "aB", "1a", "数", "x" * 300]
+    common = [1 / (k + 1) for k in range(len(words))]
+    docs = [(i, rng.choice(["", "  "]) + rng.choice([" ", "\t", "-"]).join(rng.choices(words, common, k=rng.randint(0, 40)))) for i in range(500)]
+    docs += [(1000 + i, "copy w3 w50 w90 w90") for i in range(80)] + [(1, "w3 w7"), (1, "w3 w7"), (None, "w3 w7"), (None, None), (2000, ""), (2001, "--- "), (2002, "w1 w2 w99 " * 30_000)]
+    items = [(f"i{k}", " ".join(rng.choices(words, k=rng.randint(1, 12)))) for k in range(40)] + [("copies", "w90 copy w50 w90"), ("ties", "w3 W7!"), (None, "w5"), ("null", None), ("none", "absent"), ("empty", ""), ("signs", "---")]
+    # Tasks get these through the closures of the driver.
+    monkeypatch.setattr(rs, "_sharded", with_sizes(rs._sharded, shard, shard_docs))
+    for k in (1, 20):
+        expected = list(ranked_by_hand(docs, items, k))
+        assert sorted(map(tuple, ranked(spark, tmp_path, docs, items, k, k).collect()), key=str) == sorted(expected, key=str)
+
+
+def with_sizes(make, shard, shard_docs):
+    def made(*totals):
+        run = make(*totals)
+
+        def sized(batches):
+            from tallyforge.llm import ranked_search
+
+            kept = ranked_search.SHARD, ranked_search.SHARD_DOCS
+            ranked_search.SHARD, ranked_search.SHARD_DOCS = shard, shard_docs
+            try:
+                yield from run(batches)
+            finally:
+                ranked_search.SHARD, ranked_search.SHARD_DOCS = kept
+
+        return sized
+
+    return made
+
+
+def test_ranked_search_edges(spark, tmp_path, monkeypatch):
+    assert ranked(spark, tmp_path, [], [("a", "b")], 20, "none").count() == 0
+    assert ranked(spark, tmp_path, [(1, "b")], [], 20, "no-items").count() == 0
+    assert ranked(spark, tmp_path, [(1, None), (2, "?")], [("a", "b")], 20, "no-terms").count() == 0
+    docs, items = [(1, "a b"), (2, "b c"), (3, "c d d")], [("x", "b d"), ("x", "b d"), ("y", "c")]
+    expected = list(ranked_by_hand(docs, items, 2))
+    assert sorted(map(tuple, ranked(spark, tmp_path, docs, items, 2, "one").collect())) == sorted(expected)
+    monkeypatch.setattr(rs, "BLOCK", 2)
+    assert sorted(map(tuple, ranked(spark, tmp_path, docs, items, 2, "blocks").collect())) == sorted(expected)
+
+
+def test_terms_of_slices():
+    texts = pa.array(["drop", "a b", None, "", "-c", "d-", "É é"])[1:]
+    assert rs.term_counts(texts).tolist() == [2, 0, 0, 1, 1, 2]
+    assert [[t for t in x if t] for x in rs.term_lists(texts).to_pylist()] == [["a", "b"], [], [], ["c"], ["d"], ["É", "é"]]
