@@ -23,39 +23,43 @@ def safe_new(confirmed: Column, article_match: Column, n_candidates: Column, rol
 
 
 def model_candidates(sources: DataFrame, registry: DataFrame, most: int = 25) -> DataFrame:
-    """Per source the registry keys with its model, of its brand first (the first `most`, in key order).
+    """Per source `branded`, the registry keys with its model and brand, and `modelled`, those with its model;
+    the first `most` of each, in key order.
 
-    Ranks are cut before the shuffle and before the keys are gathered, so a list holds `most` keys.
+    The registry's keys are cut per model first, with a group limit before the shuffle, so that sources
+    meet one row a model, whatever number of products share it.
     """
-    wanted = sources.select(F.col("key").alias("source_key"), F.col("n_brand").alias("_b"), F.coalesce(F.nullif(F.col("n_role.own"), F.lit("")), F.col("n_role.reference")).alias("n_model")).filter("n_model <> ''")
-    found = wanted.join(registry.select("n_model", "n_brand", F.col("key").cast("string").alias("candidate")), "n_model")
-    found = found.select("source_key", (F.col("n_brand") != F.col("_b")).alias("other"), "candidate").distinct()
-    first = top_k(found, ["source_key"], [F.col("other"), F.col("candidate")], most)
-    return first.groupBy("source_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]).alias("model_candidates"))
+    wanted = sources.select(F.col("key").alias("source_key"), "n_brand", F.coalesce(F.nullif(F.col("n_role.own"), F.lit("")), F.col("n_role.reference")).alias("n_model")).filter("n_model <> ''")
 
+    def first(keys: list[str], name: str) -> DataFrame:
+        rows = registry.filter(" and ".join(f"{k} <> ''" for k in keys)).select(*keys, "key")
+        top = top_k(rows, keys, [F.col("key")], most)
+        return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"].cast("string")).alias(name))
 
-def classify(matches: DataFrame, sources: DataFrame, registry: DataFrame, revalidated: DataFrame | None = None) -> DataFrame:
-    """One of seven decisions per source, its reason, candidates and critical characteristics.
+    return wanted.join(first(["n_model", "n_brand"], "branded"), ["n_model", "n_brand"], "left").join(first(["n_model"], "modelled"), "n_model", "left").select("source_key", "branded", "modelled")
 
-    revalidated: source_key with link_status, link_accepted and link_manual of sources that have a
-    link already.
+
+def classify(matches: DataFrame, sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """One of seven decisions per source, its reason, candidates with their evidence, and critical characteristics.
+
+    matches: decisions of matching.decide or of matching.relinked (source_key, status, method, candidate_key,
+    candidate_keys, conflicts, conflict_class, auto_accepted). The match's best candidate is looked at again as a
+    link would be: a conflict of identity there is a conflict, and only what passes is accepted.
     """
     rows = matches.join(sources.withColumnRenamed("key", "source_key"), "source_key").join(model_candidates(sources, registry), "source_key", "left")
-    if revalidated is not None:
-        rows = rows.join(revalidated, "source_key", "left")
-    else:
-        rows = rows.withColumns({"link_status": F.lit(None).cast("string"), "link_accepted": F.col("auto_accepted"), "link_manual": F.lit(False)})
-    known = F.when(F.col("candidate_key").isNotNull(), F.array(F.col("candidate_key").cast("string")))
-    rows = rows.withColumn("candidates", ordered_distinct(known, F.col("model_candidates")))
+    explicit = F.concat(F.when(F.col("candidate_key").isNotNull(), F.array("candidate_key")).otherwise(F.array().cast("array<string>")), F.coalesce("candidate_keys", F.array().cast("array<string>")))
+    rows = rows.withColumn("explicit", explicit).withColumn("candidates", ordered_distinct(F.col("explicit"), F.col("branded"), F.col("modelled")))
+    best = F.col("candidate_key").isNotNull()
+    refuted = best & (F.col("conflict_class") == "IDENTITY_CONFLICT")
     accessory = (F.col("n_role.role") == "REFERENCE_MODEL") | family_of(F.col("n_kind")).isin(*ACCESSORY_FAMILIES)
-    linked = F.col("auto_accepted") & F.coalesce("link_accepted", F.col("auto_accepted"))
+    linked = F.col("auto_accepted") & best & ~refuted
     decision = first_match(
         [
-            (F.coalesce("link_manual", F.lit(False)), F.lit("EXACT_EXISTING")),
+            (best & (F.col("method") == "EXISTING_LINK_MANUAL"), F.lit("EXACT_EXISTING")),
             (linked & F.col("method").contains("BRAND_MODEL"), F.lit("HIGH_CONFIDENCE_EXISTING")),
             (linked, F.lit("EXACT_EXISTING")),
             (accessory, F.lit("ACCESSORY_OR_COMPATIBILITY_ITEM")),
-            ((F.col("status") == "CONFLICT") | F.coalesce(F.col("link_status") == "CONFLICT", F.lit(False)), F.lit("CONFLICT")),
+            ((F.col("status") == "CONFLICT") | refuted, F.lit("CONFLICT")),
             (F.size("candidates") > 0, F.lit("REVIEW_EXISTING")),
         ]
     )
@@ -65,14 +69,15 @@ def classify(matches: DataFrame, sources: DataFrame, registry: DataFrame, revali
         [
             (F.col("decision").isin("EXACT_EXISTING", "HIGH_CONFIDENCE_EXISTING"), F.concat(F.lit("same product kind ("), "n_kind", F.lit(") + compatible own model ("), "n_role.own", F.lit(") + no critical identity conflict"))),
             (F.col("decision") == "ACCESSORY_OR_COMPATIBILITY_ITEM", F.concat(F.lit("blocked: product kind "), "n_kind", F.lit("; model role "), "n_role.role", F.lit("; reference model "), F.coalesce(F.nullif(F.col("n_role.reference"), F.lit("")), F.lit("none")))),
-            (F.col("decision") == "CONFLICT", F.concat(F.lit("blocked by hard identity conflict: "), F.array_join("conflicts", ", "))),
+            (F.col("decision") == "CONFLICT", F.concat(F.lit("blocked by hard identity conflict: "), F.array_join(F.array_sort("conflicts"), ", "))),
             (F.col("decision") == "REVIEW_EXISTING", F.concat(F.lit("plausible existing candidate(s) "), F.array_join(F.slice("candidates", 1, 10), ","), F.lit("; identity proof insufficient"))),
             (F.col("decision") == "SAFE_NEW_PRODUCT_CANDIDATE", F.lit("no confirmed mapping, exact article, normalized-model, semantic, or compatibility candidate")),
         ],
         "own product kind/model identity is insufficient for safe creation classification",
     )
     critical = F.map_filter("n_props", lambda k, v: F.array_contains(profile_of(F.col("n_kind")), k))
-    facts = F.to_json(F.struct("category", F.struct(F.col("n_evidence.base").alias("base_model"), F.col("n_evidence.qualifier").alias("execution_qualifier")).alias("execution"), F.col("candidates").alias("candidate_ids"), critical.alias("identity_critical_properties")))
+    evidence = F.transform("candidates", lambda k: F.struct(k.alias("candidate_id"), F.when(F.array_contains("explicit", k), "matcher").when(F.coalesce(F.array_contains("branded", k), F.lit(False)), "brand_model").otherwise("model").alias("source")))
+    facts = F.to_json(F.struct("category", F.struct(F.col("n_evidence.base").alias("base_model"), F.col("n_evidence.qualifier").alias("execution_qualifier")).alias("execution"), F.col("candidates").alias("candidate_ids"), evidence.alias("candidate_evidence"), critical.alias("identity_critical_properties")))
     return rows.select(
         "source_key", "decision", reason.alias("decision_reason"), F.col("n_kind").alias("product_kind"), F.col("n_role.role").alias("model_role"), F.col("n_role.own").alias("own_model"),
         F.col("n_role.reference").alias("reference_model"), F.array_join("candidates", "|").alias("candidate_ids"), facts.alias("identity_characteristics"),

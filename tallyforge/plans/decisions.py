@@ -226,8 +226,8 @@ SELECT p_partkey, coalesce(model, gap || CASE WHEN gap <> '' THEN lower(tail) EL
 
 
 def name_similarity_blocked(s: SparkSession, d: str) -> DataFrame:
-    rows = t(s, d, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_brand", "p_type", "p_size")
-    return M.duplicate_candidates(rows, {"BRAND_TYPE_SIZE_NAME": ["p_brand", "p_type", "p_size", "p_name"]}, "p_name", "p_brand")
+    rows = t(s, d, "part").select(F.col("p_partkey").alias("key"), "p_name", F.concat_ws("/", "p_brand", "p_type", "p_size", "p_name").alias("BRAND_TYPE_SIZE_NAME"), F.concat_ws("/", "p_brand", F.substring("p_name", 1, 12)).alias("names"))
+    return M.duplicate_candidates(rows, ["BRAND_TYPE_SIZE_NAME"], "names", "p_name")
 
 
 def property_compare(s: SparkSession, d: str) -> DataFrame:

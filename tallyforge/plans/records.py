@@ -15,6 +15,7 @@ from tallyforge.operators import matching as M
 from tallyforge.operators import merge as U
 from tallyforge.operators import properties as R
 from tallyforge.operators import provenance as P
+from tallyforge.operators import reconcile as J
 from tallyforge.operators import relational as X
 from tallyforge.operators import review as V
 from tallyforge.operators import tree as G
@@ -101,20 +102,21 @@ SELECT DISTINCT l_partkey AS id, 'ARTIKUL_' || l_returnflag AS property_code, CA
 
 
 def _cascade(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Parts as sources (odd) and registry (even): neighbours share an article, a number in the title, a model or its base."""
+    """Parts as sources (odd) and registry (even): neighbours share an article, a number in the title, a model, or a title's base with
+    a model whose own title says another base."""
     c = F.col
     pair = F.floor(c("p_partkey") / 2)
     kind, none = pair % 4, F.lit("")
     number = (pair + 100_000).cast("string")
     model = F.concat(F.lit("PX"), pair, F.when(kind == 3, "NEW").otherwise(""))
-    common = [F.lit("Brand").alias("brand"), none.alias("manufacturer_article"), none.alias("category"), F.create_map().cast("map<string,string>").alias("properties"), F.lit("sup").alias("supplier_code"), none.alias("kind")]
-    rows = t(s, d, "part").filter("p_partkey > 1")
+    common = [F.when(c("p_partkey") == 1, "").otherwise("Brand").alias("brand"), none.alias("manufacturer_article"), none.alias("category"), F.create_map().cast("map<string,string>").alias("properties"), F.lit("sup").alias("supplier_code"), none.alias("kind")]
+    rows = t(s, d, "part")
     sources = rows.filter("p_partkey % 2 = 1").select(
         c("p_partkey").alias("key"), F.concat_ws(" ", "p_name", F.when(kind == 3, model).otherwise("")).alias("name"), F.when(kind >= 2, model).otherwise("").alias("model"),
         F.when(kind == 0, F.concat(F.lit("a-"), pair)).when(kind == 1, number).otherwise("").alias("supplier_article"), F.create_map().cast("map<string,array<string>>").alias("identifiers"), *common,
     )
     registry = rows.filter("p_partkey % 2 = 0").select(
-        c("p_partkey").alias("key"), F.concat_ws(" ", "p_name", F.concat(F.lit("PX"), pair), number).alias("name"), F.concat(F.lit("PX"), pair).alias("model"), none.alias("supplier_article"),
+        c("p_partkey").alias("key"), F.concat_ws(" ", "p_name", F.concat(F.lit("PX"), pair + F.when(kind == 3, 1).otherwise(0)), number).alias("name"), F.concat(F.lit("PX"), pair).alias("model"), none.alias("supplier_article"),
         F.create_map(F.lit("sup"), F.array(F.concat(F.lit("A "), pair), F.concat(F.lit("A "), pair + 4))).alias("identifiers"), *common,
     )
     return sources, registry
@@ -122,14 +124,15 @@ def _cascade(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def match_candidates(s: SparkSession, d: str) -> DataFrame:
     sources, registry = (checkpointed(M.prepare(x)) for x in _cascade(s, d))  # every tier reads them
-    return M.candidates(sources, registry, title_rules={"sup": r"\bpx\d*[1-9]\b", "other": "."})
+    return M.candidates(sources, registry, title_rules={"sup": r"\bpx\d*[1-9]\b", "other": "."}).drop("ratio")
 
 
 MATCH_CANDIDATES = """
-WITH r AS (SELECT p_partkey AS key, p_partkey // 2 AS k FROM part WHERE p_partkey > 1 AND p_partkey % 2 = 0), s AS (SELECT p_partkey AS source_key, p_partkey // 2 AS k FROM part WHERE p_partkey > 1 AND p_partkey % 2 = 1),
+WITH r AS (SELECT p_partkey AS key, p_partkey // 2 AS k, 'px' || (p_partkey // 2) AS model FROM part WHERE p_partkey % 2 = 0),
+s AS (SELECT p_partkey AS source_key, p_partkey // 2 AS k, CASE WHEN p_partkey // 2 % 4 = 2 THEN 'px' || (p_partkey // 2) WHEN p_partkey // 2 % 4 = 3 THEN 'px' || (p_partkey // 2) || 'new' END AS model, CASE WHEN p_partkey // 2 % 4 = 3 THEN 'px' || (p_partkey // 2) END AS base FROM part WHERE p_partkey % 2 = 1),
 ids AS (SELECT key, 'a' || k AS article FROM r UNION ALL SELECT key, 'a' || (k + 4) FROM r),
 f AS (SELECT source_key, key, 1 AS tier FROM s JOIN ids ON s.k % 4 = 0 AND article = 'a' || s.k UNION ALL SELECT source_key, key, 2 FROM s JOIN r ON s.k % 4 = 1 AND r.k % 10 <> 0 AND CAST(r.k + 100000 AS VARCHAR) = CAST(s.k + 100000 AS VARCHAR)
-  UNION ALL SELECT source_key, key, 3 FROM s JOIN r ON s.k % 4 = 2 AND 'px' || r.k = 'px' || s.k UNION ALL SELECT source_key, key, 4 FROM s JOIN r ON s.k % 4 = 3 AND 'px' || r.k = 'px' || s.k)
+  UNION ALL SELECT source_key, key, 3 FROM s JOIN r ON r.model = s.model UNION ALL SELECT source_key, key, 4 FROM s JOIN r ON r.model = s.base)
 SELECT source_key, key AS candidate_key, CAST(tier AS INT) AS tier FROM f
 """
 
@@ -144,7 +147,7 @@ def _articles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
             F.create_map(F.lit("length"), F.concat(length.cast("string"), F.lit(" mm"))).alias("properties"), F.lit("sup").alias("supplier_code"), ids.alias("identifiers"), none.alias("kind"),
         )
 
-    part = t(s, d, "part").filter("p_partkey > 1")
+    part = t(s, d, "part")
     brand = F.when(pair % 4 == 0, "").otherwise("One")
     sources = shaped(part.filter("p_partkey % 2 = 1"), brand, F.concat(F.lit("a"), pair), F.create_map().cast("map<string,array<string>>"), pair)
     held = F.when(pair % 4 == 0, F.array(F.concat(F.lit("zz"), pair))).when(pair % 10 == 1, F.array(F.concat(F.lit("A-"), pair), F.concat(F.lit("A-"), pair + 1))).otherwise(F.array(F.concat(F.lit("A-"), pair)))
@@ -157,11 +160,11 @@ def match_by_article(s: SparkSession, d: str) -> DataFrame:
     return rows.select("source_key", "status", "method", F.round("confidence", 4).alias("confidence"), "candidate_key", F.array_join("conflicts", ";").alias("conflicts"), "auto_accepted")
 
 
-_ARTICLES = """r AS (SELECT p_partkey AS key, p_partkey // 2 AS k FROM part WHERE p_partkey > 1 AND p_partkey % 2 = 0), s AS (SELECT p_partkey AS source_key, p_partkey // 2 AS k FROM part WHERE p_partkey > 1 AND p_partkey % 2 = 1),
+_ARTICLES = """r AS (SELECT p_partkey AS key, p_partkey // 2 AS k FROM part WHERE p_partkey % 2 = 0), s AS (SELECT p_partkey AS source_key, p_partkey // 2 AS k FROM part WHERE p_partkey % 2 = 1),
 ids AS (SELECT key, k, k AS a FROM r WHERE k % 4 <> 0 UNION ALL SELECT key, k, k + 1 FROM r WHERE k % 10 = 1 AND k % 4 <> 0),
 p AS (SELECT source_key, key, concat_ws(';', CASE WHEN s.k % 4 <> 0 AND ids.k % 5 = 0 THEN 'brand' END, CASE WHEN s.k <> ids.k + CASE WHEN ids.k % 7 = 0 THEN 3 ELSE 0 END THEN 'property:length' END) AS conflicts FROM s JOIN ids ON ids.a = s.k),
-m AS (SELECT s.source_key, count(key) AS n, min(key) AS key, min(conflicts) AS conflicts FROM s LEFT JOIN p USING (source_key) GROUP BY s.source_key),
-x AS (SELECT source_key, CASE WHEN n = 0 THEN 'NEW_CANDIDATE' WHEN n > 1 THEN 'REVIEW' WHEN conflicts <> '' THEN 'CONFLICT' ELSE 'EXACT_MATCH' END AS status, n, key, conflicts FROM m)"""
+m AS (SELECT s.source_key, count(key) AS n, min(key) AS key, string_agg(CAST(key AS VARCHAR), '|' ORDER BY key) AS keys, min(conflicts) AS conflicts FROM s LEFT JOIN p USING (source_key) GROUP BY s.source_key),
+x AS (SELECT source_key, CASE WHEN n = 0 THEN 'NEW_CANDIDATE' WHEN n > 1 THEN 'REVIEW' WHEN conflicts <> '' THEN 'CONFLICT' ELSE 'EXACT_MATCH' END AS status, n, key, keys, conflicts FROM m)"""
 MATCH_BY_ARTICLE = f"""WITH {_ARTICLES} SELECT source_key, status, CASE status WHEN 'NEW_CANDIDATE' THEN 'NO_CANDIDATES' WHEN 'REVIEW' THEN 'DUPLICATE_SUPPLIER_ARTICLE' WHEN 'CONFLICT' THEN 'SUPPLIER_ARTICLE_IDENTITY_CONFLICT' ELSE 'SUPPLIER_ARTICLE_EXACT' END AS method,
   CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN n = 1 THEN CAST(key AS VARCHAR) END AS candidate_key, CASE WHEN status = 'CONFLICT' THEN conflicts ELSE '' END AS conflicts, status = 'EXACT_MATCH' AS auto_accepted FROM x"""
 
@@ -171,8 +174,108 @@ def identity_by_article(s: SparkSession, d: str) -> DataFrame:
     return I.classify(matches, sources, registry).select("source_key", "decision", "product_kind", "candidate_ids", "auto_accepted")
 
 
-IDENTITY_BY_ARTICLE = f"""WITH {_ARTICLES} SELECT source_key, CASE WHEN status = 'EXACT_MATCH' THEN 'EXACT_EXISTING' WHEN status = 'CONFLICT' THEN 'CONFLICT' ELSE 'INSUFFICIENT_IDENTITY' END AS decision, 'unknown' AS product_kind,
-  CASE WHEN n = 1 THEN CAST(key AS VARCHAR) ELSE '' END AS candidate_ids, status = 'EXACT_MATCH' AS auto_accepted FROM x"""
+IDENTITY_BY_ARTICLE = f"""WITH {_ARTICLES} SELECT source_key, CASE status WHEN 'EXACT_MATCH' THEN 'EXACT_EXISTING' WHEN 'CONFLICT' THEN 'CONFLICT' WHEN 'REVIEW' THEN 'REVIEW_EXISTING' ELSE 'INSUFFICIENT_IDENTITY' END AS decision, 'unknown' AS product_kind,
+  coalesce(keys, '') AS candidate_ids, status = 'EXACT_MATCH' AS auto_accepted FROM x"""
+
+
+def reconcile_incremental(s: SparkSession, d: str) -> DataFrame:
+    """match_by_article from what was decided before some products came, went or changed brand, and some sources came."""
+    c, (sources, registry) = F.col, (checkpointed(M.prepare(x)) for x in _articles(s, d))
+    pair = F.floor(c("key") / 2)
+    brand = F.when(pair % 9 == 2, "three").otherwise(c("n_brand"))
+    registry_before = registry.filter(pair % 11 != 5).withColumn("n_brand", brand).unionByName(registry.filter(pair % 13 == 4).withColumn("key", -c("key")))
+    sources_before = sources.filter(pair % 17 != 3)
+    decided, identified = J.reconcile(sources_before, registry_before)
+    rows = J.reconcile_changes(sources_before, sources, registry_before, registry, decided, identified)[0]
+    return rows.select("source_key", "status", "method", F.round("confidence", 4).alias("confidence"), "candidate_key", F.array_join("conflicts", ";").alias("conflicts"), "auto_accepted")
+
+
+#: What the parts' rule r (their key by twelve) makes of source and registry; every rule of a decision fires.
+_RULE = "CAST(p_partkey % 12 AS INT)"
+
+
+def _rules_data(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A part as a source and as one or two registry products 10 k and 10 k + 1 that fit rule r."""
+    c = F.col
+    rows = t(s, d, "part").withColumn("r", F.expr(_RULE))
+    def text(*pieces) -> F.Column:
+        return F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in pieces])
+
+    k, r, size = c("p_partkey"), c("r"), c("p_size")
+    def cases(default: str, **found) -> F.Column:
+        out = F.lit(default)
+        for rules, value in found.items():
+            out = F.when(r.isin(*[int(x) for x in rules[1:].split("_")]), value).otherwise(out)
+        return out
+
+    model, article, plain = text("PX", k), text("art-", k), "oooooooooooo"
+    odd = size % 2 == 1
+    def shaped(df: DataFrame, key, name, brand, model_, article_, maker, length, ids, kind) -> DataFrame:
+        return df.select(
+            key.alias("key"), name.alias("name"), brand.alias("brand"), model_.alias("model"), article_.alias("supplier_article"), maker.alias("manufacturer_article"), F.lit("").alias("category"),
+            F.create_map(F.lit("length"), length).alias("properties"), F.lit("sup").alias("supplier_code"), ids.alias("identifiers"), kind.alias("kind"),
+        )
+
+    no_ids = F.create_map().cast("map<string,array<string>>")
+    sources = shaped(
+        rows, k, cases(plain, _3=text(plain, " ", model), _10="ooooooooaa", _11=F.lit("o" * 13 + "a" * 7)), text("Brand", k), cases("", _3_4_5_6_7_8_9=model), cases("", _1_2_3=article), cases("", _4=text("mk", k), _11=F.when(odd, "m1").otherwise("")),
+        F.lit("1 m"), no_ids, cases("", _8=F.lit("kind a")),
+    )
+    other = cases(plain, _3=text(plain, " ", model), _5="uuuuuuuuuuuu", _10="ooooooooee", _11=F.lit("o" * 13 + "e" * 7))
+    held = cases("", _3=F.when(size % 3 == 0, model).when(size % 3 == 1, text(model, "NEW")).otherwise(text("ZZ", k)), _4_5_6_7_8_9=model)
+    ids = F.when(r.isin(1, 2, 3), F.create_map(F.lit("sup"), F.array(text("ART ", k)))).otherwise(no_ids)
+    fields = (other, text(cases("Brand", _0="Other", _2="Other"), k), held, F.lit(""), cases("", _4=text("MK-", k), _11=F.when(odd, "m2").otherwise("")), cases("1000 mm", _9="900 mm"), ids, cases("", _8=F.lit("kind b")))
+    registry = shaped(rows, 10 * k, *fields).unionByName(shaped(rows.filter("r in (1, 7)"), 10 * k + 1, *fields))
+    return sources, registry
+
+
+def match_rules(s: SparkSession, d: str) -> DataFrame:
+    rows = M.match(*_rules_data(s, d))
+    return rows.select("source_key", "status", "method", F.round("confidence", 4).alias("confidence"), "candidate_key", F.array_join("conflicts", ";").alias("conflicts"), "conflict_class", F.array_join("candidate_keys", ";").alias("candidate_keys"), "auto_accepted")
+
+
+_RULES_FIRED = f"""x AS (SELECT p_partkey AS k, p_size, {_RULE} AS r FROM part)"""
+MATCH_RULES = f"""WITH {_RULES_FIRED} SELECT k AS source_key,
+  CASE WHEN r IN (0, 11) THEN 'NEW_CANDIDATE' WHEN r IN (1, 5, 7, 8, 10) THEN 'REVIEW' WHEN r IN (2, 9) THEN 'CONFLICT' WHEN r IN (3, 4) THEN 'EXACT_MATCH' ELSE 'HIGH_CONFIDENCE_MATCH' END AS status,
+  ['NO_CANDIDATES', 'DUPLICATE_SUPPLIER_ARTICLE', 'SUPPLIER_ARTICLE_IDENTITY_CONFLICT', 'SUPPLIER_ARTICLE_EXACT', 'MANUFACTURER_IDENTIFIER', 'BRAND_MODEL_IDENTITY_REVIEW', 'BRAND_MODEL', 'NON_UNIQUE_STRONG_CANDIDATES', 'BRAND_MODEL_IDENTITY_REVIEW', 'IDENTITY_CONFLICT', 'NAME_CANDIDATE_ONLY', 'NO_IDENTITY_EVIDENCE'][r + 1] AS method,
+  CAST([0, 1, 1, 1, 1, 0, 0.94, 0.8, 1, 1, 0.8, 0.65][r + 1] AS DOUBLE) AS confidence, CASE WHEN r NOT IN (0, 1, 7) THEN CAST(10 * k AS VARCHAR) END AS candidate_key,
+  CASE WHEN r = 2 THEN 'brand' WHEN r = 5 THEN 'semantic_identity' WHEN r = 8 THEN 'product_kind' WHEN r = 9 THEN 'property:length' WHEN r = 11 AND p_size % 2 = 1 THEN 'manufacturer_article' ELSE '' END AS conflicts,
+  CASE WHEN r IN (2, 8, 9) OR r = 11 AND p_size % 2 = 1 THEN 'IDENTITY_CONFLICT' WHEN r = 3 AND p_size % 3 = 1 THEN 'EXTRACTION_CONFLICT' WHEN r = 3 AND p_size % 3 = 2 THEN 'FIELD_DATA_CONFLICT' ELSE '' END AS conflict_class,
+  CASE WHEN r IN (1, 7) THEN (10 * k) || ';' || (10 * k + 1) ELSE '' END AS candidate_keys, r IN (3, 4, 6) AS auto_accepted FROM x"""
+
+
+def identity_rules(s: SparkSession, d: str) -> DataFrame:
+    matches, sources, registry = M.resolve(*_rules_data(s, d))
+    rows = I.classify(matches, sources, registry)
+    return rows.select("source_key", "decision", "candidate_ids", F.get_json_object("identity_characteristics", "$.candidate_evidence[0].source").alias("first_evidence"), "auto_accepted")
+
+
+IDENTITY_RULES = f"""WITH {_RULES_FIRED} SELECT k AS source_key,
+  CASE WHEN r = 0 THEN 'INSUFFICIENT_IDENTITY' WHEN r IN (2, 8, 9) OR r = 11 AND p_size % 2 = 1 THEN 'CONFLICT' WHEN r IN (3, 4) THEN 'EXACT_EXISTING' WHEN r = 6 THEN 'HIGH_CONFIDENCE_EXISTING' ELSE 'REVIEW_EXISTING' END AS decision,
+  CASE WHEN r = 0 THEN '' WHEN r IN (1, 7) THEN (10 * k) || '|' || (10 * k + 1) ELSE CAST(10 * k AS VARCHAR) END AS candidate_ids, CASE WHEN r > 0 THEN 'matcher' END AS first_evidence, r IN (3, 4, 6) AS auto_accepted FROM x"""
+
+
+def duplicate_audit(s: SparkSession, d: str) -> DataFrame:
+    """The audit's four key rules and its name rule over parts, whose names end in runs of one letter."""
+    c = F.col
+    rows = t(s, d, "part").select(
+        c("p_partkey").alias("key"), F.lower("p_brand").alias("n_brand"), F.when(c("p_partkey") % 5 == 0, "ab").otherwise(F.concat(F.lit("m"), c("p_size") % 40 + 100)).alias("n_model"),
+        F.when(c("p_partkey") % 3 == 0, F.concat(F.lit("s"), "p_size")).otherwise("").alias("n_article"), F.when(c("p_partkey") % 4 == 0, F.concat(F.lit("k"), c("p_size") % 30)).alias("n_maker_article"),
+        F.concat_ws(" ", "p_name", F.repeat(F.substring("p_type", 1, 1), 14)).alias("n_name"), F.substring_index("p_type", " ", 2).alias("category"),
+    )
+    rules = ["SAME_BRAND_MODEL", "SAME_BRAND_SUPPLIER_ARTICLE", "MANUFACTURER_ARTICLE_BRAND", "EXACT_NORMALIZED_NAME_CATEGORY"]
+    return M.duplicate_candidates(M.audit_blocks(rows), rules, "names", "n_name")
+
+
+DUPLICATE_AUDIT = """
+WITH p AS (SELECT p_partkey AS key, lower(p_brand) AS brand, CASE WHEN p_partkey % 5 = 0 THEN 'ab' ELSE 'm' || (p_size % 40 + 100) END AS model, CASE WHEN p_partkey % 3 = 0 THEN 's' || p_size END AS article, CASE WHEN p_partkey % 4 = 0 THEN 'k' || (p_size % 30) END AS maker,
+  p_name || ' ' || repeat(p_type[1], 14) AS name, split_part(p_type, ' ', 1) || ' ' || split_part(p_type, ' ', 2) AS category FROM part),
+b AS (SELECT key, '' AS name, 'SAME_BRAND_MODEL' AS method, brand || '/' || model AS k, 100 AS most FROM p WHERE length(model) >= 3 UNION ALL SELECT key, '', 'SAME_BRAND_SUPPLIER_ARTICLE', brand || '/' || article, 100 FROM p WHERE article IS NOT NULL
+  UNION ALL SELECT key, '', 'MANUFACTURER_ARTICLE_BRAND', brand || '/' || maker, 100 FROM p WHERE maker IS NOT NULL UNION ALL SELECT key, '', 'EXACT_NORMALIZED_NAME_CATEGORY', category || '/' || name, 100 FROM p
+  UNION ALL SELECT key, name, 'HIGH_NAME_SIMILARITY:1.0000', brand || '/' || category || '/' || split_part(name, ' ', 1) || '/' || split_part(name, ' ', 2), 25 FROM p),
+n AS (SELECT *, count(*) OVER (PARTITION BY method, k) AS n FROM b)
+SELECT l.key AS "left", r.key AS "right", string_agg(l.method, ';' ORDER BY l.method) AS methods FROM n l JOIN n r ON l.method = r.method AND l.k = r.k AND l.key < r.key AND l.name = r.name WHERE l.n <= l.most GROUP BY ALL
+"""
 
 # Properties
 
@@ -671,7 +774,7 @@ SELECT p_partkey, sha256('{"p_name":"' || p_name || '","p_partkey":' || p_partke
 
 QUERIES = {
     "existing_links": (existing_links, EXISTING_LINKS), "match_persistence": (match_persistence, MATCH_PERSISTENCE), "linked_sources": (linked_sources, LINKED_SOURCES), "relationship_changes": (relationship_changes, RELATIONSHIP_CHANGES),
-    "supplier_identifiers": (supplier_identifiers, SUPPLIER_IDENTIFIERS), "match_candidates": (match_candidates, MATCH_CANDIDATES), "match_by_article": (match_by_article, MATCH_BY_ARTICLE), "identity_by_article": (identity_by_article, IDENTITY_BY_ARTICLE),
+    "supplier_identifiers": (supplier_identifiers, SUPPLIER_IDENTIFIERS), "match_candidates": (match_candidates, MATCH_CANDIDATES), "match_by_article": (match_by_article, MATCH_BY_ARTICLE), "identity_by_article": (identity_by_article, IDENTITY_BY_ARTICLE), "reconcile_incremental": (reconcile_incremental, MATCH_BY_ARTICLE), "match_rules": (match_rules, MATCH_RULES), "identity_rules": (identity_rules, IDENTITY_RULES), "duplicate_audit": (duplicate_audit, DUPLICATE_AUDIT),
     "property_proposals": (property_proposals, PROPERTY_PROPOSALS), "property_reconcile": (property_reconcile, PROPERTY_RECONCILE), "property_override": (property_override, PROPERTY_OVERRIDE), "catalog_evidence": (catalog_evidence, CATALOG_EVIDENCE),
     "property_profiles": (property_profiles, PROPERTY_PROFILES), "property_statuses": (property_statuses, PROPERTY_STATUSES), "mapping_compatibility": (mapping_compatibility, MAPPING_COMPATIBILITY), "category_tree": (category_tree, CATEGORY_TREE),
     "category_tree_checks": (category_tree_checks, TREE_CHECKS), "field_provenance": (field_provenance, FIELD_PROVENANCE), "price_provenance": (price_provenance, PRICE_PROVENANCE), "error_urls": (error_urls, ERROR_URLS),

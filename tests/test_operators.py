@@ -265,5 +265,5 @@ def test_guard(spark):
 
 def test_duplicate_candidates(spark):
     rows = spark.createDataFrame([(1, "токарный станок tu", "x", "9"), (2, "токарный станок tu", "x", "9"), (3, "другое", "x", None)], "key int, name string, brand string, art string").withColumn("name", normalize_text(F.col("name")))
-    got = matching.duplicate_candidates(rows, {"ARTICLE": ["art"]}, "name", "brand").collect()
-    assert [tuple(r) for r in got] == [(1, 2, "ARTICLE;NAME_SIMILARITY")]
+    got = matching.duplicate_candidates(rows, ["art"], "brand", "name").collect()
+    assert [tuple(r) for r in got] == [(1, 2, "HIGH_NAME_SIMILARITY:1.0000;art")]
