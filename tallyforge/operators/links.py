@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.relational import latest_by, lineage
+from tallyforge.operators.relational import latest_by, walk
 
 
 def existing_links(sources: DataFrame, events: DataFrame) -> DataFrame:
@@ -17,9 +17,11 @@ def existing_links(sources: DataFrame, events: DataFrame) -> DataFrame:
     method, auto_accepted, is_current. The origin is the method of the earliest accepted event in the
     current event's chain; a link without a current accepted event counts as manual.
     """
-    steps = lineage(events.filter("is_current").select(F.col("event_id").alias("head")), events.select("event_id", "previous_id"), "head", "event_id", "previous_id")
-    chain = steps.join(events.select("event_id", "source_key", "method", "auto_accepted"), "event_id").filter("auto_accepted")
-    origin = chain.groupBy("source_key").agg(F.max_by("method", F.struct("depth", "event_id")).alias("origin"))
+    walked = walk(events, "event_id", "previous_id", F.when(F.col("auto_accepted"), F.col("method")))
+    heads = events.filter("is_current").select(F.col("event_id").alias("node"), "source_key").join(walked, "node")
+    if not heads.filter("not ended").isEmpty():
+        raise ValueError("the events form a cycle")
+    origin = heads.filter("value is not null").groupBy("source_key").agg(F.max_by("value", F.struct("depth", "node")).alias("origin"))
     current = events.filter("is_current").groupBy("source_key").agg(F.bool_or("auto_accepted").alias("auto_accepted"))
     rows = sources.filter("linked is not null").join(current, "source_key", "left").join(origin, "source_key", "left")
     accepted = F.coalesce("auto_accepted", F.lit(False))

@@ -83,70 +83,88 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("surplus", F.col("n") - 1)
 
 
+def walk(nodes: DataFrame, key: str, parent: str, value: Column | None = None, rounds: int | None = None) -> DataFrame:
+    """(node, origin, depth, value, ended): each node's chain of parents to its end, by pointer doubling.
+
+    A round joins every node's stretch of its chain with the stretch that begins where it stops, so a chain of n
+    nodes needs about log2(n) joins. A stretch carries its length, its last node and the value of its
+    farthest node that has one. Parents that are not among the nodes end a chain. What hasn't ended when
+    stretches are longer than there are nodes leads into a cycle: ended is false. Keys are unique.
+    """
+    own = nodes.select(F.col(key).alias("node"), F.col(parent).alias("_up"), (F.lit(None).cast("string") if value is None else value).alias("value"))
+    known = nodes.select(F.col(key).alias("up"))
+    state = checkpointed(own.join(known, F.col("_up") == F.col("up"), "left").select("node", "up", F.lit(1).cast("bigint").alias("size"), F.col("node").alias("origin"), "value"))
+    for _ in range(rounds or state.count().bit_length() + 1):
+        if state.filter("up is not null").isEmpty():
+            break
+        ahead = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("size").alias("_s"), F.col("origin").alias("_o"), F.col("value").alias("_v"))
+        state = checkpointed(state.join(ahead, F.col("up") == F.col("_n"), "left").select(
+            "node", F.col("_u").alias("up"), (F.col("size") + F.coalesce("_s", F.lit(0))).alias("size"), F.coalesce("_o", "origin").alias("origin"), F.coalesce("_v", "value").alias("value")
+        ))
+    return state.select("node", "origin", (F.col("size") - 1).alias("depth"), "value", F.col("up").isNull().alias("ended"))
+
+
+def _above(heads: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, up, depth): heads' ancestors with themselves, each at its least depth.
+
+    In round k all that is found within 2^k steps is joined with the jumps of 2^k steps, and the jumps with
+    themselves. A cycle's nodes are met again at greater depths, which don't count, so it adds nothing.
+    """
+    found = checkpointed(heads.select("node", F.col("node").alias("up"), F.lit(0).alias("depth")))
+    jumps, length, size = checkpointed(step.filter("to is not null")), 1, found.count()
+    while True:
+        more = found.join(jumps, F.col("up") == F.col("at")).select("node", F.col("to").alias("up"), (F.col("depth") + length).alias("depth"))
+        found = checkpointed(found.unionByName(more).groupBy("node", "up").agg(F.min("depth").alias("depth")))
+        if size == (size := found.count()):
+            return found
+        twice = jumps.select(F.col("at").alias("to"), F.col("to").alias("_to"))
+        jumps, length = checkpointed(jumps.join(twice, "to").select("at", F.col("_to").alias("to"))), 2 * length
+
+
+def _steps(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(at, to): each node and its parent, null where that is not among the nodes."""
+    known = nodes.select(F.col(key).alias("to"))
+    return nodes.select(F.col(key).alias("at"), F.col(parent).alias("_p")).join(known, F.col("_p") == F.col("to"), "left").select("at", "to")
+
+
 def ancestors(nodes: DataFrame, key: str, parent: str, label: str) -> DataFrame:
     """(node, ancestor, label, depth) along parent pointers, 0 being the node; stops at repeats and gaps.
 
-    Each step joins the frontier, which is written out, with the nodes; a path array guards against
-    cycles, so the walk ends by itself after as many steps as the tree is deep.
+    By doubling: a tree of depth d needs about log2(d) rounds, cycles end by themselves.
     """
-    step = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p"), F.col(label).alias("_l"))
-    front = step.select(F.col("_k").alias("node"), F.col("_k").alias("ancestor"), F.col("_l").alias("label"), F.lit(0).alias("depth"), F.col("_p").alias("up"), F.array("_k").alias("path"))
-    found = front
-    while True:
-        front = checkpointed(
-            front.filter(F.col("up").isNotNull() & ~F.array_contains("path", F.col("up")))
-            .join(step, F.col("up") == F.col("_k"))
-            .select("node", F.col("_k").alias("ancestor"), F.col("_l").alias("label"), (F.col("depth") + 1).alias("depth"), F.col("_p").alias("up"), F.concat("path", F.array("_k")).alias("path"))
-        )
-        if front.isEmpty():
-            return found.select("node", "ancestor", "label", "depth")
-        found = found.unionByName(front)
+    found = _above(nodes.select(F.col(key).alias("node")), _steps(nodes, key, parent))
+    labels = nodes.select(F.col(key).alias("ancestor"), F.col(label).alias("label"))
+    return found.withColumnRenamed("up", "ancestor").join(labels, "ancestor").select("node", "ancestor", "label", "depth")
 
 
 def lineage(heads: DataFrame, nodes: DataFrame, head: str, key: str, parent: str) -> DataFrame:
     """(head, key, depth) of every node in each head's chain of parents, the head itself at depth 0.
 
-    The frontier is written out each step; heads are few beside the nodes, and chains end where the
-    parent is null or absent. A chain longer than there are nodes is a cycle and raises.
+    Chains end where the parent is null or absent; one that doesn't is a cycle and raises, after as many
+    rounds of doubling as its length has bits.
     """
-    step = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
-    front = checkpointed(heads.select(F.col(head).alias("head"), F.col(head).alias(key)).join(step, F.col(key) == F.col("_k")).select("head", key, F.lit(0).alias("depth"), "_p"))
-    found, most = front, nodes.count()
-    for _ in range(most + 1):
-        front = checkpointed(front.select("head", "depth", F.col("_p").alias("_up")).join(step, F.col("_up") == F.col("_k")).select("head", F.col("_k").alias(key), (F.col("depth") + 1).alias("depth"), "_p"))
-        if front.isEmpty():
-            return found.select(F.col("head"), key, "depth")
-        found = found.unionByName(front)
-    raise ValueError("the parents form a cycle")
+    step = checkpointed(_steps(nodes, key, parent))
+    starts = heads.select(F.col(head).alias("node")).join(step.select(F.col("at").alias("node")), "node", "left_semi").distinct()
+    found = _above(starts, step)
+    ends = found.join(step.filter("to is null"), F.col("up") == F.col("at"), "left_semi")
+    if not found.join(ends.select("node").distinct(), "node", "left_anti").isEmpty():
+        raise ValueError("the parents form a cycle")
+    return found.select(F.col("node").alias("head"), F.col("up").alias(key), "depth")
 
 
 def tree_faults(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, fault): nodes whose parent is absent (DANGLING), and nodes from which parents never end (CYCLE)."""
     known = nodes.select(F.col(key).alias("_k")).distinct()
     dangling = nodes.filter(F.col(parent).isNotNull()).join(known, F.col(parent) == F.col("_k"), "left_anti").select(F.col(key).alias("key"), F.lit("DANGLING").alias("fault"))
-    left = nodes.select(F.col(key).alias("key"), F.col(parent).alias("up"))
-    while True:  # nodes whose chain ends go, round by round; what stays leads into a cycle
-        after = checkpointed(left.join(left.select(F.col("key").alias("_k")), F.col("up") == F.col("_k"), "left_semi"))
-        if after.count() == left.count():
-            return dangling.unionByName(after.select("key", F.lit("CYCLE").alias("fault")))
-        left = after
+    return dangling.unionByName(walk(nodes, key, parent).filter("not ended").select(F.col("node").alias("key"), F.lit("CYCLE").alias("fault")))
 
 
-def origins(nodes: DataFrame, key: str, parent: str, rounds: int = 40) -> DataFrame:
-    """(node, origin, depth): where each node's chain of parents begins, by pointer doubling.
-
-    Each round doubles the steps taken, so a chain of n nodes needs about log2(n) joins. Parents that
-    are not among the nodes end a chain; a cycle raises, as its nodes never end.
-    """
-    own = nodes.select(F.col(key).alias("node"), F.col(parent).alias("_up"))
-    known = own.select(F.col("node").alias("_k"))
-    state = own.join(known, own["_up"] == known["_k"], "left").select("node", F.coalesce("_k", "node").alias("up"), F.col("_k").isNotNull().cast("int").alias("depth"))
-    for _ in range(rounds):
-        ahead = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("depth").alias("_d"))
-        state = checkpointed(state.join(ahead, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"), (F.col("depth") + F.col("_d")).alias("depth")))
-        if state.join(state.select(F.col("node").alias("_n"), F.col("depth").alias("_d")), F.col("up") == F.col("_n")).filter("_d > 0").isEmpty():
-            return state.select("node", F.col("up").alias("origin"), "depth")
-    raise ValueError("the parents form a cycle")
+def origins(nodes: DataFrame, key: str, parent: str, rounds: int | None = None) -> DataFrame:
+    """(node, origin, depth): where each node's chain of parents begins; a cycle raises."""
+    found = walk(nodes, key, parent, rounds=rounds)
+    if not found.filter("not ended").isEmpty():
+        raise ValueError("the parents form a cycle")
+    return found.select("node", "origin", "depth")
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, sizes: Sequence[int] = (25, 50, 100)) -> tuple[DataFrame, DataFrame]:

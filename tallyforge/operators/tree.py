@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.relational import ancestors, tree_faults
+from tallyforge.operators.relational import tree_faults, walk
 
 
 def merchandising(url: Column, name: Column, paths: Sequence[str], names: Sequence[str]) -> Column:
@@ -46,10 +46,10 @@ def build_tree(votes: DataFrame, root: str, root_name: str) -> DataFrame:
     rows = rows.select("url", F.coalesce("name", "url").alias("name"), F.coalesce("parent", F.lit(root)).alias("parent"))
     top = rows.sparkSession.createDataFrame([(root, root_name, None)], "url string, name string, parent string")
     rows = rows.unionByName(top)
-    if bad := tree_faults(rows, "url", "parent").limit(5).collect():
-        raise ValueError("; ".join(f"{r.fault} at {r.key}" for r in bad))
-    depth = ancestors(rows, "url", "parent", "name").groupBy(F.col("node").alias("url")).agg(F.max("depth").alias("depth"))
-    return rows.join(depth, "url")
+    walked = walk(rows, "url", "parent").select(F.col("node").alias("url"), F.col("depth").cast("int").alias("depth"), "ended")
+    if bad := walked.filter("not ended").limit(5).collect():  # every parent is a node
+        raise ValueError("; ".join(f"CYCLE at {r.url}" for r in bad))
+    return rows.join(walked.drop("ended"), "url")
 
 
 def tree_checks(rows: DataFrame, product_urls: DataFrame, breadcrumb_urls: DataFrame, is_merchandising: Column) -> DataFrame:

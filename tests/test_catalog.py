@@ -41,6 +41,36 @@ def test_lineage_and_faults(spark):
     assert sorted(map(tuple, relational.tree_faults(ring, "k", "p").collect())) == [(1, "CYCLE"), (2, "CYCLE"), (3, "CYCLE"), (4, "DANGLING")]
 
 
+def test_walks_in_logarithmic_rounds(spark, monkeypatch):
+    """A chain of 10,000 in about 14 joins; a cycle of two among as many nodes is told from it as soon."""
+    rounds = []
+    kept = relational.checkpointed
+    monkeypatch.setattr(relational, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    chain = spark.range(10_000).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    assert relational.walk(chain, "k", "p", F.when(F.col("k") % 1000 == 7, F.col("k"))).filter("k % 997 = 5".replace("k", "node")).agg(F.sum("depth"), F.min("value"), F.bool_and("ended")).first()[1:] == (7, True)
+    assert len(rounds) <= 16
+    rounds.clear()
+    ring = chain.unionByName(spark.createDataFrame([(-1, -2), (-2, -1), (-3, -2)], "k bigint, p bigint"))
+    assert sorted(r.key for r in relational.tree_faults(ring, "k", "p").collect()) == [-3, -2, -1]
+    assert len(rounds) <= 16
+
+
+def test_walks_by_brute_force(spark):
+    rng = __import__("random").Random(2)
+    for n in (1, 7, 40):
+        up = {k: rng.choice([None, *range(n), n + 5]) for k in range(n)}
+        nodes = spark.createDataFrame([(k, p, f"l{k}") for k, p in up.items()], "k bigint, p bigint, l string")
+        expected, ended = set(), {}
+        for k in up:
+            path = [k]
+            while up[path[-1]] in up and up[path[-1]] not in path:
+                path.append(up[path[-1]])
+            expected |= {(k, x, f"l{x}", depth) for depth, x in enumerate(path)}
+            ended[k] = up[path[-1]] not in up
+        assert {tuple(r) for r in relational.ancestors(nodes, "k", "p", "l").collect()} == expected
+        assert {r.node: r.ended for r in relational.walk(nodes, "k", "p").collect()} == ended
+
+
 def test_tree_raises_on_cycles(spark):
     votes = spark.createDataFrame([("a", "A", "b", 1), ("b", "B", "a", 2)], "url string, name string, parent string, seen bigint")
     with pytest.raises(ValueError, match="CYCLE"):
