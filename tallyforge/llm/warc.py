@@ -10,13 +10,13 @@ Transfer and content encodings and charset are decoded for the text only; an enc
 or doesn't fit the bytes leaves them as they are.
 
 Defined results: a null payload is empty; a null URI gives an empty WARC-Target-URI; repeated
-responses give repeated records; an empty table gives none. Only the named columns are read; warc and
-body may be absent, then the payload's UTF-8 bytes are the source.
+responses give repeated records; an empty table gives none. Records of a file that are cut or have no valid
+Content-Length, damaged gzip members and bytes between them are passed over, and read_damage lists them.
+Only the named columns are read; warc and body may be absent, then the payload's UTF-8 bytes are the source.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import html
 import re
@@ -185,35 +185,88 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select("record").write.option("lineSep", "\r\n\r\n").text(path)
 
 
+_MAGIC = b"\x1f\x8b"
+
+
+def _members(data: bytes, bad: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a file's gzip members, inflated one at a time, or of a plain file as it is.
+
+    A member that is cut or damaged gives what could be read; bytes that are no member are passed over.
+    """
+    if data[:2] != _MAGIC:
+        yield 0, data
+        return
+    at, view = 0, memoryview(data)
+    while 0 <= at < len(data):
+        if data[at : at + 2] != _MAGIC:
+            bad.append((at, "not a gzip member"))
+            at = data.find(_MAGIC + b"\x08", at + 1)
+            continue
+        member, parts, to = zlib.decompressobj(31), [], at
+        try:
+            while to < len(data) and not member.eof:
+                piece = view[to : to + (1 << 16)]
+                parts.append(member.decompress(piece))
+                to += len(piece) - len(member.unused_data)
+        except zlib.error:
+            bad.append((at, "damaged gzip member"))
+            to = data.find(_MAGIC + b"\x08", at + 1)
+        else:
+            if not member.eof:
+                bad.append((at, "cut gzip member"))
+        yield at, b"".join(parts)
+        at = to
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of every record of a WARC file, gzipped or not."""
     for lines, block in warc_records(data):
         yield {name.lower(): value for name, value in lines}, block
 
 
-def warc_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(all headers in order, block) of every record of a WARC file, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def warc_records(data: bytes, bad: list[tuple[int, str]] | None = None) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(all headers in order, block) of every whole record of a WARC file, gzipped or not.
+
+    What is no whole record is passed over, and `bad` gets the offset (of the gzip member, where there are
+    some) and the reason. A record without a valid Content-Length ends where the next record begins after an
+    empty line; only there may a payload that holds such a line be cut.
+    """
+    bad = [] if bad is None else bad
+    for offset, member in _members(data, bad):
+        yield from _records(member, 0 if data[:2] != _MAGIC else offset, bad)
+
+
+def _records(data: bytes, offset: int, bad: list[tuple[int, str]]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    at, plain = 0, offset
+    while True:
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at >= len(data):
             return
-        lines = []
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
+        lines: list[tuple[str, str]] = []
+        for line in data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")[1:]:
             if line[:1] in (" ", "\t") and lines:  # goes on with the header before
                 lines[-1] = (lines[-1][0], f"{lines[-1][1]} {line.strip()}")
                 continue
             name, _, value = line.partition(":")
             lines.append((name.strip(), value.strip()))
-        size = int(next((value for name, value in reversed(lines) if name.lower() == "content-length"), 0))
-        yield lines, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = next((value for name, value in reversed(lines) if name.lower() == "content-length"), "")
+        if end < 0 or not (size.isascii() and size.isdigit()):
+            bad.append((plain + at, "no record" if end < 0 else "no valid Content-Length"))
+        elif end + 4 + int(size) > len(data):
+            bad.append((plain + at, "cut record"))
+        else:
+            yield lines, data[end + 4 : end + 4 + int(size)]
+            at = end + 4 + int(size)
+            continue
+        at = data.find(b"\r\n\r\nWARC/", at + 1)
+        if at < 0:
+            return
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The HTTP responses of WARC files as derivatives() takes them; other records are passed over."""
+    """The HTTP responses of WARC files as derivatives() takes them; other records, and damaged ones, are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -229,3 +282,20 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
         yield from in_batches(rows(), arrow_schema(RESPONSE_DDL), 200)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE_DDL)
+
+
+def read_damage(spark: SparkSession, path: str) -> DataFrame:
+    """(path, offset, reason) of all that read_responses passes over because it is damaged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    bad: list[tuple[int, str]] = []
+                    for _ in warc_records(data, bad):
+                        pass
+                    yield from ((name, offset, reason) for offset, reason in bad)
+
+        yield from in_batches(rows(), arrow_schema("path string, offset bigint, reason string"), 200)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, offset bigint, reason string")
