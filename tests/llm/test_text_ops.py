@@ -234,7 +234,7 @@ def slow_syncmers(data, k, s):
 @settings(max_examples=60, deadline=None)
 @given(st.text(min_size=0, max_size=120))
 def test_syncmers_by_definition(text):
-    for k, s in ((12, 4), (16, 8), (8, 4)):
+    for k, s in ((20, 4), (12, 4), (16, 8), (8, 4), (24, 5)):
         assert fp.syncmers(text.encode(), k, s)[0].tolist() == list(slow_syncmers(text.encode(), k, s))
 
 
@@ -262,15 +262,47 @@ def test_fingerprints_keep_a_passage_of_long_texts():
     say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
     passage = say(300)
     long, other = (fp.anchors(f"{say(30_000)}{passage}{say(90_000)}") for _ in range(2))
-    own = set(fp.syncmers(passage.encode())[1].tolist())
-    assert len(own) > 40 and own <= set(long[0].tolist()) & set(other[0].tolist())
-    assert fp.likeness(long, other) > 0 and len(fp.encode(long)) == 24 * len(long[0])
+    own = set((fp.syncmers(passage.encode())[1] >> np.uint64(24)).tolist())
+    assert len(own) > 20 and own <= set(long[0].tolist()) & set(other[0].tolist())
+    assert fp.likeness(long, other) > 0
+    assert 2 * len(fp.encode(long)) < 2.5 * 120_000  # both fingerprints, in characters a byte of text
+
+
+def slow_anchors(text):
+    """By definition, with integers: hash and first position of each closed syncmer of the padded text."""
+    word = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 31)) * 0x9E3779B97F4A7C15) & word
+        return ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & word
+
+    data, found = b"\0" * 16 + text.encode() + b"\0" * 16, {}
+    for at in slow_syncmers(data, 20, 4):
+        a, b, c = (int.from_bytes(data[at + k : at + k + 8], "little") for k in (0, 6, 12))
+        found.setdefault(mix(mix(mix(a) ^ b) ^ c) >> 24, at)
+    return found
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("ab cdé数", max_size=300), st.text("ab cdé数", max_size=300))
+def test_fingerprints_by_definition(one, two):
+    found = {x: slow_anchors(x) for x in (one, two) if x}
+    for x, slow in found.items():
+        if slow:
+            hashes, positions = fp.decode(fp.encode(fp.anchors(x)))
+            assert dict(zip(hashes.tolist(), positions.tolist(), strict=True)) == slow
+    if len(found) == 2 and all(found.values()):
+        a, b = found[one], found[two]
+        slack = 64 + max(*a.values(), *b.values()) // 4
+        alike = sum(h in b and abs(a[h] - b[h]) <= slack for h in a)
+        assert fp.likeness(fp.anchors(one), fp.anchors(two)) == 2 * alike / (len(a) + len(b))
+    assert fp.decode(fp.encode(fp.anchors("")))[0].tolist() == []
 
 
 def test_likeness_has_no_jump_between_lengths():
     rng = random.Random(6)
     words = "the quick brown fox jumps over a lazy dog while many small birds sing near old river banks".split()
-    for n in range(12, 220, 4):
+    for n in range(24, 220, 4):
         found = []
         for _ in range(20):
             text, other = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(2))
