@@ -3,10 +3,12 @@
 A page is a sequence of words and tags. Words score by where they stand, tags score negative; the
 weights are smoothed log-odds from labelled pages, and one linear scan finds the contiguous run with the
 greatest sum: the content region. The labelled pages also teach which elements hold boilerplate: an
-element whose tag, class, id or role tokens stand almost only around words outside the content marks
-its words, which score negative and are left out of the region; a token of several parts that the
-labelled pages don't hold counts only if all its parts are known (so sidebar-box marks, share-price
-doesn't). The other words of the region are put together by blocks.
+element whose tag or names (the tokens of class, id and role, and an aria-label of one word) stand almost only
+around words outside the content marks its words and tags, which score nothing, so that an insertion
+of any length doesn't cut an article, and are left out of the region. Names are learnt apart within and outside
+of an article, where a section may well be called discussion; and a part beside an unknown one is learnt
+apart from the same part alone (so cookie-law marks, share-price doesn't). The other words of the region are
+put together by blocks.
 
 Defined results: null, empty and wordless pages give an empty text; of equal sums the first and
 shortest run wins; unclosed and stray tags are tolerated; nothing is capped. Only page_id, url and
@@ -39,6 +41,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LABEL = re.compile(r"(?:^|[\s\"'/])aria-label\s*=\s*(?:\"([\w-]+)\"|'([\w-]+)'|([\w-]+)(?=[\s/>]|$))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -66,9 +69,10 @@ _TOP = Place("", False, False, False, False, "body", ())
 
 
 def features(tag: str, attrs: str, in_article: bool) -> tuple[str, ...]:
-    """What labelled pages know of an element: its tag, and the tokens of its class, id and role."""
-    names = {name for found in _ATTR.findall(attrs) for name in "".join(found).lower().split()} if "=" in attrs else ()
-    return (f"tag:{tag}{'+' if in_article else ''}", *(f"name:{n}" for n in sorted(names)))
+    """What labelled pages know of an element: its tag, and its names; + says that it stands in an article."""
+    names = {name for found in (*_ATTR.findall(attrs), *_LABEL.findall(attrs)) for name in "".join(found).lower().split()} if "=" in attrs else ()
+    plus = "+" if in_article else ""
+    return (f"tag:{tag}{plus}", *(f"name{plus}:{n}" for n in sorted(names)))
 
 
 def tokens(page: str, marks: Callable[[str], bool], seen: Callable[[list[Place], int, str], None] | None = None) -> Iterator[tuple[int, str, str, bool]]:
@@ -143,31 +147,41 @@ class Weights:
 
         def count(counts: tuple[Counter, Counter], spans: Sequence[tuple[int, int]], at: int, names, text: str) -> None:
             k = bisect_right(spans, (at, math.inf)) - 1
-            side = counts[0] if k >= 0 and at < spans[k][1] else counts[1]
-            for name in names:
-                side[name] += len(text.split()) or 1
+            inside = k >= 0 and at < spans[k][1]
+            for name in names if inside else {x for name in names for x in (name, _elsewhere(name))}:
+                counts[not inside][name] += len(text.split()) or 1
 
         for page, spans in pages:
-            for _ in tokens(page, lambda _: False, lambda stack, at, text, spans=spans: count(around, spans, at, {f for p in stack for n in p.features for f in _parts(n)}, text)):
+            for _ in tokens(page, lambda _: False, lambda stack, at, text, spans=spans: count(around, spans, at, {f for p in stack for n in p.features for f in self._taught(n)}, text)):
                 pass
         self.around = {f: (around[0][f] + 0.1) / (around[0][f] + around[1][f] + 0.1) for f in around[0].keys() | around[1].keys()}
         for page, spans in pages:
             for at, feature, text, _ in tokens(page, self.marks):
                 if feature:
                     count(of_words, spans, at, [feature], text)
-        # Boilerplate weighs little, so that a long insertion doesn't cut an article in two.
+        # Boilerplate weighs little, and nothing where it is marked, so that an insertion doesn't cut an article in two.
         self.of = {f: max(-0.02, odds / 4) if f[0] == "w" else max(-0.5, min(-0.05, odds / 4)) for f, odds in self._odds(of_words).items()}
+        self.of |= {"w:marked": 0.0, "t:marked": 0.0}
 
     @staticmethod
     def _odds(counts: tuple[Counter, Counter]) -> dict[str, float]:
         totals = [sum(c.values()) + 1 for c in counts]
         return {f: math.log((counts[0][f] + 0.5) / totals[0]) - math.log((counts[1][f] + 0.5) / totals[1]) for f in counts[0].keys() | counts[1].keys()}
 
+    @staticmethod
+    def _taught(feature: str) -> list[str]:
+        """What a labelled page's feature teaches: of a name its parts, or what they say beside an unknown one."""
+        kind, parts = _parts(feature)
+        return [f"{kind}:{p}" for p in parts] if _UNKNOWN not in parts else [f"with:{kind}:{p}" for p in parts if p != _UNKNOWN]
+
     def marks(self, feature: str) -> bool:
-        """Whether the tag or a part of the name stands almost only around boilerplate, and all its parts are known."""
+        """Whether the tag or a part of the name stands almost only around boilerplate."""
         if (known := self.marks_of.get(feature)) is None:
-            found = [self.around.get(part) for part in _parts(feature)]
-            known = None not in found and min(found) < self.rare
+            kind, parts = _parts(feature)
+            found = [f"{kind}:{p}" for p in parts if f"{kind}:{p}" in self.around]
+            if len(found) < len([p for p in parts if f"{kind}:{p}" in self.around or len(p) > 2 and not p.isdigit()]):
+                found = [f"with:{f}" for f in found]
+            known = min((self.around.get(f, 1.0) for f in found), default=1.0) < self.rare
             if len(self.marks_of) > 100_000:
                 self.marks_of.clear()
             self.marks_of[feature] = known
@@ -180,11 +194,17 @@ class Weights:
         return self.of.get(feature, -0.1)
 
 
-def _parts(feature: str) -> list[str]:
-    """The parts of a name, as names of their own; a tag is one."""
-    if feature[:5] != "name:":
-        return [feature]
-    return [f"name:{x}" for x in re.split(r"[-_]+", feature[5:]) if x] or [feature]
+def _elsewhere(feature: str) -> str:
+    """The same name within or outside of an article: what is boilerplate there speaks against it here too."""
+    if "name+:" in feature:
+        return feature.replace("name+:", "name:", 1)
+    return feature.replace("name:", "name+:", 1)
+
+
+def _parts(feature: str) -> tuple[str, list[str]]:
+    """Kind and parts of a name; a tag is one."""
+    kind, _, name = feature.partition(":")
+    return kind, [x for x in re.split(r"[-_]+", name) if x] or [name] if kind != "tag" else [name]
 
 
 def best_run(values: Sequence[float]) -> tuple[int, int]:
@@ -214,19 +234,23 @@ def extract(page: str | None, weights: Weights) -> str:
     return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
+#: In labelled pages: a part that stands for any other word.
+_UNKNOWN = "*"
 #: What the labelled pages call their elements: names of boilerplate by kind, names of content, and parts that both have.
 _NAMES = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar skip navegacion menü",
     "header": "header masthead topbar banner brand kopfzeile",
     "footer": "footer foot copyright contentinfo colophon fusszeile imprint",
     "side": "sidebar side aside widget widgets related recommended recommendations trending popular complementary seitenleiste",
-    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion adsense dfp werbung anzeige publicite publicidad anuncio",
+    "ad": "ad ads advert taboola outbrain adverts advertisement advertising sponsor sponsored promo promotion adsense dfp werbung anzeige publicite publicidad anuncio",
     "notice": "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription paywall hinweis",
     "form": "form search login signup share sharing social suche",
     "comments": "comment comments respond reply replies disqus discussion reader kommentar kommentare commentaire commentaires comentario comentarios",
 }
 _CONTENT_NAMES = "content post entry article story body text lead intro summary chapter paragraph quote figure caption table note section main page hentry prose inhalt contenu contenido"
-_STRUCTURE = "box block wrapper wrap container list bar area panel inner outer top bottom left right site unit slot item items link links button group row col column grid primary secondary global 1 2 3"
+#: Names of boilerplate that sections of an article have, and those that stand with other words in names of content.
+_ALONE, _BESIDE = "discussion reader brand", "share side related banner comment form social search notice alert popular header brand reader discussion"
+_STRUCTURE = "slot box block wrapper wrap container list bar area panel inner outer top bottom left right site unit slot item items link links button group row col column grid primary secondary global 1 2 3"
 
 
 def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -246,7 +270,9 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[in
         if not always and rng.random() < 0.5:
             return ""
         name = rng.choice(names)
-        if rng.random() < 0.5:
+        if always and names is not content_names and name not in _BESIDE.split() and rng.random() < 0.25:
+            name = rng.choice((f"{name}-{_UNKNOWN}", f"{_UNKNOWN}-{name}"))
+        elif rng.random() < 0.5:
             name = rng.choice((f"{name}-{rng.choice(structure)}", f"{rng.choice(structure)}-{name}", f"{name}_{rng.choice(structure)}"))
         return f' {rng.choice(("class", "id", "class"))}="{name}{rng.choice(("", " " + rng.choice(structure)))}"'
 
@@ -257,8 +283,15 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[in
         tag = rng.choice("b i em strong span u s small sub sup mark time abbr cite q kbd var del ins code label a".split())
         return f"<{tag}{' href=/x' if tag == 'a' else ''}>{say(1, 4)}</{tag}>"
 
+    def own_name() -> str:
+        """A name of content, which may hold a word that boilerplate has."""
+        if rng.random() < 0.2:
+            word = rng.choice(_BESIDE.split())
+            return f' class="{rng.choice((f"{word}-{_UNKNOWN}", f"{_UNKNOWN}-{word}", rng.choice(_ALONE.split())))}"'
+        return named([*content_names, *structure])
+
     def content() -> str:
-        at = named([*content_names, *structure])
+        at = own_name()
         return rng.choice((
             lambda: f"<h{(k := rng.randint(2, 6))}{at}>{say(2, 6)}</h{k}><p>{say(3, 9)} <a href=/y>{say(2, 9)}</a></p>",
             lambda: f"<{(k := rng.choice(('ul', 'ol')))}>" + "".join(f"<li>{say(4, 14)} {inline()}</li>" for _ in range(3)) + f"</{k}>",
@@ -289,7 +322,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[in
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
             if kind < 0.6:
-                parts.append((f"<p{named([*content_names, *structure])}>{say(8, 70)} {inline()}</p>", True))
+                parts.append((f"<p{own_name()}>{say(8, 70)} {inline()}</p>", True))
             elif kind < 0.85:
                 parts.append((content(), True))
             else:
