@@ -124,43 +124,47 @@ class Codec:
         return out.T.reshape(-1)[: EVERY * (len(chosen) - 1) + last]
 
 
-def _tokens(path: str, end: int):
+def _tokens(path: str, end: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembers("packing", tokenizer.cache_clear)
         close, schema = np.array([end], "<u4").tobytes(), arrow_schema(_IDS_DDL)
         for batch in batches:
             for part in by_bytes(batch, "text", _CHUNK):
                 ids = tokenizer(path).encode(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([i + close for i in ids], pa.binary())], schema=schema)
+                ids = [np.frombuffer(i + close, "<u4").astype(kind).tobytes() for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
 
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column("ids"):
-            more = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(counts))
-            more[: len(counts)] += counts
-            counts = more
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], schema=arrow_schema(_COUNT_DDL))
+def _counted(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                more = np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=len(counts))
+                more[: len(counts)] += counts
+                counts = more
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], schema=arrow_schema(_COUNT_DDL))
+
+    return run
 
 
-def _encoded(ids: np.ndarray, bits: np.ndarray):
+def _encoded(ids: np.ndarray, bits: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, schema = Codec(ids, bits), TaskContext.get().partitionId(), arrow_schema(_BLOCK_DDL)
-        docs, pieces, held, first, block = [], [], 0, 0, 0
+        docs, pieces, held, first, block, width = [], [], 0, 0, 0, np.dtype(kind).itemsize
 
         def row():
-            data, marks = codec.encode(np.frombuffer(b"".join(pieces), "<u4"))
-            return part, block, first, held, docs, [len(p) // 4 for p in pieces], marks, data
+            data, marks = codec.encode(np.frombuffer(b"".join(pieces), kind))
+            return part, block, first, held, docs, [len(p) // width for p in pieces], marks, data
 
         for batch in batches:
             for doc, piece in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 docs.append(doc)
                 pieces.append(piece.as_py())
-                held += len(pieces[-1]) // 4
+                held += len(pieces[-1]) // width
                 if held >= BLOCK:
                     yield batch_of([row()], schema)
                     docs, pieces, held, first, block = [], [], 0, first + held, block + 1
@@ -172,15 +176,19 @@ def _encoded(ids: np.ndarray, bits: np.ndarray):
 
 def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, end: int = 2) -> None:
     """Write the ids of all texts, each closed by `end`, to a new folder."""
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_tokens(vocabulary, end), _IDS_DDL)
+    from tokenizers import Tokenizer
+
+    # Ids move in two bytes where the vocabulary allows.
+    kind = "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_tokens(vocabulary, end, kind), _IDS_DDL)
     tokens = saved(found.withColumn("row", F.monotonically_increasing_id()), "ids")
-    counts = tokens.select("ids").mapInArrow(_counted, _COUNT_DDL).groupBy("id").agg(F.sum("n").alias("n")).toArrow().sort_by("id")
+    counts = tokens.select("ids").mapInArrow(_counted(kind), _COUNT_DDL).groupBy("id").agg(F.sum("n").alias("n")).toArrow().sort_by("id")
     ids, n = counts.column("id").to_numpy(), counts.column("n").to_numpy()
     bits = code_lengths(n)
     spark.createDataFrame(pa.table({"id": ids, "bits": bits})).coalesce(1).write.parquet(f"{folder}/codes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n.sum()) // PART))
     ordered = tokens.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
-    ordered.mapInArrow(_encoded(ids, bits), _BLOCK_DDL).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(_encoded(ids, bits, kind), _BLOCK_DDL).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     drop_saved(tokens)
     sizes = spark.read.schema(_BLOCK_DDL).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("tokens").alias("tokens"))
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
