@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTC for all time arithmetic; adaptive execution for runtime partition sizes and skewed joins.
@@ -48,3 +50,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/tallyforge-{tag}-{uuid.uuid4().hex}"
