@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import paging, postings, snapshots
 from tallyforge.session import scratch
 from tallyforge.session import table as t
+from tallyforge.streaming.silence import stream_silence
 
 _NEEDLES = ("ring", "RED", "s", "al", "brush ", "ing rin", "o r", "zz", "l ro", "e", "small ring")
 
@@ -86,7 +89,32 @@ SELECT c_custkey, CASE WHEN NOT was THEN 'NEW' WHEN NOT is_ THEN 'MISSING' ELSE
 FROM x WHERE was <> is_ OR was AND is_ AND n <> m
 """
 
+def silence_stream(s: SparkSession, d: str) -> DataFrame:
+    """Orders as sightings of their customers: one available-now run, in which 90.5 days without one count as missing."""
+    out, c = scratch(s, "silence"), F.col
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/orders.parquet")
+    whole = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = s.readStream.schema(t(s, d, "orders").schema).option("pathGlobFilter", "*.parquet" if whole else "orders.parquet")  # a stream reads folders
+    orders = reader.parquet(f"{d}/orders.parquet" if whole else d)
+    rows = orders.select(c("o_custkey").cast("string").alias("key"), c("o_orderkey").alias("run"), F.lit("SEEN").alias("evidence"), F.lit(False).alias("guarded"), c("o_orderdate").alias("at"))
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    kept = s.conf.get(name)
+    s.conf.set(name, provider)
+    try:
+        query = stream_silence(rows, timedelta(days=90, hours=12)).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        s.conf.set(name, kept)
+    return s.read.parquet(f"{out}/rows").select(c("key").cast("bigint").alias("custkey"), c("at").alias("seen_at"), "evidence", "misses", "state", "by_timer")
+
+
+SILENCE_STREAM = """
+WITH o AS (SELECT o_custkey, o_orderdate AS t, coalesce(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), (SELECT max(o_orderdate) FROM orders)) AS until FROM orders)
+SELECT o_custkey AS custkey, t AS seen_at, 'SEEN' AS evidence, 0 AS misses, 'ACTIVE' AS state, FALSE AS by_timer FROM o UNION ALL
+SELECT o_custkey, t + n * INTERVAL 2172 HOUR, 'NOT_DISCOVERED', n, ['WATCH', 'WARNING', 'MISSING_CANDIDATE'][n], TRUE FROM o, range(1, 4) r(n) WHERE t + n * INTERVAL 2172 HOUR < until
+"""
+
 QUERIES = {
     "substring_search": (substring_search, SUBSTRING_SEARCH), "keyset_page": (keyset_page, KEYSET_PAGE), "page_bounds": (page_bounds, PAGE_BOUNDS), "sliced_upsert": (sliced_upsert, SLICED_UPSERT),
-    "snapshot_changes": (snapshot_changes, SNAPSHOT_CHANGES),
+    "snapshot_changes": (snapshot_changes, SNAPSHOT_CHANGES), "silence_stream": (silence_stream, SILENCE_STREAM),
 }
