@@ -9,6 +9,7 @@ column supplier_priority that goes before the policy's.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -42,6 +43,28 @@ class OfferPolicy:
             raise ValueError("a policy needs a version, offer kinds and availability ranks")
 
 
+#: The keys of a policy's JSON.
+POLICY_KEYS = (
+    "version", "ranking_order", "allowed_offer_kinds", "availability_ranking", "ineligible_availability", "supplier_priority", "default_supplier_priority", "price_strategy", "unknown_price_behavior",
+    "zero_price_behavior", "unknown_availability_behavior", "quantity_contradiction_behavior", "freshness", "deterministic_tie_break",
+)
+
+
+def read_policy(text: str) -> OfferPolicy:
+    """The policy that a JSON text says; missing keys, an empty version and other price strategies raise."""
+    said = json.loads(text)
+    if missing := sorted(set(POLICY_KEYS) - said.keys()):
+        raise ValueError("the policy lacks " + ", ".join(missing))
+    if not str(said["version"]).strip() or said["price_strategy"] != "lowest_valid_price":
+        raise ValueError("a policy needs a version and the price strategy lowest_valid_price")
+    fresh = said["freshness"]
+    return OfferPolicy(
+        str(said["version"]), tuple(said["allowed_offer_kinds"]), {str(k): int(v) for k, v in said["availability_ranking"].items()}, tuple(sorted(map(str, said["ineligible_availability"]))),
+        {str(k): int(v) for k, v in said["supplier_priority"].items()}, int(said["default_supplier_priority"]), said["quantity_contradiction_behavior"] == "review",
+        bool(fresh.get("require_missed_crawls_zero", True)), bool(fresh.get("require_success_timestamps", True)), bool(fresh.get("require_latest_successful_full_crawl", True)), bool(fresh.get("allow_stale_fallback", False)),
+    )
+
+
 def _lookup(values: Mapping[str, int], key: Column, default: int | None = None) -> Column:
     if not values:
         return F.lit(default).cast("int")

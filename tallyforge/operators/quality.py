@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tallyforge.operators.similar import similar_names
+
 #: Evidence that a product is gone, and evidence that says nothing.
 CONFIRMED_MISSING = ("HTTP_404", "HTTP_410", "NOT_IN_SITEMAP", "NOT_DISCOVERED")
 INCONCLUSIVE = ("TIMEOUT", "CONNECTION_ERROR", "HTTP_5XX", "PARSE_ERROR", "ANOMALY_GUARDED", "UNKNOWN")
@@ -174,6 +176,17 @@ def review_order() -> list[Column]:
     return [F.when(F.col("status") == "RESOLVED", 1).otherwise(0).asc(), F.col("priority").asc(), F.col("updated_at").desc(), F.col("case_id").asc()]
 
 
+def named_candidates(cases: DataFrame, registry: DataFrame, least: float = 0.60) -> DataFrame:
+    """(case_id, candidate_id): registry products of a case's brand whose names are alike, through the index of names.
+
+    cases: case_id, brand, name; registry: candidate_id, brand, name; brands and names normalized.
+    """
+    left = cases.filter("brand <> ''").select("case_id", F.col("brand").alias("block"), F.col("name").alias("left_name"))
+    right = registry.filter("brand <> ''").select("candidate_id", F.col("brand").alias("block"), F.col("name").alias("right_name"))
+    alike = similar_names(left.withColumnRenamed("left_name", "name"), right.withColumnRenamed("right_name", "name"), least, None)
+    return left.join(alike, ["block", "left_name"]).join(right, ["block", "right_name"]).select("case_id", "candidate_id")
+
+
 def review_candidates(explicit: DataFrame, by_model: DataFrame, by_brand: DataFrame, rejected: DataFrame, limit: int = 25) -> DataFrame:
     """(case_id, candidate_id, origin, rank) from three origins, without rejected pairs; the best origin counts."""
     rows = None

@@ -78,6 +78,15 @@ def coverage(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     return flat.select("field", "present", "missing", percent.alias("percent"))
 
 
+def summed_counts(*tables: DataFrame) -> DataFrame:
+    """One row, n: the rows of all tables together, each counted on its own and the counts added."""
+    counts = [df.agg(F.count("*").alias(f"n{k}")) for k, df in enumerate(tables)]
+    one = counts[0]
+    for other in counts[1:]:
+        one = one.crossJoin(other)  # one row each
+    return one.select(sum((F.col(f"n{k}") for k in range(1, len(counts))), F.col("n0")).alias("n"))
+
+
 def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with more than one row, their count and how many rows are surplus."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("surplus", F.col("n") - 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as X
 from tallyforge.functions.units import to_unit
 from tallyforge.operators import feed, offers
+from tallyforge.operators import registry as R
 from tallyforge.session import table as t
 
 #: The codes that a row breaks which is wrong in one thing, by its number: 0 is right.
@@ -95,6 +96,7 @@ def text_functions(s: SparkSession, d: str) -> DataFrame:
         k, X.decimal_of(F.concat(size, F.lit(" 0"), k % 10, F.lit(","), size), "decimal(18,2)").alias("amount"), X.price_of(price).alias("price"), state["state"].alias("state"), state["stock"].alias("stock"),
         X.unit_of_name(F.when(k % 2 == 0, F.concat(F.lit("Размер, внешний, "), F.lit("мм "))).otherwise("Размер")).alias("unit"), X.normalized_name(F.concat(F.lit("Ёлка — "), size, F.lit("×"), k, F.lit(" х/TU-"), size)).alias("name"),
         X.same_parts(model, other).alias("same_parts"), X.short_suffix(model, other).alias("short_suffix"), X.plain_decimal((size / 4).cast("decimal(18,4)")).alias("plain"),
+        X.money_of(F.when(k % 4 == 0, "цена?").when(k % 4 == 1, "1-2-3").otherwise(F.concat(F.lit("от "), size, F.lit(" "), F.lit("000,5 руб")))).alias("money"), X.currency_of(F.element_at(F.array(*map(F.lit, ("руб.", " ₽", "Rur", "euro", "usd"))), (k % 5 + 1).cast("int"))).alias("currency"),
     )
 
 
@@ -103,7 +105,8 @@ SELECT p_partkey, CAST(p_size || '0' || (p_partkey % 10) || '.' || p_size AS DEC
   CASE WHEN p_partkey % 5 > 1 THEN CAST(p_size || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || CASE p_partkey % 5 WHEN 2 THEN '.50' WHEN 3 THEN '.25' ELSE '.00' END AS DECIMAL(18,2)) END AS price,
   ['in_stock', 'on_request', 'discontinued', 'out_of_stock', 'in_stock', NULL][p_partkey % 6 + 1] AS state, CASE WHEN p_partkey % 6 = 0 THEN 12 END AS stock, CASE WHEN p_partkey % 2 = 0 THEN 'мм' END AS unit,
   'елка ' || p_size || 'x' || p_partkey || ' x tu ' || p_size AS name, p_partkey % 3 = 0 AS same_parts, p_partkey % 3 = 1 AS short_suffix,
-  CASE p_size % 4 WHEN 0 THEN CAST(p_size // 4 AS VARCHAR) ELSE (p_size // 4) || ['.25', '.5', '.75'][p_size % 4] END AS plain FROM part
+  CASE p_size % 4 WHEN 0 THEN CAST(p_size // 4 AS VARCHAR) ELSE (p_size // 4) || ['.25', '.5', '.75'][p_size % 4] END AS plain,
+  CASE WHEN p_partkey % 4 > 1 THEN CAST(p_size || '000.5' AS DECIMAL(18,4)) END AS money, ['RUB', 'RUB', 'RUB', 'EUR', 'USD'][p_partkey % 5 + 1] AS currency FROM part
 """
 
 
@@ -120,7 +123,72 @@ SELECT p_partkey, CASE WHEN p_partkey % 6 < 3 THEN CAST(CAST(p_size || '.5' AS D
   CASE WHEN p_partkey % 4 = 0 THEN 'cm' ELSE 'mm' END AS unit, ['NORMALIZED', 'NORMALIZED', 'NORMALIZED', 'INCOMPATIBLE_DIMENSION', 'UNKNOWN_UNIT', 'INVALID_NUMERIC'][p_partkey % 6 + 1] AS status FROM part
 """
 
+
+
+def _snapshot(s: SparkSession, d: str, name: Column, captured: str, where: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    prop = lambda code, value: F.struct(F.lit(7).alias("property_id"), F.lit(code).alias("property_code"), value.alias("value"))
+    held = F.when(k % 4 == 0, F.concat(F.lit('["A-'), k, F.lit('",{"valueEnum":"","value":{"value":"B '), size, F.lit('"}}]'))).when(k % 4 == 1, F.concat(F.lit('{"valueEnum":"C'), k, F.lit('"}'))).when(k % 4 == 2, F.concat(F.lit(" d"), k)).otherwise("  ")
+    return t(s, d, "part").filter(where).select(
+        k.alias("id"), name.alias("name"), F.when(k % 3 == 0, F.concat(F.lit("art"), k)).otherwise("").alias("article_raw"), F.lit(None).cast("string").alias("supplier_article_raw"), F.lit("").alias("normalized_supplier_article"),
+        F.when(k % 2 == 0, "Jet  Tools").otherwise("").alias("brand_raw"), F.col("p_brand").alias("manufacturer_raw"), F.concat(F.lit("TU-"), k).alias("model_raw"), size.alias("category_id"), F.col("p_type").alias("category_name"),
+        F.lit("").alias("category_path"), F.array(size).alias("category_ids"), F.array(prop("OWN", held), prop("COLOR", F.lit("red"))).alias("properties"), F.lit(" https://h/p ").alias("product_url"),
+        F.element_at(F.array(*map(F.lit, ("y", "N", "true", "1", "0"))), (k % 5 + 1).cast("int")).alias("active"), F.lit(None).cast("string").alias("raw_data"), F.concat(F.lit("h"), k).alias("snapshot_hash"), F.lit(captured).alias("captured_at"),
+    )
+
+
+def registry_upsert(s: SparkSession, d: str) -> DataFrame:
+    """The registry after two snapshots, of which the second has other names and other products."""
+    first = R.registry_rows(_snapshot(s, d, F.col("p_name"), "2026-01-01", "p_partkey % 7 <> 0"))
+    return R.upsert_registry(first, R.registry_rows(_snapshot(s, d, F.concat(F.lit("New "), "p_name"), "2026-02-02", "p_partkey % 7 = 0 or p_partkey % 5 = 0")))
+
+
+REGISTRY_UPSERT = """
+WITH x AS (SELECT *, p_partkey % 7 <> 0 AS was, p_partkey % 7 = 0 OR p_partkey % 5 = 0 AS is_ FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN is_ THEN 'New ' ELSE '' END || p_name AS name, CASE WHEN is_ THEN 'new ' ELSE '' END || p_name AS normalized_name, CASE WHEN p_partkey % 3 = 0 THEN 'art' || p_partkey END AS article_raw,
+  CAST(NULL AS VARCHAR) AS supplier_article_raw, CAST(NULL AS VARCHAR) AS normalized_supplier_article, CASE WHEN p_partkey % 2 = 0 THEN 'Jet  Tools' END AS brand_raw, CASE WHEN p_partkey % 2 = 0 THEN 'jet' END AS normalized_brand,
+  p_brand AS manufacturer_raw, 'TU-' || p_partkey AS model_raw, 'tu' || p_partkey AS normalized_model, CAST(p_size AS VARCHAR) AS category_id, p_type AS category_name, CAST(NULL AS VARCHAR) AS category_path, '{"category_ids":[' || p_size || ']}' AS category_metadata,
+  '{"items":[{"property_id":7,"property_code":"OWN","value":"' || CASE p_partkey % 4 WHEN 0 THEN '[\\"A-' || p_partkey || '\\",{\\"valueEnum\\":\\"\\",\\"value\\":{\\"value\\":\\"B ' || p_size || '\\"}}]' WHEN 1 THEN '{\\"valueEnum\\":\\"C' || p_partkey || '\\"}' WHEN 2 THEN ' d' || p_partkey ELSE '  ' END
+    || '"},{"property_id":7,"property_code":"COLOR","value":"red"}]}' AS properties, 'https://h/p' AS product_url, p_partkey % 5 IN (0, 2, 3) AS active, '{}' AS raw_data, 'h' || p_partkey AS snapshot_hash,
+  CASE WHEN was THEN '2026-01-01' ELSE '2026-02-02' END AS first_seen_at, CASE WHEN is_ THEN '2026-02-02' ELSE '2026-01-01' END AS last_seen_at, CASE WHEN is_ THEN '2026-02-02' ELSE '2026-01-01' END AS last_synced_at FROM x
+"""
+
+
+def registry_identifiers(s: SparkSession, d: str) -> DataFrame:
+    return R.registry_identifiers(_snapshot(s, d, F.col("p_name"), "2026-01-01", "true"), {"OWN": "sup"})
+
+
+REGISTRY_IDENTIFIERS = """
+WITH v AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'A-' || p_partkey WHEN 1 THEN 'C' || p_partkey WHEN 2 THEN 'd' || p_partkey END AS raw FROM part UNION ALL SELECT p_partkey, 'B ' || p_size FROM part WHERE p_partkey % 4 = 0)
+SELECT DISTINCT CAST(k AS VARCHAR) AS id, 'sup' AS supplier_code, 7 AS property_id, 'OWN' AS property_code, raw AS raw_value, lower(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g')) AS normalized_value FROM v WHERE raw IS NOT NULL
+"""
+
+
+def publication_rows(s: SparkSession, d: str) -> DataFrame:
+    """Parts as selections, lines as offers, suppliers twice: sources and suppliers; some of each are missing."""
+    c, part, supplier = F.col, t(s, d, "part"), t(s, d, "supplier")
+    lines = t(s, d, "lineitem").groupBy(c("l_partkey").alias("catalog_id")).agg(F.min(c("l_orderkey") * 10 + c("l_linenumber")).alias("offer_id"), F.min_by("l_suppkey", c("l_orderkey") * 10 + c("l_linenumber")).alias("source_id"))
+    selections = part.join(lines.select(c("catalog_id").alias("p_partkey"), "offer_id"), "p_partkey", "left").select(c("p_partkey").alias("catalog_id"), F.when(c("p_partkey") % 6 == 0, "review").otherwise("selected").alias("status"), "offer_id", F.lit("v1").alias("rule_version"))
+    offers = lines.filter("offer_id % 9 <> 0").select("offer_id", "source_id", c("source_id").alias("supplier_id"), F.when(c("offer_id") % 2 == 0, " ").alias("sku"), c("offer_id").cast("decimal(18,4)").alias("price"), F.lit(None).cast("decimal(18,4)").alias("old_price"), F.lit("RUB").alias("currency"), F.lit("in_stock").alias("availability"), F.lit(1).alias("quantity"), F.lit(True).alias("active"))
+    sources = supplier.filter("s_suppkey % 4 <> 1").select(c("s_suppkey").alias("source_id"), c("s_suppkey").alias("supplier_id"), c("s_nationkey").alias("catalog_id"), c("s_name").alias("external_id"), F.concat(F.lit(" S"), "s_suppkey").alias("sku"), F.lit(True).alias("active"))
+    suppliers = supplier.filter("s_suppkey % 5 <> 2").select(c("s_suppkey").alias("supplier_id"), c("s_name").alias("code"), (c("s_suppkey") % 2 == 0).alias("enabled"))
+    targets = part.filter("p_partkey % 8 <> 3").select(c("p_partkey").alias("catalog_id"), c("p_partkey").alias("target_id"), c("p_name").alias("name"), F.lit("u").alias("url"), c("p_type").alias("category_id"), c("p_type").alias("category_name"), c("p_brand").alias("brand"), F.lit(" ").alias("article"), F.lit(True).alias("active"))
+    matches = supplier.select(c("s_suppkey").alias("source_id"), c("s_nationkey").alias("catalog_id"), F.explode(F.array(F.lit("EXACT_MATCH"), F.lit("OLD"))).alias("status")).withColumn("is_current", (c("status") != "OLD") & (c("source_id") % 3 != 0))
+    rows = R.publication_rows(selections, offers, sources, suppliers, targets, matches)
+    return rows.select("catalog_product_id", "selected_offer_id", "offer_id", "source_product_id", "source_catalog_product_id", "supplier_code", "supplier_enabled", "supplier_sku", "target_id", "target_article", "match_status", "match_catalog_product_id")
+
+
+PUBLICATION_ROWS = """
+WITH l AS (SELECT l_partkey AS k, min(l_orderkey * 10 + l_linenumber) AS offer_id, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS src FROM lineitem GROUP BY l_partkey)
+SELECT p_partkey AS catalog_product_id, l.offer_id AS selected_offer_id, o.offer_id AS offer_id, p.s_suppkey AS source_product_id, p.s_nationkey AS source_catalog_product_id, s.s_name AS supplier_code, s.s_suppkey % 2 = 0 AS supplier_enabled,
+  CASE WHEN o.offer_id IS NOT NULL AND o.offer_id % 2 <> 0 THEN 'S' || p.s_suppkey END AS supplier_sku, CASE WHEN p_partkey % 8 <> 3 THEN p_partkey END AS target_id, CAST(NULL AS VARCHAR) AS target_article,
+  CASE WHEN p.s_suppkey % 3 <> 0 THEN 'EXACT_MATCH' END AS match_status, CASE WHEN p.s_suppkey % 3 <> 0 THEN p.s_nationkey END AS match_catalog_product_id
+FROM part LEFT JOIN l ON l.k = p_partkey LEFT JOIN (SELECT * FROM l WHERE offer_id % 9 <> 0) o ON o.offer_id = l.offer_id LEFT JOIN supplier p ON p.s_suppkey = o.src AND p.s_suppkey % 4 <> 1 LEFT JOIN supplier s ON s.s_suppkey = o.src AND s.s_suppkey % 5 <> 2
+WHERE p_partkey % 6 <> 0
+"""
+
 QUERIES = {
     "feed_codes": (feed_codes, FEED_CODES), "feed_set_codes": (feed_set_codes, FEED_SET_CODES), "offer_rules": (offer_rules, OFFER_RULES), "text_functions": (text_functions, TEXT_FUNCTIONS),
-    "unit_conversion": (unit_conversion, UNIT_CONVERSION),
+    "unit_conversion": (unit_conversion, UNIT_CONVERSION), "registry_upsert": (registry_upsert, REGISTRY_UPSERT), "registry_identifiers": (registry_identifiers, REGISTRY_IDENTIFIERS),
+    "publication_rows": (publication_rows, PUBLICATION_ROWS),
 }
