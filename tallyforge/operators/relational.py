@@ -78,6 +78,14 @@ def coverage(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     return flat.select("field", "present", "missing", percent.alias("percent"))
 
 
+def guarded_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The left join by keys of which none is null; right rows that would double a left row raise."""
+    double = right.join(left.select(*keys).distinct(), list(keys), "left_semi").groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").limit(3).collect()
+    if double:
+        raise ValueError("several rows for " + "; ".join(", ".join(str(r[k]) for k in keys) for r in double))
+    return left.join(right, list(keys), "left")
+
+
 def summed_counts(*tables: DataFrame) -> DataFrame:
     """One row, n: the rows of all tables together, each counted on its own and the counts added."""
     counts = [df.agg(F.count("*").alias(f"n{k}")) for k, df in enumerate(tables)]

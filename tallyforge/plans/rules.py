@@ -10,6 +10,7 @@ from tallyforge.functions.units import to_unit
 from tallyforge.operators import feed, offers
 from tallyforge.operators import registry as R
 from tallyforge.session import table as t
+from tallyforge.sources import pages
 
 #: The codes that a row breaks which is wrong in one thing, by its number: 0 is right.
 _CODES = (
@@ -187,8 +188,51 @@ FROM part LEFT JOIN l ON l.k = p_partkey LEFT JOIN (SELECT * FROM l WHERE offer_
 WHERE p_partkey % 6 <> 0
 """
 
+
+
+def _shop_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages of a shop's layout, one a part: products with more or fewer of their pieces, categories, and others."""
+    k = F.col("p_partkey")
+
+    def piece(test: Column, *texts) -> Column:
+        return F.when(test, F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in texts])).otherwise("")
+
+    product = F.concat(
+        F.lit('<div class="c-catalog-element"'), piece(k % 3 == 0, " data-data='{\"id\": ", k, "}'"), F.lit(">"), piece(k % 4 != 1, "<h1> ", F.col("p_name"), "</h1>"), piece(k % 2 == 0, '<span class="catalog-element-article-value">A-', k, "</span>"),
+        piece(k % 5 != 0, '<div class="catalog-element-price-current">', F.col("p_size"), " 500,50 руб.</div>"), piece(k % 7 == 0, '<div class="catalog-element-quantity">В наличии ', F.col("p_size"), " шт</div>"),
+        piece(k % 6 == 0, '<div data-id="properties"><div class="catalog-element-properties-detail-item"><span class="catalog-element-properties-detail-item-name">Бренд</span><span class="catalog-element-properties-detail-item-value">', F.col("p_brand"), "</span></div></div>"), F.lit("</div>"),
+    )
+    page = F.when(k % 10 == 9, F.concat(F.lit("<h1>All</h1><div class='c-catalog-section'>"), F.col("p_type"), F.lit("</div>"))).when(k % 10 == 8, F.lit(None)).otherwise(product)
+    return t(s, d, "part").select(k, F.concat(F.lit("http://www.shop.example/p"), k, F.lit("/?utm_source=x")).alias("url"), page.alias("html"))
+
+
+def page_types(s: SparkSession, d: str) -> DataFrame:
+    rows = pages.with_nodes(_shop_pages(s, d))
+    return rows.select("p_partkey", pages.page_evidence(rows).alias("e")).select("p_partkey", F.col("e.page_type").alias("page_type"), F.col("e.support").alias("support"), F.col("e.has_heading").alias("has_heading"))
+
+
+_SHOP = """
+x AS (SELECT *, p_partkey % 10 < 8 AS shown FROM part), y AS (SELECT *, CAST(CASE WHEN shown THEN (p_partkey % 2 = 0)::INT + (p_partkey % 5 <> 0)::INT + (p_partkey % 7 = 0)::INT + (p_partkey % 6 = 0)::INT + (p_partkey % 3 = 0)::INT ELSE 0 END AS INT) AS support,
+  p_partkey % 10 = 9 OR shown AND p_partkey % 4 <> 1 AS heading FROM x), z AS (SELECT *, CASE WHEN shown AND heading AND support >= 2 THEN 'product' WHEN p_partkey % 10 = 9 THEN 'category' ELSE 'other' END AS kind FROM y)"""
+PAGE_TYPES = f"WITH {_SHOP} SELECT p_partkey, kind AS page_type, support, heading AS has_heading FROM z"
+
+
+def page_products(s: SparkSession, d: str) -> DataFrame:
+    """The strict records of the pages that are products."""
+    rows = pages.with_nodes(_shop_pages(s, d))
+    rows = rows.filter(pages.page_evidence(rows)["page_type"] == "product").select("p_partkey", *pages.product_record())
+    return rows.select("p_partkey", "external_id", "external_id_type", "sku", "name", "brand", "canonical_url", "price", "availability", "quantity", F.size("properties").alias("n_properties"))
+
+
+PAGE_PRODUCTS = f"""
+WITH {_SHOP} SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'https://shop.example/p' || p_partkey || '/' END AS external_id, CASE WHEN p_partkey % 3 = 0 THEN 'internal_product_id' ELSE 'canonical_url' END AS external_id_type,
+  CASE WHEN p_partkey % 2 = 0 THEN 'A-' || p_partkey END AS sku, p_name AS name, CASE WHEN p_partkey % 6 = 0 THEN p_brand END AS brand, 'https://shop.example/p' || p_partkey || '/' AS canonical_url,
+  CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size || '500.50' AS DECIMAL(18,2)) END AS price, CASE WHEN p_partkey % 7 = 0 THEN 'in_stock' END AS availability, CASE WHEN p_partkey % 7 = 0 THEN p_size END AS quantity, CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 0 END AS n_properties
+FROM z WHERE kind = 'product'
+"""
+
 QUERIES = {
     "feed_codes": (feed_codes, FEED_CODES), "feed_set_codes": (feed_set_codes, FEED_SET_CODES), "offer_rules": (offer_rules, OFFER_RULES), "text_functions": (text_functions, TEXT_FUNCTIONS),
     "unit_conversion": (unit_conversion, UNIT_CONVERSION), "registry_upsert": (registry_upsert, REGISTRY_UPSERT), "registry_identifiers": (registry_identifiers, REGISTRY_IDENTIFIERS),
-    "publication_rows": (publication_rows, PUBLICATION_ROWS),
+    "publication_rows": (publication_rows, PUBLICATION_ROWS), "page_types": (page_types, PAGE_TYPES), "page_products": (page_products, PAGE_PRODUCTS),
 }

@@ -70,3 +70,10 @@ def test_catalog_identifiers(spark):
 
 def test_summed_counts(spark):
     assert relational.summed_counts(spark.range(3), spark.range(0), spark.range(4)).collect()[0].n == 7
+
+
+def test_guarded_join(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a"), (3, "b"), (3, "c")], "k int, v string")
+    assert sorted(map(str, relational.guarded_join(left, right, ["k"]).collect())) == ["Row(k=1, v='a')", "Row(k=2, v=None)"]
+    with pytest.raises(ValueError, match="1"):
+        relational.guarded_join(left, right.unionByName(right.filter("k = 1")), ["k"])
