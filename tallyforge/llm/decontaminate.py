@@ -6,8 +6,9 @@ two-word blocks, which tells how far the scan may jump, and for blocks that end
 the windows with that suffix, against which the document's words are compared directly.
 
 Defined results: null or wordless texts have no words, no hits and are clean; null or wordless items
-have no window; repeated items and rows are answered alike; an empty benchmark leaves every document
-clean. Only the named columns are read, so extra columns cannot clash.
+have no window, nor has an item without an id, which no result could name; ids of items are whole numbers;
+repeated items and rows are answered alike; an empty benchmark leaves every document clean. Only the
+named columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations

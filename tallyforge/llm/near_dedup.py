@@ -15,6 +15,8 @@ component, of fitting size and with an estimated similarity of at least `least`,
 only their texts move, and the blocks' pairs are confirmed on full sets, giving links. Pairs inside one
 component can change nothing and are skipped. With 512 coordinates the estimate of a pair at 0.8 falls
 below 0.7 with a probability of about 1e-8, so that bound costs less than the bands themselves.
+A small group is looked at as a whole, so there also pairs meet that share no band; in a larger one only pairs of
+a bucket do. So a pair at exactly 0.8 is missed with a probability of up to 8e-6 in a large group, and of less in a small one.
 
 Defined results: texts without words (null and empty ones too) have no shingles and stand alone; a
 one-word text is one shingle; each row takes the component of its own text, also where rows repeat a

@@ -6,7 +6,8 @@ training texts. An expression that neither class has seen costs both the same, s
 nothing, while rare forms of a toxic stem are recognised by their first characters. A toxic document is
 ordinary text with some toxic expressions: its words come from the toxic class's model with probability
 `share` and from the ordinary one's else. A text's value is the difference of its two length-normalised
-log-likelihoods, toxic less ordinary; logistic calibration on training documents that the counts leave
+log-likelihoods, toxic less ordinary (of texts that were toxic in every word the difference would be that of the two
+models themselves, but such texts there are none, and rare ordinary words would drown the toxic ones); logistic calibration on training documents that the counts leave
 out turns it into a score.
 
 Labels are learnt from at most `max_per_class` documents of each class (those with the smallest id
