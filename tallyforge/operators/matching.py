@@ -42,8 +42,12 @@ KEYS = 25
 def prepare(products: DataFrame) -> DataFrame:
     """products with n: normalized brand, model, articles, name, kind, role, title models, canonical properties.
 
-    Texts are put into NFKC, and titles read for models, by one Python step; the rest stays in the JVM.
+    Texts are put into NFKC, and titles read for models, by one Python step; the rest stays in the JVM. This is
+    the dearest step, so tables of fewer files than there are cores are dealt to all cores first.
     """
+    cores = products.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(products.inputFiles()) < cores:
+        products = products.repartition(cores)
     texts = ("name", "brand", "model", "category", "supplier_article", "manufacturer_article")
     rows = products.withColumns({**{f"_{c}": nfkc(F.col(c)) for c in texts}, "_title": title_facts(F.col("name"))})
     plain = {c: F.col(f"_{c}") for c in texts}
