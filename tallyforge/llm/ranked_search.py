@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import arrow_schema, batch_of, by_bytes, in_batches, saved
 
 #: Bytes of text and documents of a shard, shards of a file, characters of a block of queries.
-SHARD, SHARD_DOCS, SHARDS, BLOCK = 16 << 20, 1 << 16, 4, 1 << 22
+SHARD, SHARD_DOCS, SHARDS, BLOCK = 8 << 20, 1 << 16, 4, 1 << 22
 #: Most nodes that are opened side by side.
 WIDTH = 256
 _SHARD_DDL = "docs array<bigint>, terms binary, starts binary, impacts binary, bits binary"
