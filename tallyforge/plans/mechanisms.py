@@ -109,9 +109,10 @@ def silence_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 SILENCE_STREAM = """
-WITH o AS (SELECT o_custkey, o_orderdate AS t, coalesce(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), (SELECT max(o_orderdate) FROM orders)) AS until FROM orders)
+WITH o AS (SELECT o_custkey, o_orderdate AS t, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after_ FROM orders), w AS (SELECT max(o_orderdate) AS mark FROM orders)
 SELECT o_custkey AS custkey, t AS seen_at, 'SEEN' AS evidence, 0 AS misses, 'ACTIVE' AS state, FALSE AS by_timer FROM o UNION ALL
-SELECT o_custkey, t + n * INTERVAL 2172 HOUR, 'NOT_DISCOVERED', n, ['WATCH', 'WARNING', 'MISSING_CANDIDATE'][n], TRUE FROM o, range(1, 4) r(n) WHERE t + n * INTERVAL 2172 HOUR < until
+SELECT o_custkey, t + n * INTERVAL 2172 HOUR, 'NOT_DISCOVERED', n, ['WATCH', 'WARNING', 'MISSING_CANDIDATE'][n], TRUE FROM o, w, range(1, 4) r(n)
+WHERE CASE WHEN after_ IS NULL THEN t + n * INTERVAL 2172 HOUR <= mark ELSE t + n * INTERVAL 2172 HOUR < after_ END
 """
 
 QUERIES = {

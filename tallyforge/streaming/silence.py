@@ -3,7 +3,8 @@
 Observations (key, run, evidence, guarded, at) are folded as by quality.missing_states, and a product of which
 `silence` passes without an observation gets the evidence NOT_DISCOVERED by a timer, again and again until it is a
 candidate. What happens depends on event time alone: silence that was due before an observation counts before it,
-whether its timer has fired or the observation came first.
+whether its timer has fired or the observation came first; after a key's last observation silence counts that
+was due by the watermark.
 
 State of a key: a value (misses, when silence is due), a list of the evidence since the last sighting, and a map
 of the runs that were counted, so that replayed rows count once; runs older than `keep` before the newest are
