@@ -4,7 +4,7 @@ A k-mer of a text's UTF-8 bytes is a closed syncmer if the least hash among its
 of its first or last one; whether a k-mer is chosen depends on nothing outside it, so equal passages
 give equal anchors wherever they stand. The fingerprint keeps every distinct anchor with the position of its
 first occurrence, so it grows with the text: 40 bits of hash and about 8 of position for one byte in 8.5,
-as text 0.95 characters a byte. Likeness matches anchors that lie at like positions.
+as text 1.0 characters a byte. Likeness matches anchors that lie at like positions.
 
 Defined results: a null or empty text has the empty fingerprint (likeness 1 to another empty one, 0
 to any other); one length of k-mers serves all texts, and a text in which none is chosen has its whole
