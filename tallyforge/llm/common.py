@@ -74,6 +74,14 @@ def in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> It
         yield batch_of(pending, schema)
 
 
+def give_back() -> None:
+    """Give freed memory back to the system, where the platform can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _memories: dict[str, Callable[[], None]] = {}
 
 
@@ -88,10 +96,7 @@ def remembers(owner: str, forget: Callable[[], None]) -> None:
         _memories.pop(other)()
     _memories[owner] = forget
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

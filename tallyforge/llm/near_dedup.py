@@ -182,27 +182,38 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int, salts: i
     return dealt.select("a", "salt", "b", "text").mapInArrow(_confirm(width, percent), "a bigint, b bigint")
 
 
+def _ends(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each pair of columns of every row; rows stand once in the plan, unlike in a union."""
+    pairs = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends))
+    return rows.select(F.explode(pairs).alias("end")).select("end.u", "end.v")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v) are stars: every u has one v, and no v is a u."""
+    roles = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("end"))
+    nodes = roles.groupBy("end.node").agg(F.sum("end.up").alias("ups"), F.min("end.up").alias("least"))
+    return nodes.filter("ups > 1 or ups = 1 and least = 0").limit(1).count() == 0
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every linked node, component being its smallest node.
 
     Rounds of large-star and small-star; hubs' neighbours are met in partial aggregates and, for the
-    joins, by adaptive skew handling. The state is written out each round. The rounds needed grow with
-    the logarithm of a component's size; a state that hasn't settled after `rounds` raises.
+    joins, by adaptive skew handling. Each half of a round is written out, so that its plan has one join
+    and the driver holds short plans only; stars end the rounds. The rounds needed grow with the
+    logarithm of a component's size; a state that hasn't settled after `rounds` raises.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if _settled(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        both = _ends(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = saved(small, "edges")
-        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
-        drop_saved(edges)
+        large = saved(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        met = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        after = saved(_ends(met, ("v", "m"), ("u", "m")).filter("u <> v").distinct(), "edges")
+        drop_saved(edges, large)
         edges = after
-        if same:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError(f"the components have not settled after {rounds} rounds")
 
 
@@ -357,7 +368,8 @@ def near_duplicates(
         dealt = promising.join(_texts(docs, ids, most_ids), "doc_id").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         more = saved(dealt.select("bucket", "i", "j", *_BLOCK, "text").mapInArrow(_cross(width, percent, least), "a bigint, b bigint"), "more")
         if not more.isEmpty():
-            found = components(links.unionByName(more))
+            before, found = found, components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            drop_saved(before)
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     named = saved(named, "named")

@@ -29,10 +29,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, in_batches, remembers, sliced
+from tallyforge.llm.common import arrow_schema, give_back, in_batches, remembers, sliced
 
 _WORD = re.compile(r"\w+")
 #: Words whose value a worker remembers; the memory starts anew beyond it.
@@ -72,6 +73,14 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
 
 
+def _joined(grams: Sequence[str] | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all grams in a row, four bytes each, and the size of each gram; no string a gram is made."""
+    if not isinstance(grams, pa.ChunkedArray):
+        grams = pa.chunked_array([pa.array(grams, pa.string())])
+    points = [np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(c)], c), "")[0].as_py().encode("utf-32-le"), "<u4") for c in grams.chunks if len(c)]
+    return np.concatenate(points), pc.utf8_length(grams).to_numpy().astype(np.int64)
+
+
 class KneserNeyPair:
     """Log-likelihood ratio of two classes; counts[c] says how often each gram stands in class c.
 
@@ -79,18 +88,18 @@ class KneserNeyPair:
     of grams and of histories with their values: a few bytes an entry, looked up many at a time.
     """
 
-    def __init__(self, grams: Sequence[str], counts: np.ndarray, order: int):
+    def __init__(self, grams: Sequence[str] | pa.ChunkedArray, counts: Sequence[np.ndarray], order: int):
         self.order = order
         if not len(grams):
             self.grams = self.histories = np.zeros(0, np.uint64)
             self.ratio = self.shift = np.zeros(0, np.float32)
             return
-        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-        points, ends = _points("".join(grams)), np.cumsum(sizes)
-        gram, history, shared = self._shared(points, ends, sizes)
+        points, sizes = _joined(grams)
+        gram, history, shared = self._shared(points, np.cumsum(sizes), sizes)
         histories, of = np.unique(history, return_inverse=True)
         logs, shift = [], np.zeros(len(histories))
-        for n, sign in zip(np.asarray(counts, float), (-1, 1), strict=True):
+        for n, sign in zip(counts, (-1, 1), strict=True):
+            n = np.asarray(n, float)
             ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
             d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
             total, kinds = np.bincount(of, n), np.bincount(of, n > 0)
@@ -111,12 +120,12 @@ class KneserNeyPair:
         Continuation counts say how many different characters stand before a history and its next one,
         in all grams and their endings; lower orders are interpolated from single characters upwards.
         """
-        sums, before = points[ends - 1].copy(), np.zeros(len(ends), np.uint64)
+        sums, before = points[ends - 1].astype(np.uint64), np.zeros(len(ends), np.uint64)
         shared = np.full(len(ends), 1e-4)
         for size in range(1, int(sizes.max())):  # the grams' proper endings of this size
             some = np.flatnonzero(sizes > size)
             ending, history = _hashed(sums[some], size), _hashed(before[some], size - 1)
-            further = points[ends[some] - 1 - size]
+            further = points[ends[some] - 1 - size].astype(np.uint64)
             sums[some] += further * np.uint64(pow(_B, size, 1 << 64))
             before[some] += further * np.uint64(pow(_B, size - 1, 1 << 64))
             _, one = np.unique(_hashed(sums[some], size + 1), return_index=True)
@@ -239,9 +248,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = 8,
         .groupBy("gram").agg(*(F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"n{k}") for k in (0, 1)))
     )
     grams = counted.toArrow()
-    pair = KneserNeyPair(grams.column("gram").to_pylist(), np.array([grams.column(c).fill_null(0).to_numpy() for c in ("n0", "n1")]), order)
+    pair = KneserNeyPair(grams.column("gram"), [grams.column(c).fill_null(0).to_numpy() for c in ("n0", "n1")], order)
+    del grams
+    give_back()
     held = spark.sparkContext.broadcast(pair)
     measured = texts.filter("fold = 1").select("toxic", "text").mapInArrow(_measure(held, share), "label int, value double, n int").toArrow().to_pydict()
+    held.destroy()
     y = np.array(measured["label"], float)
     if len(set(measured["label"])) < 2:
         return ToxicityModel(pair, share, np.array([math.log(prior / (1 - prior)), 1.0]))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -166,6 +168,29 @@ def test_chain_of_components(spark):
     assert got == {**{i: 100 for i in range(101, 161)}, 2: 1}
 
 
+def test_components_plan_one_join_at_a_time(spark, monkeypatch):
+    """The driver holds the plans of all queries of a session, so a round is written out in short steps."""
+    joins, write = [], nd.saved
+
+    def counted(df, tag, *more):
+        joins.append(len(re.findall(r"\bJoin \w+", df._jdf.queryExecution().optimizedPlan().toString())))
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(nd, "saved", counted)
+    rng = random.Random(5)
+    pairs = [(a, rng.randrange(a)) for a in range(1, 40) if a % 7] + [(9, 8), (8, 9), (3, 3), (50, 51), (52, 51)]
+    least = {i: i for p in pairs for i in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.component for r in nd.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {i: c for i, c in least.items() if i != c}
+    assert max(joins) == 1
+    joins.clear()
+    stars = spark.createDataFrame([(1, i) for i in range(2, 9)], "a bigint, b bigint")
+    assert nd.components(stars).count() == 7 and joins == [0]  # stars need no round
+
+
 def test_sketch_estimates_and_fills():
     rng = np.random.default_rng(1)
     for n in (1, 2, 30, 5000):
@@ -424,6 +449,21 @@ def test_toxicity_without_labels(spark):
     assert tx.score(spark, docs.filter("false"), tx.fit(spark, docs, labels)).count() == 0
 
 
+def test_toxicity_fit_makes_no_string_a_gram(spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    tracemalloc.start()
+    try:
+        pair = tx.fit(spark, docs, labels).pair
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(pair.grams) > 60_000
+    assert peak < 230 * len(pair.grams)
+
+
 def test_toxicity_keeps_every_gram(spark):
     rng = random.Random(9)
     rare = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéя") for _ in range(9)) for _ in range(200_000)]
