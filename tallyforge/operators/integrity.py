@@ -104,7 +104,8 @@ def selection_evidence(selected: DataFrame, evaluated: DataFrame, policy, price_
     """(product_id, evidence): a selection as a JSON document with its evaluated offers in order of supplier and offer.
 
     The document holds every offer of its product, so it is as large as they are; the counts and the
-    decision come from the selection.
+    decision come from the selection. Offers of several suppliers may share an id, so the chosen one is known
+    by supplier and id, and of what still is alike the eligible one of the best rank and priority won.
     """
     c = F.col
     state = F.when(c("price_valid"), "valid").when(c("price") == 0, "zero_invalid_commercial_evidence").otherwise("missing_or_incomparable")
@@ -114,11 +115,12 @@ def selection_evidence(selected: DataFrame, evaluated: DataFrame, policy, price_
     )
     offers = evaluated.groupBy("product_id").agg(F.array_sort(F.collect_list(offer)).alias("candidate_offers"))
     rows = selected.join(offers, "product_id", "left")
-    chosen = F.get(F.filter("candidate_offers", lambda x: x["offer_id"] == c("offer_id")), F.lit(0))
+    won = F.filter("candidate_offers", lambda x: x["eligible"] & (x["offer_id"] == c("offer_id")) & x["supplier_code"].eqNullSafe(c("supplier_code")))
+    best = F.array_min(F.transform(won, lambda x: F.struct(x["availability_rank"].alias("rank"), (-x["supplier_priority"]).alias("unliked"))))
     document = F.struct(
         F.lit(policy.version).alias("policy_version"), c("product_id").alias("catalog_product_id"), c("evaluated").alias("evaluated_candidate_count"), c("eligible").alias("eligible_candidate_count"),
-        c("offer_id").alias("selected_offer_id"), c("supplier_code").alias("selected_supplier_code"), c("reason").alias("selection_reason"), chosen["availability_rank"].alias("availability_rank"),
-        chosen["supplier_priority"].alias("supplier_priority"), F.lit(price_rule).alias("price_rule"), F.lit(freshness_rule).alias("freshness_rule"), c("candidate_offers"),
+        c("offer_id").alias("selected_offer_id"), c("supplier_code").alias("selected_supplier_code"), c("reason").alias("selection_reason"), best["rank"].alias("availability_rank"),
+        (-best["unliked"]).alias("supplier_priority"), F.lit(price_rule).alias("price_rule"), F.lit(freshness_rule).alias("freshness_rule"), c("candidate_offers"),
     )
     return rows.select("product_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("evidence"))
 
