@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
+from unittest.mock import MagicMock
 
-from tallyforge.streaming.silence import stream_silence
+from tallyforge.streaming.silence import MissingProducts, stream_silence
 
 START = datetime(2026, 1, 1)
 HOURS = 5
@@ -62,3 +63,14 @@ def test_silence_with_a_restart(spark, tmp_path):
     expected = sorted((k, float(h), e, m, t) for k, h, e, m, t in folded(rows, 60))
     assert got == [x for x in expected if x[0] != "clock" or not x[4] or x[1] < 60]
     assert any(x[4] for x in got) and {x[3] for x in got} == {0, 1, 2, 3}
+
+
+def test_calls_of_the_state_store_do_not_grow_with_rows():
+    """Each is a trip to the JVM and back: a key's rows of a batch take one to read, one to write and one for the timer."""
+    handle, fold = MagicMock(), MissingProducts(timedelta(hours=HOURS))
+    handle.getValueState.return_value.get.return_value = None
+    fold.init(handle)
+    handle.reset_mock()
+    (said,) = fold.handleInputRows(("k",), iter([("k", run, "SEEN", False, START.replace(tzinfo=UTC) + timedelta(hours=6 * run)) for run in range(100)]), None)
+    assert len(handle.mock_calls) + len(handle.getValueState.return_value.mock_calls) <= 6
+    assert said.evidence == ["SEEN", *["NOT_DISCOVERED", "SEEN"] * 99] and said.misses == [0, *[1, 0] * 99] and len(said.since) == 199
