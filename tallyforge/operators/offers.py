@@ -152,7 +152,9 @@ def select(evaluated: DataFrame, policy: OfferPolicy, carry: Sequence[str] = ())
     of the offers stays a few rows.
     """
     c = F.col
-    rows = _per_product(evaluated).join(_finalists(evaluated, carry), "product_id", "left")
+    best = _finalists(evaluated, carry).withColumnRenamed("product_id", "_product")
+    # A plain equality would keep null products from one of both sides alone, and the offers would be made and moved for each.
+    rows = _per_product(evaluated).join(best, c("product_id").eqNullSafe(c("_product")) & c("product_id").isNotNull(), "left")
     contradiction = F.lit(policy.review_contradictions) & F.coalesce("t.contradiction", F.lit(False))
     alone = F.struct(*[c(f"t.cheap.{x}") for x in ("supplier_code", "offer_id", "source_id", "offer_kind")]) == c("t.last_cheap")
     rules: list[tuple[Column, str, str, Column | None]] = [

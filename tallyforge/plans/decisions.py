@@ -21,8 +21,8 @@ from tallyforge.session import table as t
 def _candidates(s: SparkSession, d: str) -> DataFrame:
     """Offers of the test tables as selection candidates: the latest line per (part, supplier)."""
     c = F.col
-    lines = t(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
-    latest = R.latest_by(lines, ["l_partkey", "l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"])
+    newest = F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"))  # half of what max_by moves
+    latest = t(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(newest.alias("x")).select("l_partkey", "l_suppkey", "x.*")
     crawl = t(s, d, "lineitem").groupBy("l_suppkey").agg((F.max("l_shipdate") - F.expr("INTERVAL 365 DAYS")).alias("latest_crawl_at"))
     state = (
         F.when((c("l_returnflag") == "N") & (c("l_linestatus") == "O"), "in_stock").when(c("l_returnflag") == "N", "preorder").when(c("l_linestatus") == "O", "backorder")
@@ -30,7 +30,7 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
     )
     price = F.expr("CAST((CAST(round(l_extendedprice * 100) AS BIGINT) * 100) DIV CAST(l_quantity AS BIGINT) / 10000.0BD AS DECIMAL(18,4))")
     supplier = t(s, d, "supplier").select(c("s_suppkey").alias("l_suppkey"), (c("s_nationkey") % 2).alias("supplier_priority"))
-    rows = latest.join(supplier, "l_suppkey").join(crawl, "l_suppkey")
+    rows = latest.join(F.broadcast(supplier.join(crawl, "l_suppkey")), "l_suppkey")  # a row a supplier, so that the lines move for their pair only
     return rows.select(
         c("l_partkey").alias("product_id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("offer_id"), c("l_suppkey").alias("source_id"), c("l_suppkey").alias("supplier_id"),
         c("l_suppkey").alias("offer_supplier_id"), F.lpad(c("l_suppkey").cast("string"), 12, "0").alias("supplier_code"), F.lit(True).alias("supplier_enabled"),

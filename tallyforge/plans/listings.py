@@ -16,6 +16,7 @@ from tallyforge.operators import reports as P
 from tallyforge.operators.feed import document_problems
 from tallyforge.plans.decisions import _candidates, _selection
 from tallyforge.plans.offers_sql import OFFERS
+from tallyforge.session import checkpointed
 from tallyforge.session import table as t
 from tallyforge.sources.readers import rebuild_cards
 from tallyforge.sources.writers import xml_rows
@@ -427,7 +428,7 @@ SELECTION_EVIDENCE = f"""WITH {OFFERS} SELECT s.part_key, reason, evaluated, s.o
 
 def selection_changes(s: SparkSession, d: str) -> DataFrame:
     """Which selections a second run would write anew, against a first run without some products and with another offer for some."""
-    now = _selection(s, d)
+    now = checkpointed(_selection(s, d))  # both runs read it
     before = now.filter("product_id % 4 <> 0").withColumn("offer_id", F.when(F.col("product_id") % 6 == 0, 1).otherwise(F.col("offer_id")))
     return integrity.changed_selections(before, now).groupBy("status", "changed").agg(F.count("*").alias("products"))
 

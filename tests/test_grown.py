@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from test_oracles import compare
 
+from tallyforge.plans import decisions, listings
 from tallyforge.plans.registry import ORACLES, QUERIES
 
 
@@ -41,3 +42,23 @@ def test_new_paths_with_ids_of_old_ones(changed):
 def test_candidates_of_long_models(changed, shift):
     """Models of six digits are no articles, and a source without its neighbour meets no names."""
     changed("match_candidates", part=f"select * from '{{path}}' union all by name select * replace (p_partkey + {shift} as p_partkey) from '{{path}}'")
+
+
+def test_offers_move_once(spark, sf_dir, monkeypatch):
+    """A selection's plan deals the lines once, and what reads a selection repeatedly reads it stored."""
+    plans, checkpointed = [], listings.checkpointed
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(listings, "checkpointed", kept)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans.append(decisions.offer_selection(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+        made = [QUERIES[name](spark, sf_dir) for name in ("selection_changes",)]
+        assert len(plans) == 2 and all(p.count("FileScan parquet [l_orderkey") == 1 for p in plans)
+        stored = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+        assert not any("l_orderkey" in p for p in stored)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
