@@ -127,16 +127,17 @@ def export_counters(selection: DataFrame, offers: DataFrame, products: DataFrame
     selection: catalog_id, status, offer_id; offers: offer_id, supplier, price; products: product_id,
     supplier, catalog_id; decisions: product_id, decision; targets: catalog_id, category_id,
     category_name. Of one supplier, a selected row counts by its offer's supplier and any other by a
-    product of the supplier in the catalog product.
+    product of the supplier in the catalog product. Products, targets and decisions are as many as the catalog has,
+    though their files are small: their joins are merged, not broadcast by the size of a file's columns.
     """
     chosen = selection.join(offers.select("offer_id", F.col("supplier").alias("_by"), "price"), "offer_id", "left")
     known = targets.select("catalog_id", ((F.coalesce("category_id", F.lit("")) == "") | (F.coalesce("category_name", F.lit("")) == "")).alias("_blank"))
-    rows = chosen.join(known, "catalog_id", "left")
-    own = products.select("product_id", "supplier").join(decisions, "product_id")
+    rows = chosen.join(known.hint("merge"), "catalog_id", "left")
+    own = products.select("product_id", "supplier").join(decisions.hint("merge"), "product_id")
     selected = F.col("status") == "selected"
     if supplier is not None:
         theirs = products.filter(F.col("supplier") == supplier).select("catalog_id", F.lit(True).alias("_theirs")).distinct()
-        rows = rows.join(theirs, "catalog_id", "left").filter((selected & (F.col("_by") == supplier)) | (~selected & F.col("_theirs")))
+        rows = rows.join(theirs.hint("merge"), "catalog_id", "left").filter((selected & (F.col("_by") == supplier)) | (~selected & F.col("_theirs")))
         own = own.filter(F.col("supplier") == supplier)
     offered = selected & F.col("_by").isNotNull()
     one = rows.agg(F.count("*").alias("considered"), *conditional_counts({

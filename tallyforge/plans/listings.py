@@ -124,8 +124,10 @@ def export_counters(s: SparkSession, d: str) -> DataFrame:
     """The counters of all suppliers and of one."""
     c = F.col
     selection = _selection(s, d).select(c("product_id").alias("catalog_id"), "status", "offer_id")
-    offers = _candidates(s, d).select("offer_id", F.concat(F.lit("S"), c("supplier_id") % 10).alias("supplier"), "price", "product_id", "supplier_id")
+    offers = _candidates(s, d).select("offer_id", F.concat(F.lit("S"), c("supplier_id") % 10).alias("supplier"), "price")
     offers = offers.groupBy("offer_id").agg(F.min("supplier").alias("supplier"), F.min("price").alias("price"))
+    chosen = checkpointed(selection.join(offers, "offer_id", "left"))  # both scopes read the selection with its offers, in one plan that deals the lines once
+    selection, offers = chosen.select("catalog_id", "status", "offer_id"), chosen.filter("offer_id is not null").select("offer_id", "supplier", "price").distinct()
     products = role(s, d, "products").select("product_id", "supplier", c("product_id").alias("catalog_id"), "decision")
     targets = t(s, d, "part").filter("p_partkey % 6 <> 0").select(c("p_partkey").alias("catalog_id"), c("p_type").alias("category_id"), F.when(c("p_partkey") % 10 == 0, "").otherwise(c("p_type")).alias("category_name"))
     decisions = products.select("product_id", "decision")

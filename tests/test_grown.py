@@ -56,9 +56,9 @@ def test_offers_move_once(spark, sf_dir, monkeypatch):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plans.append(decisions.offer_selection(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
-        made = [QUERIES[name](spark, sf_dir) for name in ("selection_changes",)]
-        assert len(plans) == 2 and all(p.count("FileScan parquet [l_orderkey") == 1 for p in plans)
+        made = [QUERIES[name](spark, sf_dir) for name in ("selection_changes", "export_counters")]
+        assert len(plans) == 3 and all(p.count("FileScan parquet [l_orderkey") == 1 for p in plans)
         stored = [df._jdf.queryExecution().executedPlan().toString() for df in made]
-        assert not any("l_orderkey" in p for p in stored)
+        assert not any("l_orderkey" in p or "BroadcastHashJoin" in p for p in stored)  # a catalog's rows outgrow what the size of their file says
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
